@@ -42,6 +42,7 @@ def content_sort_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     part = stored(part, "exact")
     total = part.filter("head").groupBy(F.col("digest").alias("d")).agg(best("best").alias("keep_id"), F.sum("n").alias("group_size"))
+    total = stored(total, "groups")  # so that both sides of the join are plain exchanges, which a hot digest's rows can be split over
     joined = part.join(total, F.col("digest") == F.col("d"))
     return joined.select(
         F.col("id").alias(id_col),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import content_sort_dedup
+from .langid import held_out, identify, train
+from .media import text_media
 from .mixing import curriculum_mix
+from .packing import pack_documents
+from .pii import BASE_KINDS, KINDS, detect_pii
 from .sharding import shuffle_into_shards
+from .tokencount import count_tokens
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     # a result row for each document, range-sorted by its first position; those not taken come last
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")).orderBy(
-        F.col("first_position").asc_nulls_last()
+        F.col("first_position").asc_nulls_last(), "doc_id"
     ).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -80,7 +85,48 @@ SELECT doc_id, size, source_size, target,
 FROM q
 """
 
+def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
+def spelled(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
+def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_pii(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    counts = [F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    who = train(docs, ~held_out())
+    found = identify(docs.select("doc_id", "text"), who)
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op3_interleaved_media": op3_interleaved_media,
+    "op7_pii_spans": op7_pii_spans,
+    "op8_best_two_fit": op8_best_two_fit,
+    "op9_kneser_ney": op9_kneser_ney,
+    "op10_trie_token_counts": op10_trie_token_counts,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op5_content_sort": op5_content_sort,
     "op6_curriculum_mix": op6_curriculum_mix,
