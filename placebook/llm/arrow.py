@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import ship
+
 #: Rows handled at once; with long texts fewer, so that a step holds about STEP_BYTES.
 STEP_ROWS, STEP_BYTES = 2_000, 16_000_000
 
@@ -25,6 +27,7 @@ def map_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Ca
 
     It returns columns as lists or arrays; their names and types are ``schema``'s.
     """
+    ship(df.sparkSession)
     kinds = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

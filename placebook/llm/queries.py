@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact import content_sort_dedup
 from .langid import held_out, identify, train
 from .media import text_media
+from .minhash import near_duplicates
 from .mixing import curriculum_mix
 from .packing import pack_documents
 from .pii import BASE_KINDS, KINDS, detect_pii
@@ -19,6 +20,36 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_multi_index_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_distinct(CASE
+    WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * common >= 85 * (nx.n + ny.n - common)
+), e AS (
+  SELECT x AS a, y AS b FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS node, doc_id AS reach FROM documents
+  UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a
+), c AS (
+  SELECT node, min(reach) AS component_id FROM r GROUP BY node
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shuffle_into_shards(documents(spark, sf_dir).select("doc_id", "text"), shards=40)
     data = F.col("text").cast("binary")
@@ -122,6 +153,7 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index_minhash": op1_multi_index_minhash,
     "op3_interleaved_media": op3_interleaved_media,
     "op7_pii_spans": op7_pii_spans,
     "op8_best_two_fit": op8_best_two_fit,
@@ -132,6 +164,7 @@ QUERIES = {
     "op6_curriculum_mix": op6_curriculum_mix,
 }
 SQL = {
+    "op1_multi_index_minhash": OP1_SQL,
     "op5_content_sort": OP5_SQL,
     "op6_curriculum_mix": OP6_SQL,
 }
