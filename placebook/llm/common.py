@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the space and the control characters 0x09-0x0D.
@@ -43,13 +43,6 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def prefix_sums(df: DataFrame, group: list[str], slice_col: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come earlier.
 
@@ -58,18 +51,16 @@ def prefix_sums(df: DataFrame, group: list[str], slice_col: str, order: list[str
     first (a table of groups x slices), then each slice sums its own rows. Null keys form
     a group of their own. Other columns pass through.
     """
-    keys = [*group, slice_col]
-    start = free_name(df, "_start")
-    total = free_name(df, "_total")
-    sums = df.groupBy(*keys).agg(F.sum(value).alias(total))
-    before = Window.partitionBy(*group).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
-    cond = F.lit(True)
-    for i, k in enumerate(keys):
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    # one struct as key: null fields are equal in it, so that the join and the window after
+    # it need the same partitioning and the rows are exchanged once
+    key, start, total = (free_name(df, x) for x in ("_key", "_start", "_total"))
+    rows = df.withColumn(key, F.struct(*group, slice_col))
+    sums = rows.groupBy(key).agg(F.sum(value).alias(total))
+    before = Window.partitionBy(*[f"{key}.{g}" for g in group]).orderBy(f"{key}.{slice_col}").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(key).alias("_sums_key"), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    within = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.join(sums, cond)
+        rows.join(sums, F.col(key) == F.col("_sums_key"))
         .withColumn(out, F.col(start) + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop(start, *[f"_k{i}" for i in range(len(keys))])
+        .drop(start, key, "_sums_key")
     )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from .common import free_name, prefix_sums
 
 #: Rows that a logical partition has on average, and the bounds of their number.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 20_000, 64, 16_384
+PART_ROWS, LEAST_PARTS, MOST_PARTS = 20_000, 1_024, 16_384
 SLICES = 64
 
 
