@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact import content_sort_dedup
 from .langid import held_out, identify, train
+from .linededup import line_dedup
 from .media import text_media
 from .minhash import near_duplicates
 from .mixing import curriculum_mix
@@ -64,6 +65,11 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts without later repeated runs, and what went."""
+    return line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort_dedup(documents(spark, sf_dir), keep="max")
 
@@ -160,6 +166,7 @@ QUERIES = {
     "op9_kneser_ney": op9_kneser_ney,
     "op10_trie_token_counts": op10_trie_token_counts,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op4_winnowed_lines": op4_winnowed_lines,
     "op5_content_sort": op5_content_sort,
     "op6_curriculum_mix": op6_curriculum_mix,
 }
