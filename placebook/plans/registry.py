@@ -1,8 +1,9 @@
 """All queries of the engine and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
 
+from . import payments
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+QUERIES = {**payments.QUERIES}
+SQL = {**payments.SQL}
+flagship = payments.flagship
