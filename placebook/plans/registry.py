@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import payments
+from . import payments, resolving
 
-QUERIES = {**payments.QUERIES}
-SQL = {**payments.SQL}
+QUERIES = payments.QUERIES | resolving.QUERIES
+SQL = payments.SQL | resolving.SQL
 flagship = payments.flagship
