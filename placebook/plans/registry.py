@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import payments, resolving
+from . import payments, resolving, serving
 
-QUERIES = payments.QUERIES | resolving.QUERIES
-SQL = payments.SQL | resolving.SQL
+QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES
+SQL = payments.SQL | resolving.SQL | serving.SQL
 flagship = payments.flagship
