@@ -156,8 +156,11 @@ def first_contained(c: Column | str, words: list[str]) -> Column:
 
 
 def address_tokens(c: Column | str) -> Column:
-    """Words of an address: regions in their short form, no brackets, no lot suffix, 세종 once."""
-    text = F.regexp_replace(F.regexp_replace(nfkc(F.coalesce(_col(c), F.lit(""))), r"\([^)]*\)", " "), ",", " ")
+    """Words of an address that is composed (NFKC) already: regions in their short form, no brackets, no lot suffix, 세종 once.
+
+    Spark allows no Python step inside of array functions, so that callers compose first.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"\([^)]*\)", " "), ",", " ")
     pieces = F.filter(F.split(squeeze(text), " "), lambda x: x != "")
     second = F.get(pieces, F.lit(1))
     city = F.when(second.isin(fixed.GWANGJU_DISTRICTS), F.lit("광주")).otherwise(F.lit("전남"))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.address import address_tokens, same_address
-from ..functions.text import client_name
+from ..functions.text import client_name, nfkc
 from ..session import ship
 
 FAR = 2**31 - 1
@@ -20,10 +20,11 @@ def catalog_match(restaurants: DataFrame, catalog: DataFrame, today: Column, mon
 
     Names are joined by key; addresses are compared by words, road with road or lot with lot.
     """
-    fresh = catalog.filter(F.col("last_date").between(F.add_months(today, -months), today))
+    fresh = catalog.filter(F.col("last_date").between(F.add_months(today, -months), today)).withColumn("address", nfkc("address"))
     keys = fresh.select("catalog_id", "region", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("name_variants", F.array().cast("array<string>"))))).alias("_v"), address_tokens("address").alias("_own"))
     keys = keys.withColumn("_k", client_name("_v")).filter("_k <> ''").drop("_v").distinct()
-    asked = restaurants.select("id", client_name("name").alias("_k"), address_tokens("road_address").alias("_road"), address_tokens("address").alias("_lot"))
+    asked = restaurants.select("id", client_name("name").alias("_k"), nfkc("road_address").alias("_road"), nfkc("address").alias("_lot"))
+    asked = asked.withColumns({"_road": address_tokens("_road"), "_lot": address_tokens("_lot")})
     hit = asked.join(keys, "_k").filter(same_address(F.col("_own"), F.col("_road"), F.col("region")) | same_address(F.col("_own"), F.col("_lot"), F.col("region")))
     one = hit.groupBy("id").agg(F.countDistinct("catalog_id").alias("_n"), F.min("catalog_id").alias("catalog_id")).filter("_n = 1").drop("_n")
     return restaurants.join(one, "id", "left")

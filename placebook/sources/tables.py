@@ -10,16 +10,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import ship
 
 # The columns that are kept of a ledger.
 KEPT_COLUMNS = ["문서고유id", "전체부서명", "해당년도", "해당월", "집행일시", "집행장소", "집행목적", "집행금액", "문서url"]
 #: Payment records of the shards.
-PAYMENT = T._parse_datatype_string(
-    "region string, institution string, department string, name string, canonicalName string, address string, paymentDate string, sourceURL string, recordID string, isMeal boolean, meal boolean, amount string"
-)
+PAYMENT = "region string, institution string, department string, name string, canonicalName string, address string, paymentDate string, sourceURL string, recordID string, isMeal boolean, meal boolean, amount string"
 REQUIRED = ["region", "institution", "name", "address", "paymentDate", "sourceURL", "recordID"]
 
 
@@ -36,7 +33,7 @@ def checked_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*needed)
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: T.StructType = PAYMENT) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str = PAYMENT) -> DataFrame:
     """(source, raw, row, is_object) of each line that isn't blank; what is no object stays as a row with nulls."""
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.trim("value").alias("raw")).filter("raw <> ''")
     return lines.withColumns({"row": F.from_json("raw", schema), "is_object": F.json_object_keys("raw").isNotNull()})
