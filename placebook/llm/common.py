@@ -43,6 +43,14 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` has, for names that only live inside of an operator."""
+    prefix = "_t_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def prefix_sums(df: DataFrame, group: list[str], slice_col: str, order: list[str], value: str, out: str) -> DataFrame:
     """Add ``out``: the sum of ``value`` over the rows of the group that come earlier.
 
@@ -53,14 +61,14 @@ def prefix_sums(df: DataFrame, group: list[str], slice_col: str, order: list[str
     """
     # one struct as key: null fields are equal in it, so that the join and the window after
     # it need the same partitioning and the rows are exchanged once
-    key, start, total = (free_name(df, x) for x in ("_key", "_start", "_total"))
+    key, start, total, other = (free_name(df, x) for x in ("_key", "_start", "_total", "_sums_key"))
     rows = df.withColumn(key, F.struct(*group, slice_col))
     sums = rows.groupBy(key).agg(F.sum(value).alias(total))
     before = Window.partitionBy(*[f"{key}.{g}" for g in group]).orderBy(f"{key}.{slice_col}").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(key).alias("_sums_key"), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
+    sums = sums.select(F.col(key).alias(other), F.coalesce(F.sum(total).over(before), F.lit(0)).alias(start))
     within = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(sums, F.col(key) == F.col("_sums_key"))
+        rows.join(sums, F.col(key) == F.col(other))
         .withColumn(out, F.col(start) + F.coalesce(F.sum(value).over(within), F.lit(0)))
-        .drop(start, key, "_sums_key")
+        .drop(start, key, other)
     )

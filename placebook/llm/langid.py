@@ -164,7 +164,7 @@ class Identifier:
         found = [counted(t) for t in texts]
         sizes = np.array([int(n.sum()) for _, n in found])
         out = np.zeros((len(texts), len(self.langs)))
-        if sizes.sum():
+        if sizes.sum() and self.models:
             every = np.unique(np.concatenate([u for u, _ in found]))
             logs = np.stack([m.log_prob(every) for m in self.models], axis=1)
             for i, (u, n) in enumerate(found):

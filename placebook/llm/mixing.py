@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, prefix_sums
+from .common import WORD, free_prefix, prefix_sums
 
 #: How each source's weight moves over training: 1 + r * (2t - 1), r by the source's rank modulo 3.
 RAMPS = (-0.5, 0.0, 0.5)
@@ -76,30 +76,27 @@ def curriculum_mix(
     of its own. Names that ``df`` already has among the new ones are replaced.
     """
     made = ("size", "source_size", "target", "taken", "positions")
-    rows = df.select(*[c for c in df.columns if c.lower() not in made], size(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))).withColumn("_slice", F.substring("_hash", 1, 3))
+    df = df.select(*[c for c in df.columns if c.lower() not in made or c in (id_col, text_col, source_col)])
+    t = free_prefix(df)
+    rows = df.withColumn("size", size(F.col(text_col)))
+    rows = rows.withColumn(f"{t}hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))).withColumn(f"{t}slice", F.substring(f"{t}hash", 1, 3))
     goal = targets(rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size")), repeats)
-    goal = goal.select(F.col("source").alias("_source"), F.col("rank").alias("_rank"), "source_size", "target")
-    streams = prefix_sums(rows, [source_col], "_slice", ["_hash", "size"], "size", "_before")
-    placed = streams.join(goal, streams[source_col].eqNullSafe(F.col("_source")))
-    want = F.floor("target").cast("long")
-    passes = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
+    goal = goal.select(F.col("source").alias(f"{t}source"), F.col("rank").alias(f"{t}rank"), "source_size", "target")
+    streams = prefix_sums(rows, [source_col], f"{t}slice", [f"{t}hash", "size"], "size", f"{t}before")
+    placed = streams.join(goal, F.col(source_col).eqNullSafe(F.col(f"{t}source")))
+    before, want, passes, rest, times, ramp = (F.col(t + x) for x in ("before", "want", "passes", "rest", "times", "ramp"))
+    words, whole = F.col("size"), F.col("source_size")
     placed = (
-        placed.withColumn("_passes", passes)
-        .withColumn("_rest", want - F.col("_passes") * F.col("source_size"))
-        .withColumn("_times", F.col("_passes") + F.when((F.col("size") > 0) & (2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest")), 1).otherwise(0))
-        .withColumn("_times", F.when(F.col("size") > 0, F.col("_times")).otherwise(F.lit(0)))
-        .withColumn("taken", F.col("size") * F.col("_times"))
-        .withColumn("_ramp", F.element_at(F.array(*[F.lit(r) for r in RAMPS]), F.col("_rank") % 3 + 1))
+        placed.withColumn(f"{t}want", F.floor("target").cast("long"))
+        .withColumn(f"{t}passes", F.when(whole > 0, F.expr(f"{t}want div source_size")).otherwise(F.lit(0)))
+        .withColumn(f"{t}rest", want - passes * whole)
+        .withColumn(f"{t}times", F.when(words > 0, passes + F.when(2 * before + words <= 2 * rest, 1).otherwise(0)).otherwise(F.lit(0)))
+        .withColumn("taken", words * times)
+        .withColumn(f"{t}ramp", F.element_at(F.array(*[F.lit(r) for r in RAMPS]), F.col(f"{t}rank") % 3 + 1))
     )
-    positions = F.when(
-        F.col("_times") > 0,
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), F.col("_times") - 1),
-            lambda e: inverse_schedule((e * F.col("source_size") + F.col("_before") + F.col("size") / 2) / F.greatest(want, F.lit(1)), F.col("_ramp")),
-        ),
-    ).otherwise(F.array().cast("array<double>"))
-    return placed.withColumn("positions", positions).drop("_hash", "_slice", "_before", "_source", "_rank", "_passes", "_rest", "_times", "_ramp")
+    each = F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda e: inverse_schedule((e * whole + before + words / 2) / F.greatest(want, F.lit(1)), ramp))
+    placed = placed.withColumn("positions", F.when(times > 0, each).otherwise(F.array().cast("array<double>")))
+    return placed.select(*df.columns, *made)
 
 
 def inverse_schedule(share: Column, ramp: Column) -> Column:
@@ -110,5 +107,9 @@ def inverse_schedule(share: Column, ramp: Column) -> Column:
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each time that a document is taken, range-sorted by its training position."""
-    return mixed.select("*", F.explode("positions").alias("position")).orderBy("position")
+    """A row for each time that a document is taken, range-sorted by its training position.
+
+    The column ``position`` is added last; an existing one is replaced.
+    """
+    kept = [c for c in mixed.columns if c.lower() != "position"]
+    return mixed.select(*kept, F.explode("positions").alias("position")).orderBy("position")

@@ -73,23 +73,23 @@ def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40,
     df = df.select(*[c for c in df.columns if c.lower() not in ("shard", "slot")])
     rows = df.select(id_col).count()
     n = min(MOST_PARTS, max(LEAST_PARTS, rows // PART_ROWS))
-    part, rank, one, piece, tie = (free_name(df, x) for x in ("_part", "_rank", "_one", "_piece", "_tie"))
+    part, rank, one, piece, tie, which, until = (free_name(df, x) for x in ("_part", "_rank", "_one", "_piece", "_tie", "_p", "_ends"))
     keyed = df.withColumn(part, F.pmod(hash_of(seed, id_col), F.lit(n)).cast("int"))
     counts = dict(keyed.groupBy(part).count().collect())  # a row for each logical partition: MOST_PARTS at most
     sizes = [counts.get(p, 0) for p in range(n)]
     matrix = communication_matrix(sizes, [rows // shards + (s < rows % shards) for s in range(shards)], seed)
     ends = df.sparkSession.createDataFrame(
         [(p, [int(x) for x in matrix[p].cumsum()]) for p in range(n)],
-        T.StructType([T.StructField("_p", T.IntegerType()), T.StructField("_ends", T.ArrayType(T.LongType()))]),
+        T.StructType([T.StructField(which, T.IntegerType()), T.StructField(until, T.ArrayType(T.LongType()))]),
     )
     others = [c for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
     tied = F.xxhash64(F.lit(seed + 1), *others)
     local = Window.partitionBy(part).orderBy(hash_of(seed + 2, id_col), id_col, tied)
     sent = (
         keyed.withColumn(rank, F.row_number().over(local) - 1)
-        .join(F.broadcast(ends), F.col(part) == F.col("_p"))  # MOST_PARTS x shards numbers at most
-        .withColumn("shard", F.size(F.filter("_ends", lambda e: e <= F.col(rank))))
-        .drop("_p", "_ends", part, rank)
+        .join(F.broadcast(ends), F.col(part) == F.col(which))  # MOST_PARTS x shards numbers at most
+        .withColumn("shard", F.size(F.filter(until, lambda e: e <= F.col(rank))))
+        .drop(which, until, part, rank)
         .withColumn(piece, F.pmod(hash_of(seed + 3, id_col), F.lit(SLICES)).cast("int"))
         .withColumn(one, F.lit(1).cast("long"))
         .withColumn(tie, hash_of(seed + 4, id_col))
