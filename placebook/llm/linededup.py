@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import map_batches
-from .common import stored
+from .common import free_name, stored
 
 #: A run of lines is deleted if it has so many words and stands earlier, too.
 LEAST_WORDS = 50
@@ -88,8 +88,9 @@ class RunHashes:
         self.grow(1024)
 
     def grow(self, n: int) -> None:
-        self.power = np.concatenate([[1], np.cumprod(np.full(n, BASE, np.uint64))]).astype(np.uint64)
-        self.inverse = np.concatenate([[1], np.cumprod(np.full(n, BASE_INVERSE, np.uint64))]).astype(np.uint64)
+        one = np.ones(1, np.uint64)
+        self.power = np.concatenate([one, np.cumprod(np.full(n, BASE, np.uint64))])
+        self.inverse = np.concatenate([one, np.cumprod(np.full(n, BASE_INVERSE, np.uint64))])
 
     def __call__(self, hashes: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         if len(hashes) >= len(self.power):
@@ -200,17 +201,18 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     partial aggregate and joined with a written table, which a hot one's rows are split over.
     """
     df = df.drop("removed_lines", "removed_words")
-    cuts = stored(repeated_runs(df, id_col, text_col, least).withColumnRenamed("id", "_cut_id"), "cuts")
-    rows = df.join(cuts, F.col(id_col) == F.col("_cut_id"), "left").drop("_cut_id")
+    key, cut = free_name(df, "_cut_id"), free_name(df, "_cuts")
+    found = stored(repeated_runs(df, id_col, text_col, least), "cuts").select(F.col("id").alias(key), F.col("cuts").alias(cut))
+    rows = df.join(found, F.col(id_col) == F.col(key), "left").drop(key)
     kinds = T.StructType([*df.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
 
     def make():
         def apply(batch):
             done = [
-                without(text, [(c["first"], c["end"]) for c in cut]) if cut and text else (text, 0, 0)
-                for text, cut in zip(batch.column(text_col).to_pylist(), batch.column("cuts").to_pylist(), strict=True)
+                without(text, [(c["first"], c["end"]) for c in gone]) if gone and text else (text, 0, 0)
+                for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(cut).to_pylist(), strict=True)
             ]
-            own = {name: batch.column(name) for name in batch.schema.names if name != "cuts"}
+            own = {name: batch.column(name) for name in batch.schema.names if name != cut}
             return own | {text_col: [d[0] for d in done], "removed_lines": [d[1] for d in done], "removed_words": [d[2] for d in done]}
 
         return apply
