@@ -108,10 +108,17 @@ def origin(c: Column | str) -> Column:
     return F.nullif(F.regexp_extract(_col(c), r"^(https?://[^/?#]+)", 1), F.lit(""))
 
 
-def posting_before(title: Column | str, cutoff: Column) -> Column:
-    """Whether a posting's title names a period that ended before the cutoff: by year and, if told, quarter or month."""
-    t = _col(title)
-    year = F.regexp_extract(t, r"(20\d{2})", 1).try_cast("int")
-    quarter = F.regexp_extract(t, r"([1-4])\s*분기", 1).try_cast("int")
-    month = F.coalesce(F.regexp_extract(t, r"(\d{1,2})\s*월", 1).try_cast("int"), quarter * 3, F.lit(12))
-    return F.coalesce(year * 12 + month < F.year(cutoff) * 12 + F.month(cutoff), F.lit(False))
+def posting_before(title: Column | str, cutoff: Column, told: Column | None = None) -> Column:
+    """Whether a posting's period ended before the cutoff: by the year and quarter of its title, the year and month, the year, or else the day it tells."""
+    t = F.coalesce(_col(title), F.lit(""))
+
+    def number(pattern: str, group: int) -> Column:
+        return F.regexp_extract(t, pattern, group).try_cast("int")
+
+    by_quarter, by_month = r"(20\d\d)년?\s*(?:도\s*)?([1-4])분기", r"(20\d\d)[.\-년\s]+(\d{1,2})월"
+    now = F.year(cutoff) * 12 + F.month(cutoff)
+    quarter = number(by_quarter, 1) * 4 + number(by_quarter, 2) < F.year(cutoff) * 4 + F.quarter(cutoff)
+    month = number(by_month, 1) * 12 + number(by_month, 2) < now
+    year = F.when(number(r"(20\d\d)년", 1) < F.year(cutoff), True)
+    day = told < cutoff if told is not None else F.lit(None).cast("boolean")
+    return F.coalesce(quarter, month, year, day, F.lit(False))

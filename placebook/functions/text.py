@@ -159,9 +159,9 @@ def code_point_sum(c: Column | str) -> Column:
 
 
 def redact(c: Column | str) -> Column:
-    """Phone numbers and names with a title as [전화] and [이름]."""
-    s = F.regexp_replace(_col(c), r"\d{2,4}-\d{3,4}-\d{4}", "[전화]")
-    return F.regexp_replace(s, r"[가-힣]{2,4}\s?(님|주무관|팀장|과장)", "[이름]")
+    """Names without phone numbers and without the owner's name in front or behind."""
+    s = F.trim(F.regexp_replace(_col(c), r"0\d{1,2}[- )]?\d{3,4}[- ]?\d{4}", ""))
+    return F.regexp_replace(F.regexp_replace(s, r"^[가-힣]{2,4}\s*[,/]\s*", ""), r"\s*[,/]\s*[가-힣]{2,4}\s*$", "")
 
 
 def version_key(c: Column | str) -> Column:
