@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import payments, resolving, serving
+from . import more, payments, resolving, serving
 
-QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES
-SQL = payments.SQL | resolving.SQL | serving.SQL
+QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES | more.QUERIES
+SQL = payments.SQL | resolving.SQL | serving.SQL | more.SQL
 flagship = payments.flagship
