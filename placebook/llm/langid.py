@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -42,7 +43,12 @@ _TABLE: list[np.ndarray] = []
 
 
 def letters(text: str) -> np.ndarray:
-    """The text's letters in lower case, other runs as one space, a space at both ends; empty without letters."""
+    """The text's letters in lower case, other runs as one space, a space at both ends; empty without letters.
+
+    Accents that stand apart are put on their letters first (NFC).
+    """
+    if not text.isascii() and not unicodedata.is_normalized("NFC", text):
+        text = unicodedata.normalize("NFC", text)
     if not _TABLE:
         _TABLE.append(letter_table())
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")

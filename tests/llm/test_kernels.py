@@ -181,6 +181,7 @@ def test_kneser_ney_sums_to_one():
 
 def test_letters():
     assert "".join(map(chr, langid.letters("Ab, 12 ÉC!"))) == " ab éc "
+    assert "".join(map(chr, langid.letters("E\u0301te\u0301"))) == " été "
     assert len(langid.letters("12 %%")) == 0 and len(langid.letters("")) == 0
 
 
