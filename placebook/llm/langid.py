@@ -24,6 +24,8 @@ UNKNOWN = "und"
 EVIDENCE = 200
 #: Rejection: standard deviations over the mean cross-entropy of the language's own documents.
 REJECT_SDS = 8.0
+#: but so many nats at least: texts in two known languages stay, which cost about one nat more.
+REJECT_LEAST = 1.5
 #: and standard deviations of one character's cost over the square root of their number, for short texts.
 REJECT_SHORT = 4.0
 
@@ -192,7 +194,7 @@ class Identifier:
             langs.append(self.langs[best])
             scores.append(float(1 / odds.sum()))
             heights.append(float(cost[best]))
-            rejected.append(bool(cost[best] > mean + REJECT_SDS * sd + REJECT_SHORT * one / n**0.5))
+            rejected.append(bool(cost[best] > mean + max(REJECT_SDS * sd, REJECT_LEAST) + REJECT_SHORT * one / n**0.5))
         return langs, scores, heights, rejected
 
 
