@@ -200,3 +200,42 @@ def same_provider_address(ours: Column, theirs: Column) -> Column:
         return (a == b) | (short & (F.contains(a, b) | F.contains(b, a)))
 
     return F.coalesce(F.exists(F.filter(ours, lambda x: x != ""), lambda a: F.exists(F.filter(theirs, lambda x: x != ""), lambda b: alike(a, b))), F.lit(False))
+
+
+def official(region: Column) -> Column:
+    """The region's full name."""
+    pairs = [F.lit(x) for r, spellings in fixed.REGION_SPELLINGS.items() for x in (r, spellings[0])]
+    return F.element_at(F.create_map(*pairs), region)
+
+
+def repaired(c: Column | str, hint: Column | None = None) -> Column:
+    """Addresses as they are written in ledgers, brought to the form with the region in front.
+
+    Owners' names go; the address begins at its first region or district; the region gets
+    its full name, or the hint's if the address names none. Composed text is expected.
+    """
+    s = strip(squeeze(F.coalesce(_col(c), F.lit(""))), " ,./")
+    s = F.regexp_replace(F.regexp_replace(s, PERSON_FIRST, ""), PERSON_LAST, "")
+    spellings = any_of(sorted([*fixed.ALIASES, *fixed.INTEGRATED], key=len, reverse=True))
+    s = F.regexp_replace(s, rf"^.*?(?=(?:^|[^가-힣])(?:{spellings})(?![가-힣]))", "")
+    s = strip(s, " ,./()")
+    prefix = first(s, PREFIX)
+    rest = after(s, PREFIX)
+    named = F.when(prefix.isin(fixed.INTEGRATED), prefix).otherwise(official(region_of(prefix)))
+    hinted = official(F.coalesce(region_of(hint), hint)) if hint is not None else F.lit(None).cast("string")
+    district = s.rlike(SIGUNGU)
+    return F.when(prefix.isNotNull(), F.concat_ws(" ", named, rest)).when(district & hinted.isNotNull(), F.concat_ws(" ", hinted, s)).when(s != "", s)
+
+
+def place_and_address(place: Column | str, address: Column | str | None = None) -> Column:
+    """struct<place, address> of ledger cells: the address column, else the last bracket that looks like one, else what follows a comma.
+
+    The place is what is left. Composed text is expected.
+    """
+    p = squeeze(F.coalesce(_col(place), F.lit("")))
+    own = F.nullif(squeeze(F.coalesce(_col(address), F.lit(""))), F.lit("")) if address is not None else F.lit(None).cast("string")
+    looks = r"(?:[가-힣]+[시군구]\s|[가-힣A-Za-z0-9·]+(?:로|길|동|리|가)\s?\d)"
+    bracket = F.nullif(F.regexp_extract(p, rf"[(（]([^()（）]*{looks}[^()（）]*)[)）]\s*$", 1), F.lit(""))
+    comma = F.nullif(F.regexp_extract(p, rf"^[^,]+,\s*(.*{looks}.*)$", 1), F.lit(""))
+    name = F.when(bracket.isNotNull(), F.regexp_replace(p, r"\s*[(（][^()（）]*[)）]\s*$", "")).when(own.isNull() & comma.isNotNull(), F.regexp_replace(p, r",.*$", "")).otherwise(p)
+    return F.struct(F.trim(name).alias("place"), F.coalesce(own, bracket, comma).alias("address"))

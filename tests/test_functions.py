@@ -136,3 +136,31 @@ def test_distances(one):
     assert abs(one(lambda: scalars.great_circle(F.lit(37.0), F.lit(127.0), F.lit(37.0001), F.lit(127.0))) - 11.12) < 0.01
     assert one(lambda: scalars.great_circle(F.lit(None).cast("double"), F.lit(1.0), F.lit(1.0), F.lit(1.0))) == float("inf")
     assert one(lambda: scalars.coordinate("a", 33, 39), a="40") is None
+
+
+@pytest.mark.parametrize(
+    "told, hint, out",
+    [
+        ("홍길동, 서울 중구 무교로 21", None, "서울특별시 중구 무교로 21"),
+        ("(우) 04524 부산시 중구 중앙대로 1/김철수", None, "부산광역시 중구 중앙대로 1"),
+        ("수원시 팔달구 인계동 1113", "경기", "경기도 수원시 팔달구 인계동 1113"),
+        ("무교로 21", None, "무교로 21"),
+        ("", "경기", None),
+        (None, None, None),
+    ],
+)
+def test_repaired_addresses(one, told, hint, out):
+    assert one(lambda: adr.repaired("a", None if hint is None else F.lit(hint)), a=told) == out
+
+
+@pytest.mark.parametrize(
+    "place, address, out",
+    [
+        ("본가 (중구 무교로 21)", None, ("본가", "중구 무교로 21")),
+        ("본가(2호점)", "서울 중구 무교로 21", ("본가(2호점)", "서울 중구 무교로 21")),
+        ("본가, 중구 무교로 21", None, ("본가", "중구 무교로 21")),
+        ("본가", None, ("본가", None)),
+    ],
+)
+def test_places_and_addresses(one, place, address, out):
+    assert tuple(one(lambda: adr.place_and_address("a", None if address is None else F.lit(address)), a=place)) == out
