@@ -259,6 +259,7 @@ def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     table = stored(pages_of_texts(df, id_col, text_col), "media")
     items = interleave(table.select(id_col, "html"), id_col, "html").filter(F.col("digest").isNotNull())
-    found = resolve(items, media_features(table))
+    features = stored(media_features(table), "features")  # so that both sides of the join are plain exchanges
+    found = resolve(items, features)
     # every page here has one medium; its caption tells the number of bytes before padding
     return found.withColumn("n_bytes", F.regexp_extract("caption", "^([0-9]+) bytes$", 1).cast("long"))
