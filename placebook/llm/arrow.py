@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ship
 
 #: Rows handled at once; with long texts fewer, so that a step holds about STEP_BYTES.
-STEP_ROWS, STEP_BYTES = 2_000, 16_000_000
+STEP_ROWS, STEP_BYTES = 1_000, 6_000_000
 
 
 def steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

@@ -31,7 +31,7 @@ FINE, FINE_SDS = 1024, 6.0
 #: Rows of a bucket that are compared in one group, on average.
 BLOCK = 512
 #: Words whose hashes a worker keeps; the cache starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 300_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 

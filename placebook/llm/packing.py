@@ -20,7 +20,7 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 SLICES = 64
 #: Distinct chunks whose ids a worker keeps; the cache starts anew beyond that.
-CACHE = 1_000_000
+CACHE = 600_000
 
 _SPACE = "\t-\r\x20\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A word with the one space before it, or white space: the tokenizer never joins across these borders.
