@@ -1,11 +1,10 @@
-"""Line dedup by winnowing over line hashes: later copies of repeated runs go."""
+"""Line dedup by winnowing over words: later copies of repeated runs go, wherever in a line they begin and end."""
 
 from __future__ import annotations
 
 import re
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,32 +12,31 @@ from pyspark.sql import types as T
 from .arrow import map_batches
 from .common import free_name, stored
 
-#: A run of lines is deleted if it has so many words and stands earlier, too.
+#: A run of words is deleted if it has so many words and stands earlier, too.
 LEAST_WORDS = 50
-_MARKS = ("\n", ". ", "! ", "? ")
-_CUT = re.compile(r"(?<=\n)|(?<=[.!?]\x20)")
-#: The base of the hash of a run of lines; odd, so that it can be divided by.
+#: A fingerprint is a run of so many words.
+GRAM = 20
+_UNIT = re.compile(r"\s*\S+\s*")
+_LINE_END = re.compile(r"\n|[.!?]\x20")
+SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
+#: The base of the hash of a run; odd, so that it can be divided by.
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def lines(text: str) -> list[str]:
-    """The text cut after each line break and each sentence end; joined they are the text again."""
-    if "\0" in text:
-        return [x for x in _CUT.split(text) if x]
-    for mark in _MARKS:
-        text = text.replace(mark, mark + "\0")
-    out = text.split("\0")
-    if not out[-1]:
-        out.pop()
-    return out
+    """The units that runs are made of, single words with the white space around them; joined they are the text again."""
+    return _UNIT.findall(text) or ([text] if text else [])
 
 
-def hashed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line; white space between words doesn't count."""
-    found = [x.split() for x in lines(text)]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(x)) for x in found), np.uint64, len(found))
-    return hashes, np.fromiter(map(len, found), np.int64, len(found))
+def hashed(text: str, run_hash: RunHashes) -> np.ndarray:
+    """Hash of each word; white space between words doesn't count."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    solid = np.zeros(len(codes) + 2, bool)
+    solid[1:-1] = ~SPACES[np.minimum(codes, len(SPACES) - 1)]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    letters = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+    return run_hash(letters ^ (letters >> np.uint64(29)), edges[::2], edges[1::2])
 
 
 def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,104 +98,133 @@ class RunHashes:
         return (out ^ (out >> np.uint64(31))) * np.uint64(BASE)
 
 
-def indexed(df: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """(id, hashes, words, picks): the lines of each text of ``least`` words or more, and which are fingerprints."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def chosen(hashes: np.ndarray, least: int, run_hash: RunHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of GRAM words, and which of them each window of ``least`` words selects."""
+    first, end, _, _ = windows(np.ones(len(hashes), np.int64), least)
+    if not len(first):
+        return hashes[:0], first
+    size = min(GRAM, least)
+    at = np.arange(len(hashes) - size + 1)
+    grams = run_hash(hashes, at, at + size)
+    return grams, minima(grams, np.full(len(grams), size), first, end - size + 1)
+
+
+def indexed(rows: DataFrame, least: int) -> DataFrame:
+    """(id, picks): the fingerprints of each text of ``least`` words or more, one for each place."""
     kind = dict(rows.dtypes)["id"]
 
     def make():
+        run_hash = RunHashes()
+
         def apply(batch):
-            out = {"id": [], "hashes": [], "words": [], "picks": []}
+            out = {"id": [], "picks": []}
             for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if key is None or not text:
-                    continue
-                hashes, words = hashed(text)
-                first, end, _, _ = windows(words, least)
-                if len(first):
+                grams, picks = chosen(hashed(text, run_hash), least, run_hash)
+                if len(picks):
                     out["id"].append(key)
-                    out["hashes"].append(hashes.view(np.int64))
-                    out["words"].append(words.astype(np.int32))
-                    out["picks"].append(np.unique(minima(hashes, words, first, end)).astype(np.int32))
+                    out["picks"].append(grams[np.unique(picks)].view(np.int64))
             return out
 
         return apply
 
-    return map_batches(rows, f"id {kind}, hashes array<bigint>, words array<int>, picks array<int>", make)
+    return map_batches(rows, f"id {kind}, picks array<bigint>", make)
+
 
+def blocks_of(hit: DataFrame, least: int) -> DataFrame:
+    """(run, gram, id, first, windows): neighbouring windows of (id, text, again) that select the same place, if its fingerprint is among ``again``.
 
-def runs_of(hit: DataFrame, least: int) -> DataFrame:
-    """(run, id, first, end): windows of (id, hashes, words, again) whose fingerprint is among ``again``, and the run's hash."""
+    ``run`` is the hash of all words of a block, ``windows`` has that of each window, the first of which begins at ``first``.
+    """
     kind = dict(hit.dtypes)["id"]
 
     def make():
         run_hash = RunHashes()
 
         def apply(batch):
-            out = {"run": [], "id": [], "first": [], "end": []}
-            rows = (batch.column(c).to_pylist() for c in ("id", "hashes", "words", "again"))
-            for key, hashes, words, again in zip(*rows, strict=True):
-                hashes, words = np.array(hashes, np.int64).view(np.uint64), np.array(words, np.int64)
-                first, end, begin, until = windows(words, least)
-                good = np.isin(hashes[minima(hashes, words, first, end)], np.array(again, np.int64).view(np.uint64))
-                whole = np.zeros(len(words), bool)
-                whole[first[good]] = True
-                back = whole[begin]
-                both = np.unique(np.concatenate([first[good] << 32 | end[good], begin[back] << 32 | until[back]]))
-                first, end = both >> 32, both & 0xFFFFFFFF
-                out["run"] += run_hash(hashes, first, end).view(np.int64).tolist()
-                out["id"] += [key] * len(both)
+            out = {"run": [], "gram": [], "id": [], "first": [], "windows": []}
+            rows = (batch.column(c).to_pylist() for c in ("id", "text", "again"))
+            for key, text, again in zip(*rows, strict=True):
+                hashes = hashed(text, run_hash)
+                grams, picks = chosen(hashes, least, run_hash)
+                if not len(picks):
+                    continue
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(picks)) + 1, [len(picks)]])
+                gram = grams[picks[edges[:-1]]].view(np.int64)
+                good = np.isin(gram, np.array(again, np.int64))
+                first, end = edges[:-1][good], edges[1:][good]
+                at = np.arange(len(picks))
+                each = run_hash(hashes, at, at + least).view(np.int64)
+                out["run"] += run_hash(hashes, first, end + least - 1).view(np.int64).tolist()
+                out["gram"] += gram[good].tolist()
+                out["id"] += [key] * len(first)
                 out["first"] += first.tolist()
-                out["end"] += end.tolist()
+                out["windows"] += [each[i:j] for i, j in zip(first.tolist(), end.tolist(), strict=True)]
             return out
 
         return apply
 
-    return map_batches(hit, f"run bigint, id {kind}, first int, end int", make)
+    return map_batches(hit, f"run bigint, gram bigint, id {kind}, first int, windows array<bigint>", make)
 
 
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, cuts): for the documents that repeat earlier runs, the lines [first, end) to delete.
+    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete.
 
-    1. Each text's lines are hashed; the minimum of every window with ``least`` words is a
-       fingerprint, so that any run of so many words has one wherever it stands.
+    1. Each text's words are hashed; of the runs of GRAM words in every window of ``least``
+       words, the minimum is a fingerprint, so that any run of so many words has one wherever
+       it stands in its lines.
     2. Fingerprints are joined: those that occur once are dropped.
-    3. A fingerprint that occurs again is extended both ways: all windows around it that
-       chose it are hashed as a whole, with the windows that end where a run may end. Equal
-       windows meet by this hash, never in pairs; the first in the order of (id, place)
-       stays and the others are cut. Overlapping cuts together are the repeated run.
+    3. The windows that select one place are a block. Equal blocks meet by their hash, never
+       in pairs; the first in the order of (id, place) stays and the others are cut.
+    4. Where different blocks have a fingerprint in common, the windows of the first of each
+       meet by their hashes in the same way. So every window that stands earlier is cut, to
+       the word; overlapping cuts together are the repeated run.
     """
-    table = stored(indexed(df, id_col, text_col, least), "lines")
-    picks = table.select("id", F.explode(F.transform("picks", lambda p: F.get("hashes", p))).alias("hash"))
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text <> ''")
+    picks = stored(indexed(rows, least), "picks").select("id", F.explode("picks").alias("hash"))
     again = stored(picks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "again")
     marked = stored(picks.join(again, "hash").groupBy("id").agg(F.collect_set("hash").alias("again")), "marked")
-    runs = stored(runs_of(table.select("id", "hashes", "words").join(marked, "id"), least), "runs")
+    blocks = stored(blocks_of(rows.join(marked, "id"), least), "blocks")
     place = F.struct("id", "first")
-    leading = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "leads")
-    later = runs.join(leading, "run").filter(place != F.col("lead"))
-    return later.groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
+    leads = stored(blocks.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("gram").alias("gram")), "leads")
+    several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
+    leading = stored(leads.join(several, "gram", "left").select("run", "lead", F.coalesce("several", F.lit(False)).alias("several"), (F.col("lead") != F.col("last")).alias("repeated")).filter("several or repeated"), "leading")
+    met = stored(blocks.drop("gram").join(leading, "run").select("id", "first", "windows", "several", (place != F.col("lead")).alias("later")).filter("several or later"), "met")
+    whole = met.filter("later").select("id", "first", (F.col("first") + F.size("windows") + F.lit(least - 1)).alias("end"))
+    runs = met.filter("not later").select("id", F.col("first").alias("start"), F.posexplode("windows").alias("n", "run")).select("run", "id", (F.col("start") + F.col("n")).alias("first"))
+    earliest = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "earliest")
+    later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"))
+    return whole.unionByName(later).groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the cut lines, their number and their words."""
+    """The text without the cut words, the number of lines that lost some, and their number."""
     found = lines(text)
     gone = np.zeros(len(found) + 1, np.int64)
     for first, end in cuts:
         gone[first] += 1
         gone[end] -= 1
-    gone = np.cumsum(gone)[: len(found)] > 0
-    return "".join(x for x, g in zip(found, gone, strict=True) if not g), int(gone.sum()), sum(len(x.split()) for x, g in zip(found, gone, strict=True) if g)
+    gone = (np.cumsum(gone)[:-1] > 0).tolist()
+    kept, line, touched = [], 0, set()
+    for unit, g in zip(found, gone, strict=True):
+        if g:
+            touched.add(line)
+        else:
+            kept.append(unit)
+        line += _LINE_END.search(unit) is not None
+    return "".join(kept), len(touched), sum(gone)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of ``df``, the text without repeated runs, plus removed_lines and removed_words.
 
-    A line ends at a line break or a sentence end; lines are equal if their words are. A
-    run of whole lines with ``least`` words or more that stands earlier in the table
-    (smaller id, or the same text above) is deleted; shorter repetitions stay. A text may
+    A run of ``least`` words or more that stands earlier in the table (smaller id, or the
+    same text above) is deleted, whichever white space is between its words and wherever in
+    their lines it begins and ends; shorter repetitions stay. removed_lines counts the lines
+    (up to a line break or a sentence end) that lost words, whole or in part. A text may
     become empty. Null texts stay null, rows with a null id stay as they are and count for
     nothing; rows with equal ids are one document and are cut alike if their texts are
     equal. Existing columns removed_lines and removed_words are replaced. Bounded memory:
-    tasks hold single texts and the lines of one document; equal windows are counted by a
+    tasks hold single texts and the words of one document; equal blocks and windows are counted by a
     partial aggregate and joined with a written table, which a hot one's rows are split over.
     """
     df = df.drop("removed_lines", "removed_words")

@@ -167,6 +167,43 @@ def test_line_dedup_on_given_documents(spark):
     assert got == expected
 
 
+def plain_word_dedup(texts, least=50):
+    """Words that stay, of (id, text) in the order of ids: brute force over all word windows, without lines."""
+    seen, out = set(), {}
+    for key, text in sorted(texts):
+        w = text.split()
+        gone = set()
+        for i in range(len(w) - least + 1):
+            if tuple(w[i : i + least]) in seen:
+                gone.update(range(i, i + least))
+            seen.add(tuple(w[i : i + least]))
+        out[key] = [x for n, x in enumerate(w) if n not in gone]
+    return out
+
+
+def test_line_dedup_finds_runs_inside_of_lines(spark):
+    """Passages that begin and end in mid-sentence, of 49 to 80 words, in one line or several."""
+    rng = random.Random(11)
+    texts = []
+    for n in (49, 50, 51, 60, 80):
+        for stops in (0, 7, 25):
+            passage = [x + "." if stops and i % stops == stops - 1 else x for i, x in enumerate(words(rng, n).split())]
+            texts += [" ".join([words(rng, rng.randint(1, 30)), *passage, words(rng, rng.randint(1, 30))]) for _ in range(3)]
+            texts.append(words(rng, 40) + "\n" + "\n".join(passage) + " " + words(rng, 3))
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    expected = plain_word_dedup(rows)
+    assert {k: r["text"].split() for k, r in got.items()} == expected
+    assert all(r["removed_words"] == len(texts[k].split()) - len(expected[k]) for k, r in got.items())
+    assert sum(r["removed_words"] >= 50 for r in got.values()) >= 36
+
+
+def test_line_dedup_leaves_the_words_of_the_brute_force(spark):
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").filter("doc_id is not null and text is not null")
+    got = {r["doc_id"]: r["text"].split() for r in linededup.line_dedup(rows).collect()}
+    assert got == plain_word_dedup([tuple(r) for r in rows.collect()])
+
+
 def test_media(docs, corpus):
     rows = media.text_media(docs).collect()
     assert len(rows) == len(corpus)
