@@ -35,6 +35,19 @@ def prioritised(df: DataFrame, matched: Column, distance: str = "distance", orde
     return df.orderBy(~matched, F.when(matched, F.coalesce(distance, F.lit(FAR))), order)
 
 
+def prioritised_places(df: DataFrame, matched: Column, distance: str = "distance", order: str = "ordinal") -> DataFrame:
+    """All rows with their ``place`` in the prioritised order, from 1; ``order`` is a whole number.
+
+    Rows are numbered within slices of the order, after the rows of the slices before, so that they never meet in one task.
+    """
+    slices = F.struct((~matched).alias("behind"), F.when(matched, F.coalesce(distance, F.lit(FAR))).alias("near"), F.floor(F.col(order) / 1024).alias("part"))
+    rows = df.withColumn("_slice", slices)
+    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
+    return rows.join(starts, F.col("_slice") == F.col("_s")).withColumn("place", F.col("_start") + own).drop("_slice", "_s", "_start")
+
+
 def first_unique(df: DataFrame, key: str, order: list[str], n: int = 13) -> DataFrame:
     """The first n distinct keys in the given order, each with its first row."""
     first = df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("_r = 1").drop("_r")

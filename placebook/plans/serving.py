@@ -39,7 +39,7 @@ NEAREST_OPEN_SQL = f"WITH {RS} SELECT ordinal, distance FROM r WHERE coalesce(is
 
 
 def prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first fifty in the prioritised order: matched by distance, then the others as they come."""
+    """The first hundred in the prioritised order: matched by distance, then the others as they come."""
     rows = _restaurants(spark, sf_dir)
     return serve.prioritised(rows, F.col("nation") == 7).limit(100).select("ordinal", (F.col("nation") == 7).alias("is_matched"))
 
@@ -47,6 +47,14 @@ def prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRIORITISED_SQL = f"WITH {RS} SELECT ordinal, nation = 7 AS is_matched FROM r ORDER BY nation <> 7, CASE WHEN nation = 7 THEN coalesce(distance, 2147483647) END, ordinal LIMIT 100"
 
 
+def prioritised_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place in the prioritised order, counted from 1."""
+    return serve.prioritised_places(_restaurants(spark, sf_dir), F.col("nation") == 7).select("place", "ordinal", (F.col("nation") == 7).alias("is_matched"))
+
+
+PRIORITISED_PLACES_SQL = f"WITH {RS} SELECT row_number() OVER (ORDER BY nation <> 7, CASE WHEN nation = 7 THEN coalesce(distance, 2147483647) END, ordinal) AS place, ordinal, nation = 7 AS is_matched FROM r"
+
+
 def situation_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restaurants that fit; for a situation that none fits, all."""
     rows = _restaurants(spark, sf_dir)
@@ -255,11 +263,12 @@ def unique_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.unique_photos(rows)
 
 
-QUERIES = {f.__name__: f for f in (first_unique, nearest_open, prioritised, situation_fallback, menu_candidates, photo_queries, choice_ranking, region_usage, frequent_regions, history_by_region, nearest_regions, meal_rules, address_keys, korean_dates, page_links, json_keys, workdays, text_norms, unique_photos)}
+QUERIES = {f.__name__: f for f in (first_unique, nearest_open, prioritised, prioritised_places, situation_fallback, menu_candidates, photo_queries, choice_ranking, region_usage, frequent_regions, history_by_region, nearest_regions, meal_rules, address_keys, korean_dates, page_links, json_keys, workdays, text_norms, unique_photos)}
 SQL = {
     "first_unique": FIRST_UNIQUE_SQL,
     "nearest_open": NEAREST_OPEN_SQL,
     "prioritised": PRIORITISED_SQL,
+    "prioritised_places": PRIORITISED_PLACES_SQL,
     "situation_fallback": FALLBACK_SQL,
     "menu_candidates": MENU_SQL,
     "photo_queries": _photo_sql(),

@@ -78,6 +78,15 @@ def test_photos_are_dealt_out_once(spark):
     assert rows(serve.unique_photos(df).fillna("-"), "id", "photo") == [("x", "p"), ("y", "s"), ("z", "-")]
 
 
+def test_prioritised_places_number_every_row(spark):
+    rows = [(i, None if i % 7 == 0 else i * 37 % 50, i % 3 == 0) for i in range(3000)]
+    df = spark.createDataFrame(rows, "ordinal long, distance int, hit boolean")
+    got = [r["ordinal"] for r in serve.prioritised_places(df, F.col("hit")).orderBy("place").collect()]
+    expected = sorted(rows, key=lambda r: (not r[2], (serve.FAR if r[1] is None else r[1]) if r[2] else 0, r[0]))
+    assert got == [r[0] for r in expected]
+    assert [r["ordinal"] for r in serve.prioritised(df, F.col("hit")).collect()] == got
+
+
 def test_prioritised_keeps_order_without_matches(spark):
     df = spark.createDataFrame([(2, 5), (1, 9)], "ordinal int, distance int")
     assert [r["ordinal"] for r in serve.prioritised(df, F.lit(False)).collect()] == [1, 2]
