@@ -20,9 +20,16 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
+#: The length of an IBAN by country; other countries' may have any from 15 to 34.
+_LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18
+FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22
+MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23
+TN24 TR26 UA29 VA22 VG24 XK20 YE30"""
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
+
 #: Words that make a kind likelier when they stand within CONTEXT characters before it.
 CONTEXT_WORDS = {
     "email": ("email", "e-mail", "mail", "contact", "write"),
@@ -88,9 +95,27 @@ def is_phone(s: str) -> bool:
     return 10 <= sum("0" <= c <= "9" for c in s) <= 15
 
 
-def is_iban(s: str) -> bool:
-    plain = s.replace(" ", "")
-    return 15 <= len(plain) <= 34 and mod97(plain)
+def iban_end(text: str, start: int, stop: int) -> int | None:
+    """Where the IBAN ends that begins at start: with its country's length, or at the last group border that mod-97 confirms."""
+    only, ends, n = IBAN_LENGTHS.get(text[start : start + 2]), [], 0
+    for at in range(start, stop):
+        if text[at] != " ":
+            n += 1
+            border = at + 1 == len(text) or not (text[at + 1].isascii() and text[at + 1].isalnum())
+            if border and (n == only if only else 15 <= n <= 34):
+                ends.append(at + 1)
+    return next((end for end in reversed(ends) if mod97(text[start:end].replace(" ", ""))), None)
+
+
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Leftmost IBANs; what follows one, or a group that begins none, is searched again."""
+    out, m = [], IBAN.search(text)
+    while m:
+        end = iban_end(text, m.start(), m.end())
+        if end:
+            out.append((m.start(), end))
+        m = IBAN.search(text, end or m.start() + 4)
+    return out
 
 
 def is_ssn(s: str) -> bool:
@@ -107,11 +132,11 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, ordered by start and then kind.
 
     Per kind, matches are leftmost and do not overlap; those that fail their check are
-    dropped without a retry. The checks confirm email, ip, card and phone by themselves
+    dropped without a retry, but for ibans, which may run into upper-case words and numbers. The checks confirm email, ip, card and phone by themselves
     (their score is only reported); iban needs mod-97, ssn a context word besides its form.
     """
-    found = [("email", *x) for x in emails(text)]
-    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("iban", IBAN, is_iban), ("ssn", SSN, is_ssn)):
+    found = [("email", *x) for x in emails(text)] + [("iban", *x) for x in ibans(text)]
+    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if check(m[0])]
     scored = [(k, s, e, score(text, k, s)) for k, s, e in found]
     return sorted((x for x in scored if x[3] >= NEEDED), key=lambda x: (x[1], KINDS.index(x[0])))

@@ -48,6 +48,18 @@ def test_checks_and_context():
     assert pii.redact("write a@b.co now", pii.find_spans("write a@b.co now")) == "write [email] now"
 
 
+def test_ibans_beside_upper_case_words_and_numbers():
+    for text in (
+        "IBAN [DE89 3704 0044 0532 0130 00] BIC COBADEFFXXX", "[DE89370400440532013000] BIC: COBADEFF", "pay [DE89370400440532013000] 2024 now", "[FR14 2004 1010 0505 0001 3M02 606] EUR 500",
+        "REF AB12 [DE89 3704 0044 0532 0130 00] OK", "[DE89 3704 0044 0532 0130 00] [GB82 WEST 1234 5698 7654 32]", "THE ACCOUNT IS [NO93 8601 1117 947] AND IT IS A VERY LONG LINE IN UPPER CASE",
+    ):
+        plain = text.replace("[", "").replace("]", "")
+        got = [plain[s:e] for k, s, e, _ in pii.find_spans(plain) if k == "iban"]
+        assert got == [x.split("]")[0] for x in text.split("[")[1:]], text
+    for text in ("DE89370400440532013000X", "DE89 3704 0044 0532 0130 01 BIC COBADEFFXXX"):
+        assert not any(x[0] == "iban" for x in pii.find_spans(text))
+
+
 def test_long_runs_stay_linear():
     for text in ("a" * 200_000, "1" * 200_000, "a@" * 50_000, "1." * 50_000, "+1" * 50_000):
         pii.find_spans(text)
