@@ -30,7 +30,7 @@ MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22
 TN24 TR26 UA29 VA22 VG24 XK20 YE30"""
 IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in _LENGTHS.split()}
 
-#: Words that make a kind likelier when they stand within CONTEXT characters before it.
+#: Words that make a kind likelier when they stand within CONTEXT characters before or after it.
 CONTEXT_WORDS = {
     "email": ("email", "e-mail", "mail", "contact", "write"),
     "ip": ("ip", "address", "host", "server", "from"),
@@ -122,9 +122,13 @@ def is_ssn(s: str) -> bool:
     return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
 
 
-def score(text: str, kind: str, start: int) -> float:
-    """The kind's prior, higher where one of its context words stands shortly before the span."""
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """The kind's prior, higher where one of its context words stands shortly before or after the span."""
     near = _WORDS[kind].search(text, max(0, start - CONTEXT), start)
+    if not near:
+        # one character more, so that no word is cut into a context word
+        near = _WORDS[kind].search(text, end, end + CONTEXT + 1)
+        near = near and near.end() <= end + CONTEXT
     return min(1.0, PRIOR[kind] + (CONTEXT_GAIN if near else 0.0))
 
 
@@ -138,7 +142,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     found = [("email", *x) for x in emails(text)] + [("iban", *x) for x in ibans(text)]
     for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if check(m[0])]
-    scored = [(k, s, e, score(text, k, s)) for k, s, e in found]
+    scored = [(k, s, e, score(text, k, s, e)) for k, s, e in found]
     return sorted((x for x in scored if x[3] >= NEEDED), key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -48,6 +48,13 @@ def test_checks_and_context():
     assert pii.redact("write a@b.co now", pii.find_spans("write a@b.co now")) == "write [email] now"
 
 
+def test_context_after_the_span():
+    for text in ("123-45-6789 is my social security number", "123-45-6789 (SSN)"):
+        assert [x[:3] for x in pii.find_spans(text)] == [("ssn", 0, 11)]
+    assert pii.find_spans("123-45-6789" + " " * (pii.CONTEXT - 3) + "ssn")[0][0] == "ssn"
+    assert pii.find_spans("123-45-6789" + " " * (pii.CONTEXT - 2) + "ssn") == [] and pii.find_spans("123-45-6789" + " " * (pii.CONTEXT - 3) + "ssnx") == []
+
+
 def test_ibans_beside_upper_case_words_and_numbers():
     for text in (
         "IBAN [DE89 3704 0044 0532 0130 00] BIC COBADEFFXXX", "[DE89370400440532013000] BIC: COBADEFF", "pay [DE89370400440532013000] 2024 now", "[FR14 2004 1010 0505 0001 3M02 606] EUR 500",
