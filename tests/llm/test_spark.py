@@ -129,6 +129,16 @@ def test_near_duplicates_without_an_id(spark):
     assert sorted(got, key=str) == [(3, 1, 3, True), (5, 1, 3, False), (None, 1, None, False)]
 
 
+def test_documents_without_an_id_stay_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = "one two three four five six seven"
+    df = spark.createDataFrame([(None, text), (None, "other words that stand in no other text here"), (3, text), (5, text)], "doc_id long, text string")
+    got = corpus_pipeline.one_of_each(spark, df, DATA)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, text), (None, "other words that stand in no other text here"), (3, text)], key=str)
+
+
 def plain_line_dedup(corpus, least):
     seen, cuts = {}, {}
     texts = sorted({r[0]: r[1] for r in corpus}.items())
