@@ -18,7 +18,9 @@ WIDTH = 64
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
 #: Elements that end a run of text, those whose text is left out, and those that refer to media.
 BLOCKS = frozenset("address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table td th title tr ul".split())
-SILENT = frozenset("script style noscript template head".split())
+SILENT = frozenset("script style noscript template".split())
+#: Elements that a head may have; any other ends it.
+HEAD = frozenset("base head html link meta noscript script style template title".split())
 MEDIA = {"img": "image", "video": "video", "audio": "audio", "source": None, "embed": "embed"}
 PREFIX = "media:"
 
@@ -31,7 +33,8 @@ class PageParser(HTMLParser):
         self.items: list[list] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figures: list[list] = []  # for each open figure: its media items
+        self.head = self.title = False  # whether they are open
+        self.figures: list[tuple[list, list, list]] = []  # for each open figure: its media items, its captions and the places of these
         self.caption: list[str] | None = None
         self.outer: list[str] = []  # kinds of open video and audio elements
 
@@ -41,14 +44,54 @@ class PageParser(HTMLParser):
         if text:
             self.items.append(["text", text, None, None])
 
+    def end_caption(self) -> None:
+        """Keep the text of an open caption for its figure; without a figure it is the last item's."""
+        text = " ".join("".join(self.caption or []).split())
+        self.caption = None
+        if not text:
+            return
+        if self.figures:
+            _, captions, places = self.figures[-1]
+            captions.append(text)
+            places.append(len(self.items))
+        elif self.items and self.items[-1][0] != "text":
+            self.items[-1][3] = text
+        else:
+            self.items.append(["text", text, None, None])
+
+    def end_figure(self) -> None:
+        """Give the captions to all media of the figure; without media they are text where they stood."""
+        self.end_caption()
+        found, captions, places = self.figures.pop()
+        for item in found:
+            if captions:
+                item[3] = " ".join(captions)
+        if not found:
+            for at, text in reversed(list(zip(places, captions, strict=True))):
+                self.items.insert(at, ["text", text, None, None])
+
+    def end(self) -> None:
+        """The end of the page ends all that is open."""
+        self.flush()
+        while self.figures:
+            self.end_figure()
+        self.end_caption()
+
     def handle_starttag(self, tag, attrs):
+        if tag == "head":
+            self.head = True
+        elif tag not in HEAD and (tag == "body" or not self.silent):
+            self.head = self.title = False
+        elif tag == "title":
+            self.title = True
         if tag in SILENT:
             self.silent += 1
         if tag in BLOCKS:
             self.flush()
         if tag == "figure":
-            self.figures.append([])
+            self.figures.append(([], [], []))
         elif tag == "figcaption":
+            self.end_caption()
             self.caption = []
         if tag in MEDIA:
             given = dict(attrs)
@@ -60,7 +103,7 @@ class PageParser(HTMLParser):
                 item = [kind, None, given["src"], given.get("alt") or given.get("title")]
                 self.items.append(item)
                 if self.figures:
-                    self.figures[-1].append(item)
+                    self.figures[-1][0].append(item)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -68,34 +111,36 @@ class PageParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
+        if tag == "head":
+            self.head = False
+        if tag in ("head", "title"):
+            self.title = False
         if tag in SILENT and self.silent:
             self.silent -= 1
         if tag in ("video", "audio") and self.outer:
             self.outer.pop()
         if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for item in self.figures[-1] if self.figures else self.items[-1:]:
-                if item[0] != "text" and text:
-                    item[3] = text
-            self.caption = None
+            self.end_caption()
         elif tag in BLOCKS:
             self.flush()
         if tag == "figure" and self.figures:
-            self.figures.pop()
+            self.end_figure()
 
     def handle_data(self, data):
+        if self.head and not self.title and not self.silent and data.strip():
+            self.head = False
         if self.caption is not None:
             self.caption.append(data)
-        elif not self.silent:
+        elif not self.silent and not self.head:
             self.text.append(data)
 
 
 def parse_page(html: str | None) -> list[list]:
-    """[kind, text, src, caption] in reading order; a figure's caption goes to each of its media."""
+    """[kind, text, src, caption] in reading order; a figure's caption goes to each of its media, wherever in the figure it stands."""
     parser = PageParser()
     parser.feed(html or "")
     parser.close()
-    parser.flush()
+    parser.end()
     return parser.items
 
 

@@ -92,6 +92,18 @@ def test_pages_keep_order_and_captions():
     assert media.parse_page(None) == [] and media.parse_page("") == []
 
 
+def test_pages_lose_no_text():
+    first = '<figure><figcaption>both</figcaption><img src="media:1"><img src="media:2" alt="x"></figure>after'
+    assert media.parse_page(first) == [["image", None, "media:1", "both"], ["image", None, "media:2", "both"], ["text", "after", None, None]]
+    for head in ("<head><title>t</title><meta charset=utf-8><script>no</script>", "<html><head><title>t</title><body>", "<head><title>t</title></head>"):
+        assert media.parse_page(f"{head}<p>a</p>b") == [["text", "a", None, None], ["text", "b", None, None]]
+    assert media.parse_page("<head><title>t</title>a <b>b</b>") == [["text", "a b", None, None]]
+    assert media.parse_page('<figure><img src="u"><figcaption>c</figure><p>d</p>') == [["image", None, "u", "c"], ["text", "d", None, None]]
+    assert media.parse_page('<p>a</p><figure><img src="u"><figcaption>c') == [["text", "a", None, None], ["image", None, "u", "c"]]
+    assert media.parse_page("<figure><figcaption>c</figcaption><pre>code</pre></figure>") == [["text", "c", None, None], ["text", "code", None, None]]
+    assert media.parse_page('<figcaption>c</figcaption><p>d</p>') == [["text", "c", None, None], ["text", "d", None, None]]
+
+
 @given(st.text(alphabet="ab .!?\n\0", max_size=40))
 def test_lines_join_to_the_text(text):
     assert "".join(linededup.lines(text)) == text
