@@ -49,6 +49,16 @@ def preserved_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 PRESERVED_SQL = f"""WITH {P} SELECT region, count(*) AS n, sum(amount)::BIGINT AS total FROM p WHERE (l_partkey % 2 = 0 AND region NOT IN ('ASIA', 'EUROPE')) OR (l_partkey % 2 = 1 AND region IN ('ASIA', 'EUROPE')) GROUP BY region"""
 
 
+def preserved_regions_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions collected anew in place of their old rows; the two parts hold all payments together."""
+    rows = payments(spark, sf_dir)
+    anew = "l_partkey % 2 = 1 and region in ('ASIA', 'EUROPE')"
+    return documents.preserved(rows.filter(f"not ({anew})"), rows.filter(anew), ["ASIA", "EUROPE"]).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").alias("total"))
+
+
+PRESERVED_WHOLE_SQL = f"""WITH {P} SELECT region, count(*) AS n, sum(amount)::BIGINT AS total FROM p WHERE region NOT IN ('ASIA', 'EUROPE') OR l_partkey % 2 = 1 GROUP BY region"""
+
+
 def department_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = payments(spark, sf_dir)
     told = documents.department_of(F.when(F.col("l_partkey") % 3 == 0, F.col("department")), F.when(F.col("l_partkey") % 2 == 0, F.col("institution")), F.when(F.col("l_partkey") % 5 == 0, F.col("region")))
@@ -103,12 +113,13 @@ def reason_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REASON_SQL = f"""WITH r AS (SELECT {sql_choice(REASONS, "user_id")} AS reason, count(*) AS n FROM events GROUP BY 1) SELECT '{{' || string_agg('"' || reason || '":' || n, ',' ORDER BY reason) || '}}' AS counters FROM r"""
 
-QUERIES = {f.__name__: f for f in (region_period, curated_menus, refreshed_values, preserved_regions, department_evidence, reminder_minutes, menu_situations, title_departments, reason_map)}
+QUERIES = {f.__name__: f for f in (region_period, curated_menus, refreshed_values, preserved_regions, preserved_regions_whole, department_evidence, reminder_minutes, menu_situations, title_departments, reason_map)}
 SQL = {
     "region_period": PERIOD_SQL,
     "curated_menus": CURATED_SQL,
     "refreshed_values": REFRESHED_SQL,
     "preserved_regions": PRESERVED_SQL,
+    "preserved_regions_whole": PRESERVED_WHOLE_SQL,
     "department_evidence": EVIDENCE_SQL,
     "reminder_minutes": REMINDER_SQL,
     "menu_situations": _situation_sql(),

@@ -211,6 +211,18 @@ b AS (SELECT source_url, count(*) AS n, max(payment_date) AS last_date FROM p WH
 SELECT * FROM a WHERE source_url NOT IN (SELECT source_url FROM b) UNION ALL SELECT * FROM b"""
 
 
+def sources_last_wins_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources by URL; where the newer half has one, its row. The halves hold all payments together."""
+    rows = payments(spark, sf_dir)
+    by = lambda part: part.groupBy("source_url").agg(F.count(F.lit(1)).alias("n"), F.max("payment_date").alias("last_date"))
+    return merge.last_wins(by(rows.filter("not (place_key % 2 = 1 and l_partkey % 2 = 0)")), by(rows.filter("place_key % 2 = 1 and l_partkey % 2 = 0")), ["source_url"])
+
+
+LAST_WINS_WHOLE_SQL = f"""WITH {P}, a AS (SELECT source_url, count(*) AS n, max(payment_date) AS last_date FROM p WHERE place_key % 2 = 0 OR l_partkey % 2 = 1 GROUP BY 1),
+b AS (SELECT source_url, count(*) AS n, max(payment_date) AS last_date FROM p WHERE place_key % 2 = 1 AND l_partkey % 2 = 0 GROUP BY 1)
+SELECT * FROM a WHERE source_url NOT IN (SELECT source_url FROM b) UNION ALL SELECT * FROM b"""
+
+
 def ordered_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = merge.ordered_distinct(payments(spark, sf_dir).withColumn("unit", F.concat_ws("/", "department", "institution")), ["region"], "unit", F.col("ordinal"), "units")
     return out.select("region", F.array_join("units", "|").alias("units"))
@@ -247,6 +259,7 @@ QUERIES = {
     "pending_not_accepted": pending_not_accepted,
     "catalog_upsert": catalog_upsert,
     "sources_last_wins": sources_last_wins,
+    "sources_last_wins_whole": sources_last_wins_whole,
     "ordered_distinct_units": ordered_urls,
     "pages_until_repeat": pages_until_repeat,
 }
@@ -267,6 +280,7 @@ SQL = {
     "pending_not_accepted": PENDING_SQL,
     "catalog_upsert": UPSERT_SQL,
     "sources_last_wins": LAST_WINS_SQL,
+    "sources_last_wins_whole": LAST_WINS_WHOLE_SQL,
     "ordered_distinct_units": ORDERED_SQL,
     "pages_until_repeat": PAGES_SQL,
 }

@@ -79,3 +79,19 @@ def test_fresh_positions_and_eligibility(spark):
         documents.eligible(F.lit("2025-01-01"), F.lit("2026-06-01").cast("date")).alias("d"),
     ).collect()[0]
     assert tuple(row) == (True, False, False, True)
+
+
+def test_parts_of_the_whole_queries_hold_every_payment(spark, monkeypatch):
+    from placebook.operators import documents, merge
+    from placebook.plans import more, payments
+
+    data = "/root/testdata/sf0.001"
+    n, seen = payments.payments(spark, data).count(), []
+    for module, name in ((merge, "last_wins"), (documents, "preserved")):
+        real = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda a, b, *rest, real=real: seen.append((a, b)) or real(a, b, *rest))
+    payments.sources_last_wins_whole(spark, data)
+    more.preserved_regions_whole(spark, data)
+    (a, b), (old, new) = seen
+    assert sum(x.agg({"n": "sum"}).collect()[0][0] for x in (a, b)) == n
+    assert old.count() + new.count() == n
