@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 from .arrow import map_batches
-from .common import stored
+from .common import discard, stored
 
 #: A signature has CHUNKS x SYMBOLS symbols of 8 bits. A pair that differs in fewer than
 #: CHUNKS * (ERRORS + 1) symbols differs in ERRORS at most in some chunk (pigeonhole), so
@@ -279,8 +279,10 @@ def components(links: DataFrame, name: str) -> DataFrame:
         up = low.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = stored(low.join(up, "comp").select("node", F.col("up").alias("comp")), f"{name}-{step}b")
         changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter("comp <> old").limit(1).count()
+        discard(low, labels)
         labels = new
         if not changed:
+            discard(links)
             return labels
 
 
@@ -289,7 +291,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Documents are linked if the Jaccard similarity of their sets of word shingles is at
     least ``percent`` per cent; component_id is the smallest id that a document reaches
-    over links. Words are cut at ASCII white space, A-Z in lower case; a text with fewer
+    over links. Ids may be of any type that has an order. Words are cut at ASCII white space, A-Z in lower case; a text with fewer
     words than ``size`` has its whole sequence as one shingle. Null texts and texts
     without words have an empty set and are linked with nothing. Rows with a null id are
     linked with nothing and have a null component and kept = false. Rows with equal ids
@@ -305,8 +307,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
        bounds the size of a partner. A finer signature sorts out most of the others before
        sets are compared. Nothing is capped; no pair within a component is made, and none
        twice.
-    4. Confirmation joins full sets of 64-bit shingle hashes. They are made anew from the
-       texts of classes in shared buckets only.
+    4. Confirmation joins full sets, of which each shingle is a 64-bit hash (two unlike ones
+       of a pair are the same with a probability of 2^-64). They are made anew from the texts
+       of classes in shared buckets only.
+
+    The join finds all pairs under the signature-distance threshold; a pair at similarity s
+    is over it with the probability that more than GUARANTEED of WIDTH symbols differ: at
+    s = 0.85 8e-5, at s = 0.8 0.5 %, less at higher ones (and such a pair may still share a
+    key, or be joined over a third document).
     """
     looked = stored(sketches(df, id_col, text_col, size), "sketches")
     sets = looked.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
@@ -317,11 +325,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     buckets = stored(keys.join(shared, "key"), "buckets")
 
     votes = buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).count()
-    first = stored(votes.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b")), "first")
+    first = stored(votes.groupBy("a").agg(F.min_by("b", F.struct(-F.col("count"), "b")).alias("b")), "first")
     members = buckets.select(F.col("rep")).distinct()
     texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(members, "rep", "left_semi")
     full = stored(full_sets(texts, size), "sets")
     links = stored(confirmed(first, full, percent), "links")
+    discard(shared, first)
     comps = components(links, "comps")
 
     # what is left: buckets with classes of two or more components
@@ -336,10 +345,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = some.select("rep", "n").join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
     sizes = sizes.withColumn("top", F.floor(F.col("most") * (100 + percent) / percent - F.col("n") + 1e-6)).filter(100 * F.col("top") >= percent * F.col("n"))
     rest = stored(rest.join(sizes.join(some.select("rep", "chunks", "fine"), "rep").select("rep", "n", "top", "chunks", "fine"), "rep"), "rest")
-    more = stored(confirmed(stored(candidates(rest, percent), "pairs"), full, percent), "more")
+    discard(buckets, at, mixed, inside, some)
+    pairs = stored(candidates(rest, percent), "pairs")
+    discard(rest)
+    more = stored(confirmed(pairs, full, percent), "more")
+    discard(pairs)
     if more.limit(1).count():
+        discard(comps)
         comps = components(links.union(more), "all")
 
     of_class = stored(reps.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("comp")), "ends")
+    discard(reps, comps, links, more, full)
     out = looked.join(of_class, F.col("digest") == F.col("d"), "left").withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
