@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import map_batches
-from .common import free_name, stored
+from .common import discard, free_name, stored
 
 #: A run of words is deleted if it has so many words and stands earlier, too.
 LEAST_WORDS = 50
@@ -111,19 +112,19 @@ def chosen(hashes: np.ndarray, least: int, run_hash: RunHashes) -> tuple[np.ndar
 
 def indexed(rows: DataFrame, least: int) -> DataFrame:
     """(id, picks): the fingerprints of each text of ``least`` words or more, one for each place."""
-    kind = dict(rows.dtypes)["id"]
+    kind = rows.schema["id"].dataType.simpleString()
 
     def make():
         run_hash = RunHashes()
 
         def apply(batch):
-            out = {"id": [], "picks": []}
-            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            at, found = [], []
+            for n, text in enumerate(batch.column("text").to_pylist()):
                 grams, picks = chosen(hashed(text, run_hash), least, run_hash)
                 if len(picks):
-                    out["id"].append(key)
-                    out["picks"].append(grams[np.unique(picks)].view(np.int64))
-            return out
+                    at.append(n)
+                    found.append(grams[np.unique(picks)].view(np.int64))
+            return {"id": batch.column("id").take(pa.array(at, pa.int64())), "picks": found}
 
         return apply
 
@@ -141,9 +142,9 @@ def blocks_of(hit: DataFrame, least: int) -> DataFrame:
         run_hash = RunHashes()
 
         def apply(batch):
-            out = {"run": [], "gram": [], "id": [], "first": [], "windows": []}
-            rows = (batch.column(c).to_pylist() for c in ("id", "text", "again"))
-            for key, text, again in zip(*rows, strict=True):
+            out, at_row = {"run": [], "gram": [], "first": [], "windows": []}, []
+            rows = (batch.column(c).to_pylist() for c in ("text", "again"))
+            for row, (text, again) in enumerate(zip(*rows, strict=True)):
                 hashes = hashed(text, run_hash)
                 grams, picks = chosen(hashes, least, run_hash)
                 if not len(picks):
@@ -156,18 +157,23 @@ def blocks_of(hit: DataFrame, least: int) -> DataFrame:
                 each = run_hash(hashes, at, at + least).view(np.int64)
                 out["run"] += run_hash(hashes, first, end + least - 1).view(np.int64).tolist()
                 out["gram"] += gram[good].tolist()
-                out["id"] += [key] * len(first)
+                at_row += [row] * len(first)
                 out["first"] += first.tolist()
                 out["windows"] += [each[i:j] for i, j in zip(first.tolist(), end.tolist(), strict=True)]
-            return out
+            return out | {"id": batch.column("id").take(pa.array(at_row, pa.int64()))}
 
         return apply
 
     return map_batches(hit, f"run bigint, gram bigint, id {kind}, first int, windows array<bigint>", make)
 
 
+def document_key(id_col: str, text_col: str) -> Column:
+    """What tells documents apart and puts them in order: the id, and for equal ids a hash of the text."""
+    return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+
+
 def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete.
+    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete; ``id`` is their document_key.
 
     1. Each text's words are hashed; of the runs of GRAM words in every window of ``least``
        words, the minimum is a fingerprint, so that any run of so many words has one wherever
@@ -178,17 +184,25 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     4. Where different blocks have a fingerprint in common, the windows of the first of each
        meet by their hashes in the same way. So every window that stands earlier is cut, to
        the word; overlapping cuts together are the repeated run.
+
+    Steps 3 and 4 are how matches are extended both ways: instead of walking from each joined
+    pair of positions, which makes all pairs of a passage's copies, every window around a
+    fingerprint that occurs again is looked up by its hash. The runs found are the same.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text <> ''")
-    picks = stored(indexed(rows, least), "picks").select("id", F.explode("picks").alias("hash"))
+    rows = df.select(document_key(id_col, text_col).alias("id"), F.col(text_col).alias("text")).filter("id.id is not null and text <> ''")
+    table = stored(indexed(rows, least), "picks")
+    picks = table.select("id", F.explode("picks").alias("hash"))
     again = stored(picks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "again")
     marked = stored(picks.join(again, "hash").groupBy("id").agg(F.collect_set("hash").alias("again")), "marked")
+    discard(table, again)
     blocks = stored(blocks_of(rows.join(marked, "id"), least), "blocks")
     place = F.struct("id", "first")
     leads = stored(blocks.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("gram").alias("gram")), "leads")
     several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
     leading = stored(leads.join(several, "gram", "left").select("run", "lead", F.coalesce("several", F.lit(False)).alias("several"), (F.col("lead") != F.col("last")).alias("repeated")).filter("several or repeated"), "leading")
+    discard(marked, leads, several)
     met = stored(blocks.drop("gram").join(leading, "run").select("id", "first", "windows", "several", (place != F.col("lead")).alias("later")).filter("several or later"), "met")
+    discard(blocks, leading)
     whole = met.filter("later").select("id", "first", (F.col("first") + F.size("windows") + F.lit(least - 1)).alias("end"))
     runs = met.filter("not later").select("id", F.col("first").alias("start"), F.posexplode("windows").alias("n", "run")).select("run", "id", (F.col("start") + F.col("n")).alias("first"))
     earliest = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "earliest")
@@ -222,15 +236,16 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     their lines it begins and ends; shorter repetitions stay. removed_lines counts the lines
     (up to a line break or a sentence end) that lost words, whole or in part. A text may
     become empty. Null texts stay null, rows with a null id stay as they are and count for
-    nothing; rows with equal ids are one document and are cut alike if their texts are
-    equal. Existing columns removed_lines and removed_words are replaced. Bounded memory:
+    nothing. Rows with equal ids and texts are one document and are cut alike; with equal ids
+    and other texts they are documents of their own, of which a hash of the text decides the
+    order. Ids may be of any type that has an order. An empty table gives no rows. Existing columns removed_lines and removed_words are replaced. Bounded memory:
     tasks hold single texts and the words of one document; equal blocks and windows are counted by a
     partial aggregate and joined with a written table, which a hot one's rows are split over.
     """
     df = df.drop("removed_lines", "removed_words")
     key, cut = free_name(df, "_cut_id"), free_name(df, "_cuts")
     found = stored(repeated_runs(df, id_col, text_col, least), "cuts").select(F.col("id").alias(key), F.col("cuts").alias(cut))
-    rows = df.join(found, F.col(id_col) == F.col(key), "left").drop(key)
+    rows = df.join(found, document_key(id_col, text_col) == F.col(key), "left").drop(key)
     kinds = T.StructType([*df.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
 
     def make():
