@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass, field
+from statistics import NormalDist
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -11,23 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import map_batches
+from .common import discard, stored
 
 ORDER = 4
 BITS = 16
 SPACE = 32
 #: Characters that an unseen one is one of, for the lowest order.
 ALPHABET = 65_536
-#: Documents of each language that the models are fitted on, on average: a bounded sample.
-FIT_DOCS = 800
+#: Documents and characters of each language that the models are fitted on, on average: a bounded sample.
+FIT_DOCS, FIT_CHARS = 800, 4_000_000
 UNKNOWN = "und"
 #: Score: how many characters count as evidence.
 EVIDENCE = 200
-#: Rejection: standard deviations over the mean cross-entropy of the language's own documents.
-REJECT_SDS = 8.0
-#: but so many nats at least: texts in two known languages stay, which cost about one nat more.
-REJECT_LEAST = 1.5
-#: and standard deviations of one character's cost over the square root of their number, for short texts.
-REJECT_SHORT = 4.0
+#: How often a text whose expected cost is just there may be rejected by the chance of its few letters.
+REJECT_RATE = 1e-6
+#: Letters that a document needs to calibrate with.
+CHECK_LETTERS = 20
 
 
 def letter_table() -> np.ndarray:
@@ -160,12 +160,45 @@ def fit(codes: np.ndarray, counts: np.ndarray) -> CharModel:
     return model
 
 
+@dataclass
+class Limit:
+    """From a language's calibrating documents: when the cost of a text of n letters is too high."""
+
+    mean: float = np.inf  # of the documents' cross-entropies
+    between: float = 0.0  # variance of documents beyond that of their letters
+    letter: float = 0.0  # variance of one letter's cost
+    worst: float = 0.0  # how many standard deviations over the mean the worst document is
+    floor: float = 0.0  # the most that an even mixture of two known languages costs
+
+    def at(self, n: int) -> float:
+        chance = NormalDist().inv_cdf(1 - REJECT_RATE) * (self.letter / n) ** 0.5
+        return max(self.mean + self.worst * (self.between + self.letter / n) ** 0.5, self.floor + chance)
+
+
+def mixture_cost(means: np.ndarray) -> float:
+    """The most that a text, half in one and half in another known language, costs in its best model; means[a, m] is the cost of language a in model m."""
+    known = means[~np.isnan(means).any(axis=1)]
+    return max((float(((row + known) / 2).min(axis=1).max()) for row in known), default=0.0)
+
+
+def calibrated(rows: list[tuple[int, float, float]], floor: float) -> Limit:
+    """The limit from (letters, cost, variance of a letter's cost) of the language's documents; without documents nothing is rejected."""
+    if not rows:
+        return Limit()
+    n, cost, letter = (np.array(x, float) for x in zip(*rows, strict=True))
+    mean, own = float(cost.mean()), float(letter.mean())
+    between = max(0.0, float(cost.var(ddof=1)) - own * float((1 / n).mean())) if len(n) > 1 else 0.0
+    worst = float(((cost - mean) / np.sqrt(between + own / n + 1e-12)).max())
+    return Limit(mean, between, own, max(worst, 0.0), floor)
+
+
 @dataclass
 class Identifier:
     langs: list[str]
     models: list[CharModel]
-    #: Mean, standard deviation of the documents' cross-entropies, and of one character's cost.
-    limits: list[tuple[float, float, float]] = field(default_factory=list)
+    limits: list[Limit] = field(default_factory=list)
+    #: Languages that no document has a letter of; they are never predicted.
+    without: list[str] = field(default_factory=list)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character in nats, texts x languages, and the numbers of characters."""
@@ -190,30 +223,38 @@ class Identifier:
                 continue
             best = int(cost.argmin())
             odds = np.exp(-(cost - cost[best]) * min(n, EVIDENCE))
-            mean, sd, one = self.limits[best] if self.limits else (np.inf, 0.0, 0.0)
             langs.append(self.langs[best])
             scores.append(float(1 / odds.sum()))
             heights.append(float(cost[best]))
-            rejected.append(bool(cost[best] > mean + max(REJECT_SDS * sd, REJECT_LEAST) + REJECT_SHORT * one / n**0.5))
+            rejected.append(bool(self.limits) and bool(cost[best] > self.limits[best].at(n)))
         return langs, scores, heights, rejected
 
 
-def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, seed: int = 5) -> Identifier:
+def train(
+    df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, seed: int = 5
+) -> Identifier:
     """Fit on the rows where ``usable`` holds and that have a language and a text.
 
-    ``fit_docs`` documents of each language on average are drawn by a hash of the ids, at
-    a rate from the language's number of documents; a fifth of them only calibrates the
-    rejection. The windows are counted by executors; what comes to the driver is the
-    counts of distinct windows of this bounded sample, and a row for each language.
+    ``fit_docs`` documents and ``fit_chars`` characters of each language on average, whole
+    texts, are drawn by a hash of the ids, at a rate from the language's totals; a fifth of
+    them only calibrates the rejection, but never the one with the smallest hash, so that
+    every language has a document to fit on. Rows with equal ids are drawn alike. The
+    windows are counted by executors; what comes to the driver is the counts of distinct
+    windows of this bounded sample, three numbers for each calibrating document and rows for
+    each language (and two). Without usable rows there are no models. Other columns are
+    ignored.
     """
     known = df.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    per = dict(known.groupBy("lang").count().collect())
+    known = known.withColumn("draw", F.xxhash64(F.lit(seed), "id"))
+    per = {r["lang"]: r for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min("draw").alias("first")).collect()}
     if not per:
         return Identifier([], [])
     langs = sorted(per)
-    rate = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, fit_docs / per[lang]))])
-    drawn = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) / 1_000_000.0
-    sample = known.filter(drawn < F.element_at(rate, F.col("lang"))).withColumn("check", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) == 0)
+    by_lang = lambda value: F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, value(per[lang]))]), F.col("lang"))
+    rate = by_lang(lambda r: min(1.0, fit_docs / r["n"], fit_chars / max(r["chars"], 1)))
+    first = F.col("draw") == by_lang(lambda r: r["first"])
+    sample = known.filter((F.pmod("draw", F.lit(1_000_000)) / 1_000_000.0 < rate) | first)
+    sample = sample.withColumn("check", ~first & (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(5)) == 0)).drop("draw")
 
     def counting():
         def apply(batch):
@@ -238,6 +279,7 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         if len(own):
             models.append((lang, fit(own["code"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy())))
     found = Identifier([lang for lang, _ in models], [m for _, m in models])
+    found.without = sorted(set(langs) - set(found.langs))
     if not found.langs:
         return found
     shared = df.sparkSession.sparkContext.broadcast(found)
@@ -246,16 +288,32 @@ def train(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str =
         who = shared.value
 
         def apply(batch):
-            texts, own = batch.column("text").to_pylist(), batch.column("lang").to_pylist()
-            costs, sizes = who.costs(texts)
-            rows = [(lang, float(costs[i][who.langs.index(lang)])) for i, lang in enumerate(own) if sizes[i] >= 20 and lang in who.langs]
-            return {"lang": [r[0] for r in rows], "cost": [r[1] for r in rows]}
+            out = {k: [] for k in ("lang", "model", "n", "cost", "letter")}
+            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+                codes, n = counted(text)
+                letters_ = int(n.sum())
+                if letters_ < CHECK_LETTERS:
+                    continue
+                for model, scorer in zip(who.langs, who.models, strict=True):
+                    logs = scorer.log_prob(codes)
+                    cost = -float(n @ logs) / letters_
+                    for k, v in zip(out, (lang, model, letters_, cost, float(n @ (logs + cost) ** 2) / letters_), strict=True):
+                        out[k].append(v)
+            return out
 
         return apply
 
-    checks = map_batches(sample.filter("check").select("text", "lang"), "lang string, cost double", heights)
-    by_lang = {r["lang"]: (r["m"], r["s"] or 0.0) for r in checks.groupBy("lang").agg(F.avg("cost").alias("m"), F.stddev_samp("cost").alias("s")).collect()}
-    found.limits = [(*by_lang.get(lang, (np.inf, 0.0)), 2.0) for lang in found.langs]
+    checks = stored(map_batches(sample.filter("check").select("text", "lang"), "lang string, model string, n bigint, cost double, letter double", heights), "checks")
+    own: dict[str, list] = {}
+    for r in checks.filter("lang = model").select("lang", "n", "cost", "letter").collect():  # fit_docs / 5 a language on average
+        own.setdefault(r["lang"], []).append((r["n"], r["cost"], r["letter"]))
+    means = np.full((len(found.langs),) * 2, np.nan)
+    for r in checks.groupBy("lang", "model").agg(F.avg("cost").alias("cost")).collect():  # a row for two languages
+        if r["lang"] in found.langs:
+            means[found.langs.index(r["lang"]), found.langs.index(r["model"])] = r["cost"]
+    discard(checks)
+    floor = mixture_cost(means)
+    found.limits = [calibrated(own.get(lang, []), floor) for lang in found.langs]
     return found
 
 
@@ -264,8 +322,9 @@ def identify(df: DataFrame, who: Identifier, id_col: str = "doc_id", text_col: s
 
     Whole texts; the language with the lowest cross-entropy per character. Null texts and
     texts without a letter get "und", score 0 and are rejected; others are rejected if
-    their cross-entropy is far above what the language's own documents have. Existing
-    columns of these names are replaced. The models are broadcast: their size is bounded
+    their cross-entropy is above the limit that the language's calibrating documents give
+    for so many letters. Existing columns of these names are replaced. Rows don't meet:
+    repeated ids and rows are judged each on its own, and an empty table gives no rows. The models are broadcast: their size is bounded
     by the sample that they are fitted on.
     """
     df = df.drop("lang_pred", "score", "cross_entropy", "rejected")
@@ -285,4 +344,5 @@ def identify(df: DataFrame, who: Identifier, id_col: str = "doc_id", text_col: s
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
+    """Whether a document is held out of the learning; false for a null id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
