@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, free_prefix, prefix_sums
+from .common import WORD, discard, free_name, prefix_sums, stored
 
-#: How each source's weight moves over training: 1 + r * (2t - 1), r by the source's rank modulo 3.
+#: Slopes of the sources' weights over training, 1 + r * (2t - 1); a parameter. Sources take them in turn.
 RAMPS = (-0.5, 0.0, 0.5)
 MOST_REPEATS = 3
 
@@ -50,6 +50,39 @@ def targets(sizes: DataFrame, repeats: int = MOST_REPEATS) -> DataFrame:
     )
 
 
+def measured(df: DataFrame, key: Column, id_col: str, text_col: str, source_col: str, seed: str, size: Callable[[Column], Column]) -> DataFrame:
+    """(key, source, size, hash, slice, words): a row for each distinct document, written; ``words`` counts all its rows."""
+    found = df.select(
+        key.alias("key"), F.col(source_col).alias("source"), size(F.col(text_col)).alias("size"), F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))).alias("hash")
+    )
+    return stored(found.groupBy("key", "source", "size", "hash").agg(F.sum("size").alias("words")).withColumn("slice", F.substring("hash", 1, 3)), "sizes")
+
+
+def plan(rows: DataFrame, repeats: int = MOST_REPEATS, ramps: tuple[float, ...] = RAMPS) -> DataFrame:
+    """(key, size, source_size, target, times, positions) of the rows of ``measured``, written."""
+    goal = targets(rows.groupBy("source").agg(F.sum("words").alias("source_size")), repeats).withColumnRenamed("source", "of")
+    goal = goal.withColumn("want", F.floor("target").cast("long")).withColumn("passes", F.when(F.col("source_size") > 0, F.expr("want div source_size")).otherwise(F.lit(0)))
+    goal = stored(goal.withColumn("rest", F.col("want") - F.col("passes") * F.col("source_size")), "goal")
+    streams = prefix_sums(rows, ["source"], "slice", ["hash", "size", "key"], "words", "before")
+    placed = streams.join(goal, F.col("source").eqNullSafe(F.col("of"))).withColumn("last", 2 * F.col("before") + F.col("words") <= 2 * F.col("rest"))
+    placed = stored(placed, "placed")
+    # what the last pass lacks or has too much, and the one document that mends it best
+    miss = placed.groupBy(F.col("source").alias("of")).agg((F.first("rest") - F.sum(F.when(F.col("last"), F.col("words")).otherwise(F.lit(0)))).alias("miss"))
+    miss = stored(miss, "miss")
+    after = F.abs(F.col("miss") - F.when(F.col("last"), -F.col("words")).otherwise(F.col("words")))
+    turned = placed.drop("of").join(miss, F.col("source").eqNullSafe(F.col("of"))).filter((F.col("words") > 0) & (after < F.abs("miss")))
+    turned = stored(turned.groupBy("source").agg(F.min(F.struct(after.alias("after"), "hash", "size", "key")).alias("one")).select(F.col("one.key").alias("turned")), "turned")
+    words, whole, times = F.col("words"), F.col("source_size"), F.col("times")
+    placed = placed.join(turned, F.col("key") == F.col("turned"), "left").withColumn("last", F.col("last") != F.col("turned").isNotNull())
+    placed = placed.withColumn("times", F.when(words > 0, F.col("passes") + F.col("last").cast("long")).otherwise(F.lit(0)))
+    ramp = F.element_at(F.array(*[F.lit(float(r)) for r in ramps]), (F.col("rank") % len(ramps) + 1).cast("int"))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda e: inverse_schedule((e * whole + F.col("before") + words / 2) / F.greatest("want", F.lit(1)), ramp))
+    placed = placed.withColumn("positions", F.when(times > 0, each).otherwise(F.array().cast("array<double>")))
+    out = stored(placed.select("key", "size", "source_size", "target", "times", "positions"), "plan")
+    discard(rows, goal, miss, turned)
+    return out
+
+
 def curriculum_mix(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -57,46 +90,38 @@ def curriculum_mix(
     source_col: str = "source",
     seed: str = "mix",
     repeats: int = MOST_REPEATS,
+    ramps: tuple[float, ...] = RAMPS,
     size: Callable[[Column], Column] = word_count,
 ) -> DataFrame:
     """All rows and columns of ``df`` plus size, source_size, target, taken and positions.
 
     A source's documents form a stream in the order of a hash of their ids; the source's
     target tells how many whole passes over the stream the mix takes and where the last
-    pass ends (at the document whose middle is nearest before it, so that a source's taken
-    words miss its target by half a document at most). A document's offset in the stream,
-    as a share of the source's demand, is carried through the inverse of the source's
-    integrated weight schedule: that is its training position in 0..1, one for each time
-    that it is taken. Sort by position to train.
-
-    Hot sources: prefix sums run by slices of 1/4096 of the hash range, so that a source
-    with a third of all rows is not one task. Nothing is collected; the table of targets
-    has a row for each source. Reruns agree, as the order depends on ids alone (equal ids
-    are ordered by size). Null texts have size 0 and are taken 0 words; null is a source
-    of its own. Names that ``df`` already has among the new ones are replaced.
+    pass ends (at the document whose middle is nearest before it). One more document is
+    then put into or left out of the last pass, the one that brings the source's words
+    nearest to its target, if any does. A document's offset in the stream, as a share of
+    the source's demand, is carried through the inverse of the source's integrated weight
+    schedule: that is its training position in 0..1, one for each time that it is taken.
+    Sort by position to train. ``ramps`` has the slopes of the schedules: source n of the
+    sorted ones has weight 1 + r * (2t - 1) at time t with r = ramps[n % len(ramps)], -1 < r < 1.
+
+    Texts are read twice, to be counted and to be returned, and are exchanged once; all
+    between is narrow. Hot sources: prefix sums run by slices of 1/4096 of the hash range,
+    so that a source with a third of all rows is not one task. Nothing is collected; the
+    table of targets has a row for each source. Reruns agree, as the order depends on ids,
+    sizes and texts alone. Rows with equal ids, sources and texts are taken equally often
+    and at the same positions; other rows with equal ids are documents of their own. Null
+    texts have size 0 and are taken 0 words; null is a source of its own; null ids are ids.
+    Ids may be of any type that has an order. An empty table gives no rows. Names that
+    ``df`` already has among the new ones are replaced.
     """
     made = ("size", "source_size", "target", "taken", "positions")
     df = df.select(*[c for c in df.columns if c.lower() not in made or c in (id_col, text_col, source_col)])
-    t = free_prefix(df)
-    rows = df.withColumn("size", size(F.col(text_col)))
-    rows = rows.withColumn(f"{t}hash", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))).withColumn(f"{t}slice", F.substring(f"{t}hash", 1, 3))
-    goal = targets(rows.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size")), repeats)
-    goal = goal.select(F.col("source").alias(f"{t}source"), F.col("rank").alias(f"{t}rank"), "source_size", "target")
-    streams = prefix_sums(rows, [source_col], f"{t}slice", [f"{t}hash", "size"], "size", f"{t}before")
-    placed = streams.join(goal, F.col(source_col).eqNullSafe(F.col(f"{t}source")))
-    before, want, passes, rest, times, ramp = (F.col(t + x) for x in ("before", "want", "passes", "rest", "times", "ramp"))
-    words, whole = F.col("size"), F.col("source_size")
-    placed = (
-        placed.withColumn(f"{t}want", F.floor("target").cast("long"))
-        .withColumn(f"{t}passes", F.when(whole > 0, F.expr(f"{t}want div source_size")).otherwise(F.lit(0)))
-        .withColumn(f"{t}rest", want - passes * whole)
-        .withColumn(f"{t}times", F.when(words > 0, passes + F.when(2 * before + words <= 2 * rest, 1).otherwise(0)).otherwise(F.lit(0)))
-        .withColumn("taken", words * times)
-        .withColumn(f"{t}ramp", F.element_at(F.array(*[F.lit(r) for r in RAMPS]), F.col(f"{t}rank") % 3 + 1))
-    )
-    each = F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda e: inverse_schedule((e * whole + before + words / 2) / F.greatest(want, F.lit(1)), ramp))
-    placed = placed.withColumn("positions", F.when(times > 0, each).otherwise(F.array().cast("array<double>")))
-    return placed.select(*df.columns, *made)
+    key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text"))
+    found = plan(measured(df, key, id_col, text_col, source_col, seed, size), repeats, ramps)
+    found = found.withColumn("taken", F.col("size") * F.col("times"))
+    own = free_name(df, "_mix_key")
+    return df.join(found.select(F.col("key").alias(own), *made), key == F.col(own)).select(*df.columns, *made)
 
 
 def inverse_schedule(share: Column, ramp: Column) -> Column:
@@ -106,10 +131,11 @@ def inverse_schedule(share: Column, ramp: Column) -> Column:
     return F.when(ramp == 0, share).otherwise((F.sqrt(b * b + 4 * ramp * share) - b) / (2 * ramp))
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each time that a document is taken, range-sorted by its training position.
+def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each time that a document is taken, range-sorted by its training position, then id and copy.
 
-    The column ``position`` is added last; an existing one is replaced.
+    The columns ``position`` and ``copy`` (from 0) are added last; existing ones are replaced.
+    Documents that are not taken have no row.
     """
-    kept = [c for c in mixed.columns if c.lower() != "position"]
-    return mixed.select(*kept, F.explode("positions").alias("position")).orderBy("position")
+    kept = [c for c in mixed.columns if c.lower() not in ("position", "copy")]
+    return mixed.select(*kept, F.posexplode("positions").alias("copy", "position")).select(*kept, "position", "copy").orderBy("position", id_col, "copy")
