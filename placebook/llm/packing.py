@@ -8,6 +8,7 @@ import zlib
 from bisect import bisect_right, insort
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,10 @@ from .common import free_name, prefix_sums, stored
 CAPACITY = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-SLICES = 64
+#: Slices that a length's pieces are ranked by: so many at least, and one for so many pieces of the table.
+SLICES, SLICE_PIECES = 64, 1_000_000
+#: Full sequences that a position range has at least.
+LEAST_SEQUENCES = 100
 #: Distinct chunks whose ids a worker keeps; the cache starts anew beyond that.
 CACHE = 600_000
 
@@ -88,15 +92,22 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + k * capacity, capacity) for k in range(n - 1)]
 
 
-def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """(id, piece, start, length, ids_crc32[, ids]): each text's ids and END_ID, cut into pieces.
+MADE = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
+
+
+def token_pieces(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False, carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, *carried, piece, start, length, ids_crc32[, ids]): each text's ids and END_ID, cut into pieces.
 
     Null counts as empty: a piece of the end id alone. Rows with equal ids are texts of
-    their own.
+    their own. ``carried`` names further columns that each piece keeps.
     """
+    if clash := [c for c in (id_col, *carried) if c.lower() in MADE]:
+        raise ValueError(f"columns that pieces have themselves: {clash}")
     path = tokenizer or tokenizer_path()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    kind = dict(rows.dtypes)["id"]
+    rows = df.select(F.col(text_col).alias("text"), F.struct(id_col, *carried).alias("own"))
+    kind = rows.schema["own"].dataType.simpleString()
     end = np.array([END_ID], "<u4").tobytes()
 
     def make():
@@ -106,27 +117,28 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         encoder = ChunkEncoder(path)
 
         def apply(batch):
-            out = {k: [] for k in ("id", "piece", "start", "length", "ids_crc32")}
+            out = {k: [] for k in ("piece", "start", "length", "ids_crc32")}
+            at = []
             if with_ids:
                 out["ids"] = []
             coded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            for key, ids in zip(batch.column("id").to_pylist(), coded, strict=True):
+            for row, ids in enumerate(coded):
                 ids += end
                 for n, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     part = ids[start * 4 : (start + length) * 4]
-                    out["id"].append(key)
+                    at.append(row)
                     out["piece"].append(n)
                     out["start"].append(start)
                     out["length"].append(length)
                     out["ids_crc32"].append(zlib.crc32(part))
                     if with_ids:
                         out["ids"].append(np.frombuffer(part, "<u4").astype(np.int32))
-            return out
+            return out | {"own": batch.column("own").take(pa.array(at, pa.int64()))}
 
         return apply
 
-    schema = f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return map_batches(rows, schema, make).withColumnRenamed("id", id_col)
+    schema = f"own {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    return map_batches(rows, schema, make).select("own.*", *MADE[: 5 if with_ids else 4])
 
 
 def two_tightest(lengths: list[int], counts: dict[int, int], least: int, most: int) -> tuple[int, int] | None:
@@ -202,27 +214,45 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def places(plan: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
-    """For each length, which of its pieces (by rank) go where: a row for each length of each kind of bin.
+def places(plans: dict[int, list[tuple[list[int], int]]]) -> dict[str, np.ndarray]:
+    """For each length of each range, which of its pieces (by rank) go where: a row for each length of each kind of bin.
 
     Rank r of a length belongs to the row with the largest ``first`` up to r; it goes to
-    bin base + (r - first) // each, at offset + (r - first) % each * length.
+    bin base + (r - first) // each, at offset + (r - first) % each * length. Bins are
+    numbered through the ranges in their order.
     """
-    used: dict[int, int] = {}
     rows, base = [], 0
-    for bin_, times in plan:
-        offset = 0
-        for n in dict.fromkeys(bin_):
-            each = bin_.count(n)
-            rows.append((n, used.get(n, 0), base, each, offset))
-            used[n] = used.get(n, 0) + each * times
-            offset += n * each
-        base += times
+    for part in sorted(plans):
+        used: dict[int, int] = {}
+        for bin_, times in plans[part]:
+            offset = 0
+            for n in dict.fromkeys(bin_):
+                each = bin_.count(n)
+                rows.append((part, n, used.get(n, 0), base, each, offset))
+                used[n] = used.get(n, 0) + each * times
+                offset += n * each
+            base += times
     rows.sort()
-    return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("length", "first", "base", "each", "offset"))}
+    return {k: np.array([r[i] for r in rows], np.int64) for i, k in enumerate(("range", "length", "first", "base", "each", "offset"))}
+
+
+def wide_ranges(histograms: dict[int, dict[int, int]], capacity: int, least: int = LEAST_SEQUENCES) -> dict[int, int]:
+    """Range -> the first of the neighbouring ranges that it is packed with, so that they have tokens for ``least`` sequences."""
+    out, first, tokens = {}, None, 0
+    for r in sorted(histograms):
+        if first is None or tokens >= least * capacity:
+            first, tokens = r, 0
+        out[r] = first
+        tokens += sum(n * c for n, c in histograms[r].items())
+    return out
+
+
+def place_key(part: np.ndarray, length: np.ndarray, first: np.ndarray, capacity: int) -> np.ndarray:
+    """One number that sorts as (range, length, rank): ranks below 2^42."""
+    return ((part * np.int64(capacity + 1) + length) << np.int64(42)) + first
 
 
-def best_fit_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataFrame:
+def best_fit_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY, range_col: str | None = None) -> DataFrame:
     """All rows and columns of ``pieces`` plus sequence_id and offset.
 
     ``pieces`` has ``length`` (1 to capacity) and should be a written table, as it is read
@@ -230,26 +260,40 @@ def best_fit_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY)
     pieces are ranked within their lengths by slices, so that a length that a third of
     all pieces has is not one task, and each looks up its place in the plan by length and
     rank. No piece but those of one length slice meet in a task.
+
+    ``range_col``: an integer from 0 on (a few hundred at most, as the driver gets a
+    histogram for each); neighbouring ranges are put together until they fill LEAST_SEQUENCES.
+    A sequence has pieces of one such range, and sequences are numbered in their order.
     """
-    histogram = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}
-    table = places(plan_bins(histogram, capacity))
-    one, part, rank = (free_name(pieces, x) for x in ("_one", "_part", "_rank"))
+    one, part, rank, within = (free_name(pieces, x) for x in ("_one", "_part", "_rank", "_range"))
+    pieces = pieces.withColumn(within, F.col(range_col).cast("long") if range_col else F.lit(0).cast("long"))
+    histograms: dict[int, dict[int, int]] = {}
+    for r, n, c in pieces.groupBy(within, "length").count().collect():
+        histograms.setdefault(int(r), {})[int(n)] = int(c)
+    merged = wide_ranges(histograms, capacity)
+    pieces = pieces.withColumn(within, F.element_at(F.array(*[F.lit(merged.get(r, 0)) for r in range(max(merged, default=0) + 1)]), (F.col(within) + 1).cast("int")))
+    joined: dict[int, dict[int, int]] = {}
+    for r, h in histograms.items():
+        own = joined.setdefault(merged[r], {})
+        for n, c in h.items():
+            own[n] = own.get(n, 0) + c
+    table = places({r: plan_bins(h, capacity) for r, h in joined.items()})
+    slices = max(SLICES, sum(sum(h.values()) for h in histograms.values()) // SLICE_PIECES)
     ranked = prefix_sums(
-        pieces.withColumn(one, F.lit(1).cast("long")).withColumn(part, F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int")), ["length"], part, order, one, rank
+        pieces.withColumn(one, F.lit(1).cast("long")).withColumn(part, F.pmod(F.xxhash64(*order), F.lit(slices)).cast("int")), [within, "length"], part, order, one, rank
     ).drop(one, part)
     shared = pieces.sparkSession.sparkContext.broadcast(table)
-    keep = [f for f in ranked.schema.fields if f.name.lower() not in (rank, "sequence_id", "offset")]
+    keep = [f for f in ranked.schema.fields if f.name.lower() not in (rank, within, "sequence_id", "offset")]
     kinds = T.StructType([*keep, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def make():
         t = shared.value
-        wide = np.int64(1) << np.int64(48)
-        keys = t["length"] * wide + t["first"]
+        keys = place_key(t["range"], t["length"], t["first"], capacity)
 
         def apply(batch):
-            length, r = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in ("length", rank))
-            at = np.searchsorted(keys, length * wide + r, side="right") - 1
-            nth = r - t["first"][at]
+            r, length, nth = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False), np.int64) for c in (within, "length", rank))
+            at = np.searchsorted(keys, place_key(r, length, nth, capacity), side="right") - 1
+            nth = nth - t["first"][at]
             return {f.name: batch.column(f.name) for f in keep} | {
                 "sequence_id": t["base"][at] + nth // t["each"][at],
                 "offset": t["offset"][at] + nth % t["each"][at] * length,
@@ -263,7 +307,26 @@ def best_fit_pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY)
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack: (id, piece, start, length, ids_crc32[, ids], sequence_id, offset).
 
-    An empty table gives no rows. Equal ids, also null ones, are documents of their own.
+    An empty table gives no rows, a null text is empty. Equal ids, also null ones, are
+    documents of their own. Other columns are ignored.
     """
     pieces = stored(token_pieces(df, id_col, text_col, tokenizer, capacity, with_ids), "pieces")
     return best_fit_pack(pieces, [id_col, "piece", "ids_crc32"], capacity)
+
+
+def pack_in_order(
+    df: DataFrame, position: str, carried: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, ranges: int = 64
+) -> DataFrame:
+    """Tokenise and pack along a training order: (id, *carried, position, piece, start, length, ids_crc32, ids, sequence_id, offset).
+
+    ``position`` is a column in 0..1 (null counts as 0), cut into ``ranges`` equal ranges:
+    sequences have documents of one range and are numbered in the order of ranges, so that
+    who reads them by number trains along the curriculum. Ranges with few tokens are put
+    together; each may leave one sequence open more than packing all at once would. Nulls, repeated ids and empty tables as in
+    pack_documents; repeats of a document are told apart by ``carried``.
+    """
+    pieces = token_pieces(df, id_col, text_col, tokenizer, capacity, True, (*carried, position))
+    part = free_name(pieces, "_position_range")
+    at = F.least(F.greatest(F.floor(F.coalesce(position, F.lit(0.0)) * ranges), F.lit(0)), F.lit(ranges - 1))
+    pieces = stored(pieces.withColumn(part, at.cast("int")), "pieces")
+    return best_fit_pack(pieces, [id_col, *carried, position, "piece", "ids_crc32"], capacity, part).drop(part)
