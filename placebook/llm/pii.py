@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 
 #: Kinds of spans in the order that breaks ties of the start.
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "key", "secret")
 BASE_KINDS = KINDS[:4]
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -22,6 +24,11 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+# Keys whose form tells what they are, and the values that a name for a secret is given.
+KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[opsu]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----")
+SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([^\s\"',;]{8,512}))")
+#: Bits that a character of a secret has at least, by the frequencies of the value's characters; prose has no digits besides.
+SECRET_BITS = 2.0
 
 #: The length of an IBAN by country; other countries' may have any from 15 to 34.
 _LENGTHS = """AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18
@@ -38,10 +45,12 @@ CONTEXT_WORDS = {
     "phone": ("phone", "call", "tel", "mobile", "fax", "contact"),
     "iban": ("iban", "account", "bank", "transfer"),
     "ssn": ("ssn", "social", "security"),
+    "key": ("key", "access", "credentials", "secret"),
+    "secret": ("login", "user", "username", "credentials", "bearer", "authorization"),
 }
 CONTEXT = 48
 #: A proposal's score before context, what each context word adds at first, and what is needed.
-PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.8, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3, "key": 0.9, "secret": 0.7}
 CONTEXT_GAIN = 0.3
 NEEDED = 0.5
 _WORDS = {k: re.compile(r"\b(?:" + "|".join(map(re.escape, v)) + r")\b", re.IGNORECASE) for k, v in CONTEXT_WORDS.items()}
@@ -122,6 +131,20 @@ def is_ssn(s: str) -> bool:
     return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
 
 
+def is_secret(value: str) -> bool:
+    """Letters and digits, and characters that vary: no word of prose."""
+    if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    n = len(value)
+    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) >= SECRET_BITS
+
+
+def secrets(text: str) -> list[tuple[int, int]]:
+    """The values, without their quotes, that names for secrets are given."""
+    found = (m.span(m.lastindex) for m in SECRET.finditer(text))
+    return [(start, end) for start, end in found if is_secret(text[start:end])]
+
+
 def score(text: str, kind: str, start: int, end: int) -> float:
     """The kind's prior, higher where one of its context words stands shortly before or after the span."""
     near = _WORDS[kind].search(text, max(0, start - CONTEXT), start)
@@ -137,10 +160,11 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
 
     Per kind, matches are leftmost and do not overlap; those that fail their check are
     dropped without a retry, but for ibans, which may run into upper-case words and numbers. The checks confirm email, ip, card and phone by themselves
-    (their score is only reported); iban needs mod-97, ssn a context word besides its form.
+    (their score is only reported); iban needs mod-97, ssn a context word besides its form,
+    secret a name before it and a value that is no word; a key's form is enough.
     """
-    found = [("email", *x) for x in emails(text)] + [("iban", *x) for x in ibans(text)]
-    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn)):
+    found = [("email", *x) for x in emails(text)] + [("iban", *x) for x in ibans(text)] + [("secret", *x) for x in secrets(text)]
+    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn), ("key", KEY, bool)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if check(m[0])]
     scored = [(k, s, e, score(text, k, s, e)) for k, s, e in found]
     return sorted((x for x in scored if x[3] >= NEEDED), key=lambda x: (x[1], KINDS.index(x[0])))
@@ -152,8 +176,8 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 def detect_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans): a row for each input row, whole texts; null and empty texts have no spans.
 
-    Repeated rows are searched each on its own; other columns are ignored. Rows don't
-    meet, so there is no shuffle, and time and memory are linear in a text's length.
+    Repeated rows are searched each on its own; other columns are ignored; an empty table
+    gives no rows. Rows don't meet, so there is no shuffle, and time and memory are linear in a text's length.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
