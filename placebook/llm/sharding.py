@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 
 from .common import free_name, prefix_sums
 
-#: Rows that a logical partition has on average, and the bounds of their number.
-PART_ROWS, LEAST_PARTS, MOST_PARTS = 20_000, 1_024, 16_384
-SLICES = 64
+#: Rows that a logical partition, and a slice of a shard, has on average; the bounds of the
+#: partitions' number (powers of two), and the least number of slices of a shard.
+PART_ROWS, LEAST_PARTS, MOST_PARTS, LEAST_SLICES = 20_000, 1_024, 16_384, 64
 
 
 def hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
@@ -63,7 +63,10 @@ def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40,
     both ways: shard sizes differ by one at most. Each partition permutes its rows (order
     of a second hash) and cuts them by these counts; the rows are exchanged, and each
     shard permutes again (order of a third hash). A shard is permuted by slices, so that
-    more tasks than shards share the work; partitions grow in number with the table.
+    more tasks than shards share the work; partitions and slices grow in number with the
+    table. Whole rows are exchanged twice: once to the logical partitions, which are by id
+    and not by file so that the result doesn't depend on how files are split, and once to
+    their shards.
 
     A shard depends on ids, their number and the seed alone, not on how files are split,
     so that reruns and retried tasks agree. Rows with equal ids, null ones included, are
@@ -71,12 +74,16 @@ def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40,
     Existing columns named shard or slot are replaced. An empty table gives no rows.
     """
     df = df.select(*[c for c in df.columns if c.lower() not in ("shard", "slot")])
-    rows = df.select(id_col).count()
-    n = min(MOST_PARTS, max(LEAST_PARTS, rows // PART_ROWS))
     part, rank, one, piece, tie, which, until = (free_name(df, x) for x in ("_part", "_rank", "_one", "_piece", "_tie", "_p", "_ends"))
-    keyed = df.withColumn(part, F.pmod(hash_of(seed, id_col), F.lit(n)).cast("int"))
-    counts = dict(keyed.groupBy(part).count().collect())  # a row for each logical partition: MOST_PARTS at most
-    sizes = [counts.get(p, 0) for p in range(n)]
+    numbered = lambda k: F.pmod(hash_of(seed, id_col), F.lit(k)).cast("int")
+    counts = dict(df.groupBy(numbered(MOST_PARTS).alias(part)).count().collect())  # MOST_PARTS rows at most
+    rows = sum(counts.values())
+    n = MOST_PARTS
+    while n > LEAST_PARTS and rows < n * PART_ROWS:
+        n //= 2
+    sizes = [sum(counts.get(p, 0) for p in range(first, MOST_PARTS, n)) for first in range(n)]
+    slices = max(LEAST_SLICES, rows // (shards * PART_ROWS))
+    keyed = df.withColumn(part, numbered(n))
     matrix = communication_matrix(sizes, [rows // shards + (s < rows % shards) for s in range(shards)], seed)
     ends = df.sparkSession.createDataFrame(
         [(p, [int(x) for x in matrix[p].cumsum()]) for p in range(n)],
@@ -90,7 +97,7 @@ def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40,
         .join(F.broadcast(ends), F.col(part) == F.col(which))  # MOST_PARTS x shards numbers at most
         .withColumn("shard", F.size(F.filter(until, lambda e: e <= F.col(rank))))
         .drop(which, until, part, rank)
-        .withColumn(piece, F.pmod(hash_of(seed + 3, id_col), F.lit(SLICES)).cast("int"))
+        .withColumn(piece, F.pmod(hash_of(seed + 3, id_col), F.lit(slices)).cast("int"))
         .withColumn(one, F.lit(1).cast("long"))
         .withColumn(tie, hash_of(seed + 4, id_col))
     )
