@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import map_batches
-from .common import stored
+from .common import discard, free_name, stored
 
 WIDTH = 64
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
@@ -172,15 +172,23 @@ def interleave(pages: DataFrame, id_col: str = "page_id", html_col: str = "html"
 def resolve(items: DataFrame, store: DataFrame, digest_col: str = "digest") -> DataFrame:
     """The items with the columns of ``store`` that their digests name; null where none does.
 
-    ``store`` has one row for each digest. Items that refer to one very common payload
-    are split by the engine's skew join: they are the streamed side.
+    ``store`` has one row for each digest (of several all would be given). Items that refer to
+    one very common payload are split by the engine's skew join: they are the streamed side.
+    A column of the store that the items have already is left out; items without a digest
+    and items that an empty store has nothing for stay, with nulls.
     """
-    key = store.withColumnRenamed(digest_col, "_digest")
-    return items.join(key, items[digest_col] == F.col("_digest"), "left").drop("_digest")
+    own = free_name(items, free_name(store, "_digest"))
+    taken = {c.lower() for c in items.columns}
+    key = store.select(F.col(digest_col).alias(own), *[c for c in store.columns if c.lower() not in taken])
+    return items.join(key, items[digest_col] == F.col(own), "left").drop(own)
 
 
 def sequences(items: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, items): a page's items as one array in the order of their positions."""
+    """(id, items): a page's items as one array in the order of their positions.
+
+    A page's items are one row, so they meet in one task, as its text did. Rows with equal
+    ids are one page here. Null ids are one page; an empty table gives no rows.
+    """
     fields = [c for c in items.columns if c not in (id_col, "position")]
     return items.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("position", *fields))).alias("items"))
 
@@ -295,12 +303,21 @@ def media_features(store: DataFrame) -> DataFrame:
     return read.groupBy("digest").agg(*[F.min(c).alias(c) for c in read.columns if c != "digest"])
 
 
+def media_store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The features of all payloads of the texts, a row for each digest, written."""
+    table = stored(pages_of_texts(df, id_col, text_col), "media")
+    features = stored(media_features(table), "features")
+    discard(table)
+    return features
+
+
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Store all texts as media, read them back and resolve each page's reference.
 
     The media are written to the shared folder and read from there. A row for each input
     row: (id, n_bytes, position, caption, src, features...); rows with equal ids are rows
-    of their own.
+    of their own. Null texts are empty, other columns are ignored, and an empty table gives
+    no rows.
     """
     table = stored(pages_of_texts(df, id_col, text_col), "media")
     items = interleave(table.select(id_col, "html"), id_col, "html").filter(F.col("digest").isNotNull())
