@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .exact import content_sort_dedup
 from .langid import held_out, identify, train
 from .linededup import line_dedup
-from .media import text_media
+from .media import interleave, media_store, resolve, sequences, text_media
 from .minhash import near_duplicates
 from .mixing import curriculum_mix
 from .packing import pack_documents
@@ -84,9 +84,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum_mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
     # a result row for each document, range-sorted by its first position; those not taken come last
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("first_position")).orderBy(
-        F.col("first_position").asc_nulls_last(), "doc_id"
-    ).select("doc_id", "size", "source_size", "target", "taken")
+    out = mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("positions").alias("times"),
+        F.get("positions", F.lit(0)).alias("first_position"), F.try_element_at("positions", F.lit(-1)).alias("last_position"),
+    )
+    return out.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")
 
 
 OP6_SQL = r"""
@@ -108,26 +110,119 @@ WITH d AS (
 ), m AS (
   SELECT *, (SELECT arg_min(level, (source_size / weight, rank)) FROM l WHERE NOT level * weight > source_size * 3) AS final FROM l
 ), t AS (
-  SELECT source, source_size, least(final * weight, CAST(source_size * 3 AS DOUBLE)) AS target FROM m
+  SELECT source, rank, source_size, least(final * weight, CAST(source_size * 3 AS DOUBLE)) AS target FROM m
 ), p AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS want,
+  SELECT d.doc_id, d.source, d.size, d.h, t.rank, t.source_size, t.target, CAST(floor(t.target) AS BIGINT) AS want,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), q AS (
   SELECT *, CASE WHEN source_size > 0 THEN want // source_size ELSE 0 END AS passes FROM p
+), k AS (
+  SELECT *, want - passes * source_size AS rest, 2 * before + size <= 2 * (want - passes * source_size) AS in_last FROM q
+), y AS (
+  SELECT source, first(rest) - coalesce(sum(size) FILTER (in_last), 0)::BIGINT AS miss FROM k GROUP BY source
+), u AS (
+  SELECT k.source, abs(miss - CASE WHEN in_last THEN -size ELSE size END) AS after, h, size, doc_id, miss
+  FROM k JOIN y ON k.source IS NOT DISTINCT FROM y.source WHERE size > 0
+), v AS (
+  SELECT arg_min(doc_id, (after, h, size)) AS doc_id FROM u WHERE after < abs(miss) GROUP BY source
+), x AS (
+  SELECT k.*, CASE WHEN size = 0 THEN 0 ELSE passes + CAST(in_last <> (v.doc_id IS NOT NULL) AS INT) END::INT AS times FROM k LEFT JOIN v ON k.doc_id = v.doc_id
+), a AS (
+  SELECT *, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][(rank % 3 + 1)::INT] AS r,
+         least(greatest((before + size / 2) / greatest(want, 1), 0.0::DOUBLE), 1.0::DOUBLE) AS s0,
+         least(greatest(((times - 1) * source_size + before + size / 2) / greatest(want, 1), 0.0::DOUBLE), 1.0::DOUBLE) AS s1 FROM x
 )
-SELECT doc_id, size, source_size, target,
-       (CASE WHEN size = 0 THEN 0
-             ELSE size * (passes + CASE WHEN 2 * before + size <= 2 * (want - passes * source_size) THEN 1 ELSE 0 END) END)::BIGINT AS taken
-FROM q
+SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, times,
+       CASE WHEN times > 0 THEN CASE WHEN r = 0 THEN s0 ELSE (sqrt((1 - r) * (1 - r) + 4 * r * s0) - (1 - r)) / (2 * r) END END AS first_position,
+       CASE WHEN times > 0 THEN CASE WHEN r = 0 THEN s1 ELSE (sqrt((1 - r) * (1 - r) + 4 * r * s1) - (1 - r)) / (2 * r) END END AS last_position
+FROM a
 """
 
+
 def op3_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_media(documents(spark, sf_dir)).select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption"
     )
 
 
+def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as sequences of text and media, in order; what a head says is no content.
+
+    Media would be resolved in the store of the documents' payloads; pages of the tables have none.
+    """
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = sequences(resolve(interleave(pages), media_store(documents(spark, sf_dir)).select("digest", "media_bytes")))
+    text = F.filter(F.transform("items", lambda i: i["text"]), lambda t: t.isNotNull())
+    return found.select(
+        "page_id", F.size("items").alias("n_items"), F.size(text).alias("n_texts"), F.sha2(F.array_join(text, "\n").cast("binary"), 256).alias("text_sha256"),
+        F.array_max(F.transform("items", lambda i: i["position"])).alias("last_position"), F.size(F.filter("items", lambda i: i["media_bytes"].isNotNull())).alias("n_resolved"),
+    )
+
+
+def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the law of op2 fixes: rows, slots and the whole content of all shards together."""
+    placed = op2_hypergeometric_shards(spark, sf_dir)
+    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.countDistinct("slot").alias("n_slots"))
+
+
+SHARD_ROWS_SQL = """
+SELECT s::INT AS shard, r // 40 + (s < r % 40)::BIGINT AS n, 0::BIGINT AS first_slot, r // 40 + (s < r % 40)::BIGINT - 1 AS last_slot, r // 40 + (s < r % 40)::BIGINT AS n_slots
+FROM (SELECT count(*) AS r FROM documents), (SELECT unnest(range(40)) AS s) WHERE r // 40 + (s < r % 40)::BIGINT > 0
+"""
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the size that op2 gives it, and that it stands in one shard and slot."""
+    placed = op2_hypergeometric_shards(spark, sf_dir)
+    return placed.groupBy("doc_id").agg(F.min("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("law").alias("law"))
+
+
+SHARD_SIZES_SQL = "SELECT doc_id, max(coalesce(strlen(text), 0) + 16)::BIGINT AS size, count(*) AS n, 'rows' AS law FROM documents GROUP BY doc_id"
+
+
+def media_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express: sizes and the digest of the padded payload."""
+    return op3_interleaved_media(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "position", "caption")
+
+
+MEDIA_PAYLOADS_SQL = """
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS data FROM documents), n AS (SELECT doc_id, data, octet_length(data) AS n FROM t),
+ p AS (SELECT *, greatest(64, ((n + 63) // 64) * 64) AS whole FROM n)
+SELECT doc_id, n::BIGINT AS n_bytes, whole::BIGINT AS payload_bytes, sha256(data || CAST(repeat('\\x00', (whole - n)::INT) AS BLOB)) AS payload_sha256, 1::INT AS position, n || ' bytes' AS caption FROM p
+"""
+
+
+def base_pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of op7's base kinds."""
+    return op7_pii_spans(spark, sf_dir).select("doc_id", *[f"n_{k}" for k in BASE_KINDS])
+
+
+BASE_PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (
+  SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+    len(list_filter(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_max(list_transform(string_split(x, '.'), lambda y: y::HUGEINT)) <= 255)) AS n_ip,
+    list_filter(list_transform(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')), lambda x: len(x) BETWEEN 14 AND 19) AS cards,
+    len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda x: len(regexp_replace(x, '[^0-9]', '', 'g')) BETWEEN 10 AND 15)) AS n_phone FROM d)
+SELECT doc_id, n_email::BIGINT AS n_email, n_ip::BIGINT AS n_ip, n_phone::BIGINT AS n_phone,
+  len(list_filter(cards, lambda x: list_sum(list_transform(range(len(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[-1 - i]::INT WHEN x[-1 - i]::INT > 4 THEN 2 * x[-1 - i]::INT - 9 ELSE 2 * x[-1 - i]::INT END)) % 10 = 0))::BIGINT AS n_card FROM m
+"""
+
+
+def held_out_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9 holds out, and which documents have no language by rule."""
+    found = op9_kneser_ney(spark, sf_dir)
+    return found.select("doc_id", "held_out", (F.col("lang_pred") == "und").alias("without_letters"))
+
+
+HELD_OUT_SQL = r"""
+WITH RECURSIVE b AS (SELECT doc_id, encode(CAST(doc_id AS VARCHAR)) AS d, regexp_matches(coalesce(text, ''), '\p{L}') AS letters FROM documents),
+c AS (SELECT doc_id, letters, d, 4294967295::BIGINT AS crc, 0 AS i, octet_length(d) AS n FROM b
+  UNION ALL SELECT doc_id, letters, d, list_reduce(list_prepend(xor(crc, ('0x' || hex(array_slice(d, i + 1, i + 1)))::BIGINT), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), i + 1, n FROM c WHERE i < n)
+SELECT doc_id, xor(crc, 4294967295) % 3 = 1 AS held_out, NOT letters AS without_letters FROM c WHERE i = n
+"""
+
+
 def spelled(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -140,7 +235,11 @@ def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect_pii(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     counts = [F.size(F.filter("spans", of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"), spelled(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",")
+    return found.select(
+        "doc_id", *counts, F.size("spans").cast("long").alias("n_spans"), F.sha2(spelled(base).cast("binary"), 256).alias("base_sha256"),
+        spelled(F.col("spans")).alias("spans"), scores.alias("scores"),
+    )
 
 
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +257,31 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def kept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op4 leaves of each text as words, and how many go."""
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"), lambda w: w != "")
+    return op4_winnowed_lines(spark, sf_dir).select("doc_id", "removed_words", F.sha2(F.array_join(words, " ").cast("binary"), 256).alias("words_sha256"))
+
+
+KEPT_WORDS_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x{9}-\x{D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'), lambda x: x <> '') AS ws FROM documents
+), g AS (
+  SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50
+), h AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM g
+), f AS (
+  SELECT h, min((doc_id, i)) AS lead FROM h GROUP BY h HAVING count(*) > 1
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM h JOIN f USING (h) WHERE (doc_id, i) <> lead
+), n AS (
+  SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id
+)
+SELECT doc_id, coalesce(len(gone), 0)::BIGINT AS removed_words,
+  sha256(coalesce(array_to_string(list_filter(ws, lambda x, k: gone IS NULL OR NOT list_contains(gone, k)), ' '), '')) AS words_sha256
+FROM w LEFT JOIN n USING (doc_id)
+"""
+
 QUERIES = {
     "op1_multi_index_minhash": op1_multi_index_minhash,
     "op3_interleaved_media": op3_interleaved_media,
@@ -169,9 +293,22 @@ QUERIES = {
     "op4_winnowed_lines": op4_winnowed_lines,
     "op5_content_sort": op5_content_sort,
     "op6_curriculum_mix": op6_curriculum_mix,
+    "interleaved_pages": interleaved_pages,
+    "kept_words": kept_words,
+    "shard_rows": shard_rows,
+    "shard_sizes": shard_sizes,
+    "media_payloads": media_payloads,
+    "base_pii_counts": base_pii_counts,
+    "held_out_documents": held_out_documents,
 }
 SQL = {
     "op1_multi_index_minhash": OP1_SQL,
     "op5_content_sort": OP5_SQL,
     "op6_curriculum_mix": OP6_SQL,
+    "kept_words": KEPT_WORDS_SQL,
+    "shard_rows": SHARD_ROWS_SQL,
+    "shard_sizes": SHARD_SIZES_SQL,
+    "media_payloads": MEDIA_PAYLOADS_SQL,
+    "base_pii_counts": BASE_PII_SQL,
+    "held_out_documents": HELD_OUT_SQL,
 }
