@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: language ID, line dedup, near-dedup, mixing, packing."""
+"""A training corpus from ``documents``: language ID, line dedup, near-dedup, mixing, packing.
+
+Every stage takes an empty table and gives none or no rows; null texts and texts without
+letters go in the first. Rows with equal ids are documents of their own but for near-dedup.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from placebook.llm.langid import held_out, identify, train
 from placebook.llm.linededup import line_dedup
 from placebook.llm.minhash import near_duplicates
 from placebook.llm.mixing import curriculum_mix, in_training_order
-from placebook.llm.packing import pack_documents
+from placebook.llm.packing import pack_in_order
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,13 +39,17 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, in the order of training positions."""
-    return in_training_order(curriculum_mix(docs)).select(*docs.columns)
+    """A row for each time that the mix takes a document, range-sorted by training position.
+
+    Besides the columns of documents each row has its ``position`` in 0..1 and the number
+    of the ``copy``, from 0, which packing goes by.
+    """
+    return in_training_order(curriculum_mix(docs)).select(*docs.columns, "position", "copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and their places in sequences of 2048 tokens."""
-    return pack_documents(docs)
+    """The pieces of the documents with their token ids and places in sequences of 2048 tokens, which follow the training order."""
+    return pack_in_order(docs, "position", ("copy",))
 
 
 STAGES = [
