@@ -9,10 +9,10 @@ from . import fixed
 from .text import _col, any_of, clean_text, code_point_sum, contains_any, squeeze, unescape
 
 # Endings of organisational units, titles of persons, names of sheets that are no department.
-UNIT_ENDINGS = "과 담당관 관 센터 사업소 소방서 위원회 읍 면 동 실 국 단 본부 처 대변인 팀 소 원 부 서 비서실".split()
-GENERAL_NAMES = "서식 시책 부서 내역 공개 기관".split()
-EXPENSE_WORDS = "업무추진비 시책추진 기관운영 부서운영 공개서식 공개자료 집행내역 사용내역 집행현황 사용현황 행정서식 도약기반구축 업무추진 시책설명 상생협력 청사방호".split()
-PERSON_TITLES = "시장 부시장 도지사 부지사 국장 과장 팀장 주무관 실장 본부장 단장 소장 의장 부의장 위원장".split()
+UNIT_ENDINGS = ["과", "담당관", "관", "센터", "사업소", "소방서", "위원회", "읍", "면", "동", "실", "국", "단", "본부", "처", "대변인", "팀", "소", "원", "부", "서", "비서실"]
+GENERAL_NAMES = ["서식", "시책", "부서", "내역", "공개", "기관"]
+EXPENSE_WORDS = ["업무추진비", "시책추진", "기관운영", "부서운영", "공개서식", "공개자료", "집행내역", "사용내역", "집행현황", "사용현황", "행정서식", "도약기반구축", "업무추진", "시책설명", "상생협력", "청사방호"]
+PERSON_TITLES = ["시장", "부시장", "도지사", "부지사", "국장", "과장", "팀장", "주무관", "실장", "본부장", "단장", "소장", "의장", "부의장", "위원장"]
 UNIT_OF_ROLE = {
     "과장": "과", "국장": "국", "실장": "실", "본부장": "본부", "단장": "단", "처장": "처", "부장": "부", "팀장": "팀",
     "소장": "소", "서장": "서", "원장": "원", "센터장": "센터", "위원장": "위원회",

@@ -36,16 +36,22 @@ ALIASES = {spelling: region for region, spellings in REGION_SPELLINGS.items() fo
 INTEGRATED = ["전남광주통합특별시", "전남광주시", "전남광주"]
 GWANGJU_DISTRICTS = ["동구", "서구", "남구", "북구", "광산구"]
 # Districts of Seoul.
-SEOUL_DISTRICTS = (
-    "종로구 중구 용산구 성동구 광진구 동대문구 중랑구 성북구 강북구 도봉구 노원구 은평구 서대문구 마포구 양천구 강서구 구로구 금천구 영등포구 동작구 관악구 서초구 강남구 송파구 강동구"
-).split()
+SEOUL_DISTRICTS = [
+    "종로구", "중구", "용산구", "성동구", "광진구", "동대문구", "중랑구", "성북구", "강북구", "도봉구", "노원구", "은평구", "서대문구", "마포구", "양천구", "강서구", "구로구", "금천구", "영등포구", "동작구",
+    "관악구", "서초구", "강남구", "송파구", "강동구",
+]
 
 # Words of purposes that are meals, and of those that are not (first rule set).
-MEAL_WORDS = "간담회 식사 오찬 만찬 석식 중식 조찬 회식 급식 회의 격려 접대 초청".split()
-NOT_MEAL_WORDS = "구입 구매 물품 상품권 선물 기념품 화환 조화 경조 부의 축의 배송 커피 원두 도시락 케이크 떡 간식 음료 생수 다과 비품 용품".split()
-# What the second rule set adds.
-MEAL_WORDS_2 = [*MEAL_WORDS, *"협의 업무협의 간담".split()]
-NOT_MEAL_WORDS_2 = [*NOT_MEAL_WORDS, *"수수료 유류 주유 차량 수리 인쇄 복사 도서 우편 택배".split()]
+MEAL_WORDS = ["간담회", "식사", "오찬", "만찬", "석식", "중식", "조찬", "회식", "급식", "회의", "격려", "접대", "초청"]
+NOT_MEAL_WORDS = [
+    "구입", "구매", "물품", "상품권", "선물", "기념품", "화환", "조화", "경조", "부의", "축의", "배송", "커피", "원두", "도시락", "케이크", "떡", "간식", "음료", "생수", "다과", "비품", "용품",
+]
+# The second rule set, whole.
+MEAL_WORDS_2 = ["간담회", "식사", "오찬", "만찬", "석식", "중식", "조찬", "회식", "급식", "회의", "격려", "접대", "초청", "협의", "업무협의", "간담"]
+NOT_MEAL_WORDS_2 = [
+    "구입", "구매", "물품", "상품권", "선물", "기념품", "화환", "조화", "경조", "부의", "축의", "배송", "커피", "원두", "도시락", "케이크", "떡", "간식", "음료", "생수", "다과", "비품", "용품",
+    "수수료", "유류", "주유", "차량", "수리", "인쇄", "복사", "도서", "우편", "택배",
+]
 # Names that contain one of these are no restaurants.
 NOT_RESTAURANT_WORDS = [
     "마트", "쿠팡", "편의점", "cu ", "gs25", "세븐일레븐", "이마트", "홈플러스", "롯데마트", "백화점", "온라인", "배달", "문구", "꽃", "화원",
@@ -58,27 +64,37 @@ NOT_RESTAURANT_WORDS = [
     "서울시청", "서울특별시청", "센터", "협회", "재단", "학교", "대학", "티켓", "예매", "공연", "극장", "영화", "cgv", "메가박스",
 ]
 # Third rule set (places, purposes that are none, purposes that are, places that tell a meal).
-PLACES_OUT_3 = (
-    "마트 슈퍼 편의점 이마트 홈플러스 롯데마트 하나로마트 코스트코 트레이더스 백화점 아울렛 다이소 쿠팡 네이버페이 인터파크 11번가 지마켓 옥션 위메프 티몬 문구 알파문구 "
-    "모닝글로리 사무용품 드림디포 오피스디포 인쇄 복사 제본 화방 화원 꽃집 플라워 화훼 농원 조경 베이커리 제과 빵집 파리바게뜨 뚜레쥬르 던킨 크리스피 카페 커피 스타벅스 "
-    "투썸플레이스 이디야 메가커피 빽다방 컴포즈 엔제리너스 할리스 폴바셋 약국 병원 의원 치과 한의원 은행 농협 수협 신협 새마을금고 우체국 주유소 충전소 정비 카센터 주차장 "
-    "㈜ 주식회사 (주) (유) 사단법인 재단법인 협회 학회 공단 공사"
-).split()
-PURPOSES_OUT_3 = (
-    "구입 구매 물품 상품권 온누리상품권 선물 기념품 화환 조화 꽃 축하 조의 경조 배송 택배 우편 원두 케이크 떡 다과 음료 간식 비품 용품 사무용품 도서 인쇄 구독 수수료 주차 주유 차량"
-).split()
-PURPOSES_IN_3 = (
-    "식사 오찬 만찬 석식 중식 조찬 회식 급식 간담회 회의 접대 초청 면담 격려 노고 위로 토론 평가회 보고회 워크숍 워크샵 세미나 당직 비상근무"
-).split()
-PLACES_IN_3 = "식당 가든 한우 갈비 횟집 반점 순대 밥상 냉면 찌개 구이 삼계탕 면옥 보쌈 육회 국밥 장어 분식".split()
+PLACES_OUT_3 = [
+    "마트", "슈퍼", "편의점", "이마트", "홈플러스", "롯데마트", "하나로마트", "코스트코", "트레이더스", "백화점", "아울렛", "다이소", "쿠팡", "네이버페이", "인터파크", "11번가", "지마켓", "옥션", "위메프", "티몬",
+    "문구", "알파문구", "모닝글로리", "사무용품", "드림디포", "오피스디포", "인쇄", "복사", "제본", "화방", "화원", "꽃집", "플라워", "화훼", "농원", "조경", "베이커리", "제과", "빵집", "파리바게뜨", "뚜레쥬르",
+    "던킨", "크리스피", "카페", "커피", "스타벅스", "투썸플레이스", "이디야", "메가커피", "빽다방", "컴포즈", "엔제리너스", "할리스", "폴바셋", "약국", "병원", "의원", "치과", "한의원", "은행", "농협", "수협",
+    "신협", "새마을금고", "우체국", "주유소", "충전소", "정비", "카센터", "주차장", "㈜", "주식회사", "(주)", "(유)", "사단법인", "재단법인", "협회", "학회", "공단", "공사",
+]
+PURPOSES_OUT_3 = [
+    "구입", "구매", "물품", "상품권", "온누리상품권", "선물", "기념품", "화환", "조화", "꽃", "축하", "조의", "경조", "배송", "택배", "우편", "원두", "케이크", "떡", "다과", "음료", "간식", "비품",
+    "용품", "사무용품", "도서", "인쇄", "구독", "수수료", "주차", "주유", "차량",
+]
+PURPOSES_IN_3 = [
+    "식사", "오찬", "만찬", "석식", "중식", "조찬", "회식", "급식", "간담회", "회의", "접대", "초청", "면담", "격려", "노고", "위로", "토론", "평가회", "보고회", "워크숍", "워크샵", "세미나", "당직",
+    "비상근무",
+]
+PLACES_IN_3 = ["식당", "가든", "한우", "갈비", "횟집", "반점", "순대", "밥상", "냉면", "찌개", "구이", "삼계탕", "면옥", "보쌈", "육회", "국밥", "장어", "분식"]
 # Fourth rule set.
 PLACES_NONE_4 = ["-", "집무실", "소장", "관내", "상황실", "회의실"]
-PLACES_OUT_4 = "스타벅스 투썸플레이스 이디야 메가커피 컴포즈 카페 커피 베이커리 제과 떡집 호두과자 이마트 홈플러스 롯데마트 하나로마트 트레이더스 마트 기프트 화원 농원 꽃집 문구 오피스".split()
-MEALS_4 = "오찬 만찬 식사".split()
-PURPOSES_OUT_4 = "축의금 조의금 부의금 경조사비 축하금 격려금 화환 꽃다발 기념품 선물 축하물품 축의물품 다과 간식 차담 음료 커피 생수 사무용품 문구 비품 도서 수수료 임차".split()
-PURPOSES_IN_4 = "간담회 오찬 만찬 식사 협의회 회의 격려 노고".split()
-PLACES_IN_4 = "식당 복국 횟집 곰탕 갈비 한우 밥상 쌈밥 깍두기 도시락 정식 요리 삼계탕 설렁탕 국수 돼지 구이 반점 식육 추어탕 해물 찌개".split()
-TALKS_4 = "간담 회의 논의 협의".split()
+PLACES_OUT_4 = [
+    "스타벅스", "투썸플레이스", "이디야", "메가커피", "컴포즈", "카페", "커피", "베이커리", "제과", "떡집", "호두과자", "이마트", "홈플러스", "롯데마트", "하나로마트", "트레이더스", "마트", "기프트", "화원", "농원",
+    "꽃집", "문구", "오피스",
+]
+MEALS_4 = ["오찬", "만찬", "식사"]
+PURPOSES_OUT_4 = [
+    "축의금", "조의금", "부의금", "경조사비", "축하금", "격려금", "화환", "꽃다발", "기념품", "선물", "축하물품", "축의물품", "다과", "간식", "차담", "음료", "커피", "생수", "사무용품", "문구", "비품",
+    "도서", "수수료", "임차",
+]
+PURPOSES_IN_4 = ["간담회", "오찬", "만찬", "식사", "협의회", "회의", "격려", "노고"]
+PLACES_IN_4 = [
+    "식당", "복국", "횟집", "곰탕", "갈비", "한우", "밥상", "쌈밥", "깍두기", "도시락", "정식", "요리", "삼계탕", "설렁탕", "국수", "돼지", "구이", "반점", "식육", "추어탕", "해물", "찌개",
+]
+TALKS_4 = ["간담", "회의", "논의", "협의"]
 MANY_PLACES = [r"(?:외|등)\s*\d+\s*(?:개소|곳|점|건|명|인)", r"\d+\s*개소", r"(?:외|등)\s*[1-9]\b", r"\b등\s*\d+"]
 
 # Marks of companies at either end of a name.
@@ -168,12 +184,66 @@ TITLE_PATTERNS = [
 ]
 # Dishes for each situation.
 SITUATIONS = {
-    "든든한 식사": "국밥 설렁탕 갈비탕 삼계탕 샤브샤브 칼국수 냉면 비빔밥 백반 찌개 전골 덮밥 쌀국수 짜장면 자장면 마라탕 파스타".split(),
-    "간단하게": "김밥 떡볶이 토스트 샌드위치 샐러드 라면 우동 분식".split(),
-    "패스트푸드": "햄버거 버거 피자 치킨 핫도그".split(),
-    "디저트·카페": "커피 카페 디저트 케이크 아이스크림 빙수 빵 베이커리 와플 도넛".split(),
-    "회식·모임": "곱창 보쌈 족발 샤브샤브 삼겹살 갈비 고기 전골 회 치킨 피자".split(),
-    "야식": "치킨 피자 떡볶이 곱창 보쌈 족발 닭발 라면".split(),
+    "든든한 식사": ["국밥", "설렁탕", "갈비탕", "삼계탕", "샤브샤브", "칼국수", "냉면", "비빔밥", "백반", "찌개", "전골", "덮밥", "쌀국수", "짜장면", "자장면", "마라탕", "파스타"],
+    "간단하게": ["김밥", "떡볶이", "토스트", "샌드위치", "샐러드", "라면", "우동", "분식"],
+    "패스트푸드": ["햄버거", "버거", "피자", "치킨", "핫도그"],
+    "디저트·카페": ["커피", "카페", "디저트", "케이크", "아이스크림", "빙수", "빵", "베이커리", "와플", "도넛"],
+    "회식·모임": ["곱창", "보쌈", "족발", "샤브샤브", "삼겹살", "갈비", "고기", "전골", "회", "치킨", "피자"],
+    "야식": ["치킨", "피자", "떡볶이", "곱창", "보쌈", "족발", "닭발", "라면"],
 }
 # Region names that are not counted as used.
 NOT_REGIONS = ["현재 위치", "지정 지역"]
+
+# Words of header cells by what they stand for, in the order in which a cell is read, and what a column of each is worth.
+HEADER_WORDS = {
+    "date": ["일자", "일시", "날짜", "집행일", "사용일", "일자(일시)", "사용일자", "집행일자", "집행일시", "사용일시"],
+    "purpose": ["집행목적", "사용목적", "목적", "집행내역", "사용내역", "내역", "적요", "내용", "사용목적(내역)"],
+    "amount": ["집행금액", "사용금액", "금액", "지출액", "지출금액", "집행액", "사용액", "금액(원)", "집행액(원)", "사용금액(원)"],
+    "place": ["집행장소", "사용장소", "장소", "상호", "가맹점", "사용처", "업소명", "거래처명", "거래처", "가맹점명", "식당명", "사용장소(가맹점명)"],
+    "address": ["소재지", "주소", "가맹점주소", "사업장주소", "식당주소", "소재지(주소)"],
+    "department": ["부서명", "담당부서", "소속부서", "부서", "집행부서", "사용부서", "기관명", "부서(기관명)", "기관(부서)명"],
+}
+HEADER_WORTH = {"date": 2, "purpose": 2, "amount": 2, "place": 3, "address": 2, "department": 1}
+HEADER_ROWS = 15
+# Labels of a unit above a table, in the order in which they are tried, and how a unit's name ends there.
+UNIT_LABELS = ["부서(기관명)", "기관(부서)명", "소속부서", "담당부서", "작성부서", "부서명", "집행부서", "기관명", "부서"]
+UNIT_NAME = r"([A-Za-z0-9가-힣]+(?:과|과장|담당관|관|센터|사업소|소방서|위원회|읍|면|동|실|실장|국|국장|단|단장|본부|본부장|처|처장|대변인))"
+UNIT_AFTER_LABEL = r"\s*[:：\-]\s*([A-Za-z0-9가-힣\s\(\)]+)"
+# The first bytes of files that are locked or are web pages instead of documents.
+LOCKED_MARKS = ["DRMONE", "Fasoo DRM"]
+PAGE_MARKS = ["<html", "<head", "<script"]
+# The region of each city and district, in the order in which they are looked for; districts of several regions, and those.
+DISTRICTS = {
+    "경기": [
+        "수원시", "장안구", "권선구", "팔달구", "영통구", "성남시", "수정구", "중원구", "분당구", "의정부시", "안양시", "만안구", "동안구", "부천시", "원미구", "소사구", "오정구",
+        "광명시", "평택시", "동두천시", "안산시", "상록구", "단원구", "고양시", "덕양구", "일산동구", "일산서구", "과천시", "구리시", "남양주시", "오산시", "시흥시", "군포시",
+        "의왕시", "하남시", "용인시", "처인구", "기흥구", "수지구", "파주시", "이천시", "안성시", "김포시", "화성시", "광주시", "양주시", "포천시", "여주시", "연천군", "가평군", "양평군",
+    ],
+    "인천": ["미추홀구", "연수구", "남동구", "부평구", "계양구", "강화군", "옹진군"],
+    "대전": ["유성구", "대덕구"],
+    "충북": ["청주시", "상당구", "서원구", "흥덕구", "청원구", "충주시", "제천시", "보은군", "옥천군", "영동군", "증평군", "진천군", "괴산군", "음성군", "단양군"],
+    "충남": [
+        "천안시", "동남구", "서북구", "공주시", "보령시", "아산시", "서산시", "논산시", "계룡시", "당진시", "금산군", "부여군", "서천군", "청양군", "홍성군", "예산군", "태안군",
+    ],
+    "서울": [
+        "종로구", "용산구", "성동구", "광진구", "동대문구", "중랑구", "성북구", "강북구", "도봉구", "노원구", "은평구", "서대문구", "마포구", "양천구", "강서구", "구로구", "금천구",
+        "영등포구", "동작구", "관악구", "서초구", "강남구", "송파구", "강동구",
+    ],
+}
+SHARED_DISTRICTS = {"중구": ["인천", "대전", "서울"], "서구": ["인천", "대전"], "동구": ["대전"]}
+# How the provinces of one rule set are written, in the order in which they are looked for.
+PROVINCES = {
+    "경기": "경기도", "경기도": "경기도", "인천": "인천광역시", "인천광역시": "인천광역시", "대전": "대전광역시", "대전광역시": "대전광역시",
+    "세종": "세종특별자치시", "세종특별자치시": "세종특별자치시", "세종시": "세종특별자치시", "충북": "충청북도", "충청북도": "충청북도", "충남": "충청남도", "충청남도": "충청남도",
+    "서울": "서울특별시", "서울특별시": "서울특별시",
+}
+PROVINCE_TWICE = r"^(경기도|인천광역시|대전광역시|충청북도|충청남도)(?:\s+\1)+"
+SEJONG_REPEATED = r"^(?:세종특별자치시|세종시)(?:\s+(?:세종특별자치시|세종시))+"
+NUMBERED = r"([가-힣\d]+(?:로|길|동|리|가))(?:\s+\d+번?길)?\s+(\d+(?:-\d+)?)"
+# Categories of businesses that are no restaurants, of which the name of a category may contain one.
+CATEGORIES_OUT = [
+    "카페", "커피", "음료", "차담", "전통차", "다방", "주스", "제과", "베이커리", "빵", "떡", "도넛", "아이스크림", "디저트",
+    "마트", "슈퍼", "식료품", "유통", "편의점",
+]
+# A branch at the end of a name.
+BRANCH = r"^(.*?)\s*[\(\[\-]?\s*([가-힣a-zA-Z0-9]+(?:점|호점))\s*[\)\]]?$"
