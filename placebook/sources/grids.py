@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.classify import canonical_department, sum_row, title_department, valid_department
+from ..functions.text import contains_any
 from ..session import ship
 
 #: Rows that a sheet is read up to, and how many blank ones end it.
@@ -20,12 +23,21 @@ MOST_ROWS, BLANK_ROWS = 3000, 20
 GRID = "doc string, sheet string, row_no int, cells array<string>, error string"
 
 
-def kind_of(head: Column, name: Column) -> Column:
-    """The format by its first bytes: xlsx and hwpx are archives that their names tell apart."""
-    magic = F.upper(F.hex(F.substring(head, 1, 8)))
-    text = F.lower(F.decode(F.substring(head, 1, 512), "ISO-8859-1"))
+def kind_of(content: Column, name: Column) -> Column:
+    """The format by its first bytes, of archives by the names of their members; the file's name decides between archives that tell nothing."""
+    magic = F.upper(F.hex(F.substring(content, 1, 8)))
+    text = F.lower(F.decode(F.substring(content, 1, 512), "ISO-8859-1"))
+    inside = F.when(magic.startswith("504B0304"), F.decode(content, "ISO-8859-1"))
+    archive = (
+        F.when(inside.contains("application/hwp+zip") | inside.contains("Contents/section"), "hwpx")
+        .when(inside.contains("xl/workbook") | inside.contains("xl/worksheets"), "xlsx")
+        .when(F.lower(name).endswith(".hwpx"), "hwpx")
+        .when(F.lower(name).endswith(".xlsx"), "xlsx")
+        .otherwise("zip")
+    )
     return (
-        F.when(magic.startswith("504B0304"), F.when(F.lower(name).endswith(".hwpx"), "hwpx").when(F.lower(name).endswith(".zip"), "zip").otherwise("xlsx"))
+        F.when(is_locked(content), "locked")
+        .when(magic.startswith("504B0304"), archive)
         .when(magic.startswith("25504446"), "pdf")
         .when(magic.startswith("D0CF11E0A1B11AE1"), "ole")
         .when(text.rlike(r"<(!doctype html|html|table|\?xml[^>]*\?>\s*<workbook)"), "html")
@@ -33,9 +45,16 @@ def kind_of(head: Column, name: Column) -> Column:
     )
 
 
-def is_error_page(head: Column) -> Column:
+def is_locked(content: Column) -> Column:
+    """A document that rights management has encrypted."""
+    head = F.decode(F.substring(content, 1, 128), "ISO-8859-1")
+    return F.coalesce(contains_any(head, fixed.LOCKED_MARKS), F.lit(False))
+
+
+def is_error_page(content: Column) -> Column:
     """A web page where a file should be."""
-    return F.lower(F.decode(F.substring(head, 1, 512), "ISO-8859-1")).rlike(r"^\s*<(!doctype html|html)")
+    head = F.lower(F.trim(F.decode(F.substring(content, 1, 512), "ISO-8859-1")))
+    return F.coalesce(head.startswith("<!doctype html") | contains_any(head, fixed.PAGE_MARKS), F.lit(False))
 
 
 def _local(tag: str) -> str:
@@ -173,18 +192,20 @@ READERS = {"xlsx": xlsx_rows, "hwpx": hwpx_rows, "html": lambda data: html_rows(
 
 
 def read_grids(files: DataFrame) -> DataFrame:
-    """Rows of cells of (path, content). Unreadable and unsupported files give one row with an error, never none."""
+    """Rows of cells of (path, content). Unreadable, locked and unsupported files, pages without a table and empty ones give one row with an error, never none."""
     ship(files.sparkSession)
-    told = files.select("path", "content", kind_of(F.col("content"), F.col("path")).alias("kind"))
+    told = files.select("path", "content", kind_of(F.col("content"), F.col("path")).alias("kind"), is_error_page(F.col("content")).alias("page"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content, kind in batch.itertuples(index=False):
+            for path, content, kind, page in batch.itertuples(index=False):
                 out = []
                 try:
                     if kind not in READERS:
                         raise ValueError(f"no reader for {kind}")
                     out = [(path, s, r, c, None) for s, r, c in READERS[kind](bytes(content))]
+                    if not out:
+                        raise ValueError("a web page without a table" if page else "no rows")
                 except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as e:
                     out = [(path, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(out, columns=["doc", "sheet", "row_no", "cells", "error"])
@@ -196,36 +217,82 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
     return read_grids(spark.read.format("binaryFile").load(path).select("path", "content"))
 
 
-#: Words of header cells, what they stand for and their weight.
-HEADER_WORDS = [
-    ("일시", "date", 2), ("일자", "date", 2), ("날짜", "date", 2), ("장소", "place", 2), ("가맹점", "place", 2), ("사용처", "place", 2),
-    ("목적", "purpose", 2), ("내역", "purpose", 1), ("금액", "amount", 2), ("부서", "department", 1), ("인원", "people", 1),
-]
-HEADER_ROWS = 15
-
-
 def header_rows(grid: DataFrame) -> DataFrame:
     """(doc, sheet, header_row, fields): the row among the first that looks most like a header, and its columns.
 
-    A row scores by the words of its cells; of equal ones the first counts. ``fields`` maps
-    a meaning to the first column that has it.
+    A cell stands for the first meaning of which it contains a word, and the first such cell
+    of a row counts for the meaning's worth. Only rows with a place or an address are
+    headers; of equally good ones the first is taken. ``fields`` maps a meaning to its column.
+    """
+    near = grid.filter((F.col("row_no") <= fixed.HEADER_ROWS) & F.col("cells").isNotNull())
+    cell = F.regexp_replace(F.trim("cell"), "[ \n\r]", "")
+    meaning, worth = F.lit(None).cast("string"), F.lit(0)
+    for name, words in reversed(fixed.HEADER_WORDS.items()):
+        meaning = F.when(contains_any(cell, words), name).otherwise(meaning)
+        worth = F.when(F.col("meaning") == name, fixed.HEADER_WORTH[name]).otherwise(worth)
+    cells = near.select("doc", "sheet", "row_no", F.posexplode("cells").alias("column", "cell")).withColumn("meaning", meaning)
+    by = cells.filter("meaning is not null").groupBy("doc", "sheet", "row_no", "meaning").agg(F.min("column").alias("column")).withColumn("worth", worth)
+    rows = by.groupBy("doc", "sheet", "row_no").agg(F.sum("worth").alias("score"), F.map_from_entries(F.collect_list(F.struct("meaning", "column"))).alias("fields"))
+    rows = rows.filter(F.map_contains_key("fields", "place") | F.map_contains_key("fields", "address"))
+    best = rows.groupBy("doc", "sheet").agg(F.max_by(F.struct("row_no", "fields"), F.struct("score", -F.col("row_no"))).alias("b"))
+    return best.select("doc", "sheet", F.col("b.row_no").alias("header_row"), "b.fields")
+
+
+def _unit(c: Column) -> Column:
+    """A unit's name as it is, or the first part of the text that ends like one; null if neither is valid."""
+    part = F.regexp_extract(c, fixed.UNIT_NAME, 1)
+    return F.when(valid_department(c), c).when(valid_department(part), part)
+
+
+def sheet_departments(grid: DataFrame) -> DataFrame:
+    """(doc, sheet, department_raw, department, evidence): the unit that each sheet belongs to, if it tells one.
+
+    First the labelled cells above the table, by row and column: a label with a value in the
+    same cell, or a bare label with the value in one of the three cells after it. Then the
+    sheet's name: a unit in it, or itself. evidence: header or sheet.
     """
-    near = grid.filter((F.col("row_no") <= HEADER_ROWS) & F.col("cells").isNotNull())
-    cell = F.regexp_replace("cell", r"\s+", "")
-    meaning, weight = F.lit(None).cast("string"), F.lit(0)
-    for word, stands_for, points in reversed(HEADER_WORDS):
-        meaning = F.when(cell.contains(word), stands_for).otherwise(meaning)
-        weight = F.when(cell.contains(word), points).otherwise(weight)
-    cells = near.select("doc", "sheet", "row_no", F.posexplode("cells").alias("column", "cell")).withColumns({"meaning": meaning, "weight": weight})
-    by = cells.filter("meaning is not null").groupBy("doc", "sheet", "row_no", "meaning").agg(F.min("column").alias("column"), F.max("weight").alias("weight"))
-    rows = by.groupBy("doc", "sheet", "row_no").agg(F.sum("weight").alias("score"), F.map_from_entries(F.collect_list(F.struct("meaning", "column"))).alias("fields"))
-    best = rows.groupBy("doc", "sheet").agg(F.max_by(F.struct("row_no", "fields"), F.struct("score", -F.col("row_no"))).alias("b"), F.max("score").alias("score"))
-    return best.filter("score >= 4").select("doc", "sheet", F.col("b.row_no").alias("header_row"), "b.fields")
+    near = grid.filter((F.col("row_no") <= fixed.HEADER_ROWS) & F.col("cells").isNotNull())
+    cells = near.select("doc", "sheet", "row_no", "cells", F.posexplode("cells").alias("column", "cell"))
+    text = F.trim("cell")
+    bare = F.trim(F.regexp_replace(text, r"^[□○※\-*\s]+", ""))
+    after = [F.nullif(F.nullif(F.trim(F.get("cells", F.col("column") + i)), F.lit("")), F.lit("-")) for i in (1, 2, 3)]
+    is_label = F.regexp_replace(bare, " ?:$", "").isin(fixed.UNIT_LABELS)
+    inside, beside = [], [F.when(is_label, x) for x in after]
+    for label in fixed.UNIT_LABELS:
+        value = F.regexp_extract(text, re.escape(label) + fixed.UNIT_AFTER_LABEL, 1)
+        value = F.trim(F.regexp_replace(F.split(F.trim(value), "\n")[0], r"\s{2,}.*$", ""))
+        inside.append(F.when(text.contains(label), F.nullif(value, F.lit(""))))
+    told = cells.filter(contains_any(text, fixed.UNIT_LABELS)).select("doc", "sheet", "row_no", "column", F.posexplode(F.array(*inside, *beside)).alias("n", "value"))
+    told = told.filter("value is not null").withColumn("unit", _unit(F.col("value"))).filter("unit is not null")
+    told = told.groupBy("doc", "sheet").agg(F.min_by("unit", F.struct("row_no", "column", "n")).alias("_above"))
+    named = F.trim("sheet")
+    sheets = grid.filter("sheet is not null").select("doc", "sheet").distinct()
+    sheets = sheets.select("doc", "sheet", title_department(named).alias("_titled"), valid_department(named).alias("_valid")).join(told, ["doc", "sheet"], "left")
+    by_name = F.when(F.col("_titled").isNotNull() | F.col("_valid"), named)
+    sheets = sheets.withColumns({"department_raw": F.coalesce("_above", by_name), "evidence": F.when(F.col("_above").isNotNull(), "header").when(by_name.isNotNull(), "sheet")})
+    sheets = sheets.filter("department_raw is not null").withColumn("_canonical", canonical_department("department_raw"))
+    department = F.coalesce(F.when(F.col("evidence") == "sheet", F.col("_titled")), "_canonical")
+    return sheets.select("doc", "sheet", "department_raw", department.alias("department"), "evidence")
+
+
+LEDGER_FIELDS = ["date", "place", "purpose", "amount", "address", "department"]
 
 
 def ledger_rows(grid: DataFrame) -> DataFrame:
-    """Rows below each sheet's header with its columns by meaning; sums and blank rows go."""
-    below = grid.join(header_rows(grid), ["doc", "sheet"]).filter(F.col("row_no") > F.col("header_row"))
+    """(doc, sheet, row_no, date, place, purpose, amount, address, department, error): the rows below each sheet's header by meaning.
+
+    Sums and blank rows go. The unit is that of the row's own column; a row without one has
+    its sheet's (see sheet_departments). A sheet without a header and a file that could not
+    be read give one row with the error and nothing else.
+    """
+    heads = header_rows(grid)
+    below = grid.join(heads, ["doc", "sheet"]).filter(F.col("row_no") > F.col("header_row"))
     at = lambda m: F.nullif(F.trim(F.get("cells", F.col("fields")[m])), F.lit(""))
-    told = below.select("doc", "sheet", "row_no", *[at(m).alias(m) for m in ("date", "place", "purpose", "amount", "department")], "cells")
-    return told.filter(~F.array_join("cells", " ").rlike("합계|총계|소계") & F.coalesce("date", "place", "purpose").isNotNull()).drop("cells")
+    told = below.select("doc", "sheet", "row_no", *[at(m).alias(m) for m in LEDGER_FIELDS], "cells")
+    told = told.filter(~sum_row(F.array_join("cells", " ")) & F.coalesce("date", "place", "purpose").isNotNull()).drop("cells")
+    units = sheet_departments(grid).select("doc", "sheet", F.col("department").alias("_unit"))
+    told = told.join(units, ["doc", "sheet"], "left").withColumn("department", F.coalesce("department", "_unit")).drop("_unit").withColumn("error", F.lit(None).cast("string"))
+    headless = grid.filter("sheet is not null").select("doc", "sheet").distinct().join(heads, ["doc", "sheet"], "left_anti").withColumn("error", F.lit("no header row"))
+    unread = grid.filter("error is not null").select("doc", "sheet", "error")
+    empty = [F.lit(None).cast("int").alias("row_no"), *[F.lit(None).cast("string").alias(m) for m in LEDGER_FIELDS]]
+    return told.unionByName(headless.unionByName(unread).select("doc", "sheet", *empty, "error"))
