@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,26 +39,37 @@ def nearest_office(candidates: DataFrame, offices: DataFrame, on: list[str]) ->
     return candidates.join(near.groupBy(*keys).agg(F.min("_d").alias("office_distance"), F.min_by("office_id", F.struct("_d", "office_id")).alias("office_id")), keys, "left")
 
 
-def recovered(candidates: DataFrame, radius: float = 3000.0, exact: str = "is_exact") -> DataFrame:
-    """Each record with its outcome: a place if exactly one (name, address) is left, else up to 20 candidates.
+def last_candidates(candidates: DataFrame, order: str = "business_id") -> DataFrame:
+    """One candidate for each record, full name and address key, the last in the registry's order; ``first_seen`` is the place of the first."""
+    usable = candidates.filter(F.coalesce(F.col("address_key"), F.lit("")) != "")
+    others = [c for c in usable.columns if c not in ("record_id", "full_name", "address_key")]
+    one = usable.groupBy("record_id", "full_name", "address_key").agg(F.max_by(F.struct(*others), order).alias("_last"), F.min(order).alias("first_seen"))
+    return one.select("record_id", "full_name", "address_key", "_last.*", "first_seen")
+
+
+def recovered(records: DataFrame, candidates: DataFrame, radius: float = 3000.0, exact: str = "is_exact", fields: tuple[str, ...] = ("business_id", "full_name", "address_key")) -> DataFrame:
+    """All records with their outcome: the place if exactly one candidate is left, else up to 20 candidates, which may be none.
 
-    Candidates without an address don't count. A single exact one is taken wherever it is;
-    of several, and of prefix candidates, only those within the radius of an office count.
+    Candidates without an address key don't count, nor do those by a prefix whose record has
+    no office. A single one by the exact name is taken wherever it is. Of several, and of
+    those by a prefix, only the ones within the radius of an office count, if the record has
+    offices at all. ``method`` tells which rule took the place; it is null for pending records.
     """
-    usable = candidates.filter(F.coalesce(F.col("address_key"), F.lit("")) != "")
-    one = usable.groupBy("record_id", "full_name", "address_key").agg(F.min(F.coalesce("office_distance", F.lit(float("inf")))).alias("d"), F.bool_or(exact).alias("exact"))
-    per = one.groupBy("record_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.bool_or("exact").alias("exact"),
-        F.count_if(F.col("d") <= radius).alias("n_near"),
-        F.min(F.struct("full_name", "address_key")).alias("only"),
-        F.min(F.when(F.col("d") <= radius, F.struct("full_name", "address_key"))).alias("near"),
-        F.slice(F.array_sort(F.collect_set("address_key")), 1, MOST_CANDIDATES).alias("candidates"),
-    )
-    alone = F.col("exact") & (F.col("n") == 1)
-    place = F.when(alone, F.col("only")).when(F.col("n_near") == 1, F.col("near"))
-    method = F.when(alone, "exact-name-unique").when(F.col("n_near") == 1, F.when(F.col("exact"), "exact-name-near-institution").otherwise("prefix-name-near-institution"))
-    return per.select("record_id", method.alias("method"), place["address_key"].alias("address_key"), F.when(place.isNull(), F.col("candidates")).alias("candidates"))
+    unique = last_candidates(candidates).filter(F.col(exact) | F.col("office_distance").isNotNull())
+    per = unique.groupBy("record_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(exact).alias("_exact"), F.bool_or(F.col("office_distance").isNotNull()).alias("_offices"))
+    by_office = ((F.col("_n") > 1) | ~F.col("_exact")) & F.col("_offices")
+    left = unique.join(per, "record_id").withColumn("_by_office", by_office).filter(~F.col("_by_office") | F.coalesce(F.col("office_distance") <= radius, F.lit(False)))
+    # so many rows a record at most; one row alone means that one is left
+    order = Window.partitionBy("record_id").orderBy("first_seen", "full_name", "address_key")
+    left = left.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= MOST_CANDIDATES)
+    top = left.groupBy("record_id").agg(F.array_sort(F.collect_list(F.struct("_rank", *fields, "office_distance"))).alias("_top"), F.bool_or("_by_office").alias("_by_office"), F.bool_or("_exact").alias("_exact"))
+    out, alone = records.join(top, "record_id", "left"), F.size("_top") == 1
+    method = F.when(alone, F.when(~F.col("_by_office"), "normalized-name-unique-in-region").when(F.col("_exact"), "exact-name-near-institution").otherwise("abbreviated-name-near-institution"))
+    told = F.transform(F.coalesce("_top", F.array()), lambda t: F.struct(*[t[f].alias(f) for f in fields]))
+    distance = F.when(alone & F.col("_by_office"), F.round(F.col("_top")[0]["office_distance"]).cast("long"))
+    return out.withColumns(
+        {"method": method, **{f: F.when(alone, F.col("_top")[0][f]) for f in fields}, "office_metres": distance, "candidates": F.when(~F.coalesce(alone, F.lit(False)), told)}
+    ).drop("_top", "_by_office", "_exact")
 
 
 def cascade(queries: DataFrame, registry: DataFrame, levels: list[tuple[str, str]], address: str = "address", district: str | None = None, count_rows: bool = False) -> DataFrame:
@@ -65,21 +78,26 @@ def cascade(queries: DataFrame, registry: DataFrame, levels: list[tuple[str, str
     levels: (query column, registry column) in order of priority. A hit with several
     addresses is narrowed by the query's district; if it stays ambiguous no later level
     is tried. ``count_rows``: two rows at one address are ambiguous, too.
+
+    The registry is first reduced to distinct (level, key, address); queries join one row
+    for each key, so that a hot name multiplies nothing. Only keys that several addresses
+    have meet these, and only once for each district that is asked for.
     """
-    out = queries
-    names = []
-    for i, (q, r) in enumerate(levels):
-        hit = queries.select("query_id", F.col(q).alias("_k"), *([F.col(district).alias("_d")] if district else [])).filter(F.col("_k") != "")
-        hit = hit.join(registry.select(F.col(r).alias("_k"), F.col(address).alias("_a")), "_k")
-        n = F.count(F.lit(1)) if count_rows else F.countDistinct("_a")
-        inside = F.col("_a").contains(F.col("_d")) if district else F.lit(False)
-        n_in = F.count_if(inside) if count_rows else F.countDistinct(F.when(inside, F.col("_a")))
-        one = F.when(n == 1, F.min("_a")).when(n_in == 1, F.min(F.when(inside, F.col("_a"))))
-        out = out.join(hit.groupBy("query_id").agg(F.struct(one.alias("a"), n.alias("n")).alias(f"_level{i}")), "query_id", "left")
-        names.append(f"_level{i}")
-    found = F.coalesce(*names)
-    outcome = F.when(found.isNull(), "not_found").when(found["a"].isNull(), "ambiguous").otherwise("resolved")
-    return out.withColumns({"outcome": outcome, "resolved_address": found["a"]}).drop(*names)
+    keyed = registry.select(F.posexplode(F.array(*[F.col(r) for _, r in levels])).alias("_level", "_k"), F.col(address).alias("_a")).filter("_k <> ''")
+    places = keyed.groupBy("_level", "_k", "_a").agg((F.count(F.lit(1)) if count_rows else F.lit(1).cast("long")).alias("_rows"))
+    summary = places.groupBy("_level", "_k").agg(F.sum("_rows").alias("n"), F.min("_a").alias("a"))
+    asked = queries.select("query_id", *([F.col(district).alias("_d")] if district else []), F.posexplode(F.array(*[F.col(q) for q, _ in levels])).alias("_level", "_k")).filter("_k <> ''")
+    hits = asked.join(summary, ["_level", "_k"])
+    first = hits.groupBy("query_id").agg(F.min(F.struct("_level", "_k", "n", "a", *(["_d"] if district else []))).alias("_hit")).select("query_id", "_hit.*")
+    one = F.when(F.col("n") == 1, F.col("a"))
+    if district:
+        wanted = first.filter((F.col("n") > 1) & F.col("_d").isNotNull()).select("_level", "_k", "_d").distinct()
+        inside = wanted.join(places, ["_level", "_k"]).filter(F.col("_a").contains(F.col("_d")))
+        inside = inside.groupBy("_level", "_k", "_d").agg(F.when(F.sum("_rows") == 1, F.min("_a")).alias("_inside"))
+        first, one = first.join(inside, ["_level", "_k", "_d"], "left"), F.coalesce(one, "_inside")
+    found = first.select("query_id", one.alias("resolved_address"), F.lit(True).alias("_found"))
+    outcome = F.when(F.col("_found").isNull(), "not_found").when(F.col("resolved_address").isNull(), "ambiguous").otherwise("resolved")
+    return queries.join(found, "query_id", "left").withColumn("outcome", outcome).drop("_found")
 
 
 def without_conflicts(queries: DataFrame, registry: DataFrame, query_keys: Column, registry_keys: Column, address: str = "address") -> DataFrame:
@@ -92,8 +110,44 @@ def without_conflicts(queries: DataFrame, registry: DataFrame, query_keys: Colum
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, number: str, other: str, width: int = 10) -> DataFrame:
-    """Rows on the same road whose numbers differ by the width at most; the key is hashed, the band checked."""
-    return left.join(right, key).filter(F.abs(F.col(number) - F.col(other)) <= width)
+    """Rows on the same road whose numbers differ by the width at most.
+
+    Numbers are put into bands of width + 1, and a row meets its own band and the two
+    beside it: the join is by hash, and a long road is many keys.
+    """
+    band = lambda c: F.floor(F.col(c) / (width + 1)).cast("long")
+    near = left.withColumn("_band", F.explode(F.array(*[band(number) + i for i in (-1, 0, 1)])))
+    return near.join(right.withColumn("_band", band(other)), [key, "_band"]).drop("_band").filter(F.abs(F.col(number) - F.col(other)) <= width)
+
+
+def within_reach(left: DataFrame, right: DataFrame, on: list[str], at: tuple[str, str, str, str], distance: Column, reach: float, most_lat: float = 60.0) -> DataFrame:
+    """Pairs with equal keys ``on`` whose ``distance`` in metres, from the columns ``at`` (lat, lon, lat, lon), is within reach.
+
+    Both sides are put into cells of a little more than the reach, and the left one looks into
+    the nine around it, so that pairs that are far apart never meet. Up to ``most_lat``
+    degrees north or south; not across the date line.
+    """
+    rise = reach / 111_000.0
+    steps = (rise, rise / math.cos(math.radians(most_lat)))
+    cell = lambda c, step: F.floor(F.col(c) / F.lit(step)).cast("long")
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    near = left.withColumn("_s", F.explode(shifts)).withColumns({"_y": cell(at[0], steps[0]) + F.col("_s.i"), "_x": cell(at[1], steps[1]) + F.col("_s.j")}).drop("_s")
+    cells = right.withColumns({"_y": cell(at[2], steps[0]), "_x": cell(at[3], steps[1])})
+    return near.join(cells, [*on, "_y", "_x"]).drop("_y", "_x").filter(distance <= reach)
+
+
+def office_evidence(offices: DataFrame, registry: DataFrame, width: int = 10) -> DataFrame:
+    """Businesses that tell where an office is: those at its very address, and only without any those near it on its road.
+
+    offices: office_id, address_key, road_key, number. registry: business_id, address_key,
+    road_key, number, lat, lon. Gives office_id, business_id, lat, lon, coordinate_method.
+    """
+    here = registry.select("business_id", F.col("address_key").alias("_a"), "lat", "lon")
+    known = offices.filter(F.coalesce("address_key", F.lit("")) != "")
+    same = known.join(here, F.col("address_key") == F.col("_a")).select("office_id", "business_id", "lat", "lon", F.lit("same-official-road-address").alias("coordinate_method"))
+    rest = known.join(same.select("office_id").distinct(), "office_id", "left_anti").filter("number is not null").select("office_id", "road_key", "number")
+    near = band_join(rest, registry.select("business_id", "road_key", F.col("number").alias("_number"), "lat", "lon"), "road_key", "number", "_number", width)
+    return same.unionByName(near.select("office_id", "business_id", "lat", "lon", F.lit("nearby-road-address-search-center").alias("coordinate_method")))
 
 
 def centres(evidence: DataFrame, key: list[str], reach: float = 500.0) -> DataFrame:
@@ -103,9 +157,9 @@ def centres(evidence: DataFrame, key: list[str], reach: float = 500.0) -> DataFr
     return far.filter(F.col("spread") <= reach)
 
 
-def clear_lead(matches: DataFrame, key: str, score: str, lead: float = 15) -> DataFrame:
-    """The best match of each key, if it leads the second by so much or is alone."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc())
+def clear_lead(matches: DataFrame, key: str, score: str, lead: float = 15, tie: tuple[str, ...] = ()) -> DataFrame:
+    """The best match of each key, if it leads the second by so much or is alone; equal scores are in the order of ``tie``."""
+    w = Window.partitionBy(key).orderBy(F.col(score).desc(), *tie)
     ranked = matches.withColumns({"_rank": F.row_number().over(w), "_next": F.lead(score).over(w)})
     return ranked.filter((F.col("_rank") == 1) & (F.col("_next").isNull() | (F.col(score) - F.col("_next") >= lead))).drop("_rank", "_next")
 

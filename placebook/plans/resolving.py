@@ -109,23 +109,25 @@ SELECT record_id, count(*) AS n, min(business_id) AS first_business FROM m JOIN
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders' customers as candidates of records, near offices of their nation."""
+    """Orders' customers as candidates of records, near offices of their nation; some without an address, some nations without offices."""
     c = table(spark, sf_dir, "customer")
     return c.select(
         (F.col("c_custkey") % 400).alias("record_id"), F.col("c_custkey").alias("business_id"), F.col("c_nationkey").alias("institution"), F.col("c_mktsegment").alias("full_name"),
-        F.when(F.col("c_custkey") % 11 == 0, "").otherwise(F.concat(F.lit("k"), F.col("c_custkey") % 40)).alias("address_key"), lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"),
-        (F.col("c_custkey") % 400 % 3 != 0).alias("is_exact"),
+        F.when((F.col("c_custkey") % 11 == 0) | (F.col("c_custkey") % 400 % 37 == 0), "").otherwise(F.concat(F.lit("k"), F.col("c_custkey") % 40)).alias("address_key"),
+        lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"), (F.col("c_custkey") % 400 % 3 != 0).alias("is_exact"),
     )
 
 
 def _offices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("office_id"), F.col("s_nationkey").alias("institution"), lat("s_suppkey").alias("office_lat"), lon("s_suppkey").alias("office_lon"))
+    s = table(spark, sf_dir, "supplier").filter(F.col("s_nationkey") % 6 != 5)
+    return s.select(F.col("s_suppkey").alias("office_id"), F.col("s_nationkey").alias("institution"), lat("s_suppkey").alias("office_lat"), lon("s_suppkey").alias("office_lon"))
 
 
-C = f"""c AS (SELECT c_custkey % 400 AS record_id, c_custkey AS business_id, c_nationkey AS institution, c_mktsegment AS full_name, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'k' || (c_custkey % 40) END AS address_key,
+C = f"""c AS (SELECT c_custkey % 400 AS record_id, c_custkey AS business_id, c_nationkey AS institution, c_mktsegment AS full_name,
+  CASE WHEN c_custkey % 11 = 0 OR c_custkey % 400 % 37 = 0 THEN '' ELSE 'k' || (c_custkey % 40) END AS address_key,
   {sql_lat("c_custkey")} AS lat, {sql_lon("c_custkey")} AS lon, c_custkey % 400 % 3 <> 0 AS is_exact FROM customer),
  n AS (SELECT c.*, d.office_distance, d.office_id FROM c LEFT JOIN (SELECT record_id, business_id, min(m) AS office_distance, arg_min(s_suppkey, (m, s_suppkey)) AS office_id
-   FROM (SELECT record_id, business_id, s_suppkey, {sql_flat("lat", "lon", sql_lat("s_suppkey"), sql_lon("s_suppkey"))} AS m FROM c JOIN supplier ON institution = s_nationkey) GROUP BY ALL) d USING (record_id, business_id))"""
+   FROM (SELECT record_id, business_id, s_suppkey, {sql_flat("lat", "lon", sql_lat("s_suppkey"), sql_lon("s_suppkey"))} AS m FROM c JOIN supplier ON institution = s_nationkey AND s_nationkey % 6 <> 5) GROUP BY ALL) d USING (record_id, business_id))"""
 RADIUS = 60000.0
 
 
@@ -138,16 +140,44 @@ NEAREST_SQL = f"WITH {C} SELECT business_id, office_id, CAST(round(office_distan
 
 
 def address_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = resolve.nearest_office(_candidates(spark, sf_dir), _offices(spark, sf_dir), ["institution"])
-    return resolve.recovered(near, RADIUS).withColumn("candidates", F.array_join("candidates", "|"))
-
-
-RECOVERY_SQL = f"""WITH {C}, o AS (SELECT record_id, full_name, address_key, min(coalesce(office_distance, 1e300)) AS d, bool_or(is_exact) AS exact FROM n WHERE address_key <> '' GROUP BY ALL),
- g AS (SELECT record_id, count(*) AS n, bool_or(exact) AS exact, count(*) FILTER (d <= {RADIUS}) AS near, min(address_key) AS only_key, min(address_key) FILTER (d <= {RADIUS}) AS near_key,
-   list_sort(list(DISTINCT address_key)) AS keys FROM o GROUP BY record_id),
- m AS (SELECT *, CASE WHEN exact AND n = 1 THEN 'exact-name-unique' WHEN near = 1 AND exact THEN 'exact-name-near-institution' WHEN near = 1 THEN 'prefix-name-near-institution' END AS method FROM g)
-SELECT record_id, method, CASE WHEN method = 'exact-name-unique' THEN only_key WHEN near = 1 THEN near_key END AS address_key,
- CASE WHEN method IS NULL THEN array_to_string(keys[1:20], '|') END AS candidates FROM m"""
+    """All records: the recovered with method and place, the pending with their candidates or none."""
+    found = _candidates(spark, sf_dir)
+    near = resolve.nearest_office(found, _offices(spark, sf_dir), ["institution"])
+    out = resolve.recovered(found.select("record_id").distinct(), near, RADIUS)
+    told = F.array_join(F.transform("candidates", lambda c: F.concat_ws(":", c["business_id"].cast("string"), c["full_name"], c["address_key"])), "|")
+    return out.select("record_id", "method", "business_id", "address_key", "office_metres", told.alias("candidates"))
+
+
+RECOVERY_SQL = f"""WITH {C}, u AS (SELECT record_id, full_name, address_key, arg_max(business_id, business_id) AS id, arg_max(office_distance, business_id) AS d, arg_max(office_distance IS NOT NULL, business_id) AS has_office,
+   arg_max(is_exact, business_id) AS exact, min(business_id) AS seen FROM n WHERE address_key <> '' GROUP BY record_id, full_name, address_key),
+ w AS (SELECT record_id, full_name, address_key, id, CASE WHEN has_office THEN d END AS d, exact, seen FROM u WHERE exact OR has_office),
+ p AS (SELECT record_id, (count(*) > 1 OR NOT bool_or(exact)) AND bool_or(d IS NOT NULL) AS by_office, bool_or(exact) AS exact FROM w GROUP BY record_id),
+ l AS (SELECT w.record_id, full_name, address_key, id, d, by_office, p.exact, row_number() OVER (PARTITION BY w.record_id ORDER BY seen, full_name, address_key) AS k
+   FROM w JOIN p ON p.record_id = w.record_id WHERE NOT by_office OR coalesce(d <= {RADIUS}, false)),
+ t AS (SELECT record_id, count(*) AS n, min(id) AS id, min(address_key) AS address_key, min(d) AS d, bool_or(by_office) AS by_office, bool_or(exact) AS exact,
+   string_agg(id || ':' || full_name || ':' || address_key, '|' ORDER BY k) FILTER (k <= 20) AS told FROM l GROUP BY record_id)
+SELECT r.record_id, CASE WHEN n = 1 THEN CASE WHEN NOT by_office THEN 'normalized-name-unique-in-region' WHEN exact THEN 'exact-name-near-institution' ELSE 'abbreviated-name-near-institution' END END AS method,
+ CASE WHEN n = 1 THEN id END AS business_id, CASE WHEN n = 1 THEN address_key END AS address_key, CASE WHEN n = 1 AND by_office THEN CAST(round(d) AS BIGINT) END AS office_metres,
+ CASE WHEN n = 1 THEN NULL ELSE coalesce(told, '') END AS candidates FROM (SELECT DISTINCT record_id FROM c) r LEFT JOIN t ON t.record_id = r.record_id"""
+
+
+def office_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offices by the businesses at their address, else by those near on their road; centres within reach."""
+    place = lambda key, n: {"road_key": F.col(key) % 7, "number": F.col(n) % 300, "address_key": F.concat_ws("|", F.col(key) % 7, F.col(n) % 300)}
+    s = table(spark, sf_dir, "supplier").withColumns(place("s_nationkey", "s_suppkey")).withColumnRenamed("s_suppkey", "office_id")
+    s = s.withColumn("address_key", F.when(F.col("office_id") % 3 == 0, F.concat("address_key", F.lit("x"))).when(F.col("office_id") % 10 == 1, "").otherwise(F.col("address_key")))
+    c = table(spark, sf_dir, "customer").withColumns(place("c_nationkey", "c_custkey")).withColumnRenamed("c_custkey", "business_id")
+    evidence = resolve.office_evidence(s, c.withColumns({"lat": lat("business_id"), "lon": lon("business_id")}))
+    out = resolve.centres(evidence, ["office_id", "coordinate_method"], 80000.0)
+    return out.select("office_id", "coordinate_method", "n_points", F.round("spread").cast("long").alias("spread"))
+
+
+LOCATIONS_SQL = f"""WITH s AS (SELECT s_suppkey AS office_id, s_nationkey % 7 AS road, s_suppkey % 300 AS num, s_nationkey % 7 || '|' || s_suppkey % 300 || CASE WHEN s_suppkey % 3 = 0 THEN 'x' ELSE '' END AS a FROM supplier WHERE s_suppkey % 3 = 0 OR s_suppkey % 10 <> 1),
+ c AS (SELECT c_custkey, c_nationkey % 7 AS road, c_custkey % 300 AS num, c_nationkey % 7 || '|' || c_custkey % 300 AS a, {sql_lat("c_custkey")} AS lat, {sql_lon("c_custkey")} AS lon FROM customer),
+ x AS (SELECT office_id, c_custkey, lat, lon, 'same-official-road-address' AS m FROM s JOIN c ON s.a = c.a),
+ y AS (SELECT office_id, c_custkey, lat, lon, 'nearby-road-address-search-center' AS m FROM s JOIN c ON s.road = c.road AND abs(s.num - c.num) <= 10 WHERE office_id NOT IN (SELECT office_id FROM x)),
+ e AS (SELECT * FROM x UNION ALL SELECT * FROM y), k AS (SELECT office_id, avg(lat) AS p, avg(lon) AS q FROM e GROUP BY office_id)
+SELECT office_id, m AS coordinate_method, count(*) AS n_points, CAST(round(max({sql_flat("lat", "lon", "p", "q")})) AS BIGINT) AS spread FROM e JOIN k USING (office_id) GROUP BY office_id, m, p, q HAVING max({sql_flat("lat", "lon", "p", "q")}) <= 80000"""
 
 
 def office_band(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,14 +200,21 @@ CENTRES_SQL = f"""WITH e AS (SELECT c_custkey % 300 AS office, {sql_lat("c_custk
 SELECT office, count(*) AS n_points, round(a, 4) AS c_lat, CAST(round(max({sql_flat("lat", "lon", "a", "b")})) AS BIGINT) AS spread FROM e JOIN m USING (office) GROUP BY office, a, b HAVING max({sql_flat("lat", "lon", "a", "b")}) <= 80000"""
 
 
-def provider_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and customers of one nation and segment key; the best score must lead by 15."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 10 + F.col("s_suppkey") % 3).alias("key"), lat("s_suppkey").alias("a"), lon("s_suppkey").alias("b"))
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 10 + F.col("c_custkey") % 3).alias("key"), lat("c_custkey").alias("c"), lon("c_custkey").alias("d"))
-    metres = great_circle("a", "b", "c", "d") / 1000
-    hits = s.join(c, "key").withColumn("metres", metres).filter("metres <= 75")
+    return s, c
+
+
+def _within(spark: SparkSession, sf_dir: str, reach: float) -> DataFrame:
+    return resolve.within_reach(*_sides(spark, sf_dir), ["key"], ("a", "b", "c", "d"), great_circle("a", "b", "c", "d"), reach, most_lat=40.0)
+
+
+def provider_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and customers of one nation and segment key; the best score must lead by 15."""
+    hits = _within(spark, sf_dir, 75_000.0).withColumn("metres", great_circle("a", "b", "c", "d") / 1000)
     hits = hits.withColumn("score", match_score(F.col("metres"), F.col("c_custkey") % 4 == F.col("s_suppkey") % 4))
-    return resolve.clear_lead(hits, "s_suppkey", "score").select("s_suppkey", "c_custkey", "score", F.round("metres").cast("int").alias("metres"))
+    return resolve.clear_lead(hits, "s_suppkey", "score", tie=("c_custkey",)).select("s_suppkey", "c_custkey", "score", F.round("metres").cast("int").alias("metres"))
 
 
 def _sql_sphere(a, b, c, d):
@@ -188,15 +225,13 @@ def _sql_sphere(a, b, c, d):
 HITS = f"""h AS (SELECT s_suppkey, c_custkey, {_sql_sphere(sql_lat("s_suppkey"), sql_lon("s_suppkey"), sql_lat("c_custkey"), sql_lon("c_custkey"))} / 1000 AS metres
  FROM supplier JOIN customer ON s_nationkey * 10 + s_suppkey % 3 = c_nationkey * 10 + c_custkey % 3)"""
 PROVIDER_SQL = f"""WITH {HITS}, s AS (SELECT *, 100 + CASE WHEN metres <= 25 THEN 20 WHEN metres <= 50 THEN 10 ELSE 0 END + CASE WHEN c_custkey % 4 = s_suppkey % 4 THEN 15 ELSE 0 END AS score FROM h WHERE metres <= 75),
- r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY s_suppkey ORDER BY score DESC))
+ r AS (SELECT *, row_number() OVER w AS k, lead(score) OVER w AS next FROM s WINDOW w AS (PARTITION BY s_suppkey ORDER BY score DESC, c_custkey))
 SELECT s_suppkey, c_custkey, score, CAST(round(metres) AS INT) AS metres FROM r WHERE k = 1 AND (next IS NULL OR score - next >= 15)"""
 
 
 def tourism_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs with one key within reach, where there is exactly one."""
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") * 10 + F.col("s_suppkey") % 3).alias("key"), lat("s_suppkey").alias("a"), lon("s_suppkey").alias("b"))
-    c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_nationkey") * 10 + F.col("c_custkey") % 3).alias("key"), lat("c_custkey").alias("c"), lon("c_custkey").alias("d"))
-    return resolve.only_match(s.join(c, "key").filter(great_circle("a", "b", "c", "d") / 1000 <= 40), "s_suppkey").select("s_suppkey", "c_custkey")
+    return resolve.only_match(_within(spark, sf_dir, 40_000.0), "s_suppkey").select("s_suppkey", "c_custkey")
 
 
 TOURISM_SQL = f"""WITH {HITS}, o AS (SELECT *, count(*) OVER (PARTITION BY s_suppkey) AS n FROM h WHERE metres <= 40) SELECT s_suppkey, c_custkey FROM o WHERE n = 1"""
@@ -223,6 +258,7 @@ QUERIES = {
     "nearest_office": nearest_office,
     "address_recovery": address_recovery,
     "office_band": office_band,
+    "office_locations": office_locations,
     "office_centres": office_centres,
     "provider_match": provider_match,
     "tourism_match": tourism_match,
@@ -238,6 +274,7 @@ SQL = {
     "nearest_office": NEAREST_SQL,
     "address_recovery": RECOVERY_SQL,
     "office_band": BAND_SQL,
+    "office_locations": LOCATIONS_SQL,
     "office_centres": CENTRES_SQL,
     "provider_match": PROVIDER_SQL,
     "tourism_match": TOURISM_SQL,
