@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .text import _col, any_of, clean_text, nfkc, plain_norm, squeeze
+from .text import _col, any_of, clean_text, nfkc, plain_norm, squeeze, unescape
 
 # The parts of an address.
 ROAD = r"([가-힣A-Za-z0-9·]+?(?:로|길))\s?(?:(지하)\s*)?(\d+(?:-\d+)?)(?![가-힣\d])"
@@ -152,7 +152,7 @@ def address_rank(c: Column | str) -> Column:
 
 def first_contained(c: Column | str, words: list[str]) -> Column:
     """The first of the words, in their order, that the text contains."""
-    return F.element_at(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(_col(c), w)), 1) if words else F.lit(None).cast("string")
+    return F.get(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(_col(c), w)), F.lit(0)) if words else F.lit(None).cast("string")
 
 
 def address_tokens(c: Column | str) -> Column:
@@ -239,3 +239,65 @@ def place_and_address(place: Column | str, address: Column | str | None = None)
     comma = F.nullif(F.regexp_extract(p, rf"^[^,]+,\s*(.*{looks}.*)$", 1), F.lit(""))
     name = F.when(bracket.isNotNull(), F.regexp_replace(p, r"\s*[(（][^()（）]*[)）]\s*$", "")).when(own.isNull() & comma.isNotNull(), F.regexp_replace(p, r",.*$", "")).otherwise(p)
     return F.struct(F.trim(name).alias("place"), F.coalesce(own, bracket, comma).alias("address"))
+
+
+def district_hint(*texts: Column | str) -> Column:
+    """The first city or district, in the order of the fixed list, that the texts name."""
+    words = [w for group in fixed.DISTRICTS.values() for w in group] + list(fixed.SHARED_DISTRICTS)
+    return first_contained(F.concat_ws(" ", *[F.coalesce(_col(t), F.lit("")) for t in texts]), words)
+
+
+def placed_steps(address: Column | str, hint: Column | None = None, validated: bool = False) -> list[dict[str, Column]]:
+    """Columns to add one after another; the last have placed_region and placed_address, null where an address can't be placed.
+
+    An address needs a road or lot with a number, a province and, but for 세종, a city or
+    district. The province is the one that is written, else that of the district; districts
+    that several provinces have need the hint. ``validated``: addresses of an official
+    registry may lack both, and are then in the hint's province.
+    """
+    c = F.col
+    pairs = lambda m: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])
+    once = lambda t: F.regexp_replace(F.regexp_replace(t, fixed.SEJONG_REPEATED, "세종특별자치시"), fixed.PROVINCE_TWICE, "$1")
+    word = lambda w: F.when(c("_raw").rlike(f"(?<![0-9A-Za-z_가-힣]){w}(?![0-9A-Za-z_가-힣])"), F.lit(fixed.PROVINCES[w]))
+    hinted = F.element_at(pairs(fixed.PROVINCES), hint) if hint is not None else F.lit(None).cast("string")
+    region_of_city = {w: fixed.PROVINCES[r] for r, group in fixed.DISTRICTS.items() for w in group}
+    shared = F.coalesce(*[F.when((c("_city") == w) & (hint.isin(regions) if hint is not None else F.lit(False)), hinted) for w, regions in fixed.SHARED_DISTRICTS.items()])
+    sejong = c("_raw").contains("세종") | ((hint == "세종") & c("_written").isNull() if hint is not None else F.lit(False))
+    by_city = F.coalesce(F.element_at(pairs(region_of_city), c("_city")), shared)
+    short = {v: k for k, v in reversed(fixed.PROVINCES.items()) if len(k) == 2}
+    return [
+        {"_raw": once(F.regexp_replace(squeeze(F.regexp_replace(F.trim(unescape(F.coalesce(_col(address), F.lit("")))), r"[\r\n\t]+", " ")), r"\s*외\s*\d+.*$", ""))},
+        {"_written": F.coalesce(*[word(w) for w in fixed.PROVINCES]), "_city": district_hint("_raw")},
+        {"_sejong": F.coalesce(sejong, F.lit(False))},
+        {"_province": F.when(c("_sejong"), "세종특별자치시").otherwise(F.coalesce(c("_written"), by_city, *([hinted] if validated else [])))},
+        {
+            "_ok": F.coalesce(c("_raw").rlike(fixed.NUMBERED) & c("_province").isNotNull() & (c("_sejong") | c("_city").isNotNull() | F.lit(validated)), F.lit(False)),
+            "_from_province": F.expr("locate(_province, _raw)"),
+            "_from_city": F.expr("locate(_city, _raw)"),
+        },
+        {
+            "_clean": F.when(c("_from_province") > 0, F.expr("substring(_raw, _from_province)"))
+            .when(c("_from_city") > 0, F.concat_ws(" ", "_province", F.expr("substring(_raw, _from_city)")))
+            .when(F.lit(validated) & c("_sejong") & c("_raw").startswith("세종시"), F.regexp_replace("_raw", r"^세종시\s*", "세종특별자치시 "))
+            .when(F.lit(validated), F.concat_ws(" ", "_province", "_raw"))
+        },
+        {"_clean": squeeze(once(F.trim("_clean")))},
+        {"_ok": c("_ok") & F.coalesce(c("_clean").rlike(r"\d"), F.lit(False))},
+        {"placed_region": F.when(c("_ok"), F.element_at(pairs(short), c("_province"))), "placed_address": F.when(c("_ok"), c("_clean"))},
+    ]
+
+
+def with_placed(df, address: str = "address", hint: Column | None = None, validated: bool = False):
+    """The rows with placed_region and placed_address."""
+    made = []
+    for step in placed_steps(address, hint, validated):
+        df = df.withColumns(step)
+        made += step
+    return df.drop(*[x for x in made if x.startswith("_")])
+
+
+def allowed_region(region: Column | str, allowed: list[str]) -> Column:
+    """Whether a region, in any spelling, is among the allowed ones; the integrated city is if either of its regions is."""
+    r = F.trim(_col(region))
+    integrated = F.lit(bool({"광주", "전남"} & set(allowed)))
+    return F.coalesce(F.when(r.isin(fixed.INTEGRATED), integrated).otherwise(region_of(r).isin(allowed)), F.lit(False))
