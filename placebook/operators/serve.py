@@ -59,12 +59,28 @@ def nearest_open(df: DataFrame, n: int = 13, distance: str = "distance") -> Data
     return df.filter(F.coalesce("is_open", F.lit(True))).orderBy(F.col(distance).asc_nulls_last(), "ordinal").limit(n)
 
 
-def menu_candidates(df: DataFrame, menus: str = "menus") -> DataFrame:
-    """For each dish the restaurants by distance, their number and the nearest; most restaurants first, then nearest."""
-    each = df.withColumn("menu", F.explode(menus))
-    near = F.struct(F.coalesce("distance", F.lit(FAR)).alias("distance"), "ordinal", "id")
-    out = each.groupBy("menu").agg(F.sort_array(F.collect_list(near)).alias("restaurants"), F.count(F.lit(1)).alias("restaurant_count"))
-    return out.withColumn("nearest", F.col("restaurants")[0]["distance"]).orderBy(F.col("restaurant_count").desc(), "nearest", "menu")
+def menu_candidates(df: DataFrame, menus: str = "menus", most: int = 60) -> DataFrame:
+    """For each dish how many restaurants have it and the nearest ``most`` by distance; most restaurants first, then nearest.
+
+    Restaurants are counted by a partial aggregate and cut by rank before they are listed,
+    so that no dish's restaurants are held as a whole.
+    """
+    each = df.withColumns({"menu": F.explode(menus), "distance": F.coalesce("distance", F.lit(FAR))})
+    counted = each.groupBy("menu").agg(F.count(F.lit(1)).alias("restaurant_count"), F.min("distance").alias("nearest"))
+    near = each.withColumn("_r", F.row_number().over(Window.partitionBy("menu").orderBy("distance", "ordinal", "id"))).filter(F.col("_r") <= most)
+    listed = near.groupBy("menu").agg(F.sort_array(F.collect_list(F.struct("distance", "ordinal", "id"))).alias("restaurants"))
+    return listed.join(counted, "menu").select("menu", "restaurants", "restaurant_count", "nearest").orderBy(F.col("restaurant_count").desc(), "nearest", "menu")
+
+
+def with_curated(restaurants: DataFrame, curated: DataFrame, key: str = "id", value: str = "curated") -> DataFrame:
+    """Restaurants with the curated value of their key, null without one; of several the first."""
+    one = curated.groupBy(F.col(key).alias("_key")).agg(F.min(value).alias(value))
+    return restaurants.join(one, F.col(key) == F.col("_key"), "left").drop("_key")
+
+
+def nearest_names(df: DataFrame, name: str, distance: str, n: int = 2) -> DataFrame:
+    """The least distance of each name, and the n nearest names."""
+    return df.groupBy(name).agg(F.min(distance).alias(distance)).orderBy(distance, name).limit(n)
 
 
 def fitting(df: DataFrame, fits: Column) -> DataFrame:
@@ -87,11 +103,18 @@ def frequent(usage: DataFrame, n: int = 3) -> DataFrame:
     return usage.orderBy(F.col("n_used").desc(), F.col("last_used").desc()).limit(n)
 
 
-def history_by_region(log: DataFrame, region: str, ts: str, other: str) -> DataFrame:
-    """Choices of each region, newest first; regions by their newest choice; rows without one under a label."""
+def history_by_region(log: DataFrame, region: str, ts: str, other: str, most: int = 100) -> DataFrame:
+    """How many choices each region has, the newest and the latest ``most`` of them, newest first; regions by their newest choice; rows without one under a label.
+
+    Choices are cut by rank before they are listed, so that a region's history is never held as a whole.
+    """
     fields = [c for c in log.columns if c not in (region, ts)]
-    out = log.withColumn(region, F.coalesce(region, F.lit(other))).groupBy(region).agg(F.sort_array(F.collect_list(F.struct(ts, *fields)), asc=False).alias("choices"))
-    return out.withColumn("newest", F.col("choices")[0][ts]).orderBy(F.col("newest").desc())
+    rows = log.withColumn(region, F.coalesce(region, F.lit(other)))
+    counted = rows.groupBy(region).agg(F.count(F.lit(1)).alias("n_choices"), F.max(ts).alias("newest"))
+    newest = Window.partitionBy(region).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in fields])
+    late = rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= most)
+    listed = late.groupBy(region).agg(F.sort_array(F.collect_list(F.struct(ts, *fields)), asc=False).alias("choices"))
+    return listed.join(counted, region).select(region, "choices", "n_choices", "newest").orderBy(F.col("newest").desc())
 
 
 def refreshed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -113,25 +136,53 @@ def override_years(bundled: DataFrame, fetched: DataFrame) -> DataFrame:
 
 
 def assign_photos(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each place of a request takes its first photo that no earlier place took; without one the spare ones."""
-    used: set[str] = set()
+    """Each place of a request keeps its photo if no earlier place has it, else takes the first free one of its pool, and then of its spare pool.
+
+    A photo is free if neither its id nor its address was used in the request. A place that
+    loses its photo and finds none has none.
+    """
+    ids: set[str] = set()
+    urls: set[str] = set()
     out = []
-    for _, r in rows.sort_values("ordinal").iterrows():
-        choices = [*(r["photos"] if r["photos"] is not None else []), *(r["spare"] if r["spare"] is not None else [])]
-        pick = next((p for p in choices if p not in used), None)
+    for r in rows.sort_values("ordinal").itertuples(index=False):
+        kept = {"id": r.photo_id or r.photo_url, "url": r.photo_url} if r.photo_url else None
+        offered = [*([kept] if kept else []), *(r.photos if r.photos is not None else []), *(r.spare if r.spare is not None else [])]
+        pick = next((p for p in offered if p["id"] not in ids and p["url"] not in urls), None)
         if pick is not None:
-            used.add(pick)
-        out.append((r["request"], r["ordinal"], r["id"], pick))
-    return pd.DataFrame(out, columns=["request", "ordinal", "id", "photo"])
+            ids.add(pick["id"])
+            urls.add(pick["url"])
+        out.append((r.request, r.ordinal, r.id, pick and pick["id"], pick and pick["url"], pick is not None and pick is kept))
+    return pd.DataFrame(out, columns=["request", "ordinal", "id", "photo_id", "photo_url", "kept"])
 
 
 def unique_photos(df: DataFrame) -> DataFrame:
-    """(request, ordinal, id, photo): photos dealt out in order, each once a request.
+    """(request, ordinal, id, photo_id, photo_url, kept): photos dealt out in order, each id and address once a request.
 
-    Each choice depends on those before, so that a request is one group; it has a dozen
-    rows, by the limit of the page that asks.
+    df has photo_id and photo_url of a photo that a place has already (null without), and
+    photos and spare: array<struct<id, url>> for its query and for its fallback query. Each
+    choice depends on those before, so that a request is one group; it has a dozen rows, by
+    the limit of the page that asks.
     """
     ship(df.sparkSession)
     kind = dict(df.dtypes)
-    schema = T._parse_datatype_string(f"request {kind['request']}, ordinal {kind['ordinal']}, id {kind['id']}, photo string")
-    return df.select("request", "ordinal", "id", "photos", "spare").groupBy("request").applyInPandas(assign_photos, schema)
+    schema = T._parse_datatype_string(f"request {kind['request']}, ordinal {kind['ordinal']}, id {kind['id']}, photo_id string, photo_url string, kept boolean")
+    return df.select("request", "ordinal", "id", "photo_id", "photo_url", "photos", "spare").groupBy("request").applyInPandas(assign_photos, schema)
+
+
+def response(df: DataFrame, source: str, disclaimer: str, order: str = "ordinal") -> DataFrame:
+    """One row: the JSON body of an answer with the restaurants in order. The limit of a page bounds their number."""
+    fields = [c for c in df.columns if c != order]
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(order, F.struct(*fields).alias("r")))), lambda x: x["r"])
+    return df.agg(F.to_json(F.struct(listed.alias("restaurants"), F.lit(source).alias("source"), F.lit(disclaimer).alias("disclaimer"))).alias("body"))
+
+
+def decoded_response(answers: DataFrame, restaurant: str, status: str = "status", body: str = "body") -> DataFrame:
+    """The restaurants of answers with ``error``: transport without a status, badResponse for one that is no success, decoding for a body that is none.
+
+    An answer with an error, and one without restaurants, gives one row.
+    """
+    schema = f"restaurants array<struct<{restaurant}>>, source string, disclaimer string"
+    told = answers.withColumn("_d", F.from_json(body, schema))
+    error = F.when(F.col(status).isNull(), "transport").when(~F.col(status).between(200, 299), F.concat(F.lit("badResponse "), F.col(status).cast("string"))).when(F.col("_d.restaurants").isNull(), "decoding")
+    told = told.withColumn("error", error)
+    return told.select(F.explode_outer(F.when(F.col("error").isNull(), F.col("_d.restaurants"))).alias("r"), F.when(F.col("error").isNull(), F.col("_d.source")).alias("source"), "error").select("r.*", "source", "error")

@@ -24,7 +24,7 @@ PERIOD_SQL = f"""WITH {P} SELECT region, min(payment_date) AS first_date, max(pa
 def curated_menus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with the curated label of their nation, if it has one."""
     curated = table(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.lower("n_name").alias("curated"))
-    return table(spark, sf_dir, "customer").join(curated, "c_nationkey", "left").select("c_custkey", "curated")
+    return serve.with_curated(table(spark, sf_dir, "customer"), curated, "c_nationkey").select("c_custkey", "curated")
 
 
 CURATED_SQL = "SELECT c_custkey, lower(n_name) AS curated FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 3 = 0"

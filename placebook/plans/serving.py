@@ -39,12 +39,12 @@ NEAREST_OPEN_SQL = f"WITH {RS} SELECT ordinal, distance FROM r WHERE coalesce(is
 
 
 def prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred in the prioritised order: matched by distance, then the others as they come."""
+    """All rows in the prioritised order: matched by distance, then the others as they come."""
     rows = _restaurants(spark, sf_dir)
-    return serve.prioritised(rows, F.col("nation") == 7).limit(100).select("ordinal", (F.col("nation") == 7).alias("is_matched"))
+    return serve.prioritised(rows, F.col("nation") == 7).select("ordinal", (F.col("nation") == 7).alias("is_matched"))
 
 
-PRIORITISED_SQL = f"WITH {RS} SELECT ordinal, nation = 7 AS is_matched FROM r ORDER BY nation <> 7, CASE WHEN nation = 7 THEN coalesce(distance, 2147483647) END, ordinal LIMIT 100"
+PRIORITISED_SQL = f"WITH {RS} SELECT ordinal, nation = 7 AS is_matched FROM r ORDER BY nation <> 7, CASE WHEN nation = 7 THEN coalesce(distance, 2147483647) END, ordinal"
 
 
 def prioritised_places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ def frequent_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def history_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("r"), F.col("user_id") % 20)).alias("region"), "ts", "event_type")
     out = serve.history_by_region(log, "region", "ts", "기타 지역")
-    return out.select("region", "newest", F.size("choices").cast("long").alias("n_choices"), F.col("choices")[0]["event_type"].alias("newest_choice"))
+    return out.select("region", "newest", "n_choices", F.col("choices")[0]["event_type"].alias("newest_choice"))
 
 
 HISTORY_SQL = """SELECT CASE WHEN user_id % 4 <> 0 THEN 'r' || (user_id % 20) ELSE '기타 지역' END AS region, max(ts) AS newest, count(*) AS n_choices, arg_max(event_type, (ts, event_type)) AS newest_choice FROM events GROUP BY 1"""
@@ -146,8 +146,8 @@ HISTORY_SQL = """SELECT CASE WHEN user_id % 4 <> 0 THEN 'r' || (user_id % 20) EL
 
 def nearest_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest distance to each name, and the two nearest names."""
-    c = table(spark, sf_dir, "customer").withColumns({"d": F.round(scalars.flat_distance(lat("c_custkey"), lon("c_custkey"), F.lit(36.0), F.lit(127.5))).cast("long")})
-    return c.groupBy(F.col("c_mktsegment").alias("name")).agg(F.min("d").alias("metres")).orderBy("metres", "name").limit(2)
+    c = table(spark, sf_dir, "customer").withColumn("metres", F.round(scalars.flat_distance(lat("c_custkey"), lon("c_custkey"), F.lit(36.0), F.lit(127.5))).cast("long"))
+    return serve.nearest_names(c.withColumnRenamed("c_mktsegment", "name"), "name", "metres")
 
 
 NEAREST_REGIONS_SQL = f"SELECT c_mktsegment AS name, CAST(round(min({sql_flat(sql_lat('c_custkey'), sql_lon('c_custkey'), '36.0', '127.5')})) AS BIGINT) AS metres FROM customer GROUP BY 1 ORDER BY metres, name LIMIT 2"
@@ -254,11 +254,13 @@ NORMS_SQL = """SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '',
 
 
 def unique_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos dealt out in each request, none twice: sequential, so without SQL; tests hold it against a loop."""
+    """Photos dealt out in each request, no id and no address twice: sequential, so without SQL; tests hold it against a loop."""
+    k = F.col("c_custkey")
+    named = lambda prefix, n: F.struct(F.concat(F.lit(prefix), n.cast("string")).alias("id"), F.concat(F.lit(f"https://{prefix}/"), F.floor(n / 2).cast("string")).alias("url"))
     rows = table(spark, sf_dir, "customer").select(
-        F.floor(F.col("c_custkey") / 13).alias("request"), (F.col("c_custkey") % 13).alias("ordinal"), F.col("c_custkey").alias("id"),
-        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit("p"), ((F.col("c_custkey") * 7 + i) % 11).cast("string"))).alias("photos"),
-        F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat(F.lit("s"), i.cast("string"))).alias("spare"),
+        F.floor(k / 13).alias("request"), (k % 13).alias("ordinal"), k.alias("id"),
+        F.when(k % 3 == 0, F.concat(F.lit("p"), (k % 5).cast("string"))).alias("photo_id"), F.when(k % 3 == 0, F.concat(F.lit("https://p/"), F.floor((k % 5) / 2).cast("string"))).alias("photo_url"),
+        F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: named("p", (k * 7 + i) % 11)).alias("photos"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: named("s", i)).alias("spare"),
     )
     return serve.unique_photos(rows)
 
