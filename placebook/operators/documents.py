@@ -80,14 +80,16 @@ def provenance(sources: DataFrame, files: DataFrame) -> DataFrame:
 def saved_outputs(frames: list[DataFrame], key: str = "recordID") -> DataFrame:
     """Records of several saved outputs, the first of each id in the order of the outputs.
 
-    Records without an id get one from their fields.
+    Records without an id get one from their fields. Of one id that an output has twice, the
+    first in the order of its columns counts, so that reruns agree.
     """
     from .merge import in_order
 
     rows = in_order(frames)
     made = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("region", "institution", "name", "address", "paymentDate") if c in rows.columns]), 256)
     rows = rows.withColumn(key, F.coalesce(F.nullif(F.col(key), F.lit("")), made))
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("shard_no"))).filter("_r = 1").drop("_r")
+    others = [F.to_json(F.struct(*rows.columns))]
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy("shard_no", *others))).filter("_r = 1").drop("_r")
 
 
 def preserved(old: DataFrame, new: DataFrame, targets: list[str], region: str = "region") -> DataFrame:

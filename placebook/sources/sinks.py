@@ -10,6 +10,7 @@ from ..functions.fixed import SEOUL_DISTRICTS
 from ..functions.address import AND_OTHERS, first_contained, with_location
 from ..functions.scalars import strict_date
 from ..functions.text import redact
+from ..operators.merge import last_wins
 from .tables import KEPT_COLUMNS
 
 
@@ -71,3 +72,36 @@ def without_provider(df: DataFrame, provider: str, columns: list[str]) -> DataFr
 def exit_code(places: int, missing: int, strict: bool) -> int:
     """2 for an empty result, 3 for missing regions in strict mode."""
     return 2 if not places else 3 if strict and missing else 0
+
+
+def without_keys(m: Column, keys: list[str]) -> Column:
+    """A map without the given keys."""
+    return F.map_filter(m, lambda k, v: ~k.isin(keys))
+
+
+def upsert_ids(known: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """Known ids of a provider with the new ones in their place; of several new ones for a key the last by its fields."""
+    others = [c for c in new.columns if c != key]
+    return last_wins(known, new.groupBy(key).agg(F.max(F.struct(*others)).alias("_new")).select(key, "_new.*"), [key])
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Write JSON lines so that readers find the old table or the new one, never a part: it gets its name when it is complete.
+
+    ``df`` may read the old table.
+    """
+    spark = df.sparkSession
+    made, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").json(made)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(at(old), True)
+    if fs.exists(at(path)):
+        fs.rename(at(path), at(old))
+    fs.rename(at(made), at(path))
+    fs.delete(at(old), True)
+
+
+def department_needed(df: DataFrame, needed: bool, department: str = "department") -> DataFrame:
+    """For sites that need a department: rows without one go; for all others nothing does."""
+    return df.filter(F.trim(F.coalesce(department, F.lit(""))) != "") if needed else df

@@ -8,7 +8,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
@@ -34,9 +34,15 @@ def checked_columns(df: DataFrame, needed: list[str]) -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str = PAYMENT) -> DataFrame:
-    """(source, raw, row, is_object) of each line that isn't blank; what is no object stays as a row with nulls."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("source"), F.trim("value").alias("raw")).filter("raw <> ''")
-    return lines.withColumns({"row": F.from_json("raw", schema), "is_object": F.json_object_keys("raw").isNotNull()})
+    """(source, line, raw, row, is_object) of each line that isn't blank; what is no object stays as a row with nulls.
+
+    ``line`` counts from 1 with the blank ones, so that a file is read by one task; shards are
+    many files. Packed ones can't be split anyway.
+    """
+    lines = spark.read.option("wholetext", False).text(path).select(F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_at"), "value", F.monotonically_increasing_id().alias("_n"))
+    first = Window.partitionBy("source").orderBy("_at", "_n")
+    numbered = lines.withColumn("line", F.row_number().over(first).cast("long")).select("source", "line", F.trim("value").alias("raw")).filter("raw <> ''")
+    return numbered.withColumns({"row": F.from_json("raw", schema), "is_object": F.json_object_keys("raw").isNotNull()})
 
 
 def preferred_path(paths: list[str], names: tuple[str, ...] = ("records.jsonl.gz", "records.jsonl")) -> str | None:
@@ -120,3 +126,22 @@ def registry_of_zips(files: DataFrame, category: str = "음식") -> DataFrame:
 def full_name(name: Column, branch: Column, norm) -> Column:
     """The name with its branch, unless it ends with it already."""
     return F.when((F.coalesce(branch, F.lit("")) == "") | norm(name).endswith(norm(branch)), name).otherwise(F.concat(name, branch))
+
+
+#: Parts of file names that are lists, and not the ledger of a day.
+LIST_NAMES = ["chief", "dir"]
+
+
+def day_of_file(path: Column | str) -> Column:
+    """The day in a file's name, null without one."""
+    name = F.element_at(F.split(F.col(path) if isinstance(path, str) else path, "/"), -1)
+    return F.try_to_date(F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit("")), "yyyy-MM-dd")
+
+
+def daily_ledger(grid: DataFrame, path: str = "doc") -> DataFrame:
+    """Rows of cells of daily ledgers with their ``day``: that of the file's name, else the first that the file tells. Lists are left out."""
+    name = F.element_at(F.split(path, "/"), -1)
+    rows = grid.filter(~F.coalesce(name.rlike("|".join(LIST_NAMES)), F.lit(False)))
+    told = F.regexp_extract(F.array_join("cells", " "), r"\d{4}-\d{2}-\d{2}", 0)
+    first = rows.withColumn("_told", F.try_to_date(F.nullif(told, F.lit("")), "yyyy-MM-dd")).groupBy(path).agg(F.min_by("_told", F.when(F.col("_told").isNotNull(), F.struct("sheet", "row_no"))).alias("_first"))
+    return rows.join(first, path, "left").withColumn("day", F.coalesce(day_of_file(path), "_first")).drop("_first")
