@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import more, payments, resolving, serving
+from . import ledgers, more, payments, resolving, serving
 
-QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES | more.QUERIES
-SQL = payments.SQL | resolving.SQL | serving.SQL | more.SQL
+QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES | more.QUERIES | ledgers.QUERIES
+SQL = payments.SQL | resolving.SQL | serving.SQL | more.SQL | ledgers.SQL
 flagship = payments.flagship

@@ -87,3 +87,22 @@ def sql_lon(key: str) -> str:
 
 def sql_flat(a: str, b: str, c: str, d: str) -> str:
     return f"(6371000.0::DOUBLE * sqrt(pow(radians({a} - {c}), 2) + pow(radians({b} - {d}) * cos(radians(({a} + {c}) / 2)), 2)))"
+
+
+def cases(spark: SparkSession, sf_dir: str, inputs: list[tuple]) -> DataFrame:
+    """Suppliers with one of the inputs each, in turn, as in0, in1, ...: for rules whose SQL would need look-ahead or Unicode tables."""
+    columns = [choice_or_null([row[i] for row in inputs], "s_suppkey").alias(f"in{i}") for i in range(len(inputs[0]))]
+    return table(spark, sf_dir, "supplier").select("s_suppkey", *columns)
+
+
+def choice_or_null(words: list[str | None], key: str) -> Column:
+    return F.get(F.array(*[F.lit(w).cast("string") for w in words]), F.pmod(F.col(key), F.lit(len(words))).cast("int"))
+
+
+def expected_sql(**columns: list) -> str:
+    """SQL that tells each supplier's expected values in turn."""
+    def literal(x) -> str:
+        return "NULL" if x is None else str(x).lower() if isinstance(x, bool) else str(x) if isinstance(x, int | float) else "'" + x.replace("'", "''") + "'"
+
+    told = [f"([{', '.join(map(literal, values))}])[s_suppkey % {len(values)} + 1] AS {name}" for name, values in columns.items()]
+    return f"SELECT s_suppkey, {', '.join(told)} FROM supplier"

@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from placebook.functions import scalars
 from placebook.operators import merge, places, quality, resolve, serve
 from placebook.sources import grids, sinks, tables
 
@@ -61,11 +62,77 @@ def test_same_address_twice_is_one_address_but_two_rows(spark):
 
 
 def test_recovery_by_uniqueness_and_distance(spark):
+    schema = "record_id int, business_id int, full_name string, address_key string, office_distance double, is_exact boolean"
     df = spark.createDataFrame(
-        [(1, "a", "k1", 2900.0, True), (1, "a", "k2", 3100.0, True), (2, "a", "k1", 9e9, True), (3, "a", "", 1.0, True), (4, "a", "k1", 5000.0, False)],
-        "record_id int, full_name string, address_key string, office_distance double, is_exact boolean",
-    )
-    assert rows(resolve.recovered(df).fillna("-"), "record_id", "method", "address_key") == [(1, "exact-name-near-institution", "k1"), (2, "exact-name-unique", "k1"), (4, "-", "-")]
+        [
+            (1, 1, "a", "k1", 2900.0, True), (1, 2, "a", "k2", 3100.0, True), (2, 3, "a", "k1", 9e9, True), (3, 4, "a", "", 1.0, True), (4, 5, "a", "k1", 5000.0, False),
+            (5, 6, "b", "k1", 100.0, True), (5, 7, "b", "k1", 9000.0, True), (6, 8, "c", "k1", None, True), (6, 9, "d", "k1", None, True), (7, 10, "a", "k1", None, False),
+            (8, 11, "e", "k", 10.0, False), (9, 12, "f", "k1", 100.0, True), (9, 13, "f", "k2", 50.0, True), (9, 14, "f", "k2", 9000.0, True),
+        ], schema,
+    )
+    records = spark.createDataFrame([(i,) for i in range(1, 11)], "record_id int")
+    got = {r["record_id"]: r for r in resolve.recovered(records, df).collect()}
+    assert {i: (r["method"], r["business_id"], r["office_metres"]) for i, r in got.items() if r["method"]} == {
+        1: ("exact-name-near-institution", 1, 2900), 2: ("normalized-name-unique-in-region", 3, None), 5: ("normalized-name-unique-in-region", 7, None),
+        8: ("abbreviated-name-near-institution", 11, 10), 9: ("exact-name-near-institution", 12, 100),
+    }
+    # the last row of a name and address counts, records without a candidate are pending, too
+    assert {i: [c["business_id"] for c in r["candidates"]] for i, r in got.items() if not r["method"]} == {3: [], 4: [], 6: [8, 9], 7: [], 10: []}
+
+
+def test_recovery_lists_twenty_candidates(spark):
+    df = spark.createDataFrame([(1, i, f"n{i}", "k", None, True) for i in range(50)], "record_id int, business_id int, full_name string, address_key string, office_distance double, is_exact boolean")
+    assert [c["business_id"] for c in resolve.recovered(df.select("record_id").distinct(), df).collect()[0]["candidates"]] == list(range(20))
+
+
+def test_cascade_is_that_of_a_lookup_for_each_query(spark):
+    import random
+
+    rng = random.Random(3)
+    entries = [(rng.choice("abc"), rng.choice(["", "p", "q"]), f"{rng.choice('xyz')} street {rng.randrange(3)}") for _ in range(40)]
+    asked = [(i, rng.choice(["a", "b", "", "n"]), rng.choice(["p", "q", "m", None]), rng.choice(["x", "y", "street 1", None])) for i in range(60)]
+    registry, queries = spark.createDataFrame(entries, "first string, second string, address string"), spark.createDataFrame(asked, "query_id int, q1 string, q2 string, d string")
+
+    def plain(one, count_rows):
+        for key, at in ((one[1], 0), (one[2], 1)):
+            hits = [e[2] for e in entries if key and e[at] == key]
+            if hits:
+                size = len if count_rows else lambda x: len(set(x))
+                near = [h for h in hits if one[3] and one[3] in h]
+                return hits[0] if size(hits) == 1 else near[0] if size(near) == 1 else "ambiguous"
+        return "not_found"
+
+    for count_rows in (False, True):
+        out = resolve.cascade(queries, registry, [("q1", "first"), ("q2", "second")], district="d", count_rows=count_rows)
+        got = {r["query_id"]: r["resolved_address"] or r["outcome"] for r in out.collect()}
+        assert got == {one[0]: plain(one, count_rows) for one in asked}
+
+
+def test_bands_and_cells_lose_no_pair(spark):
+    import math
+    import random
+
+    rng = random.Random(5)
+    left, right = ([(i, rng.choice("ab"), rng.randint(-30, 60)) for i in range(80)] for _ in range(2))
+    got = resolve.band_join(spark.createDataFrame(left, "l int, road string, n int"), spark.createDataFrame(right, "r int, road string, m int"), "road", "n", "m")
+    assert rows(got, "l", "r") == sorted((a[0], b[0]) for a in left for b in right if a[1] == b[1] and abs(a[2] - b[2]) <= 10)
+    points = [(i, rng.choice("ab"), 37 + rng.random() / 50, 127 + rng.random() / 50) for i in range(200)]
+    a, b = spark.createDataFrame(points, "i int, k string, a double, b double"), spark.createDataFrame(points, "j int, k string, c double, d double")
+    d = scalars.great_circle("a", "b", "c", "d")
+    near = resolve.within_reach(a, b, ["k"], ("a", "b", "c", "d"), d, 300.0)
+
+    def metres(p, q):
+        h = math.sin(math.radians(q[2] - p[2]) / 2) ** 2 + math.cos(math.radians(p[2])) * math.cos(math.radians(q[2])) * math.sin(math.radians(q[3] - p[3]) / 2) ** 2
+        return 2 * 6371000 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    assert rows(near, "i", "j") == sorted((p[0], q[0]) for p in points for q in points if p[1] == q[1] and metres(p, q) <= 300)
+
+
+def test_offices_use_their_road_only_without_their_address(spark):
+    offices = spark.createDataFrame([(1, "r|5", "r", 5), (2, "r|6", "r", 6), (3, "", "r", 5), (4, "q|1", "q", None)], "office_id int, address_key string, road_key string, number int")
+    registry = spark.createDataFrame([(10, "r|5", "r", 5, 37.0, 127.0), (11, "r|15", "r", 15, 37.0, 127.0), (12, "r|17", "r", 17, 37.0, 127.0)], "business_id int, address_key string, road_key string, number int, lat double, lon double")
+    same, near = "same-official-road-address", "nearby-road-address-search-center"
+    assert rows(resolve.office_evidence(offices, registry), "office_id", "business_id", "coordinate_method") == [(1, 10, same), (2, 10, near), (2, 11, near)]
 
 
 def test_score_lead(spark):
@@ -73,9 +140,31 @@ def test_score_lead(spark):
     assert rows(resolve.clear_lead(df, "k", "s"), "k", "c") == [(2, "c"), (3, "e")]
 
 
+PHOTOS = "request int, ordinal int, id string, photo_id string, photo_url string, photos array<struct<id: string, url: string>>, spare array<struct<id: string, url: string>>"
+
+
 def test_photos_are_dealt_out_once(spark):
-    df = spark.createDataFrame([(1, 0, "x", ["p", "q"], ["s"]), (1, 1, "y", ["p"], ["s"]), (1, 2, "z", None, ["s"])], "request int, ordinal int, id string, photos array<string>, spare array<string>")
-    assert rows(serve.unique_photos(df).fillna("-"), "id", "photo") == [("x", "p"), ("y", "s"), ("z", "-")]
+    one, same, two, spare = ("one", "u1"), ("duplicate", "u1"), ("two", "u2"), ("s", "u9")
+    df = spark.createDataFrame(
+        [
+            (1, 0, "a", None, None, [one, same, two], [spare]), (1, 1, "b", None, None, [one, same, two], [spare]), (1, 2, "c", None, None, [one, two], [spare]),
+            (1, 3, "d", None, None, None, [spare]), (2, 0, "a", "own", "u1", [], []), (2, 1, "b", "x", "u1", [same, two], []), (2, 2, "c", None, "u7", [], []), (2, 3, "d", "u7", "u8", [], None),
+        ], PHOTOS,
+    )
+    got = {(r["request"], r["id"]): (r["photo_id"], r["photo_url"], r["kept"]) for r in serve.unique_photos(df).collect()}
+    assert got == {
+        (1, "a"): ("one", "u1", False), (1, "b"): ("two", "u2", False), (1, "c"): ("s", "u9", False), (1, "d"): (None, None, False),
+        (2, "a"): ("own", "u1", True), (2, "b"): ("two", "u2", False), (2, "c"): ("u7", "u7", True), (2, "d"): (None, None, False),
+    }
+
+
+def test_answers(spark):
+    df = spark.createDataFrame([(2, "b", 1.5), (1, "a", None)], "ordinal int, id string, distance double")
+    body = serve.response(df, "kakao", "d").collect()[0]["body"]
+    assert body == '{"restaurants":[{"id":"a"},{"id":"b","distance":1.5}],"source":"kakao","disclaimer":"d"}'
+    answers = spark.createDataFrame([(200, body), (503, "x"), (None, None), (200, "no json")], "status int, body string")
+    got = serve.decoded_response(answers, "id string, distance double").collect()
+    assert sorted((r["id"] or "-", r["error"] or "-") for r in got) == [("-", "badResponse 503"), ("-", "decoding"), ("-", "transport"), ("a", "-"), ("b", "-")]
 
 
 def test_prioritised_places_number_every_row(spark):
@@ -134,8 +223,56 @@ def test_documents_to_ledgers(spark):
     files = spark.createDataFrame([("a.xlsx", xlsx()), ("b.html", page), ("c.pdf", b"%PDF-1.4"), ("d.xlsx", b"PK\x03\x04broken")], "path string, content binary")
     grid = grids.read_grids(files)
     told = grids.ledger_rows(grid)
-    assert rows(told, "doc", "date", "place", "amount") == [("a.xlsx", "2026-08-04", "다른집", "5"), ("a.xlsx", "2026-08-04", "행복식당", "12000"), ("b.html", "2026.8.5", "가 나", "1")]
-    assert sorted(r["doc"] for r in grid.filter("error is not null").collect()) == ["c.pdf", "d.xlsx"]
+    assert rows(told.filter("error is null"), "doc", "date", "place", "amount") == [("a.xlsx", "2026-08-04", "다른집", "5"), ("a.xlsx", "2026-08-04", "행복식당", "12000"), ("b.html", "2026.8.5", "가 나", "1")]
+    assert sorted(r["doc"] for r in grid.filter("error is not null").collect()) == sorted(r["doc"] for r in told.filter("error is not null").collect()) == ["c.pdf", "d.xlsx"]
+
+
+def test_files_that_are_no_ledgers(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("mimetype", "application/hwp+zip")
+        z.writestr("Contents/section0.xml", '<s xmlns="m"><tbl><tr><tc><t>장소</t></tc></tr><tr><tc><t>식당</t></tc></tr></tbl></s>')
+    files = [("x.xlsx", b"<!DOCTYPE html><html><head></head><body>404</body></html>"), ("y.xls", b"\x9b DRMONE  locked"), ("z.bin", out.getvalue()), ("w.dat", xlsx()), ("v.zip", b"PK\x03\x04nothing"), ("u", b""), ("t", None)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    kinds = rows(df.select("path", grids.kind_of(F.col("content"), F.col("path")).alias("k")), "path", "k")
+    assert kinds == [("t", "text"), ("u", "text"), ("v.zip", "zip"), ("w.dat", "xlsx"), ("x.xlsx", "html"), ("y.xls", "locked"), ("z.bin", "hwpx")]
+    found = grids.read_grids(df)
+    errors = {r["doc"]: r["error"] for r in found.filter("error is not null").collect()}
+    assert errors["x.xlsx"] == "ValueError: a web page without a table" and errors["y.xls"] == "ValueError: no reader for locked"
+    assert sorted(errors) == ["t", "u", "v.zip", "x.xlsx", "y.xls"] and found.filter("doc = 'z.bin'").count() == 2
+
+
+GRID = "doc string, sheet string, row_no int, cells array<string>, error string"
+
+
+def test_headers_by_words_of_all_kinds(spark):
+    grid = spark.createDataFrame(
+        [
+            ("a", "s", 1, ["2026년 8월 업무추진비", None]), ("a", "s", 2, ["집행일", "상호", "적요", "지출액", "주소"]), ("a", "s", 3, ["2026-08-04", "행복식당", "오찬", "1,000", "중구 무교로 21"]),
+            ("a", "s", 4, ["합계", "", "", "1,000", ""]), ("b", "s", 1, ["사용일시", "업 소\n명", "소재지(주소)", "집행 금액"]), ("b", "s", 2, ["2026-08-05", "가연", "서구 탄방로 1", "5"]),
+            ("c", "s", 1, ["집행일자", "금액", "목적"]), ("c", "s", 2, ["2026-08-05", "5", "회의"]), ("d", "s", 1, ["연번", "주소"]), ("d", "s", 2, ["일자", "장소"]), ("d", "s", 3, ["2026-08-06", "나무집"]),
+        ], GRID.replace(", error string", ""),
+    ).withColumn("error", F.lit(None).cast("string"))
+    got = rows(grids.ledger_rows(grid).fillna("-"), "doc", "date", "place", "purpose", "amount", "address", "error")
+    assert got == [
+        ("a", "2026-08-04", "행복식당", "오찬", "1,000", "중구 무교로 21", "-"), ("b", "2026-08-05", "가연", "-", "5", "서구 탄방로 1", "-"),
+        ("c", "-", "-", "-", "-", "-", "no header row"), ("d", "2026-08-06", "나무집", "-", "-", "-", "-"),
+    ]
+
+
+def test_units_of_sheets(spark):
+    sheets = {
+        ("a", "Sheet1"): [["□ 부서(기관명) :  노인복지과(노인복지과장)"], ["일자", "장소"]],
+        ("b", "8월"): [["업무추진비"], ["소속부서", "", "-", "환경보건안전과"], ["일자", "장소"]],
+        ("c", "운영지원과"): [["일자", "장소"]],
+        ("d", "Sheet2"): [["부서 : 업무추진비"], ["일자", "장소"]],
+        ("e", "총무과"): [["담당부서: 회계과 김철수"], ["일자", "장소"]],
+    }
+    grid = spark.createDataFrame([(d, s, i, cells, None) for (d, s), lines in sheets.items() for i, cells in enumerate(lines, 1)], GRID)
+    got = rows(grids.sheet_departments(grid), "doc", "department", "evidence")
+    assert got == [("a", "노인복지과", "header"), ("b", "환경보건안전과", "header"), ("c", "운영지원과", "sheet"), ("e", "회계과", "header")]
+    told = spark.createDataFrame([("c", "운영지원과", 2, ["2026-08-04", "식당"], None)], GRID)
+    assert rows(grids.ledger_rows(grid.unionByName(told)).filter("error is null"), "doc", "department") == [("c", "운영지원과")]
 
 
 def test_manifest_rejects_other_bytes(spark):
