@@ -16,8 +16,9 @@ SIGUNGU = r"^([가-힣]{1,6}(?:시|군|구))(?![가-힣])"
 SUB_GU = r"^([가-힣]{1,5}구)(?![가-힣])"
 EUPMYEON = r"^([가-힣]{1,6}(?:읍|면))(?![가-힣])"
 SEJONG_TWICE = r"^(세종특별자치시|세종시|세종)\s+(?:세종특별자치시|세종시|세종)(?![가-힣])"
-PERSON_FIRST = r"^[가-힣]{2,4}\s*[,/]\s*"
-PERSON_LAST = r"\s*[,/]\s*[가-힣]{2,4}\s*$"
+SPACED_ROAD = r"([가-힣A-Za-z0-9·]+(?:로|길))\s+([가-힣\d]+길)"
+SPACED_LANE = r"(로)\s+(\d+(?:번)?길)"
+LOOKS_LIKE_ADDRESS = r"(?:[가-힣]+[시군구]\s|[가-힣A-Za-z0-9·]+(?:로|길|동|리|가)\s?\d)"
 AND_OTHERS = r"\s*외\s*\d+\s*(?:곳|명|건|개소)?\s*$"
 LOCATION = r"^\s*(.+?)\s*[(（]([^()（）]*)[)）]\s*$"
 SEOUL_ROAD = r"([가-힣A-Za-z0-9·]+?(?:로|길))\s?(\d+(?:-\d+)?)(?![가-힣\d])"
@@ -83,7 +84,7 @@ def address_steps(address: Column | str, region: Column | str, variant: str = "m
         {"_detected": detected, "_em": first(c("_rest"), EUPMYEON)},
         {
             "_after_em": after(c("_rest"), EUPMYEON),
-            "_road_text": F.regexp_replace(c("_rest"), r"([가-힣A-Za-z0-9·]+(?:로|길))\s+([가-힣\d]+길)", "$1$2"),
+            "_road_text": F.regexp_replace(c("_rest"), SPACED_ROAD, "$1$2"),
         },
         {"_lot_text": lot_text},
         {
@@ -117,8 +118,8 @@ def with_location(df, location: str = "location"):
     df = df.withColumns({"_n": F.regexp_extract("_l", LOCATION, 1), "_a": F.regexp_extract("_l", LOCATION, 2)})
     df = df.withColumns(
         {
-            "_n": F.regexp_replace(strip(s("_n"), " –,./-"), PERSON_FIRST, ""),
-            "_a": F.regexp_replace(F.regexp_replace(strip(s("_a"), " ,./"), PERSON_FIRST, ""), PERSON_LAST, ""),
+            "_n": F.regexp_replace(strip(s("_n"), " –,./-"), fixed.PERSON_FIRST, ""),
+            "_a": F.regexp_replace(F.regexp_replace(strip(s("_a"), " ,./"), fixed.PERSON_FIRST, ""), fixed.PERSON_LAST, ""),
         }
     )
     bad = (
@@ -128,7 +129,7 @@ def with_location(df, location: str = "location"):
         | c("_n").rlike(r"호텔\s*$")
         | c("_n").rlike(r"(?U)^[\d\W_]+$")
     )
-    df = df.withColumn("_a", F.regexp_replace("_a", r"(로)\s+(\d+(?:번)?길)", "$1$2"))
+    df = df.withColumn("_a", F.regexp_replace("_a", SPACED_LANE, "$1$2"))
     # from the first word that is a region or a road
     df = df.withColumns({"_bad": bad, "_from": strip(F.regexp_replace("_a", rf"^.*?(?={SEOUL_START})", ""), " ,./")})
     df = df.withColumns({"_d": F.regexp_extract("_from", DISTRICT, 1), "_before": F.trim(F.regexp_extract("_from", rf"^(.*?){DISTRICT}", 1))})
@@ -215,7 +216,7 @@ def repaired(c: Column | str, hint: Column | None = None) -> Column:
     its full name, or the hint's if the address names none. Composed text is expected.
     """
     s = strip(squeeze(F.coalesce(_col(c), F.lit(""))), " ,./")
-    s = F.regexp_replace(F.regexp_replace(s, PERSON_FIRST, ""), PERSON_LAST, "")
+    s = F.regexp_replace(F.regexp_replace(s, fixed.PERSON_FIRST, ""), fixed.PERSON_LAST, "")
     spellings = any_of(sorted([*fixed.ALIASES, *fixed.INTEGRATED], key=len, reverse=True))
     s = F.regexp_replace(s, rf"^.*?(?=(?:^|[^가-힣])(?:{spellings})(?![가-힣]))", "")
     s = strip(s, " ,./()")
@@ -234,9 +235,8 @@ def place_and_address(place: Column | str, address: Column | str | None = None)
     """
     p = squeeze(F.coalesce(_col(place), F.lit("")))
     own = F.nullif(squeeze(F.coalesce(_col(address), F.lit(""))), F.lit("")) if address is not None else F.lit(None).cast("string")
-    looks = r"(?:[가-힣]+[시군구]\s|[가-힣A-Za-z0-9·]+(?:로|길|동|리|가)\s?\d)"
-    bracket = F.nullif(F.regexp_extract(p, rf"[(（]([^()（）]*{looks}[^()（）]*)[)）]\s*$", 1), F.lit(""))
-    comma = F.nullif(F.regexp_extract(p, rf"^[^,]+,\s*(.*{looks}.*)$", 1), F.lit(""))
+    bracket = F.nullif(F.regexp_extract(p, rf"[(（]([^()（）]*{LOOKS_LIKE_ADDRESS}[^()（）]*)[)）]\s*$", 1), F.lit(""))
+    comma = F.nullif(F.regexp_extract(p, rf"^[^,]+,\s*(.*{LOOKS_LIKE_ADDRESS}.*)$", 1), F.lit(""))
     name = F.when(bracket.isNotNull(), F.regexp_replace(p, r"\s*[(（][^()（）]*[)）]\s*$", "")).when(own.isNull() & comma.isNotNull(), F.regexp_replace(p, r",.*$", "")).otherwise(p)
     return F.struct(F.trim(name).alias("place"), F.coalesce(own, bracket, comma).alias("address"))
 

@@ -86,9 +86,8 @@ def personal(c: Column | str) -> Column:
 
 
 def _bare(c: Column) -> Column:
-    s = F.regexp_replace(F.trim(c), r"^[□○※\-*\s]+", "")
-    s = F.regexp_replace(s, r"^(?:붙임|서식|별지|게시용)[\s_)\]:]*", "")
-    return F.trim(F.regexp_replace(s, r"^\[[^\]]*\]\s*", ""))
+    s = F.regexp_replace(F.regexp_replace(F.trim(c), fixed.UNIT_BULLET, ""), fixed.UNIT_FORM, "")
+    return F.trim(F.regexp_replace(s, fixed.UNIT_TAG, ""))
 
 
 def general_department(c: Column | str) -> Column:
@@ -101,12 +100,12 @@ def general_department(c: Column | str) -> Column:
 def valid_department(c: Column | str) -> Column:
     """Names of real units: a Hangul name with a unit's ending or a role's, no expense, no date."""
     s = _bare(F.coalesce(_col(c), F.lit("")))
-    base = F.trim(F.regexp_replace(s, r"^([A-Za-z0-9가-힣\s]+?)\s*\([^)]*\)$", "$1"))
+    base = F.trim(F.regexp_replace(s, fixed.UNIT_WITH_NOTE, "$1"))
     ending = base.rlike("(" + any_of([*UNIT_ENDINGS, *UNIT_OF_ROLE]) + ")$")
     return (
         ~general_department(s)
         & ~F.regexp_replace(s, r"\s+", "").rlike(any_of(EXPENSE_WORDS))
-        & ~s.rlike(r"^\d+(년|월|분기)|^[상하]반기")
+        & ~s.rlike(fixed.UNIT_OF_PERIOD)
         & base.rlike("[가-힣]")
         & ending
         & (F.length(base) > 1)
@@ -116,21 +115,21 @@ def valid_department(c: Column | str) -> Column:
 def canonical_department(c: Column | str) -> Column:
     """The unit itself: brackets, notes and quotes go, and a head's title becomes the unit's name."""
     s = F.trim(F.coalesce(_col(c), F.lit("")))
-    s = F.trim(F.regexp_replace(s, r"^[(\[<](.+?)[)\]>]$", "$1"))
+    s = F.trim(F.regexp_replace(s, fixed.UNIT_IN_BRACKETS, "$1"))
     s = _bare(s)
-    s = F.trim(F.translate(F.regexp_replace(s, r"^\([^)]*?(?:서식|붙임|게시용)[^)]*?\)\s*", ""), "`'\"", ""))
-    base = F.trim(F.regexp_replace(s, r"^([A-Za-z0-9가-힣\s]+?)\s*\([^)]*\)$", "$1"))
+    s = F.trim(F.translate(F.regexp_replace(s, fixed.UNIT_FORM_NOTE, ""), "`'\"", ""))
+    base = F.trim(F.regexp_replace(s, fixed.UNIT_WITH_NOTE, "$1"))
     s = F.when((base != s) & valid_department(base), base).otherwise(s)
     for role in sorted(UNIT_OF_ROLE, key=len, reverse=True):
         s = F.regexp_replace(s, f"{role}(?:님)?$", UNIT_OF_ROLE[role])
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "(담당관|대변인|관)님$", "$1"), "(?:도지사|시장|부시장|부지사)(?:실)?$", "비서실"))
+    return F.trim(F.regexp_replace(F.regexp_replace(s, fixed.UNIT_HONORIFIC, "$1"), fixed.HEAD_OF_REGION, "비서실"))
 
 
 def title_department(c: Column | str) -> Column:
     """The unit that a posting's title names: in the last bracket that has one, or in front of the kind of expense."""
     t = F.trim(unescape(F.coalesce(_col(c), F.lit(""))))
-    inside = F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"[(\[]([^()\[\]]+)[)\]]"), F.lit(1)), F.trim), valid_department)
-    lead = F.regexp_extract(t, r"(?:^|^\d{4}년\s*(?:\d{1,2}월\s*)?|^\d{1,2}월\s*)([A-Za-z0-9가-힣]+)\s+(?:업무추진비|시책|기관운영|집행내역)", 1)
+    inside = F.filter(F.transform(F.regexp_extract_all(t, F.lit(fixed.TITLE_BRACKET), F.lit(1)), F.trim), valid_department)
+    lead = F.regexp_extract(t, fixed.TITLE_LEAD, 1)
     found = F.coalesce(F.try_element_at(inside, F.lit(-1)), F.when(valid_department(lead), lead))
     return F.when(found.isNotNull(), canonical_department(found))
 
@@ -145,7 +144,7 @@ def purpose_department(c: Column | str) -> Column:
 
 def institution(department: Column, given: Column) -> Column:
     """Fire stations and universities stand for themselves."""
-    own = F.regexp_extract(department, r"([가-힣]+(?:소방서|대학교|대학))", 1)
+    own = F.regexp_extract(department, fixed.OWN_INSTITUTION, 1)
     return F.coalesce(F.nullif(own, F.lit("")), given)
 
 

@@ -247,3 +247,32 @@ CATEGORIES_OUT = [
 ]
 # A branch at the end of a name.
 BRANCH = r"^(.*?)\s*[\(\[\-]?\s*([가-힣a-zA-Z0-9]+(?:점|호점))\s*[\)\]]?$"
+# Patterns of what goes from names before they are compared or shown.
+REGISTRY_MARKS = r"주식회사|유한회사|\(주\)|㈜"
+NOT_NAME = "[^가-힣a-z0-9]"
+MARK_FIRST = r"^(\((주|유)\)|\(사\)|\(재\)|주식회사|유한회사)"
+MARK_LAST = r"(\((주|유)\)|\(사\)|\(재\))$"
+QUOTES_AROUND = "^[\"'`‘“]+|[\"'`’”]+$"
+BRACKETED = r"\([^)]*\)|\[[^\]]*\]"
+MAIN_BRANCH = "본점|직영점"
+COUNTRY = "대한민국|south korea"
+QUOTES_AND_SPACES = "^[\"'`‘“\\s]+|[\"'`’”\\s]+$"
+OTHERS = r"\s*외\s*\d+.*$"
+SHOWN_MARK = r"^(\((주|유)\)\s*|주식회사\s*)"
+ADDRESS_IN_BRACKETS = r"\([^)]*(시|구|동|로|길|\d{2,4}-\d{3,4})[^)]*\)"
+PHONE = r"0\d{1,2}[- )]?\d{3,4}[- ]?\d{4}"
+PERSON_FIRST = r"^[가-힣]{2,4}\s*[,/]\s*"
+PERSON_LAST = r"\s*[,/]\s*[가-힣]{2,4}\s*$"
+# Patterns of units: what stands before a name, a name with a note, a note about a form, a title's unit, heads of regions.
+UNIT_BULLET = r"^[□○※\-*\s]+"
+UNIT_FORM = r"^(?:붙임|서식|별지|게시용)[\s_)\]:]*"
+UNIT_TAG = r"^\[[^\]]*\]\s*"
+UNIT_WITH_NOTE = r"^([A-Za-z0-9가-힣\s]+?)\s*\([^)]*\)$"
+UNIT_IN_BRACKETS = r"^[(\[<](.+?)[)\]>]$"
+UNIT_FORM_NOTE = r"^\([^)]*?(?:서식|붙임|게시용)[^)]*?\)\s*"
+UNIT_OF_PERIOD = r"^\d+(년|월|분기)|^[상하]반기"
+UNIT_HONORIFIC = "(담당관|대변인|관)님$"
+HEAD_OF_REGION = "(?:도지사|시장|부시장|부지사)(?:실)?$"
+TITLE_BRACKET = r"[(\[]([^()\[\]]+)[)\]]"
+TITLE_LEAD = r"(?:^|^\d{4}년\s*(?:\d{1,2}월\s*)?|^\d{1,2}월\s*)([A-Za-z0-9가-힣]+)\s+(?:업무추진비|시책|기관운영|집행내역)"
+OWN_INSTITUTION = r"([가-힣]+(?:소방서|대학교|대학))"

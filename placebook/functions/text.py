@@ -96,15 +96,14 @@ def plain_norm(c: Column | str) -> Column:
 def registry_name(c: Column | str) -> Column:
     """Registry names: unescaped, NFKC, without company marks, only Hangul syllables, a-z and digits."""
     low = F.lower(nfkc(unescape(F.coalesce(_col(c), F.lit("")))))
-    return F.regexp_replace(F.regexp_replace(low, r"주식회사|유한회사|\(주\)|㈜", ""), "[^가-힣a-z0-9]", "")
+    return F.regexp_replace(F.regexp_replace(low, fixed.REGISTRY_MARKS, ""), fixed.NOT_NAME, "")
 
 
 def business_name(c: Column | str) -> Column:
     """Names as index keys: without spaces, company marks and quotes at the ends."""
     s = F.regexp_replace(F.lower(F.trim(unescape(F.coalesce(_col(c), F.lit(""))))), r"(?U)\s+", "")
-    s = F.regexp_replace(s, r"^(\((주|유)\)|\(사\)|\(재\)|주식회사|유한회사)", "")
-    s = F.regexp_replace(s, r"(\((주|유)\)|\(사\)|\(재\))$", "")
-    return F.regexp_replace(s, "^[\"'`‘“]+|[\"'`’”]+$", "")
+    s = F.regexp_replace(F.regexp_replace(s, fixed.MARK_FIRST, ""), fixed.MARK_LAST, "")
+    return F.regexp_replace(s, fixed.QUOTES_AROUND, "")
 
 
 def client_name(c: Column | str) -> Column:
@@ -116,13 +115,13 @@ def client_name(c: Column | str) -> Column:
 
 def place_name(c: Column | str) -> Column:
     """Names of places without bracketed text and main-branch marks."""
-    s = F.regexp_replace(F.lower(nfkc(F.coalesce(_col(c), F.lit("")))), r"\([^)]*\)|\[[^\]]*\]", "")
-    return F.regexp_replace(F.regexp_replace(s, "본점|직영점", ""), "[^0-9a-z가-힣]", "")
+    s = F.regexp_replace(F.lower(nfkc(F.coalesce(_col(c), F.lit("")))), fixed.BRACKETED, "")
+    return F.regexp_replace(F.regexp_replace(s, fixed.MAIN_BRANCH, ""), fixed.NOT_NAME, "")
 
 
 def provider_text(c: Column | str) -> Column:
-    s = F.regexp_replace(F.lower(nfkc(F.coalesce(_col(c), F.lit("")))), "대한민국|south korea", "")
-    return F.regexp_replace(s, "[^0-9a-z가-힣]", "")
+    s = F.regexp_replace(F.lower(nfkc(F.coalesce(_col(c), F.lit("")))), fixed.COUNTRY, "")
+    return F.regexp_replace(s, fixed.NOT_NAME, "")
 
 
 def phone_digits(c: Column | str) -> Column:
@@ -138,10 +137,9 @@ def phone_link(c: Column | str) -> Column:
 def display_name(c: Column | str) -> Column:
     """Restaurant names for display: quotes, 'and n others', company marks in front and bracketed addresses go."""
     s = F.trim(unescape(F.coalesce(_col(c), F.lit(""))))
-    s = F.regexp_replace(s, "^[\"'`‘“\\s]+|[\"'`’”\\s]+$", "")
-    s = F.regexp_replace(s, r"\s*외\s*\d+.*$", "")
-    s = F.regexp_replace(s, r"^(\((주|유)\)\s*|주식회사\s*)", "")
-    return F.trim(F.regexp_replace(s, r"\([^)]*(시|구|동|로|길|\d{2,4}-\d{3,4})[^)]*\)", ""))
+    for pattern in (fixed.QUOTES_AND_SPACES, fixed.OTHERS, fixed.SHOWN_MARK, fixed.ADDRESS_IN_BRACKETS):
+        s = F.regexp_replace(s, pattern, "")
+    return F.trim(s)
 
 
 def last_word(c: Column | str) -> Column:
@@ -160,8 +158,8 @@ def code_point_sum(c: Column | str) -> Column:
 
 def redact(c: Column | str) -> Column:
     """Names without phone numbers and without the owner's name in front or behind."""
-    s = F.trim(F.regexp_replace(_col(c), r"0\d{1,2}[- )]?\d{3,4}[- ]?\d{4}", ""))
-    return F.regexp_replace(F.regexp_replace(s, r"^[가-힣]{2,4}\s*[,/]\s*", ""), r"\s*[,/]\s*[가-힣]{2,4}\s*$", "")
+    s = F.trim(F.regexp_replace(_col(c), fixed.PHONE, ""))
+    return F.regexp_replace(F.regexp_replace(s, fixed.PERSON_FIRST, ""), fixed.PERSON_LAST, "")
 
 
 def version_key(c: Column | str) -> Column:
