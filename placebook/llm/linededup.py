@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,9 @@ LEAST_WORDS = 50
 #: A fingerprint is a run of so many words.
 GRAM = 20
 _UNIT = re.compile(r"\s*\S+\s*")
-_LINE_END = re.compile(r"\n|[.!?]\x20")
+#: Characters that are handled at once.
+GROUP_CHARS = 400_000
+STOPS = [ord(c) for c in ".!?"]
 SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 #: The base of the hash of a run; odd, so that it can be divided by.
 BASE = 0x9E3779B97F4A7C15
@@ -30,56 +34,6 @@ def lines(text: str) -> list[str]:
     return _UNIT.findall(text) or ([text] if text else [])
 
 
-def hashed(text: str, run_hash: RunHashes) -> np.ndarray:
-    """Hash of each word; white space between words doesn't count."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    solid = np.zeros(len(codes) + 2, bool)
-    solid[1:-1] = ~SPACES[np.minimum(codes, len(SPACES) - 1)]
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    letters = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
-    return run_hash(letters ^ (letters >> np.uint64(29)), edges[::2], edges[1::2])
-
-
-def windows(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first, end) of the shortest windows with ``least`` words from each line on, and of those up to each line.
-
-    Every run with so many words begins with one of the former and ends with one of the latter.
-    """
-    total = np.concatenate([[0], np.cumsum(words)])
-    n = len(words)
-    first = np.arange(n)
-    end = np.searchsorted(total, total[:n] + least, side="left")
-    ok = end <= n
-    until = np.arange(1, n + 1)
-    begin = np.searchsorted(total, total[1:] - least, side="right") - 1
-    back = begin >= 0
-    return first[ok], end[ok], begin[back], until[back]
-
-
-def minima(hashes: np.ndarray, words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The line that each window [first, end) selects: of the longest ones the one with the smallest hash, the last of equal ones.
-
-    Long lines are rarer; lines of 15 words or more count as equally long. The choice
-    depends on what is in the window alone, so that equal windows choose equal lines.
-    """
-    if not len(first):
-        return first
-    order = ((15 - np.minimum(words, 15)).astype(np.uint64) << np.uint64(60)) | (hashes >> np.uint64(4))
-    size = end - first
-    out = np.empty(len(first), np.int64)
-    best, span = np.arange(len(order)), 1
-    while True:
-        here = (size >= span) & (size < 2 * span)
-        if here.any():
-            a, b = best[first[here]], best[end[here] - span]
-            out[here] = np.where(order[b] <= order[a], b, a)
-        if 2 * span > size.max():
-            return out
-        a, b = best[:-span], best[span:]
-        best = np.where(order[b] <= order[a], b, a)
-        span *= 2
-
-
 class RunHashes:
     """Hashes of runs of lines from prefix sums modulo 2^64."""
 
@@ -99,15 +53,72 @@ class RunHashes:
         return (out ^ (out >> np.uint64(31))) * np.uint64(BASE)
 
 
-def chosen(hashes: np.ndarray, least: int, run_hash: RunHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of GRAM words, and which of them each window of ``least`` words selects."""
-    first, end, _, _ = windows(np.ones(len(hashes), np.int64), least)
-    if not len(first):
-        return hashes[:0], first
+def code_points(texts: list[str]) -> np.ndarray:
+    """The characters of the texts, with a space between each two."""
+    return np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def word_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    solid = np.zeros(len(codes) + 2, bool)
+    solid[1:-1] = ~SPACES[np.minimum(codes, len(SPACES) - 1)]
+    edges = np.flatnonzero(solid[1:] != solid[:-1])
+    return edges[::2], edges[1::2]
+
+
+def hashed(texts: list[str], run_hash: RunHashes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the hash of each word of the texts one after another, and where each text's words begin, and the end.
+
+    White space between words doesn't count.
+    """
+    codes = code_points(texts)
+    first, end = word_edges(codes)
+    letters = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(BASE)
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return run_hash(letters ^ (letters >> np.uint64(29)), first, end), np.searchsorted(first, starts)
+
+
+def selected(order: np.ndarray, size: int) -> np.ndarray:
+    """For each window of ``size`` numbers the place of its smallest, the last of equal ones: equal windows choose equal places."""
+    best, span = np.arange(len(order)), 1
+    while 2 * span <= size:
+        a, b = best[:-span], best[span:]
+        best = np.where(order[b] <= order[a], b, a)
+        span *= 2
+    rest = size - span
+    if rest:
+        a, b = best[:-rest], best[rest:]
+        best = np.where(order[b] <= order[a], b, a)
+    return best
+
+
+def chosen(hashes: np.ndarray, bounds: np.ndarray, least: int, run_hash: RunHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(grams, first, picks): hashes of all runs of GRAM words, where each window of ``least`` words of one text begins, and which run it selects."""
     size = min(GRAM, least)
+    first = np.flatnonzero(np.arange(len(hashes)) + least <= np.repeat(bounds[1:], np.diff(bounds)))
+    if not len(first):
+        return hashes[:0], first, first
     at = np.arange(len(hashes) - size + 1)
     grams = run_hash(hashes, at, at + size)
-    return grams, minima(grams, np.full(len(grams), size), first, end - size + 1)
+    # selected by the hash's high bits; runs over two texts are in no window of one
+    return grams, first, selected(grams >> np.uint64(4), least - size + 1)[first]
+
+
+def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring texts of about GROUP_CHARS characters together, with the place of the first."""
+    at = size = 0
+    for n, text in enumerate(texts):
+        size += len(text)
+        if size >= GROUP_CHARS or n + 1 == len(texts):
+            yield at, texts[at : n + 1]
+            at, size = n + 1, 0
+
+
+def listed(parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
+    """Lists of 64-bit numbers from their values and lengths."""
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])).astype(np.int32)
+    values = np.concatenate([np.zeros(0, np.uint64), *parts])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
 
 
 def indexed(rows: DataFrame, least: int) -> DataFrame:
@@ -118,13 +129,17 @@ def indexed(rows: DataFrame, least: int) -> DataFrame:
         run_hash = RunHashes()
 
         def apply(batch):
-            at, found = [], []
-            for n, text in enumerate(batch.column("text").to_pylist()):
-                grams, picks = chosen(hashed(text, run_hash), least, run_hash)
-                if len(picks):
-                    at.append(n)
-                    found.append(grams[np.unique(picks)].view(np.int64))
-            return {"id": batch.column("id").take(pa.array(at, pa.int64())), "picks": found}
+            at, values, sizes = [], [], []
+            for start, texts in groups(batch.column("text").to_pylist()):
+                hashes, bounds = hashed(texts, run_hash)
+                grams, _, picks = chosen(hashes, bounds, least, run_hash)
+                places = np.unique(picks)
+                counts = np.diff(np.searchsorted(places, bounds))
+                own = np.flatnonzero(counts)
+                at.append(own + start)
+                values.append(grams[places])
+                sizes.append(counts[own])
+            return {"id": batch.column("id").take(pa.array(np.concatenate(at))), "picks": listed(values, sizes)}
 
         return apply
 
@@ -142,25 +157,31 @@ def blocks_of(hit: DataFrame, least: int) -> DataFrame:
         run_hash = RunHashes()
 
         def apply(batch):
-            out, at_row = {"run": [], "gram": [], "first": [], "windows": []}, []
-            rows = (batch.column(c).to_pylist() for c in ("text", "again"))
-            for row, (text, again) in enumerate(zip(*rows, strict=True)):
-                hashes = hashed(text, run_hash)
-                grams, picks = chosen(hashes, least, run_hash)
-                if not len(picks):
+            found = {k: [] for k in ("run", "gram", "first", "row", "values", "sizes")}
+            again = batch.column("again")
+            # a fingerprint that one text's list has is in the list of each text that selects it
+            repeated = np.unique(again.flatten().to_numpy(zero_copy_only=False))
+            for start, texts in groups(batch.column("text").to_pylist()):
+                hashes, bounds = hashed(texts, run_hash)
+                grams, first, picks = chosen(hashes, bounds, least, run_hash)
+                if not len(first):
                     continue
-                edges = np.concatenate([[0], np.flatnonzero(np.diff(picks)) + 1, [len(picks)]])
-                gram = grams[picks[edges[:-1]]].view(np.int64)
-                good = np.isin(gram, np.array(again, np.int64))
-                first, end = edges[:-1][good], edges[1:][good]
-                at = np.arange(len(picks))
-                each = run_hash(hashes, at, at + least).view(np.int64)
-                out["run"] += run_hash(hashes, first, end + least - 1).view(np.int64).tolist()
-                out["gram"] += gram[good].tolist()
-                at_row += [row] * len(first)
-                out["first"] += first.tolist()
-                out["windows"] += [each[i:j] for i, j in zip(first.tolist(), end.tolist(), strict=True)]
-            return out | {"id": batch.column("id").take(pa.array(at_row, pa.int64()))}
+                begin = np.flatnonzero(np.concatenate([np.ones(1, bool), picks[1:] != picks[:-1]]))
+                end = np.append(begin[1:], len(picks))
+                gram = grams[picks[begin]].view(np.int64)
+                place = np.searchsorted(repeated, gram)
+                good = repeated[np.minimum(place, len(repeated) - 1)] == gram if len(repeated) else np.zeros(len(gram), bool)
+                each = run_hash(hashes, first, first + least)[np.repeat(good, end - begin)]
+                begin, end = begin[good], end[good]
+                row = np.searchsorted(bounds, first[begin], side="right") - 1
+                found["run"].append(run_hash(hashes, first[begin], first[end - 1] + least).view(np.int64))
+                found["gram"].append(gram[good])
+                found["first"].append((first[begin] - bounds[row]).astype(np.int32))
+                found["row"].append(row + start)
+                found["values"].append(each)
+                found["sizes"].append(end - begin)
+            own = {k: np.concatenate([np.zeros(0, np.int64 if k != "first" else np.int32), *found[k]]) for k in ("run", "gram", "first", "row")}
+            return own | {"id": batch.column("id").take(pa.array(own["row"])), "windows": listed(found["values"], found["sizes"])}
 
         return apply
 
@@ -172,8 +193,16 @@ def document_key(id_col: str, text_col: str) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
 
 
-def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete; ``id`` is their document_key.
+def one_text_each(df: DataFrame, id_col: str, text_col: str) -> bool:
+    """Whether no id has two texts: a partial aggregate over ids and hashes alone."""
+    each = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).filter("id is not null").groupBy("id")
+    return not each.agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").limit(1).count()
+
+
+def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete.
+
+    ``id`` is ``key``, which tells documents apart and puts them in order.
 
     1. Each text's words are hashed; of the runs of GRAM words in every window of ``least``
        words, the minimum is a fingerprint, so that any run of so many words has one wherever
@@ -189,7 +218,7 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pair of positions, which makes all pairs of a passage's copies, every window around a
     fingerprint that occurs again is looked up by its hash. The runs found are the same.
     """
-    rows = df.select(document_key(id_col, text_col).alias("id"), F.col(text_col).alias("text")).filter("id.id is not null and text <> ''")
+    rows = df.filter(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     table = stored(indexed(rows, least), "picks")
     picks = table.select("id", F.explode("picks").alias("hash"))
     again = stored(picks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "again")
@@ -211,21 +240,24 @@ def repeated_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
-    """The text without the cut words, the number of lines that lost some, and their number."""
-    found = lines(text)
-    gone = np.zeros(len(found) + 1, np.int64)
-    for first, end in cuts:
-        gone[first] += 1
-        gone[end] -= 1
-    gone = (np.cumsum(gone)[:-1] > 0).tolist()
-    kept, line, touched = [], 0, set()
-    for unit, g in zip(found, gone, strict=True):
-        if g:
-            touched.add(line)
-        else:
-            kept.append(unit)
-        line += _LINE_END.search(unit) is not None
-    return "".join(kept), len(touched), sum(gone)
+    """The text without the cut words, the number of lines that lost some, and their number.
+
+    A word goes with the white space after it, the first one with that before it, too; a
+    line ends at a line break or at a full stop, exclamation or question mark before a space.
+    """
+    codes = code_points([text])
+    start, _ = word_edges(codes)
+    change = np.zeros(len(start) + 1, np.int64)
+    np.add.at(change, [c[0] for c in cuts], 1)
+    np.add.at(change, [c[1] for c in cuts], -1)
+    gone = np.cumsum(change)[:-1] > 0
+    bounds = np.concatenate([[0], start[1:], [len(codes)]])
+    ends = codes == 10
+    ends[:-1] |= np.isin(codes[:-1], STOPS) & (codes[1:] == 32)
+    ends = np.add.reduceat(ends, bounds[:-1]) > 0
+    line = np.cumsum(ends) - ends
+    kept = codes[np.repeat(~gone, np.diff(bounds))]
+    return kept.tobytes().decode("utf-32-le", "surrogatepass"), len(np.unique(line[gone])), int(gone.sum())
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
@@ -244,18 +276,25 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     """
     df = df.drop("removed_lines", "removed_words")
     key, cut = free_name(df, "_cut_id"), free_name(df, "_cuts")
-    found = stored(repeated_runs(df, id_col, text_col, least), "cuts").select(F.col("id").alias(key), F.col("cuts").alias(cut))
-    rows = df.join(found, document_key(id_col, text_col) == F.col(key), "left").drop(key)
+    own = F.col(id_col) if one_text_each(df, id_col, text_col) else document_key(id_col, text_col)
+    found = stored(repeated_runs(df, own, id_col, text_col, least), "cuts").select(F.col("id").alias(key), F.col("cuts").alias(cut))
+    rows = df.join(found, own == F.col(key), "left").drop(key)
     kinds = T.StructType([*df.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
 
     def make():
         def apply(batch):
-            done = [
-                without(text, [(c["first"], c["end"]) for c in gone]) if gone and text else (text, 0, 0)
-                for text, gone in zip(batch.column(text_col).to_pylist(), batch.column(cut).to_pylist(), strict=True)
-            ]
             own = {name: batch.column(name) for name in batch.schema.names if name != cut}
-            return own | {text_col: [d[0] for d in done], "removed_lines": [d[1] for d in done], "removed_words": [d[2] for d in done]}
+            gone = batch.column(cut)
+            at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))  # only documents with cuts
+            lines_, words = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
+            if len(at):
+                texts, cuts = (x.take(pa.array(at)).to_pylist() for x in (own[text_col], gone))
+                done = [without(text, [(c["first"], c["end"]) for c in each]) for text, each in zip(texts, cuts, strict=True)]
+                mask = np.zeros(batch.num_rows, bool)
+                mask[at] = True
+                own[text_col] = pc.replace_with_mask(own[text_col], pa.array(mask), pa.array([d[0] for d in done], own[text_col].type))
+                lines_[at], words[at] = [d[1] for d in done], [d[2] for d in done]
+            return own | {"removed_lines": lines_, "removed_words": words}
 
         return apply
 

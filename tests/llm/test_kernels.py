@@ -110,24 +110,51 @@ def test_lines_join_to_the_text(text):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9)), max_size=30), st.integers(1, 12))
-def test_window_minima_and_run_hashes(units, least):
-    hashes = np.array([h for h, _ in units], np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    words = np.array([w for _, w in units], np.int64)
-    first, end, begin, until = linededup.windows(words, least)
-    plain = [(i, next(j for j in range(i, len(words) + 1) if words[i:j].sum() >= least)) for i in range(len(words)) if words[i:].sum() >= least]
-    assert list(zip(first.tolist(), end.tolist(), strict=True)) == plain
-    back = [(max(i for i in range(j) if words[i:j].sum() >= least), j) for j in range(1, len(words) + 1) if words[:j].sum() >= least]
-    assert list(zip(begin.tolist(), until.tolist(), strict=True)) == back
-    order = [((15 - min(int(w), 15)) << 60) | (int(h) >> 4) for h, w in zip(hashes, words, strict=True)]
-    for i, j, p in zip(first, end, linededup.minima(hashes, words, first, end), strict=True):
-        best = min(order[i:j])
-        assert p == max(k for k in range(i, j) if order[k] == best)
-    runs = linededup.RunHashes()(hashes, first, end).tolist()
-    same = {}
-    for (i, j), h in zip(plain, runs, strict=True):
-        same.setdefault(tuple(hashes[i:j].tolist()), set()).add(h)
-    assert all(len(v) == 1 for v in same.values()) and len(same) == len(set(runs))
+@given(st.lists(st.integers(0, 9), min_size=1, max_size=60), st.integers(1, 40))
+def test_windows_select_their_last_smallest(order, size):
+    got = linededup.selected(np.array(order, np.uint64), size) if size <= len(order) else []
+    assert list(got) == [max(k for k in range(i, i + size) if order[k] == min(order[i : i + size])) for i in range(len(order) - size + 1)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("a b\u3000c d e".split()), max_size=80).map(" ".join), min_size=1, max_size=5), st.integers(1, 30))
+def test_runs_of_texts_together_are_those_of_each(texts, least):
+    run_hash = linededup.RunHashes()
+    hashes, bounds = linededup.hashed(texts, run_hash)
+    grams, first, picks = linededup.chosen(hashes, bounds, least, run_hash)
+    plain = [t.split() for t in texts]
+    assert list(np.diff(bounds)) == [len(w) for w in plain]
+    assert [int(i) for i in first] == [int(bounds[t]) + i for t, w in enumerate(plain) for i in range(len(w) - least + 1)]
+    at = {int(bounds[t]) + i: (t, i) for t, w in enumerate(plain) for i in range(len(w))}
+    size, same, runs = min(linededup.GRAM, least), {}, {}
+    for i, p in zip(first.tolist(), picks.tolist(), strict=True):
+        t, k = at[i]
+        assert k <= p - i + k <= k + least - size
+        # equal windows select equal places and have equal hashes, unlike ones unlike hashes
+        assert same.setdefault(tuple(plain[t][k : k + least]), p - i) == p - i
+        assert runs.setdefault(tuple(plain[t][k : k + least]), int(run_hash(hashes, np.array([i]), np.array([i + least]))[0])) == int(run_hash(hashes, np.array([i]), np.array([i + least]))[0])
+    assert len(set(runs.values())) == len(runs)
+
+
+def plain_without(text, cuts):
+    units, gone, line, touched, kept = linededup.lines(text), set(), 0, set(), []
+    for first, end in cuts:
+        gone.update(range(first, end))
+    for n, unit in enumerate(units):
+        if n in gone:
+            touched.add(line)
+        else:
+            kept.append(unit)
+        line += re.search(r"\n|[.!?]\x20", unit) is not None
+    return "".join(kept), len(touched), len(gone)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab .!?\n\u3000é", min_size=1, max_size=60).filter(lambda t: t.strip()), st.data())
+def test_cut_texts_are_those_of_the_plain_loop(text, data):
+    n = len(text.split())
+    cuts = data.draw(st.lists(st.tuples(st.integers(0, n - 1), st.integers(1, 9)).map(lambda x: (x[0], min(n, x[0] + x[1]))), min_size=1, max_size=4))
+    assert linededup.without(text, cuts) == plain_without(text, cuts)
 
 
 def test_candidates_are_all_near_pairs_once():
