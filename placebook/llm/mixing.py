@@ -65,7 +65,7 @@ def plan(rows: DataFrame, repeats: int = MOST_REPEATS, ramps: tuple[float, ...]
     goal = stored(goal.withColumn("rest", F.col("want") - F.col("passes") * F.col("source_size")), "goal")
     streams = prefix_sums(rows, ["source"], "slice", ["hash", "size", "key"], "words", "before")
     placed = streams.join(goal, F.col("source").eqNullSafe(F.col("of"))).withColumn("last", 2 * F.col("before") + F.col("words") <= 2 * F.col("rest"))
-    placed = stored(placed, "placed")
+    held = placed = stored(placed, "placed")
     # what the last pass lacks or has too much, and the one document that mends it best
     miss = placed.groupBy(F.col("source").alias("of")).agg((F.first("rest") - F.sum(F.when(F.col("last"), F.col("words")).otherwise(F.lit(0)))).alias("miss"))
     miss = stored(miss, "miss")
@@ -79,7 +79,7 @@ def plan(rows: DataFrame, repeats: int = MOST_REPEATS, ramps: tuple[float, ...]
     each = F.transform(F.sequence(F.lit(0).cast("long"), times - 1), lambda e: inverse_schedule((e * whole + F.col("before") + words / 2) / F.greatest("want", F.lit(1)), ramp))
     placed = placed.withColumn("positions", F.when(times > 0, each).otherwise(F.array().cast("array<double>")))
     out = stored(placed.select("key", "size", "source_size", "target", "times", "positions"), "plan")
-    discard(rows, goal, miss, turned)
+    discard(rows, goal, held, miss, turned)
     return out
 
 
@@ -120,8 +120,9 @@ def curriculum_mix(
     key = F.struct(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text"))
     found = plan(measured(df, key, id_col, text_col, source_col, seed, size), repeats, ramps)
     found = found.withColumn("taken", F.col("size") * F.col("times"))
-    own = free_name(df, "_mix_key")
-    return df.join(found.select(F.col("key").alias(own), *made), key == F.col(own)).select(*df.columns, *made)
+    mine, own = (free_name(df, x) for x in ("_mix_key", "_mix_plan"))
+    # the key is a column before the join, so that a text that nobody asks for isn't exchanged
+    return df.withColumn(mine, key).join(found.select(F.col("key").alias(own), *made), F.col(mine) == F.col(own)).select(*df.columns, *made)
 
 
 def inverse_schedule(share: Column, ramp: Column) -> Column:
