@@ -24,9 +24,17 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-# Keys whose form tells what they are, and the values that a name for a secret is given.
-KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[opsu]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----")
-SECRET = re.compile(r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}[=:][\x20\t]{0,3}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([^\s\"',;]{8,512}))")
+# Keys whose form tells what they are; each pattern is looked for only where its first characters stand.
+KEYS = {
+    "AKIA": re.compile(r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    "ASIA": re.compile(r"(?<![A-Za-z0-9])ASIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    **{f"gh{kind}_": re.compile(rf"(?<![A-Za-z0-9])gh{kind}_[A-Za-z0-9]{{36}}(?![A-Za-z0-9])") for kind in "opsu"},
+    "-----BEGIN ": re.compile(r"-----BEGIN (?:[A-Z]{2,9} ){0,2}PRIVATE KEY-----"),
+}
+# A name for a secret up to the sign that gives it a value, and the value.
+SECRET_NAME = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\x20\t]{0,3}$", re.IGNORECASE)
+SECRET_VALUE = re.compile(r"[\x20\t]{0,3}(?:\"([^\"\s]{8,512})\"|'([^'\s]{8,512})'|([^\s\"',;]{8,512}))")
+NAME_ROOM = 16
 #: Bits that a character of a secret has at least, by the frequencies of the value's characters; prose has no digits besides.
 SECRET_BITS = 2.0
 
@@ -140,9 +148,20 @@ def is_secret(value: str) -> bool:
 
 
 def secrets(text: str) -> list[tuple[int, int]]:
-    """The values, without their quotes, that names for secrets are given."""
-    found = (m.span(m.lastindex) for m in SECRET.finditer(text))
-    return [(start, end) for start, end in found if is_secret(text[start:end])]
+    """The values, without their quotes, that names for secrets are given, found from each = and : outwards."""
+    out, end = [], 0
+    for sign in re.finditer("[=:]", text) if "=" in text or ":" in text else ():
+        at = sign.start()
+        if at >= end and SECRET_NAME.search(text[max(end, at - NAME_ROOM) : at]) and (m := SECRET_VALUE.match(text, at + 1)):
+            start, stop = m.span(m.lastindex)
+            if is_secret(text[start:stop]):
+                out.append((start, stop))
+                end = m.end()
+    return out
+
+
+def access_keys(text: str) -> list[tuple[int, int]]:
+    return sorted(m.span() for first, pattern in KEYS.items() if first in text for m in pattern.finditer(text))
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
@@ -164,7 +183,8 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     secret a name before it and a value that is no word; a key's form is enough.
     """
     found = [("email", *x) for x in emails(text)] + [("iban", *x) for x in ibans(text)] + [("secret", *x) for x in secrets(text)]
-    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn), ("key", KEY, bool)):
+    found += [("key", *x) for x in access_keys(text)]
+    for kind, pattern, check in (("ip", IP, is_ip), ("card", CARD, is_card), ("phone", PHONE, is_phone), ("ssn", SSN, is_ssn)):
         found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if check(m[0])]
     scored = [(k, s, e, score(text, k, s, e)) for k, s, e in found]
     return sorted((x for x in scored if x[3] >= NEEDED), key=lambda x: (x[1], KINDS.index(x[0])))
