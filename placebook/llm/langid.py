@@ -168,7 +168,7 @@ class Limit:
     between: float = 0.0  # variance of documents beyond that of their letters
     letter: float = 0.0  # variance of one letter's cost
     worst: float = 0.0  # how many standard deviations over the mean the worst document is
-    floor: float = 0.0  # the most that an even mixture of two known languages costs
+    floor: float = 0.0  # the most that an even mixture costs, of two known languages or of the language and letters in no order
 
     def at(self, n: int) -> float:
         chance = NormalDist().inv_cdf(1 - REJECT_RATE) * (self.letter / n) ** 0.5
@@ -181,15 +181,24 @@ def mixture_cost(means: np.ndarray) -> float:
     return max((float(((row + known) / 2).min(axis=1).max()) for row in known), default=0.0)
 
 
-def calibrated(rows: list[tuple[int, float, float]], floor: float) -> Limit:
-    """The limit from (letters, cost, variance of a letter's cost) of the language's documents; without documents nothing is rejected."""
+def scrambled(units: np.ndarray) -> np.ndarray:
+    """The same letters and spaces in no order; equal texts are scrambled alike."""
+    return np.random.default_rng(len(units)).permutation(units)
+
+
+def calibrated(rows: list[tuple[int, float, float, float]], floor: float) -> Limit:
+    """The limit from (letters, cost, variance of a letter's cost, cost of the scrambled text) of the language's documents.
+
+    A text stays whose cost is that of a mixture, half of which is in the language; without
+    documents nothing is rejected.
+    """
     if not rows:
         return Limit()
-    n, cost, letter = (np.array(x, float) for x in zip(*rows, strict=True))
+    n, cost, letter, noise = (np.array(x, float) for x in zip(*rows, strict=True))
     mean, own = float(cost.mean()), float(letter.mean())
     between = max(0.0, float(cost.var(ddof=1)) - own * float((1 / n).mean())) if len(n) > 1 else 0.0
     worst = float(((cost - mean) / np.sqrt(between + own / n + 1e-12)).max())
-    return Limit(mean, between, own, max(worst, 0.0), floor)
+    return Limit(mean, between, own, max(worst, 0.0), max(floor, (mean + float(noise.mean())) / 2))
 
 
 @dataclass
@@ -288,25 +297,26 @@ def train(
         who = shared.value
 
         def apply(batch):
-            out = {k: [] for k in ("lang", "model", "n", "cost", "letter")}
+            out = {k: [] for k in ("lang", "model", "n", "cost", "letter", "noise")}
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 codes, n = counted(text)
-                letters_ = int(n.sum())
+                mixed, letters_ = grams(scrambled(letters(text))), int(n.sum())
                 if letters_ < CHECK_LETTERS:
                     continue
                 for model, scorer in zip(who.langs, who.models, strict=True):
                     logs = scorer.log_prob(codes)
                     cost = -float(n @ logs) / letters_
-                    for k, v in zip(out, (lang, model, letters_, cost, float(n @ (logs + cost) ** 2) / letters_), strict=True):
+                    noise = -float(scorer.log_prob(mixed).mean()) if model == lang else None
+                    for k, v in zip(out, (lang, model, letters_, cost, float(n @ (logs + cost) ** 2) / letters_, noise), strict=True):
                         out[k].append(v)
             return out
 
         return apply
 
-    checks = stored(map_batches(sample.filter("check").select("text", "lang"), "lang string, model string, n bigint, cost double, letter double", heights), "checks")
+    checks = stored(map_batches(sample.filter("check").select("text", "lang"), "lang string, model string, n bigint, cost double, letter double, noise double", heights), "checks")
     own: dict[str, list] = {}
-    for r in checks.filter("lang = model").select("lang", "n", "cost", "letter").collect():  # fit_docs / 5 a language on average
-        own.setdefault(r["lang"], []).append((r["n"], r["cost"], r["letter"]))
+    for r in checks.filter("lang = model").select("lang", "n", "cost", "letter", "noise").collect():  # fit_docs / 5 a language on average
+        own.setdefault(r["lang"], []).append((r["n"], r["cost"], r["letter"], r["noise"]))
     means = np.full((len(found.langs),) * 2, np.nan)
     for r in checks.groupBy("lang", "model").agg(F.avg("cost").alias("cost")).collect():  # a row for two languages
         if r["lang"] in found.langs:

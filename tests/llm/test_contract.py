@@ -292,8 +292,8 @@ def test_rejection_comes_from_the_calibrating_documents(spark):
     halves = [" ".join((a[:400], b[:400])) for a, b in zip(texts[::2], texts[1::2], strict=False)]
     assert sum(who.predict(halves)[3]) <= 0.01 * len(halves)
     assert langid.calibrated([], 2.0).at(9) == math.inf
-    loose, tight = langid.calibrated([(100, 1.0, 1.0), (100, 1.4, 1.0)], 3.0), langid.calibrated([(100, 1.0, 1.0), (100, 1.1, 1.0)], 1.2)
-    assert loose.at(100) > tight.at(100) and loose.at(10) > loose.at(1000)
+    loose, tight = langid.calibrated([(100, 1.0, 1.0, 2.0), (100, 1.4, 1.0, 2.0)], 3.0), langid.calibrated([(100, 1.0, 1.0, 2.0), (100, 1.1, 1.0, 2.0)], 1.2)
+    assert loose.at(100) > tight.at(100) and loose.at(10) > loose.at(1000) and tight.floor == (1.05 + 2.0) / 2
     nan = math.nan
     assert langid.mixture_cost(np.array([[1.0, 3.0, 2.0], [4.0, 1.0, 2.5], [nan, nan, nan]])) == 2.0 and langid.mixture_cost(np.full((2, 2), nan)) == 0.0
 
