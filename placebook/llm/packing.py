@@ -62,7 +62,7 @@ class ChunkEncoder:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         sign = byte_of_sign()
         ranks = {bytes(sign[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
-        self.merge = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        self.merge = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
