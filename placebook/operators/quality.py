@@ -22,9 +22,11 @@ def with_reason(df: DataFrame, rules: list[tuple[str, Column]], out: str = "reje
 
 def keep_one(df: DataFrame, keys: list[str], order: list[Column], out: str | None = None) -> DataFrame:
     """The first row of each key in the given order; with ``out`` all rows, marked. Null keys are one key."""
-    name = out or "_first"
-    marked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
-    return marked if out else marked.filter(name).drop(name)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    if out:
+        return df.withColumn(out, place == 1)
+    # a bound on the rank itself lets the engine cut each key's rows before they are exchanged
+    return df.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def validated(df: DataFrame, rules: list[tuple[str, Column]], keys: list[str], order: list[Column], before: int | None = None) -> DataFrame:
