@@ -55,11 +55,12 @@ def integrated_region(sigungu: Column, others: bool = False) -> Column:
     return F.when(head.isin(fixed.GWANGJU_DISTRICTS), "광주").otherwise(rest)
 
 
-def address_steps(address: Column | str, region: Column | str, variant: str = "merge") -> list[dict[str, Column]]:
+def address_steps(address: Column | str, region: Column | str, variant: str = "merge", composed: bool = False) -> list[dict[str, Column]]:
     """Columns to add one step after another; the last step's ``address_key`` is null if a rule fails.
 
     variant "southwest": other districts of the integrated city are 전남, the district is
     always needed, and a region that is the integrated city itself is not accepted.
+    ``composed``: the text is in NFKC already.
     """
     c = F.col
     merge = variant == "merge"
@@ -75,7 +76,7 @@ def address_steps(address: Column | str, region: Column | str, variant: str = "m
     lot = F.concat_ws("|", F.lit("지번"), plain_norm(c("_em")), plain_norm(first(c("_lot_text"), LOT)), number(c("_lot_text"), LOT, 2, 3))
     bare = F.concat_ws("|", F.lit("지번"), plain_norm(c("_em")), number(c("_after_em"), LOT_NUMBER, 1, 2))
     return [
-        {"_text": F.regexp_replace(strip(clean_text(address), " ,./"), SEJONG_TWICE, "$1")},
+        {"_text": F.regexp_replace(strip(squeeze(F.coalesce(_col(address), F.lit(""))) if composed else clean_text(address), " ,./"), SEJONG_TWICE, "$1")},
         {"_prefix": first(c("_text"), PREFIX), "_tail": after(c("_text"), PREFIX)},
         {"_si": first(c("_tail"), SIGUNGU)},
         {"_tail2": F.when(c("_si").isNotNull(), after(c("_tail"), SIGUNGU)).otherwise(c("_tail"))},
@@ -100,10 +101,10 @@ def address_steps(address: Column | str, region: Column | str, variant: str = "m
     ]
 
 
-def with_address(df, address: str = "address", region: str = "region", variant: str = "merge"):
+def with_address(df, address: str = "address", region: str = "region", variant: str = "merge", composed: bool = False):
     """The rows with address_key, cleaned_address and sigungu; null where the address can't be placed in the region."""
     made = []
-    for step in address_steps(address, region, variant):
+    for step in address_steps(address, region, variant, composed):
         df = df.withColumns(step)
         made += step
     df = df.withColumn("sigungu", F.when(F.col("_ok"), F.col("sigungu")))
@@ -301,3 +302,48 @@ def allowed_region(region: Column | str, allowed: list[str]) -> Column:
     r = F.trim(_col(region))
     integrated = F.lit(bool({"광주", "전남"} & set(allowed)))
     return F.coalesce(F.when(r.isin(fixed.INTEGRATED), integrated).otherwise(region_of(r).isin(allowed)), F.lit(False))
+
+
+def with_mended(df, address: str = "address", default: str = "region"):
+    """Addresses of the southwest as ledgers have them, brought to the form with their region in front: mended_region, mended_address, mended_key.
+
+    Owners and "and n others" go. A region is written out, that of the integrated city is told
+    by its district; without one the district tells it, or else the default. An address that
+    begins with neither is read again from the first place where one may begin. Null where
+    no address can be parsed.
+    """
+    c = F.col
+    pairs = lambda m: F.create_map(*[F.lit(x) for pair in m.items() for x in pair])
+    by_district = pairs({d: r for r, group in fixed.SOUTHWEST_DISTRICTS.items() for d in group})
+    full = pairs({r: fixed.REGION_SPELLINGS[r][0] for r in fixed.SOUTHWEST_DISTRICTS})
+    mine = lambda r: F.when(r.isin(list(fixed.SOUTHWEST_DISTRICTS)), r)
+
+    def plain(x: Column) -> Column:
+        for pattern in (fixed.PERSON_FIRST, fixed.PERSON_LAST, AND_OTHERS):
+            x = F.regexp_replace(x, pattern, "")
+        return F.when(F.length(x) >= 3, x)
+
+    def settled(df, *names: str):
+        """The columns as they are from here on: an explode is never merged with what follows, so that steps are computed once."""
+        return df.withColumn("_once", F.explode(F.array(F.struct(*names)))).drop(*names).select("*", "_once.*").drop("_once")
+
+    kept, made = [x for x in df.columns if x == "sigungu"], []
+    df = df.withColumnsRenamed({x: "_own_sigungu" for x in kept})  # with_address tells one itself
+    df = settled(df.withColumn("_x0", strip(clean_text(address), " ,./")), "_x0")
+    for n in (0, 1):
+        x, prefix, rest, region, key, written, clean = (f"_{k}{n}" for k in ("x", "prefix", "rest", "region", "key", "written", "clean"))
+        if n:  # from the first place where an address may begin, if it begins with no region
+            again = strip(F.regexp_extract("_x0", rf"^.+?({fixed.SOUTHWEST_START}.*)$", 1), " ,./")
+            df = df.withColumn(x, F.when(c("_prefix0").isNull(), again))
+        df = settled(df.withColumn(x, plain(c(x))).withColumn(prefix, first(c(x), PREFIX)).withColumn(rest, after(c(x), PREFIX)), x, prefix, rest)
+        integrated, named = c(prefix).isin(fixed.INTEGRATED), c(prefix).isNotNull()
+        district = first(F.when(named, c(rest)).otherwise(c(x)), SIGUNGU)
+        own = F.when(integrated, integrated_region(district, others=True)).when(named, mine(region_of(c(prefix)))).when(district.isNotNull(), mine(F.coalesce(F.element_at(by_district, district), c(default))))
+        df = df.withColumn(region, own)
+        df = df.withColumn(written, F.when(c(region).isNotNull(), F.when(integrated, c(x)).otherwise(F.concat_ws(" ", F.element_at(full, c(region)), F.when(named, c(rest)).otherwise(c(x))))))
+        df = with_address(settled(df, region, written), written, region, "southwest", composed=True).drop("sigungu").withColumnsRenamed({"address_key": key, "cleaned_address": clean})
+        df = settled(df, key, clean)
+        made += [x, prefix, rest, region, written, key, clean]
+    found = c("_key0").isNotNull()
+    df = df.withColumns({f"mended_{k}": F.when(found, c(f"_{a}0")).when(c("_key1").isNotNull(), c(f"_{a}1")) for k, a in (("region", "region"), ("address", "clean"), ("key", "key"))})
+    return df.drop(*made).withColumnsRenamed({"_own_sigungu": x for x in kept})

@@ -276,3 +276,14 @@ HEAD_OF_REGION = "(?:도지사|시장|부시장|부지사)(?:실)?$"
 TITLE_BRACKET = r"[(\[]([^()\[\]]+)[)\]]"
 TITLE_LEAD = r"(?:^|^\d{4}년\s*(?:\d{1,2}월\s*)?|^\d{1,2}월\s*)([A-Za-z0-9가-힣]+)\s+(?:업무추진비|시책|기관운영|집행내역)"
 OWN_INSTITUTION = r"([가-힣]+(?:소방서|대학교|대학))"
+# The region of each district of the southwest, and where an address with words before it begins.
+SOUTHWEST_DISTRICTS = {
+    "광주": ["동구", "서구", "남구", "북구", "광산구"],
+    "전북": ["전주시", "군산시", "익산시", "정읍시", "남원시", "김제시", "완주군", "진안군", "무주군", "장수군", "임실군", "순창군", "고창군", "부안군"],
+    "전남": [
+        "목포시", "여수시", "순천시", "나주시", "광양시", "담양군", "곡성군", "구례군", "고흥군", "보성군", "화순군", "장흥군", "강진군", "해남군", "영암군",
+        "무안군", "함평군", "영광군", "장성군", "완도군", "진도군", "신안군",
+    ],
+    "제주": ["제주시", "서귀포시"],
+}
+SOUTHWEST_START = r"(전남광주통합특별시|광주광역시|전북특별자치도|전라북도|전라남도|제주특별자치도|제주도|[가-힣]{1,5}(?:시|군|구)\s|[가-힣A-Za-z0-9·]+(?:로|길)\s?\d)"

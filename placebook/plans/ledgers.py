@@ -254,6 +254,31 @@ def placed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 DISTRICTS_TOLD = ["수원시", "수원시", "유성구", "중구", "중구", "서구", None, None, "서구", None, "수원시", "청주시"]
 PLACED_SQL = expected_sql(placed_region=[x[2] if x[3] else None for x in PLACED], placed_address=[x[3] for x in PLACED], district=DISTRICTS_TOLD)
 
+MENDED = [
+    # address, default, region, mended, key
+    ("광주 북구 우치로 100", "전남", "광주", "광주광역시 북구 우치로 100", "광주|북구|도로|우치로|100"),
+    ("전주시 완산구 효자로 225", "전남", "전북", "전북특별자치도 전주시 완산구 효자로 225", "전북|전주시 완산구|도로|효자로|225"),
+    ("홍길동, 전남 나주시 빛가람로 1 외 2명", "전북", "전남", "전라남도 나주시 빛가람로 1", "전남|나주시|도로|빛가람로|1"),
+    ("전남광주통합특별시 광산구 상무대로 5", "전북", "광주", "전남광주통합특별시 광산구 상무대로 5", "광주|광산구|도로|상무대로|5"),
+    ("전남광주통합특별시 나주시 빛가람로 7", "전북", "전남", "전남광주통합특별시 나주시 빛가람로 7", "전남|나주시|도로|빛가람로|7"),
+    ("가연 앞 제주시 연동 312-1", "제주", "제주", "제주특별자치도 제주시 연동 312-1", "제주|제주시|지번|연동|312-1"),
+    ("우치로 100", "광주", None, None, None),
+    ("부산 중구 중앙대로 1", "전남", None, None, None),
+    ("중구 무교로 21", "전북", "전북", "전북특별자치도 중구 무교로 21", "전북|중구|도로|무교로|21"),
+    ("중구 무교로 21", "서울", None, None, None),
+    ("", "전남", None, None, None),
+    (None, "전남", None, None, None),
+]
+
+
+def mended_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the southwest with their region in front, by what they name or by the ledger's region."""
+    rows = adr.with_mended(cases(spark, sf_dir, [x[:2] for x in MENDED]).withColumn("sigungu", F.lit("own")), "in0", "in1")
+    return rows.select("s_suppkey", "mended_region", "mended_address", "mended_key", "sigungu")
+
+
+MENDED_SQL = expected_sql(mended_region=[x[2] for x in MENDED], mended_address=[x[3] for x in MENDED], mended_key=[x[4] for x in MENDED], sigungu=["own"])
+
 NAMES_TOLD = [
     # written, norm_text, registry_name, business_name, place_name, display_name, client_name
     ("（주）행복 식당", "주행복식당", "행복식당", "（주）행복식당", "행복식당", "（주）행복 식당", "행복식당"),
@@ -383,7 +408,7 @@ def sorted_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = payments(spark, sf_dir)
     keys = ["region", "institution", F.col("payment_date").desc(), "record_id"]
-    return p.select("record_id", F.row_number().over(Window.partitionBy("region").orderBy(*keys[1:])).alias("place"))
+    return p.select("record_id", F.row_number().over(Window.partitionBy("region").orderBy(*keys[1:])).cast("long").alias("place"))
 
 
 SORTED_SQL = f"WITH {P} SELECT record_id, row_number() OVER (PARTITION BY region ORDER BY institution, payment_date DESC, record_id) AS place FROM p"
@@ -476,7 +501,7 @@ FROM customer WHERE c_custkey % 11 <> 0 AND 800 + c_custkey % 300 >= 900 AND c_c
 
 
 QUERIES = {f.__name__: f for f in (
-    ledger_headers, daily_ledgers, ledger_scan, json_line_scan, optional_items, holiday_feeds, registry_lookup, registry_conflicts, registry_integrated, matched_places, catalog_matches, placed_addresses,
+    ledger_headers, daily_ledgers, ledger_scan, json_line_scan, optional_items, holiday_feeds, registry_lookup, registry_conflicts, registry_integrated, matched_places, catalog_matches, placed_addresses, mended_addresses,
     name_rules, unit_rules, purpose_units, old_postings, redacted_names, ledger_places, reduced_rows, amounts_and_dates, sorted_payments, fresh_places, first_spellings, versions_and_links, source_counts, stored_ids, photo_candidates,
 )}
 SQL = {
@@ -492,6 +517,7 @@ SQL = {
     "matched_places": MATCHED_SQL,
     "catalog_matches": CATALOG_MATCH_SQL,
     "placed_addresses": PLACED_SQL,
+    "mended_addresses": MENDED_SQL,
     "name_rules": NAME_RULES_SQL,
     "unit_rules": UNIT_RULES_SQL,
     "purpose_units": PURPOSE_UNITS_SQL,
