@@ -160,8 +160,8 @@ def test_photos_are_dealt_out_once(spark):
 
 def test_answers(spark):
     df = spark.createDataFrame([(2, "b", 1.5), (1, "a", None)], "ordinal int, id string, distance double")
-    body = serve.response(df, "kakao", "d").collect()[0]["body"]
-    assert body == '{"restaurants":[{"id":"a"},{"id":"b","distance":1.5}],"source":"kakao","disclaimer":"d"}'
+    body = serve.response(df, "source", "d").collect()[0]["body"]
+    assert body == '{"restaurants":[{"id":"a"},{"id":"b","distance":1.5}],"source":"source","disclaimer":"d"}'
     answers = spark.createDataFrame([(200, body), (503, "x"), (None, None), (200, "no json")], "status int, body string")
     got = serve.decoded_response(answers, "id string, distance double").collect()
     assert sorted((r["id"] or "-", r["error"] or "-") for r in got) == [("-", "badResponse 503"), ("-", "decoding"), ("-", "transport"), ("a", "-"), ("b", "-")]
