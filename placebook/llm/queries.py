@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact import content_sort_dedup
+from .jaccard import jaccard_components
 from .langid import held_out, identify, train
 from .linededup import line_dedup
 from .media import interleave, media_store, resolve, sequences, text_media
@@ -13,7 +14,9 @@ from .minhash import near_duplicates
 from .mixing import curriculum_mix
 from .packing import pack_documents
 from .pii import BASE_KINDS, KINDS, detect_pii
+from .search import ranked_search
 from .sharding import shuffle_into_shards
+from .shredding import infer_schema
 from .tokencount import count_tokens
 
 
@@ -257,6 +260,102 @@ def op10_trie_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir))
 
 
+def op11_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), size=5, percent=80)
+
+
+OP11_SQL = OP1_SQL.replace(
+    "len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])",
+    "len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))",
+)
+OP11_SQL = OP11_SQL.replace(">= 85 * (", ">= 80 * (").replace(", d.doc_id = c.component_id AS kept", "")
+
+
+def op12_shredded_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet").select("click_id", "client_id", "props")
+    g = F.coalesce(F.pmod("client_id", F.lit(200)), F.lit(0))
+    x = F.crc32(F.coalesce(F.col("click_id").cast("string"), F.lit("")).cast("binary")) % (g % 37 + 1)
+    under = F.array(F.concat(F.lit("g"), g), F.concat(F.lit("x"), x))
+    return infer_schema(clicks, "props", under=under, boxed=F.coalesce(F.col("click_id") % 9 == 0, F.lit(False)), bad=F.concat(F.lit("!g"), g))
+
+
+def _op12_sql() -> str:
+    """The same from plain trees of values: a level of map names after the other is replaced, as many as the props have."""
+    levels, base = [], "s0"
+    for level in range(2, 9):
+        levels.append(f"""
+m{level} AS (SELECT of FROM (SELECT p[1:{level}] AS of, count(DISTINCT p[{level + 1}]) AS n FROM {base} WHERE len(p) > {level} AND p[{level + 1}][1] = '.' GROUP BY 1) WHERE n > 5),
+s{level} AS (SELECT CASE WHEN m.of IS NOT NULL THEN list_concat(list_concat(p[1:{level}], ['*']), p[{level + 2}:]) ELSE p END AS p, k, len FROM {base} s
+  LEFT JOIN m{level} m ON len(p) > {level} AND p[{level + 1}][1] = '.' AND m.of = p[1:{level}]),
+n{level} AS (SELECT p[1:{level}] AS of, count(DISTINCT p[{level + 1}]) AS n FROM {base} WHERE len(p) > {level} AND p[{level + 1}][1] = '.' GROUP BY 1)""")
+        base = f"s{level}"
+    return (
+        r"""
+WITH RECURSIVE d AS (SELECT DISTINCT click_id FROM clicks),
+c AS (SELECT click_id, encode(CAST(click_id AS VARCHAR)) AS b, 4294967295::BIGINT AS crc, 0 AS i FROM d
+  UNION ALL SELECT click_id, b, list_reduce(list_prepend(xor(crc, ('0x' || hex(array_slice(b, i + 1, i + 1)))::BIGINT), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), i + 1 FROM c WHERE i < octet_length(b)),
+h AS (SELECT click_id, xor(crc, 4294967295) AS crc FROM c WHERE i = octet_length(b)),
+r AS (SELECT coalesce(client_id, 0) % 200 AS g, crc % (coalesce(client_id, 0) % 200 % 37 + 1) AS x, click_id % 9 = 0 AS boxed,
+  CASE WHEN json_valid(props) THEN CASE WHEN json_type(props::JSON) = 'OBJECT' THEN props::JSON END END AS v FROM clicks JOIN h USING (click_id)),
+t AS (
+  SELECT ['$', '.g' || g, '.x' || x] AS p, CASE WHEN boxed THEN json_array(v) ELSE v END AS v FROM r WHERE v IS NOT NULL
+  UNION ALL
+  SELECT list_append(p, e.s), e.v FROM (SELECT p, unnest(CASE json_type(v)
+    WHEN 'OBJECT' THEN list_transform(json_keys(v), lambda k: {'s': '.' || k, 'v': json_extract(v, '$."' || k || '"')})
+    WHEN 'ARRAY' THEN list_transform(json_extract(v, '$[*]'), lambda x: {'s': '[]', 'v': x}) ELSE [] END) AS e FROM t)
+),
+s0 AS (
+  SELECT p, CASE json_type(v) WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'DOUBLE' THEN 'double' ELSE 'integer' END AS k,
+    CASE WHEN json_type(v) = 'ARRAY' THEN json_array_length(v)::BIGINT END AS len FROM t
+  UNION ALL SELECT ['$'], 'object', NULL FROM r WHERE v IS NOT NULL
+  UNION ALL SELECT ['$', '.g' || g], 'object', NULL FROM r WHERE v IS NOT NULL
+  UNION ALL SELECT ['!g' || g], 'bad', NULL FROM r WHERE v IS NULL
+),
+n1 AS (SELECT p[1:1] AS of, count(DISTINCT p[2]) AS n FROM s0 WHERE len(p) > 1 GROUP BY 1),"""
+        + ",".join(levels)
+        + f""",
+names AS ({" UNION ALL ".join(f"SELECT * FROM n{level}" for level in range(1, 9))}),
+k AS (SELECT p, k, count(*) AS n, min(len) AS lo, max(len) AS hi FROM {base} GROUP BY p, k),
+a AS (SELECT p, string_agg(k || ':' || n, '|' ORDER BY k) AS types, sum(n) AS n, coalesce(sum(n) FILTER (k = 'object'), 0) AS objects, min(lo) AS min_len, max(hi) AS max_len FROM k GROUP BY p)
+SELECT array_to_string(list_transform(a.p, lambda x: CASE WHEN x = '*' THEN '.*' ELSE x END), '') AS path, types, coalesce(names.n, 0)::BIGINT AS n_names, coalesce(names.n, 0) > 5 AND len(a.p) > 1 AS is_map,
+  coalesce(a.p[-1][1] = '.' AND len(a.p) > 1 AND a.n < up.objects, false) AS optional, a.min_len, a.max_len
+FROM a LEFT JOIN names ON names.of = a.p LEFT JOIN (SELECT p, objects FROM a) up ON len(a.p) > 1 AND up.p = a.p[1:len(a.p) - 1]
+"""
+    )
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), f AS (
+  SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL
+), d AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY doc_id
+), g AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM d
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY term
+), m AS (
+  SELECT doc_id, 75 + (25 * n * docs) // words AS m FROM d, g
+), s AS (
+  SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM (SELECT item_id, term, count(*) AS r FROM q GROUP BY ALL) JOIN w USING (term) JOIN f USING (term) JOIN m USING (doc_id) GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
+"""
+
+
 def kept_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op4 leaves of each text as words, and how many go."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"), lambda w: w != "")
@@ -289,6 +388,9 @@ QUERIES = {
     "op8_best_two_fit": op8_best_two_fit,
     "op9_kneser_ney": op9_kneser_ney,
     "op10_trie_token_counts": op10_trie_token_counts,
+    "op11_partenum_join": op11_partenum_join,
+    "op12_shredded_schema": op12_shredded_schema,
+    "op13_inverted_treaps": op13_inverted_treaps,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_winnowed_lines": op4_winnowed_lines,
     "op5_content_sort": op5_content_sort,
@@ -305,6 +407,9 @@ SQL = {
     "op1_multi_index_minhash": OP1_SQL,
     "op5_content_sort": OP5_SQL,
     "op6_curriculum_mix": OP6_SQL,
+    "op11_partenum_join": OP11_SQL,
+    "op12_shredded_schema": OP12_SQL,
+    "op13_inverted_treaps": OP13_SQL,
     "kept_words": KEPT_WORDS_SQL,
     "shard_rows": SHARD_ROWS_SQL,
     "shard_sizes": SHARD_SIZES_SQL,
