@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -34,6 +35,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are done.
+
+    They go when the driver's objects for them are collected, which a driver with little to
+    do puts off while they fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that ``df`` does not have yet, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -15,11 +15,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import ship
 from .arrow import map_batches
-from .common import discard, stored
-from .minhash import Shingler, components, confirmed, scramble
+from .common import discard, stored, sweep
+from .minhash import Shingler, components, confirmed, scramble, similar
 
 #: A band holds the sets with FIRST * WIDEN^b to FIRST * WIDEN^(b + 1) shingles, and serves pairs whose larger set is in it.
 FIRST, WIDEN = 8, 2
+#: A signature's lowest bits are its band.
+BANDS = 64
 #: Parts of the shingles' domain, for a band: this share of its largest size, and some more that small sets need.
 PARTS, MORE_PARTS = 0.375, 16
 #: Bits of the parities that sort out pairs, and rows of a bucket that are compared in one group, on average.
@@ -87,7 +89,8 @@ def signatures(shingles: np.ndarray, percent: int, doubled: dict[int, int]) -> n
         part, mixed = part[order], scramble(shingles[order] * SEED)
         start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         whole = np.add.reduceat(mixed, start)[:want]
-        found.append(scramble(whole ^ scramble(part[start][:want] * np.uint64(2_654_435_769) + np.uint64(band + 1))))
+        key = scramble(whole ^ scramble(part[start][:want] * np.uint64(2_654_435_769)))
+        found.append((key & ~np.uint64(BANDS - 1)) | np.uint64(band))
     return np.concatenate(found)
 
 
@@ -97,8 +100,8 @@ def parities(shingles: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
 
-def measured(rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, digest, doubled) of (id, text): set size, digest of the set, and the doublings of its bands that it needs."""
+def signed(rows: DataFrame, size: int, percent: int, doubled: dict[int, int]) -> DataFrame:
+    """(id, n, digest, keys, doubled) of (id, text): set size, digest of the set, its signatures, and the doublings of its bands that it needs."""
     kind = dict(rows.dtypes)["id"]
 
     def make():
@@ -106,55 +109,44 @@ def measured(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
         def apply(batch):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            more = [[(b, k) for b, k in doublings(s, percent).items() if k] if len(s) else [] for s in sets]
-            return {"id": batch.column("id"), "n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "doubled": more}
+            return {
+                "id": batch.column("id"),
+                "n": [len(s) for s in sets],
+                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
+                "keys": [signatures(s, percent, doubled).view(np.int64) if len(s) else None for s in sets],
+                "doubled": [[(b, k) for b, k in doublings(s, percent).items() if k > doubled.get(b, 0)] if len(s) else [] for s in sets],
+            }
 
         return apply
 
-    return map_batches(rows, f"id {kind}, n bigint, digest binary, doubled array<struct<band:int,k:int>>", make)
-
-
-def signed(texts: DataFrame, size: int, percent: int, doubled: dict[int, int]) -> DataFrame:
-    """(key, rep) of (rep, text): all signatures."""
-    kind = dict(texts.dtypes)["rep"]
-
-    def make():
-        shingle = Shingler(size)
-
-        def apply(batch):
-            keys = [signatures(shingle(t), percent, doubled) for t in batch.column("text").to_pylist()]
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            return {"key": np.concatenate(keys).view(np.int64), "rep": batch.column("rep").take(at)}
-
-        return apply
-
-    return map_batches(texts, f"key bigint, rep {kind}", make)
+    return map_batches(rows, f"id {kind}, n bigint, digest binary, keys array<bigint>, doubled array<struct<band:int,k:int>>", make)
 
 
 def set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(rep, n, shingles, fine) of (rep, text)."""
-    kind = dict(texts.dtypes)["rep"]
+    """(rep, leader, leads, n, digest, shingles, fine) of (rep, leader, leads, text)."""
 
     def make():
         shingle = Shingler(size)
 
         def apply(batch):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "shingles": [s.view(np.int64) for s in sets], "fine": [parities(s) for s in sets]}
+            out = {c: batch.column(c) for c in ("rep", "leader", "leads")}
+            out |= {"n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]}
+            return out | {"shingles": [s.view(np.int64) for s in sets], "fine": [parities(s) for s in sets]}
 
         return apply
 
-    return map_batches(texts, f"rep {kind}, n bigint, shingles array<bigint>, fine array<bigint>", make)
+    return map_batches(texts, "rep bigint, leader bigint, leads boolean, n bigint, digest binary, shingles array<bigint>, fine array<bigint>", make)
 
 
 def possible_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (x, y) of the pairs to confirm among rows sorted by (key, i, j).
 
     Rows of one (key, i, j) meet: with i = j all pairs, else those over the two blocks. A pair
-    must be of two components, of sizes that allow the similarity, and of parities that
-    differ in no more bits than the sets may in shingles.
+    must be of two components, of sizes that allow the similarity and that neither's unshared
+    parts rule out, and of parities that differ in no more bits than the sets may in shingles.
     """
-    col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "b", "rep", "comp", "n", "top")}
+    col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "b", "comp", "n", "least")}
     fine = t.column("fine").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
     new = np.ones(len(t), bool)
     new[1:] = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
@@ -168,7 +160,8 @@ def possible_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
         x = np.repeat(np.arange(at, stop), later[at:stop])
         y = np.arange(len(x)) - np.repeat(np.cumsum(later[at:stop]) - later[at:stop], later[at:stop]) + x + 1
         at = stop
-        ok = (col["comp"][x] != col["comp"][y]) & (col["n"][x] <= col["top"][y]) & (col["n"][y] <= col["top"][x])
+        ok = (col["comp"][x] != col["comp"][y]) & (col["n"][x] >= col["least"][y]) & (col["n"][y] >= col["least"][x])
+        ok &= 100 * np.minimum(col["n"][x], col["n"][y]) >= percent * np.maximum(col["n"][x], col["n"][y])
         ok &= (col["i"][x] == col["j"][x]) | (col["b"][x] != col["b"][y])
         x, y = x[ok], y[ok]
         most = (100 - percent) * (col["n"][x] + col["n"][y]) // (100 + percent)
@@ -222,10 +215,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     links. Words are cut at ASCII white space, A-Z in lower case; a text with fewer words than
     ``size`` has its whole sequence as one shingle. Null texts and texts without words have an
     empty set and are linked with nothing. Rows with a null id are linked with nothing and
-    have a null component; rows with equal ids are one document as to components. Ids may be
-    of any type that has an order; an empty table gives no rows; other columns are ignored.
+    have a null component; rows with equal ids are documents of their own. Ids may be of any
+    type that has an order; an empty table gives no rows; other columns are ignored.
 
-    1. Documents with equal sets are one class from here on; its smallest id stands for it.
+    1. Documents with equal sets are one class from here on, which has a number of its own.
     2. Each class is signed for the size bands that the larger set of a pair with it may be
        in; see ``signatures``. Every linked pair shares a signature: there is no threshold on
        chance. That the parts of a band suffice is counted over all documents; where they
@@ -233,57 +226,86 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     3. Each class is compared with one leader of its buckets, the smallest id that it shares
        most of them with. Buckets whose classes are then in one component need no more; in the
        rest pairs over two components are compared, but for those that can't reach the
-       similarity by size, by shingles that no other class of the rest has, or by parities.
+       similarity by size, by the parts that one of them shares with no other, or by parities.
        Nothing is capped, and large buckets are cut into blocks that meet two by two.
     4. Confirmation joins full sets, made anew from the texts of classes in shared buckets; a
        shingle is a 64-bit hash.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    looked = stored(measured(rows, size, percent), "measured")
-    bands = looked.select(F.explode("doubled").alias("d")).groupBy("d.band").agg(F.max("d.k").alias("k")).collect()  # at most a row a band, 60 or fewer
-    doubled = {b: k for b, k in bands}
-    sets = looked.filter(F.col("digest").isNotNull() & F.col("id").isNotNull())
-    reps = stored(sets.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    texts = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text")).join(reps.select("rep"), "rep", "left_semi")
-
-    keys = stored(signed(texts, size, percent, doubled), "keys")
-    shared = stored(keys.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader"), "shared")
-    buckets = stored(keys.join(shared, "key"), "buckets")
-    discard(keys)
+    rows, doubled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), {}
+    while True:
+        looked = stored(signed(rows, size, percent, doubled), "signed")
+        bands = looked.select(F.explode("doubled").alias("d")).groupBy("d.band").agg(F.max("d.k").alias("k")).collect()  # at most a row a band, 60 or fewer
+        if not bands:
+            break
+        doubled = doubled | {b: k for b, k in bands}
+        discard(looked)
+    # a class has a number, so that a doc knows its class without a join; should two share one, others are tried
+    sets, seed = looked.filter(F.col("digest").isNotNull() & F.col("id").isNotNull()), 0
+    while True:
+        number = F.xxhash64("digest", F.lit(seed))
+        reps = stored(sets.groupBy(number.alias("rep")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")), "classes")
+        if not reps.filter("low <> high").limit(1).count():
+            break
+        seed += 1
+        discard(reps)
+
+    keys = sets.select(F.explode("keys").alias("key"), number.alias("rep"))
+    shared = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key"), "shared")
+    # copies have the keys of their class
+    met_in = stored(keys.join(shared, "key").distinct().withColumn("band", F.col("key").bitwiseAND(BANDS - 1)), "met")
+    slim = stored(looked.select("id", "n", F.when(F.col("digest").isNotNull(), number).alias("rep")), "looked")
+    discard(shared, looked)
+    sweep(df.sparkSession)
+
+    # a part that a set shares with no other is a shingle at least that any partner differs in, which must be large enough for that
+    share = met_in.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("parts")).join(reps.select("rep", "n"), "rep")
+    own = F.expr(f"{100 - percent} * (n + 100 * n div {percent}) div {100 + percent} + 1 - parts")
+    share = share.withColumn("least", F.ceil(own * (100 + percent) / (100 - percent) - 1e-6) - F.col("n"))
+    sized = stored(met_in.join(share.select("rep", "band", "n", "least"), ["rep", "band"]).drop("band"), "sized")
+    reach = sized.groupBy("key").agg(F.max("n").alias("most_n"), F.min("least").alias("low_least"))
+    able = sized.join(reach, "key").filter("least <= most_n and n >= low_least").select("key", "rep", "n", "least")
+    able = stored(able, "able")
+    leads = able.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
+    buckets = stored(able.join(leads, "key"), "buckets")
+    discard(met_in, sized, able)
 
     votes = buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).count()
     first = stored(votes.groupBy("a").agg(F.min_by("b", F.struct(-F.col("count"), "b")).alias("b")), "first")
-    members = buckets.select("rep").distinct()
-    full = stored(set_rows(texts.join(members, "rep", "left_semi"), size), "sets")
-    links = stored(confirmed(first, full, percent), "links")
-    discard(shared, first)
+    # all that are in a bucket have a leader or are one
+    members = first.select(F.col("a").alias("rep"), F.col("b").alias("leader"), F.lit(False).alias("leads")).union(first.select("b", F.lit(None).cast("long"), F.lit(True)).distinct())
+    members = members.groupBy("rep").agg(F.max("leader").alias("leader"), F.max("leads").alias("leads")).join(reps.select("rep", "id"), "rep")
+    members = stored(members.withColumnRenamed("id", "_of"), "members")
+    # of rows with one id and other texts only the class's own text counts
+    full = set_rows(rows.join(members, F.col("id") == F.col("_of")).select("rep", "leader", "leads", "text"), size).filter(number == F.col("rep"))
+    full = stored(full.drop("digest"), "sets")
+    sweep(df.sparkSession)
+    led = full.filter("leader is not null").select("rep", "leader", F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
+    leaders = full.filter("leads").select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
+    found = led.join(leaders, F.col("leader") == F.col("b")).filter(similar(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"), percent))
+    links = stored(found.select(F.col("rep").alias("a"), "b"), "links")
+    discard(first, members)
+    sweep(df.sparkSession)
     comps = components(links, "comps")
 
     # what is left: buckets with classes of two or more components
-    at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
+    at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "least", F.coalesce("comp", "rep").alias("comp"))
     at = stored(at, "labelled")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    mixed = stored(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rest = at.join(mixed, "key")
-    inside = stored(rest.select("rep").distinct(), "inside")
-    some = stored(full.join(inside, "rep", "left_semi"), "some")
-    own = some.select("rep", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("rep")).filter("m = 1")
-    alone = own.groupBy("rep").agg(F.count(F.lit(1)).alias("alone"))
-    # x and y share at most n - alone shingles; at the similarity p they share p / (1 + p) (n_x + n_y)
-    sizes = some.select("rep", "n").join(alone, "rep", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-    sizes = sizes.withColumn("top", F.floor(F.col("most") * (100 + percent) / percent - F.col("n") + 1e-6)).filter(100 * F.col("top") >= percent * F.col("n"))
-    rest = stored(rest.join(sizes.join(some.select("rep", "fine"), "rep").select("rep", "n", "top", "fine"), "rep"), "rest")
-    discard(buckets, at, mixed, inside, some)
+    rest = at.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    rest = stored(rest.join(full.select("rep", "fine"), "rep"), "rest")
+    discard(buckets, at)
     pairs = stored(met(rest, percent).distinct(), "pairs")
-    discard(rest)
-    more = stored(confirmed(pairs, full, percent), "more")
-    discard(pairs)
+    some = stored(full.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "some")
+    more = stored(confirmed(pairs, some, percent), "more")
+    discard(rest, pairs, full, some)
     if more.limit(1).count():
         discard(comps)
         comps = components(links.union(more), "all")
 
-    ends = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("digest").alias("d"), F.coalesce("comp", "rep").alias("comp"))
-    ends = stored(ends, "ends")
-    discard(reps, comps, links, more, full)
-    out = looked.join(ends, F.col("digest") == F.col("d"), "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
+    # of a component the smallest id of its classes
+    named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("comp", "rep").alias("comp"))
+    least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
+    ends = stored(named.join(least, "comp").select(F.col("rep").alias("of"), "component_id"), "ends")
+    discard(reps, comps, links, more)
+    out = slim.join(ends, F.col("rep") == F.col("of"), "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
