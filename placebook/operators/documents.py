@@ -122,11 +122,6 @@ def period(df: DataFrame, group: list[str], day: str = "payment_date") -> DataFr
     return df.groupBy(*group).agg(F.min(day).alias("first_date"), F.max(day).alias("last_date"), *sets)
 
 
-def shuffled(df: DataFrame, seed: int) -> DataFrame:
-    """A random order that a seed repeats."""
-    return df.orderBy(F.rand(seed))
-
-
 def without_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """Columns that begin with the prefix as null."""
     return df.withColumns({c: F.lit(None).cast(kind) for c, kind in df.dtypes if c.startswith(prefix)})

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import medians
+
 
 def most_common(df: DataFrame, group: list[str], value: str, order: Column, out: str, weight: Column | None = None, prefer: Column | None = None) -> DataFrame:
     """(group, out): the most frequent value, of equally frequent ones the one that came first.
@@ -32,24 +36,27 @@ def whole_median(amount: Column) -> Column:
 
 
 def place_facts(df: DataFrame, group: list[str], day: str = "payment_date", department: str = "department", amount: str = "amount", url: str = "source_url", order: str = "ordinal", empty_counts: bool = False) -> DataFrame:
-    """Counts, departments, dates, median and the newest document of each place, in one aggregation.
+    """Counts, departments, dates, median and the newest document of each place, in one aggregation and one of the amounts.
 
     Departments are a set for each place; its size is bounded by their number, not by the
     payments'. ``empty_counts``: an empty department counts as one.
     """
     unit = F.col(department) if empty_counts else F.nullif(F.col(department), F.lit(""))
-    return (
+    facts = (
         df.groupBy(*group)
         .agg(
             F.count(F.lit(1)).alias("record_count"),
             F.array_sort(F.collect_set(unit)).alias("departments"),
             F.min(day).alias("first_date"),
             F.max(day).alias("last_date"),
-            whole_median(F.col(amount)).alias("median_amount"),
             F.max_by(url, F.struct(F.col(day), -F.col(order))).alias("newest_url"),
         )
         .withColumn("department_count", F.size("departments"))
     )
+    middle = medians(df, group, amount, "_median")
+    middle = middle.select(*[F.col(g).alias(f"_m{i}") for i, g in enumerate(group)], F.floor("_median").cast("long").alias("median_amount"))
+    same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_m{i}")) for i, g in enumerate(group)])
+    return facts.join(middle, same, "left").drop(*[f"_m{i}" for i in range(len(group))])
 
 
 def ranked_places(df: DataFrame, name: str = "name") -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.address import address_tokens, same_address
 from ..functions.text import client_name, nfkc
-from ..session import ship
+from .ranking import numbered, numbered_within
 
 FAR = 2**31 - 1
 
@@ -36,16 +34,9 @@ def prioritised(df: DataFrame, matched: Column, distance: str = "distance", orde
 
 
 def prioritised_places(df: DataFrame, matched: Column, distance: str = "distance", order: str = "ordinal") -> DataFrame:
-    """All rows with their ``place`` in the prioritised order, from 1; ``order`` is a whole number.
-
-    Rows are numbered within slices of the order, after the rows of the slices before, so that they never meet in one task.
-    """
-    slices = F.struct((~matched).alias("behind"), F.when(matched, F.coalesce(distance, F.lit(FAR))).alias("near"), F.floor(F.col(order) / 1024).alias("part"))
-    rows = df.withColumn("_slice", slices)
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.groupBy(F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n")).select("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_slice").orderBy(order))
-    return rows.join(starts, F.col("_slice") == F.col("_s")).withColumn("place", F.col("_start") + own).drop("_slice", "_s", "_start")
+    """All rows with their ``place`` in the prioritised order, from 1."""
+    near = F.when(matched, F.coalesce(distance, F.lit(FAR)))
+    return numbered(df, [~matched, near, F.col(order)], "place")
 
 
 def first_unique(df: DataFrame, key: str, order: list[str], n: int = 13) -> DataFrame:
@@ -59,17 +50,16 @@ def nearest_open(df: DataFrame, n: int = 13, distance: str = "distance") -> Data
     return df.filter(F.coalesce("is_open", F.lit(True))).orderBy(F.col(distance).asc_nulls_last(), "ordinal").limit(n)
 
 
-def menu_candidates(df: DataFrame, menus: str = "menus", most: int = 60) -> DataFrame:
-    """For each dish how many restaurants have it and the nearest ``most`` by distance; most restaurants first, then nearest.
+def menu_candidates(df: DataFrame, menus: str = "menus") -> DataFrame:
+    """A row for each dish and restaurant that has it: the restaurant's ``place`` by distance, how many there are and how near the nearest is.
 
-    Restaurants are counted by a partial aggregate and cut by rank before they are listed,
-    so that no dish's restaurants are held as a whole.
+    All restaurants of a dish are listed, as rows, so that a dish that all have is many
+    tasks. ``order by restaurant_count desc, nearest, menu, place`` is the order to show.
     """
-    each = df.withColumns({"menu": F.explode(menus), "distance": F.coalesce("distance", F.lit(FAR))})
-    counted = each.groupBy("menu").agg(F.count(F.lit(1)).alias("restaurant_count"), F.min("distance").alias("nearest"))
-    near = each.withColumn("_r", F.row_number().over(Window.partitionBy("menu").orderBy("distance", "ordinal", "id"))).filter(F.col("_r") <= most)
-    listed = near.groupBy("menu").agg(F.sort_array(F.collect_list(F.struct("distance", "ordinal", "id"))).alias("restaurants"))
-    return listed.join(counted, "menu").select("menu", "restaurants", "restaurant_count", "nearest").orderBy(F.col("restaurant_count").desc(), "nearest", "menu")
+    each = df.withColumns({"menu": F.explode(menus), "distance": F.coalesce("distance", F.lit(FAR))}).select("menu", "distance", "ordinal", "id")
+    counted = each.groupBy(F.col("menu").alias("_m")).agg(F.count(F.lit(1)).alias("restaurant_count"), F.min("distance").alias("nearest"))
+    placed = numbered_within(each, ["menu"], [F.col("distance"), F.col("ordinal"), F.col("id")], "place")
+    return placed.join(counted, F.col("menu") == F.col("_m")).drop("_m")
 
 
 def with_curated(restaurants: DataFrame, curated: DataFrame, key: str = "id", value: str = "curated") -> DataFrame:
@@ -103,18 +93,17 @@ def frequent(usage: DataFrame, n: int = 3) -> DataFrame:
     return usage.orderBy(F.col("n_used").desc(), F.col("last_used").desc()).limit(n)
 
 
-def history_by_region(log: DataFrame, region: str, ts: str, other: str, most: int = 100) -> DataFrame:
-    """How many choices each region has, the newest and the latest ``most`` of them, newest first; regions by their newest choice; rows without one under a label.
+def history_by_region(log: DataFrame, region: str, ts: str, other: str) -> DataFrame:
+    """A row for each choice, with its ``place`` in its region's history, the newest first, and how many there are and when the newest was.
 
-    Choices are cut by rank before they are listed, so that a region's history is never held as a whole.
+    Rows without a region stand under a label. Whole histories are listed, as rows, so that
+    a region of any size is many tasks; ``order by newest desc, place`` is the order to show.
     """
     fields = [c for c in log.columns if c not in (region, ts)]
     rows = log.withColumn(region, F.coalesce(region, F.lit(other)))
-    counted = rows.groupBy(region).agg(F.count(F.lit(1)).alias("n_choices"), F.max(ts).alias("newest"))
-    newest = Window.partitionBy(region).orderBy(F.col(ts).desc(), *[F.col(c).desc() for c in fields])
-    late = rows.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= most)
-    listed = late.groupBy(region).agg(F.sort_array(F.collect_list(F.struct(ts, *fields)), asc=False).alias("choices"))
-    return listed.join(counted, region).select(region, "choices", "n_choices", "newest").orderBy(F.col("newest").desc())
+    counted = rows.groupBy(F.col(region).alias("_r")).agg(F.count(F.lit(1)).alias("n_choices"), F.max(ts).alias("newest"))
+    placed = numbered_within(rows, [region], [F.col(ts).desc(), *[F.col(c).desc() for c in fields]], "place")
+    return placed.join(counted, F.col(region) == F.col("_r")).drop("_r")
 
 
 def refreshed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -122,11 +111,14 @@ def refreshed(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame
     return old.join(new.select(key, F.col(value).alias("_new")), key, "left").withColumn(value, F.coalesce("_new", value)).drop("_new")
 
 
-def workdays(start: Column, end: Column, spark, holidays: DataFrame, known_years: list[int], n: int = 60) -> DataFrame:
-    """The next n days that are no weekend and no holiday, in years whose holidays are known."""
-    days = spark.range(1).select(F.explode(F.sequence(start, end)).alias("day"))
-    days = days.filter(~F.dayofweek("day").isin(1, 7) & F.year("day").isin(known_years))
-    return days.join(holidays.select("day"), "day", "left_anti").orderBy("day").limit(n)
+def workdays(days: DataFrame, holidays: DataFrame, known_years: list[int] | None = None) -> DataFrame:
+    """The days that are no weekend and no holiday, in the years whose holidays are known: those that have any if none are named."""
+    days = days.select("day").distinct().filter(~F.dayofweek("day").isin(1, 7))
+    if known_years is not None:
+        days = days.filter(F.year("day").isin(known_years))
+    else:
+        days = days.withColumn("_y", F.year("day")).join(holidays.select(F.year("day").alias("_y")).distinct(), "_y", "left_semi").drop("_y")
+    return days.join(holidays.select("day"), "day", "left_anti")
 
 
 def override_years(bundled: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -135,38 +127,31 @@ def override_years(bundled: DataFrame, fetched: DataFrame) -> DataFrame:
     return bundled.withColumn("_y", F.year("day")).join(years, "_y", "left_anti").drop("_y").unionByName(fetched)
 
 
-def assign_photos(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each place of a request keeps its photo if no earlier place has it, else takes the first free one of its pool, and then of its spare pool.
-
-    A photo is free if neither its id nor its address was used in the request. A place that
-    loses its photo and finds none has none.
-    """
-    ids: set[str] = set()
-    urls: set[str] = set()
-    out = []
-    for r in rows.sort_values("ordinal").itertuples(index=False):
-        kept = {"id": r.photo_id or r.photo_url, "url": r.photo_url} if r.photo_url else None
-        offered = [*([kept] if kept else []), *(r.photos if r.photos is not None else []), *(r.spare if r.spare is not None else [])]
-        pick = next((p for p in offered if p["id"] not in ids and p["url"] not in urls), None)
-        if pick is not None:
-            ids.add(pick["id"])
-            urls.add(pick["url"])
-        out.append((r.request, r.ordinal, r.id, pick and pick["id"], pick and pick["url"], pick is not None and pick is kept))
-    return pd.DataFrame(out, columns=["request", "ordinal", "id", "photo_id", "photo_url", "kept"])
-
-
 def unique_photos(df: DataFrame) -> DataFrame:
     """(request, ordinal, id, photo_id, photo_url, kept): photos dealt out in order, each id and address once a request.
 
     df has photo_id and photo_url of a photo that a place has already (null without), and
     photos and spare: array<struct<id, url>> for its query and for its fallback query. Each
-    choice depends on those before, so that a request is one group; it has a dozen rows, by
-    the limit of the page that asks.
+    place keeps its photo if no earlier place has it, else takes the first free one of its
+    pool, and then of its spare pool; free is a photo of which neither id nor address was
+    used in the request. A place that finds none has none. Each choice depends on those
+    before: a request is folded from its first place to its last, with what was used as
+    the state; it has a dozen rows, by the limit of the page that asks.
     """
-    ship(df.sparkSession)
-    kind = dict(df.dtypes)
-    schema = T._parse_datatype_string(f"request {kind['request']}, ordinal {kind['ordinal']}, id {kind['id']}, photo_id string, photo_url string, kept boolean")
-    return df.select("request", "ordinal", "id", "photo_id", "photo_url", "photos", "spare").groupBy("request").applyInPandas(assign_photos, schema)
+    own = F.when(F.col("photo_url").isNotNull(), F.array(F.struct(F.coalesce("photo_id", "photo_url").alias("id"), F.col("photo_url").alias("url"), F.lit(True).alias("own"))))
+    pool = lambda c: F.transform(F.coalesce(c, F.array().cast("array<struct<id:string,url:string>>")), lambda p: F.struct(p["id"].alias("id"), p["url"].alias("url"), F.lit(False).alias("own")))
+    offered = F.concat(F.coalesce(own, F.array().cast("array<struct<id:string,url:string,own:boolean>>")), pool("photos"), pool("spare"))
+    rows = df.select("request", "ordinal", "id", offered.alias("offered")).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("ordinal", "id", "offered"))).alias("places"))
+    used = F.struct(*[F.array().cast("array<string>").alias(c) for c in ("ids", "urls")], F.array().cast("array<struct<id:string,url:string,own:boolean>>").alias("dealt"))
+
+    def deal(state: Column, place: Column) -> Column:
+        free = F.filter(place["offered"], lambda p: ~F.array_contains(state["ids"], p["id"]) & ~F.array_contains(state["urls"], p["url"]))
+        pick = F.get(free, F.lit(0))
+        with_ = lambda known, new: F.when(pick.isNull(), known).otherwise(F.concat(known, F.array(new)))
+        return F.struct(with_(state["ids"], pick["id"]).alias("ids"), with_(state["urls"], pick["url"]).alias("urls"), F.concat(state["dealt"], F.array(pick)).alias("dealt"))
+
+    told = rows.withColumn("dealt", F.aggregate("places", used, deal, lambda s: s["dealt"])).select("request", F.explode(F.arrays_zip("places", "dealt")).alias("z"))
+    return told.select("request", "z.places.ordinal", "z.places.id", F.col("z.dealt.id").alias("photo_id"), F.col("z.dealt.url").alias("photo_url"), F.coalesce("z.dealt.own", F.lit(False)).alias("kept"))
 
 
 def response(df: DataFrame, source: str, disclaimer: str, order: str = "ordinal") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import address as adr
 from ..functions import classify, fixed, scalars, text
-from ..operators import quality, serve
+from ..operators import quality, ranking, serve
 from .surrogates import choice, lat, lon, sql_choice, sql_flat, sql_lat, sql_lon, table
 
 
@@ -76,8 +76,8 @@ def _menus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def menu_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = serve.menu_candidates(_menus(spark, sf_dir))
-    return out.select("menu", "restaurant_count", "nearest", F.col("restaurants")[0]["id"].alias("nearest_id"))
+    """All restaurants of every dish, each with its place."""
+    return serve.menu_candidates(_menus(spark, sf_dir)).select("menu", "restaurant_count", "nearest", "place", "id", "distance")
 
 
 def _told_sql() -> str:
@@ -88,7 +88,7 @@ def _told_sql() -> str:
  e AS (SELECT id, distance, menu FROM ({rules}) UNION SELECT id, distance, '탕수육' FROM m WHERE curated UNION SELECT id, distance, '냉면' FROM m WHERE curated)"""
 
 
-MENU_SQL = _told_sql() + " SELECT menu, count(*) AS restaurant_count, min(distance) AS nearest, arg_min(id, (distance, id)) AS nearest_id FROM e GROUP BY menu"
+MENU_SQL = _told_sql() + " SELECT menu, count(*) OVER w AS restaurant_count, min(distance) OVER w AS nearest, row_number() OVER (PARTITION BY menu ORDER BY distance, id) AS place, id, distance FROM e WINDOW w AS (PARTITION BY menu)"
 
 
 def photo_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,11 +137,11 @@ def frequent_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def history_by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("r"), F.col("user_id") % 20)).alias("region"), "ts", "event_type")
-    out = serve.history_by_region(log, "region", "ts", "기타 지역")
-    return out.select("region", "newest", "n_choices", F.col("choices")[0]["event_type"].alias("newest_choice"))
+    return serve.history_by_region(log, "region", "ts", "기타 지역").select("region", "newest", "n_choices", "place", "ts", "event_type")
 
 
-HISTORY_SQL = """SELECT CASE WHEN user_id % 4 <> 0 THEN 'r' || (user_id % 20) ELSE '기타 지역' END AS region, max(ts) AS newest, count(*) AS n_choices, arg_max(event_type, (ts, event_type)) AS newest_choice FROM events GROUP BY 1"""
+HISTORY_SQL = """SELECT region, max(ts) OVER w AS newest, count(*) OVER w AS n_choices, row_number() OVER (PARTITION BY region ORDER BY ts DESC, event_type DESC) AS place, ts, event_type
+FROM (SELECT CASE WHEN user_id % 4 <> 0 THEN 'r' || (user_id % 20) ELSE '기타 지역' END AS region, ts, event_type FROM events) WINDOW w AS (PARTITION BY region)"""
 
 
 def nearest_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -237,11 +237,25 @@ JSON_SQL = """WITH e AS (SELECT *, json_keys(props) AS ks FROM events) SELECT ar
 
 
 def workdays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    holidays = spark.sql("SELECT explode(array(DATE '1998-01-01', DATE '1998-01-27', DATE '1998-03-02')) AS day")
-    return serve.workdays(F.lit("1998-01-01").cast("date"), F.lit("1998-12-31").cast("date"), spark, holidays, [1998])
+    """The days of orders but for weekends and holidays, which are here the days that few ordered on."""
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
+    return serve.workdays(days, days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).filter("n < 5").select("day"))
 
 
-WORKDAYS_SQL = """SELECT CAST(d AS DATE) AS day FROM range(DATE '1998-01-01', DATE '1999-01-01', INTERVAL 1 DAY) t(d) WHERE dayofweek(d) NOT IN (0, 6) AND CAST(d AS DATE) NOT IN (DATE '1998-01-01', DATE '1998-01-27', DATE '1998-03-02') ORDER BY 1 LIMIT 60"""
+WORKDAYS_SQL = """WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1)
+SELECT day FROM d WHERE n >= 5 AND dayofweek(day) NOT IN (0, 6) AND year(day) IN (SELECT year(day) FROM d WHERE n < 5)"""
+
+
+def shuffled_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every restaurant with its place in an order that a seed decides, and whether it is its segment's pick."""
+    rows = _restaurants(spark, sf_dir)
+    one = ranking.picked(rows, ["segment"], ["ordinal"], seed=11).select(F.col("ordinal").alias("_o"))
+    placed = ranking.shuffled(rows, ["ordinal"], seed=7)
+    out = placed.join(one, F.col("ordinal") == F.col("_o"), "left").groupBy("segment")
+    return out.agg(F.count(F.lit(1)).alias("n"), F.count("_o").alias("n_picked"), F.count_distinct("place").alias("n_places"))
+
+
+SHUFFLED_SQL = "SELECT c_mktsegment AS segment, count(*) AS n, 1::BIGINT AS n_picked, count(*) AS n_places FROM customer GROUP BY 1"
 
 
 def text_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +268,7 @@ NORMS_SQL = """SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '',
 
 
 def unique_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos dealt out in each request, no id and no address twice: sequential, so without SQL; tests hold it against a loop."""
+    """Photos dealt out in each request, no id and no address twice."""
     k = F.col("c_custkey")
     named = lambda prefix, n: F.struct(F.concat(F.lit(prefix), n.cast("string")).alias("id"), F.concat(F.lit(f"https://{prefix}/"), F.floor(n / 2).cast("string")).alias("url"))
     rows = table(spark, sf_dir, "customer").select(
@@ -265,7 +279,20 @@ def unique_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.unique_photos(rows)
 
 
-QUERIES = {f.__name__: f for f in (first_unique, nearest_open, prioritised, prioritised_places, situation_fallback, menu_candidates, photo_queries, choice_ranking, region_usage, frequent_regions, history_by_region, nearest_regions, meal_rules, address_keys, korean_dates, page_links, json_keys, workdays, text_norms, unique_photos)}
+PHOTOS_SQL = """WITH RECURSIVE o AS (
+  SELECT c_custkey // 13 AS request, c_custkey % 13 AS ordinal, c_custkey AS id, row_number() OVER (PARTITION BY c_custkey // 13 ORDER BY c_custkey) AS step,
+    list_concat(list_concat(CASE WHEN c_custkey % 3 = 0 THEN [{'id': 'p' || (c_custkey % 5), 'url': 'https://p/' || (c_custkey % 5 // 2), 'own': true}] ELSE [] END,
+      list_transform(range(0, 3), lambda i: {'id': 'p' || ((c_custkey * 7 + i) % 11), 'url': 'https://p/' || ((c_custkey * 7 + i) % 11 // 2), 'own': false})),
+      list_transform(range(0, 4), lambda i: {'id': 's' || i, 'url': 'https://s/' || (i // 2), 'own': false})) AS offered FROM customer
+), d AS (
+  SELECT DISTINCT request, 0::BIGINT AS step, NULL::BIGINT AS ordinal, NULL::BIGINT AS id, []::VARCHAR[] AS ids, []::VARCHAR[] AS urls, NULL::STRUCT(id VARCHAR, url VARCHAR, own BOOLEAN) AS pick FROM o
+  UNION ALL
+  SELECT request, step, ordinal, id, CASE WHEN p IS NULL THEN ids ELSE list_append(ids, p.id) END, CASE WHEN p IS NULL THEN urls ELSE list_append(urls, p.url) END, p
+  FROM (SELECT o.request, o.step, o.ordinal, o.id, ids, urls, list_filter(offered, lambda x: NOT list_contains(ids, x.id) AND NOT list_contains(urls, x.url))[1] AS p FROM d JOIN o ON o.request = d.request AND o.step = d.step + 1)
+)
+SELECT request, ordinal, id, pick.id AS photo_id, pick.url AS photo_url, coalesce(pick.own, false) AS kept FROM d WHERE step > 0"""
+
+QUERIES = {f.__name__: f for f in (shuffled_places, first_unique, nearest_open, prioritised, prioritised_places, situation_fallback, menu_candidates, photo_queries, choice_ranking, region_usage, frequent_regions, history_by_region, nearest_regions, meal_rules, address_keys, korean_dates, page_links, json_keys, workdays, text_norms, unique_photos)}
 SQL = {
     "first_unique": FIRST_UNIQUE_SQL,
     "nearest_open": NEAREST_OPEN_SQL,
@@ -286,4 +313,6 @@ SQL = {
     "json_keys": JSON_SQL,
     "workdays": WORKDAYS_SQL,
     "text_norms": NORMS_SQL,
+    "shuffled_places": SHUFFLED_SQL,
+    "unique_photos": PHOTOS_SQL,
 }

@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent
 _MARK = "_placebook_shipped"
@@ -64,3 +65,10 @@ def scratch_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="placebook-")
         spark.sparkContext.setCheckpointDir(named)
     return named
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: its lineage ends there, and every reading sees the same rows."""
+    path = f"{scratch_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
