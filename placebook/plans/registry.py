@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import catalogs, ledgers, more, payments, resolving, serving
+from . import catalogs, files, ledgers, more, payments, resolving, serving
 
-QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES | more.QUERIES | ledgers.QUERIES | catalogs.QUERIES
-SQL = payments.SQL | resolving.SQL | serving.SQL | more.SQL | ledgers.SQL | catalogs.SQL
+QUERIES = payments.QUERIES | resolving.QUERIES | serving.QUERIES | more.QUERIES | ledgers.QUERIES | catalogs.QUERIES | files.QUERIES
+SQL = payments.SQL | resolving.SQL | serving.SQL | more.SQL | ledgers.SQL | catalogs.SQL | files.SQL
 flagship = payments.flagship

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import partial
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -17,9 +17,10 @@ from ..functions import fixed
 from ..functions.classify import canonical_department, sum_row, title_department, valid_department
 from ..functions.text import contains_any
 from ..session import ship
+from .archives import members
 
-#: Rows that a sheet is read up to, and how many blank ones end it.
-MOST_ROWS, BLANK_ROWS = 3000, 20
+#: Bytes at either end of an archive in which names of members are looked for.
+ENDS = 65_536
 GRID = "doc string, sheet string, row_no int, cells array<string>, error string"
 
 
@@ -27,7 +28,9 @@ def kind_of(content: Column, name: Column) -> Column:
     """The format by its first bytes, of archives by the names of their members; the file's name decides between archives that tell nothing."""
     magic = F.upper(F.hex(F.substring(content, 1, 8)))
     text = F.lower(F.decode(F.substring(content, 1, 512), "ISO-8859-1"))
-    inside = F.when(magic.startswith("504B0304"), F.decode(content, "ISO-8859-1"))
+    # the directory at the end has all names; of a damaged archive the first headers have some
+    ends = F.concat(F.decode(F.substring(content, 1, ENDS), "ISO-8859-1"), F.decode(F.substring(content, -ENDS, ENDS), "ISO-8859-1"))
+    inside = F.when(magic.startswith("504B0304"), ends)
     archive = (
         F.when(inside.contains("application/hwp+zip") | inside.contains("Contents/section"), "hwpx")
         .when(inside.contains("xl/workbook") | inside.contains("xl/worksheets"), "xlsx")
@@ -68,62 +71,80 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def xlsx_rows(data: bytes, merged: bool = True) -> Iterator[tuple[str, int, list[str]]]:
-    """(sheet, row, cells); the value of a merged range is in each of its cells and nowhere else."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-        titles = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(s.tag) == "sheet"] if "xl/workbook.xml" in names else []
-        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
-        for i, part in enumerate(sheets):
-            root = ElementTree.fromstring(z.read(part))
-            grid: dict[int, dict[int, str]] = {}
-            for row in (e for e in root.iter() if _local(e.tag) == "row"):
-                r = int(row.get("r") or len(grid) + 1)
-                if r > MOST_ROWS:
-                    break
-                cells = {}
-                for k, c in enumerate(row):
-                    value = next((v.text or "" for v in c.iter() if _local(v.tag) == "v"), "")
-                    if c.get("t") == "s" and value:
-                        value = shared[int(value)]
-                    elif c.get("t") == "inlineStr":
-                        value = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
-                    cells[_column(c.get("r")) if c.get("r") else k] = value
-                grid[r] = cells
-            if merged:
-                for m in (e for e in root.iter() if _local(e.tag) == "mergeCell"):
-                    a, _, b = m.get("ref").partition(":")
-                    rows = [int(re.search(r"\d+", x)[0]) for x in (a, b or a)]
-                    cols = [_column(x) for x in (a, b or a)]
-                    top = grid.get(rows[0], {}).get(cols[0], "")
-                    for r in range(rows[0], min(rows[1], MOST_ROWS) + 1):
-                        for c in range(cols[0], cols[1] + 1):
-                            if top and not grid.setdefault(r, {}).get(c):
-                                grid[r][c] = top
-            blank = 0
-            for r in range(1, max(grid, default=0) + 1):
-                cells = grid.get(r, {})
-                if not any(v.strip() for v in cells.values()):
-                    blank += 1
-                    if blank >= BLANK_ROWS:
-                        break
-                    continue
-                blank = 0
-                yield (titles[i] if i < len(titles) else f"sheet{i + 1}"), r, [cells.get(c, "") for c in range(max(cells) + 1)]
-
-
-def hwpx_rows(data: bytes) -> Iterator[tuple[str, int, list[str]]]:
-    """(table, row, cells) of the tables of all sections; the text of a cell's paragraphs in one."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        n = 0
-        for part in sorted(x for x in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", x)):
-            for table in (e for e in ElementTree.fromstring(z.read(part)).iter() if _local(e.tag) == "tbl"):
-                n += 1
-                for r, row in enumerate((e for e in table if _local(e.tag) == "tr"), 1):
-                    yield f"table{n}", r, [" ".join("".join(t.itertext()) for t in c.iter() if _local(t.tag) == "t").strip() for c in row if _local(c.tag) == "tc"]
+def xlsx_rows(data: bytes, merged: bool = True, most_rows: int | None = None, blank_rows: int | None = None) -> Iterator[tuple[str, int, list[str] | str]]:
+    """(sheet, row, cells); the value of a merged range is in each of its cells and nowhere else.
+
+    Sheets are read whole. With ``most_rows`` or ``blank_rows`` a sheet ends there, and a
+    last row says so instead of its cells; a sheet whose part is damaged, or needs texts that are, gives
+    such a row, too.
+    """
+    held = members(data)
+    shared: list[str] | None = []
+    if "xl/sharedStrings.xml" in held:
+        texts = held["xl/sharedStrings.xml"]
+        shared = None if texts is None else ["".join(t.text or "" for t in si.iter() if _local(t.tag) == "t") for si in ElementTree.fromstring(texts)]
+    book = held.get("xl/workbook.xml")
+    titles = [s.get("name") for s in ElementTree.fromstring(book).iter() if _local(s.tag) == "sheet"] if book else []
+    sheets = sorted((n for n in held if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+    for i, part in enumerate(sheets):
+        title = titles[i] if i < len(titles) else f"sheet{i + 1}"
+        if held[part] is None:
+            yield title, 0, "the sheet is damaged"
+            continue
+        root = ElementTree.fromstring(held[part])
+        grid: dict[int, dict[int, str]] = {}
+        cut = None
+        for row in (e for e in root.iter() if _local(e.tag) == "row"):
+            r = int(row.get("r") or len(grid) + 1)
+            if most_rows is not None and r > most_rows:
+                cut = f"cut after row {most_rows}"
+                break
+            cells = {}
+            for k, c in enumerate(row):
+                value = next((v.text or "" for v in c.iter() if _local(v.tag) == "v"), "")
+                if c.get("t") == "s" and value:
+                    if shared is None:
+                        cut = "the workbook's texts are damaged"
+                    value = "" if shared is None else shared[int(value)]
+                elif c.get("t") == "inlineStr":
+                    value = "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t")
+                cells[_column(c.get("r")) if c.get("r") else k] = value
+            grid[r] = cells
+        last = max(grid, default=0)
+        wide = max((max(c, default=0) for c in grid.values()), default=0)
+        for m in (e for e in root.iter() if merged and _local(e.tag) == "mergeCell"):
+            a, _, b = m.get("ref").partition(":")
+            rows = [int(re.search(r"\d+", x)[0]) for x in (a, b or a)]
+            cols = [_column(x) for x in (a, b or a)]
+            top = grid.get(rows[0], {}).get(cols[0], "")
+            # a range may be named far beyond the sheet's last cell
+            for r in range(rows[0], min(rows[1], max(last, rows[0])) + 1):
+                for c in range(cols[0], min(cols[1], max(wide, cols[0])) + 1):
+                    if top and not grid.setdefault(r, {}).get(c):
+                        grid[r][c] = top
+        before = 0
+        for r in sorted(grid):
+            if blank_rows is not None and r - before > blank_rows:
+                cut = f"cut after {blank_rows} blank rows below row {before}"
+                break
+            if any(v.strip() for v in grid[r].values()):
+                before = r
+                yield title, r, [grid[r].get(c, "") for c in range(max(grid[r]) + 1)]
+        if cut:
+            yield title, before, cut
+
+
+def hwpx_rows(data: bytes) -> Iterator[tuple[str, int, list[str] | str]]:
+    """(table, row, cells) of the tables of all sections; the text of a cell's paragraphs in one. A damaged section gives a row that says so."""
+    held, n = members(data), 0
+    for part in sorted(x for x in held if re.fullmatch(r"Contents/section\d+\.xml", x)):
+        if held[part] is None:
+            yield part, 0, "the section is damaged"
+            continue
+        for table in (e for e in ElementTree.fromstring(held[part]).iter() if _local(e.tag) == "tbl"):
+            n += 1
+            for r, row in enumerate((e for e in table if _local(e.tag) == "tr"), 1):
+                yield f"table{n}", r, [" ".join("".join(t.itertext()) for t in c.iter() if _local(t.tag) == "t").strip() for c in row if _local(c.tag) == "tc"]
 
 
 class TableParser(HTMLParser):
@@ -191,8 +212,15 @@ def _decoded(data: bytes) -> str:
 READERS = {"xlsx": xlsx_rows, "hwpx": hwpx_rows, "html": lambda data: html_rows(_decoded(data))}
 
 
-def read_grids(files: DataFrame) -> DataFrame:
-    """Rows of cells of (path, content). Unreadable, locked and unsupported files, pages without a table and empty ones give one row with an error, never none."""
+def read_grids(files: DataFrame, most_rows: int | None = None, blank_rows: int | None = None) -> DataFrame:
+    """Rows of cells of (path, content).
+
+    Unreadable, locked and unsupported files, pages without a table and empty ones give one
+    row with an error, never none. Of a damaged archive what is whole is read, and each part
+    that isn't gives a row with an error. Sheets of workbooks are read to their end, or, with
+    ``most_rows`` or ``blank_rows``, to there, with a row with an error where they are cut.
+    """
+    read = READERS | {"xlsx": partial(xlsx_rows, most_rows=most_rows, blank_rows=blank_rows)}
     ship(files.sparkSession)
     told = files.select("path", "content", kind_of(F.col("content"), F.col("path")).alias("kind"), is_error_page(F.col("content")).alias("page"))
 
@@ -201,9 +229,9 @@ def read_grids(files: DataFrame) -> DataFrame:
             for path, content, kind, page in batch.itertuples(index=False):
                 out = []
                 try:
-                    if kind not in READERS:
+                    if kind not in read:
                         raise ValueError(f"no reader for {kind}")
-                    out = [(path, s, r, c, None) for s, r, c in READERS[kind](bytes(content))]
+                    out = [(path, s, r, None, c) if isinstance(c, str) else (path, s, r, c, None) for s, r, c in read[kind](bytes(content))]
                     if not out:
                         raise ValueError("a web page without a table" if page else "no rows")
                 except (ValueError, KeyError, IndexError, zipfile.BadZipFile, ElementTree.ParseError) as e:
