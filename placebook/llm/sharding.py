@@ -58,24 +58,27 @@ def hash_of(seed: int, *cols: Column | str) -> Column:
 def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40, seed: int = 11) -> DataFrame:
     """All rows and columns of ``df`` plus shard (from 0) and slot (gapless from 0 in each shard).
 
-    Rows belong to logical partitions by a hash of their ids. The driver reads a count
+    Rows belong to logical partitions by a hash of all their columns. The driver reads a count
     for each partition and draws how many rows each sends to each shard, with exact sums
     both ways: shard sizes differ by one at most. Each partition permutes its rows (order
     of a second hash) and cuts them by these counts; the rows are exchanged, and each
     shard permutes again (order of a third hash). A shard is permuted by slices, so that
     more tasks than shards share the work; partitions and slices grow in number with the
-    table. Whole rows are exchanged twice: once to the logical partitions, which are by id
+    table. Whole rows are exchanged twice: once to the logical partitions, which are by content
     and not by file so that the result doesn't depend on how files are split, and once to
     their shards.
 
-    A shard depends on ids, their number and the seed alone, not on how files are split,
-    so that reruns and retried tasks agree. Rows with equal ids, null ones included, are
-    rows of their own; which of them comes first is decided by their other columns.
+    A shard depends on the rows and the seed alone, not on how files are split, so that
+    reruns and retried tasks agree. Rows with equal ids, null ones included, are rows of
+    their own, spread by their other columns; only rows that are equal in every column share
+    a partition and a slice.
     Existing columns named shard or slot are replaced. An empty table gives no rows.
     """
     df = df.select(*[c for c in df.columns if c.lower() not in ("shard", "slot")])
     part, rank, one, piece, tie, which, until = (free_name(df, x) for x in ("_part", "_rank", "_one", "_piece", "_tie", "_p", "_ends"))
-    numbered = lambda k: F.pmod(hash_of(seed, id_col), F.lit(k)).cast("int")
+    others = [c for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
+    tied = F.xxhash64(F.lit(seed + 1), *others)
+    numbered = lambda k: F.pmod(hash_of(seed, id_col, tied), F.lit(k)).cast("int")
     counts = dict(df.groupBy(numbered(MOST_PARTS).alias(part)).count().collect())  # MOST_PARTS rows at most
     rows = sum(counts.values())
     n = MOST_PARTS
@@ -89,18 +92,15 @@ def shuffle_into_shards(df: DataFrame, id_col: str = "doc_id", shards: int = 40,
         [(p, [int(x) for x in matrix[p].cumsum()]) for p in range(n)],
         T.StructType([T.StructField(which, T.IntegerType()), T.StructField(until, T.ArrayType(T.LongType()))]),
     )
-    others = [c for c, kind in df.dtypes if c != id_col and not kind.startswith("map")]
-    tied = F.xxhash64(F.lit(seed + 1), *others)
     local = Window.partitionBy(part).orderBy(hash_of(seed + 2, id_col), id_col, tied)
     sent = (
         keyed.withColumn(rank, F.row_number().over(local) - 1)
         .join(F.broadcast(ends), F.col(part) == F.col(which))  # MOST_PARTS x shards numbers at most
         .withColumn("shard", F.size(F.filter(until, lambda e: e <= F.col(rank))))
         .drop(which, until, part, rank)
-        .withColumn(piece, F.pmod(hash_of(seed + 3, id_col), F.lit(slices)).cast("int"))
+        .withColumn(piece, F.pmod(hash_of(seed + 3, id_col, F.xxhash64(F.lit(seed + 6), *others)), F.lit(slices)).cast("int"))
         .withColumn(one, F.lit(1).cast("long"))
         .withColumn(tie, hash_of(seed + 4, id_col))
     )
-    others = [c for c in others if c in sent.columns]
     placed = prefix_sums(sent, ["shard"], piece, [tie, id_col, F.xxhash64(F.lit(seed + 5), *others)], one, "slot")
     return placed.drop(piece, one, tie)

@@ -14,6 +14,8 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Nodes that a worker's trie may have before it starts anew; bounds memory, changes no result.
 MOST_NODES = 1_500_000
+#: Characters of a pre-token that goes into the trie; a longer one is scored by itself.
+LONG = 1_000
 #: How far below the rarest piece a byte of an unknown character scores.
 BYTE_PENALTY = 10.0
 
@@ -58,6 +60,7 @@ class Trie:
         #: that end at a place stops at the first string that ends none.
         self.ends: dict[str, float | None] = {p[i:]: None for p in scores for i in range(1, len(p))}
         self.ends |= scores
+        self.longest = max(map(len, scores))
         self.clear()
 
     def clear(self) -> None:
@@ -68,6 +71,10 @@ class Trie:
 
     def insert(self, word: str) -> tuple[int, float]:
         """(tokens, score) of the pre-token, which is ``word`` after the mark."""
+        if len(word) > LONG:
+            return self.long(word)
+        if len(self.score) > MOST_NODES:
+            self.clear()
         text, node, path = MARK + word, 0, [0]
         children, score, tokens, ends = self.children, self.score, self.tokens, self.ends
         for end, c in enumerate(text, 1):
@@ -98,14 +105,38 @@ class Trie:
         self.terminal[word] = found = (tokens[node], score[node])
         return found
 
+    def long(self, word: str) -> tuple[int, float]:
+        """As insert, without the trie: of the prefixes only the last ones, as many as the longest piece has characters, keep their score."""
+        width, ends = self.longest + 1, self.ends
+        score, tokens = [0.0] * width, [0] * width
+        held = MARK  # the last characters
+        for end in range(1, len(word) + 2):
+            if end > 1:
+                held = (held + word[end - 2])[-self.longest :]
+            c = held[-1]
+            best, least = -math.inf, 0
+            if ends.get(c) is None:
+                n_bytes = len(c.encode("utf-8", "surrogatepass"))
+                best, least = score[(end - 1) % width] + n_bytes * self.byte_score, tokens[(end - 1) % width] + n_bytes
+            for size in range(1, len(held) + 1):
+                piece = held[-size:]
+                s = ends.get(piece)
+                if s is not None:
+                    before = (end - size) % width
+                    s += score[before]
+                    if s > best or (s == best and tokens[before] < least - 1):
+                        best, least = s, tokens[before] + 1
+                elif piece not in ends:
+                    break
+            score[end % width], tokens[end % width] = best, least
+        return tokens[(len(word) + 1) % width], score[(len(word) + 1) % width]
+
     def count(self, text: str) -> tuple[int, int, int, float]:
         """(tokens, pre-tokens, distinct ones, score) of a text."""
-        if len(self.score) > MOST_NODES:
-            self.clear()
         words = Counter(text.split())
-        tokens, score, known = 0, 0.0, self.terminal
+        tokens, score = 0, 0.0
         for word, n in words.items():
-            t, s = known.get(word) or self.insert(word)
+            t, s = self.terminal.get(word) or self.insert(word)
             tokens += n * t
             score += n * s
         return tokens, words.total(), len(words), score
@@ -115,8 +146,10 @@ def count_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens, n_pretokens, n_distinct, score): a row for each input row, whole texts.
 
     Pre-tokens are the runs without white space, each after a mark. Null counts as empty
-    and gives zeros; other columns are ignored. Rows don't meet: there is no shuffle. A
-    very long pre-token costs its length times the longest piece.
+    and gives zeros; other columns are ignored. Repeated rows count each by itself; an empty
+    table gives no rows. Rows don't meet: there is no shuffle. A very long pre-token costs
+    its length times the longest piece in time; in memory it costs no more than its text, and
+    a text of many pre-tokens no more than a trie of MOST_NODES.
     """
     path = vocabulary or vocabulary_path()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
