@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .ranking import previous
+
 
 def in_order(frames: list[DataFrame], number: str = "shard_no") -> DataFrame:
     """Tables one after another; columns that one lacks are null."""
@@ -58,6 +61,40 @@ def upsert(base: DataFrame, more: DataFrame, key: str = "address_key", variants:
     return kept.unionByName(new)
 
 
+def roots(pointers: DataFrame) -> DataFrame:
+    """(node, root) of (node, up): where each node ends up, by doubling pointers until none moves; a root points to itself."""
+    while True:
+        far = pointers.select(F.col("node").alias("_n"), F.col("up").alias("_u"))
+        moved = written(pointers.join(far, F.col("up") == F.col("_n")).select("node", F.col("_u").alias("up"), (F.col("_u") != F.col("up")).alias("moved")), "roots")
+        pointers = moved.select("node", "up")
+        if not moved.filter("moved").limit(1).count():
+            return pointers.withColumnRenamed("up", "root")
+
+
+def upsert_in_order(base: DataFrame, more: DataFrame, key: str = "address_key", variants: str = "name_variants") -> DataFrame:
+    """As upsert, but the places of ``more`` come one after another and are found by later ones.
+
+    A place looks its variants up in their order; the first that any place before it had,
+    with the same key, decides: it joins the place that the last of these joined or is. So
+    each place points to one before it, and where the pointers end is the place that it
+    becomes part of: a base place, or the first of a chain of additions.
+    """
+    columns = ["ordinal", key, "record_count", "departments", variants, "first_date", "last_date"]
+    node = lambda side: F.struct(F.lit(side).alias("side"), F.col("ordinal").cast("long").alias("ordinal"))
+    both = base.select(*columns).withColumn("node", node(0)).unionByName(more.select(*columns).withColumn("node", node(1)))
+    names = both.select("node", key, F.posexplode(F.array_distinct(variants)).alias("_i", "_v"))
+    held = previous(names, [key, "_v"], [F.col("node")], "node", "_before").filter(F.col("node.side") == 1)
+    first = held.filter("_before is not null").groupBy(F.col("node").alias("_n")).agg(F.min_by("_before", "_i").alias("up"))
+    pointers = both.select("node").join(first, F.col("node") == F.col("_n"), "left").select("node", F.coalesce("up", "node").alias("up"))
+    joined = both.join(roots(pointers).withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(c, F.array().cast("array<string>"))))))
+    out = joined.groupBy("root").agg(
+        F.min_by(key, "node").alias(key), F.sum("record_count").alias("record_count"), united("departments").alias("departments"), united(variants).alias(variants),
+        F.min("first_date").alias("first_date"), F.max("last_date").alias("last_date"),
+    )
+    return out.select(F.col("root.ordinal").alias("ordinal"), *columns[1:], F.when(F.col("root.side") == 0, "base").otherwise("added").alias("origin"))
+
+
 def region_stats(df: DataFrame, region: str = "region", institution: str = "institution", place: str = "place_key", day: str = "payment_date") -> DataFrame:
     return df.groupBy(region).agg(
         F.count(F.lit(1)).alias("row_count"),

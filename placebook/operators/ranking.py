@@ -80,3 +80,19 @@ def medians(df: DataFrame, group: list[str], amount: str, out: str) -> DataFrame
     twice = holds(F.floor((F.col("_n") - 1) / 2)) + holds(F.floor(F.col("_n") / 2))
     middle = at.filter(twice > 0).groupBy(*names).agg((F.sum(F.col("_v") * twice) / 2).alias(out))
     return middle.select(*[F.col(n).alias(g) for n, g in zip(names, group, strict=True)], out)
+
+
+def previous(df: DataFrame, group: list[str], order: list[Column], value: str, out: str) -> DataFrame:
+    """All rows with the ``value`` of the row before them in their group, null for the first.
+
+    A range takes the row before its first one from the range before, so that a group of any
+    size is many tasks.
+    """
+    rows = _ranged(df, [*[F.col(g).asc_nulls_first() for g in group], *order])
+    item = F.struct(*group, F.col(value).alias("_value"))
+    lasts = rows.groupBy(F.col("_range").alias("_of")).agg(F.max_by(item, "_at").alias("_last"))
+    carried = F.broadcast(lasts.select("_of", F.lag("_last").over(Window.orderBy("_of")).alias("_carry")))  # as many rows as there are partitions
+    before = F.when(F.col("_at") == 0, F.col("_carry")).otherwise(F.lag(item).over(Window.partitionBy("_range").orderBy("_at")))
+    rows = rows.join(carried, F.col("_range") == F.col("_of")).withColumn("_was", before)
+    same = reduce(Column.__and__, [F.col("_was")[g].eqNullSafe(F.col(g)) for g in group])
+    return rows.withColumn(out, F.when(F.col("_was").isNotNull() & same, F.col("_was")["_value"])).drop("_range", "_at", "_of", "_carry", "_was")

@@ -199,6 +199,29 @@ SELECT place AS ordinal, origin, place % 70 AS address_key, record_count, (SELEC
  (SELECT string_agg(variant, '|' ORDER BY variant) FROM v WHERE v.place = n.place AND v.origin = n.origin) AS name_variants, first_date, last_date FROM n"""
 
 
+def catalog_upsert_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a quarter of the payments, and all others added to them one after another: additions meet earlier additions, in chains."""
+    facts = payments(spark, sf_dir).groupBy("place_key").agg(
+        F.count(F.lit(1)).alias("record_count"), F.array_sort(F.collect_set("department")).alias("departments"), F.min("payment_date").alias("first_date"), F.max("payment_date").alias("last_date"),
+    )
+    k = F.col("place_key")
+    names = F.array(F.concat(F.lit("v"), k % 33), F.concat(F.lit("w"), F.floor(k / 70) % 7), F.concat(F.lit("x"), F.floor(k / 7) % 11))
+    rows = facts.select(k.alias("ordinal"), (k % 70).alias("address_key"), "record_count", "departments", names.alias("name_variants"), "first_date", "last_date")
+    out = merge.upsert_in_order(rows.filter("ordinal % 9 = 0"), rows.filter("ordinal % 9 > 0"))
+    return out.select("ordinal", "origin", "address_key", "record_count", F.array_join("departments", "|").alias("departments"), F.array_join("name_variants", "|").alias("name_variants"), "first_date", "last_date")
+
+
+CHAINS_SQL = f"""WITH RECURSIVE {P}, u AS (
+  SELECT place_key AS ordinal, CASE WHEN place_key % 9 = 0 THEN 0 ELSE 1000000000 END + place_key AS node, place_key % 70 AS key, count(*) AS n, min(payment_date) AS f, max(payment_date) AS t, list(DISTINCT department) FILTER (department IS NOT NULL) AS d,
+    ['v' || (place_key % 33), 'w' || (place_key // 70 % 7), 'x' || (place_key // 7 % 11)] AS vs FROM p GROUP BY place_key
+), x AS (SELECT node, key, unnest(vs) AS v, generate_subscripts(vs, 1) AS i FROM u),
+b AS (SELECT *, lag(node) OVER (PARTITION BY key, v ORDER BY node) AS up FROM x),
+q AS (SELECT node, CASE WHEN node >= 1000000000 THEN arg_min(up, i) FILTER (up IS NOT NULL) END AS up FROM b GROUP BY node),
+r AS (SELECT node, node AS root FROM q WHERE up IS NULL UNION ALL SELECT q.node, r.root FROM q JOIN r ON q.up = r.node)
+SELECT root % 1000000000 AS ordinal, CASE WHEN root < 1000000000 THEN 'base' ELSE 'added' END AS origin, any_value(key) AS address_key, sum(n)::BIGINT AS record_count, coalesce(array_to_string(list_sort(list_distinct(flatten(list(d)))), '|'), '') AS departments,
+  array_to_string(list_sort(list_distinct(flatten(list(vs)))), '|') AS name_variants, min(f) AS first_date, max(t) AS last_date FROM r JOIN u USING (node) GROUP BY root"""
+
+
 def sources_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources by URL; where the newer half has one, its row."""
     rows = payments(spark, sf_dir)
@@ -258,6 +281,7 @@ QUERIES = {
     "parse_funnel": parse_funnel,
     "pending_not_accepted": pending_not_accepted,
     "catalog_upsert": catalog_upsert,
+    "catalog_upsert_chains": catalog_upsert_chains,
     "sources_last_wins": sources_last_wins,
     "sources_last_wins_whole": sources_last_wins_whole,
     "ordered_distinct_units": ordered_urls,
@@ -279,6 +303,7 @@ SQL = {
     "parse_funnel": FUNNEL_SQL,
     "pending_not_accepted": PENDING_SQL,
     "catalog_upsert": UPSERT_SQL,
+    "catalog_upsert_chains": CHAINS_SQL,
     "sources_last_wins": LAST_WINS_SQL,
     "sources_last_wins_whole": LAST_WINS_WHOLE_SQL,
     "ordered_distinct_units": ORDERED_SQL,

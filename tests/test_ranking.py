@@ -68,3 +68,41 @@ def test_workdays_know_the_years_of_their_holidays(spark):
 def test_keys_with_a_prefix_become_null(spark):
     df = spark.createDataFrame([(1, "a", "b")], "id int, photo_id string, photo_url string")
     assert documents.without_prefix(df, "photo_").collect()[0] == (1, None, None)
+
+
+def test_additions_meet_earlier_additions(spark):
+    """Against a plain loop with an index that each place, also a joined one, writes its names into."""
+    import datetime as dt
+
+    from placebook.operators import merge
+
+    rng = random.Random(9)
+    place = lambda i: (i, rng.choice([None, "k1", "k1", "k2"]), rng.randint(1, 9), rng.sample("pqrs", rng.randint(0, 3)), [rng.choice("abcdefghij") for _ in range(rng.randint(1, 3))], dt.date(2026, 1, rng.randint(1, 9)), dt.date(2026, 2, rng.randint(1, 9)))
+    base, more = [place(i) for i in range(12)], [place(i) for i in range(60)]
+    items, index = [], {}
+    for side, rows in (("base", base), ("added", more)):
+        for o, key, n, units, names, a, b in rows:
+            keys = [(key, v) for v in names]
+            found = next((index[k] for k in keys if k in index), None) if side == "added" else None
+            if found is None:
+                items.append(found := {"o": (side, o), "key": key, "n": 0, "d": set(), "v": set(), "a": a, "b": b})
+            found["n"] += n
+            found["d"] |= set(units)
+            found["v"] |= set(names)
+            found["a"], found["b"] = min(found["a"], a), max(found["b"], b)
+            index |= dict.fromkeys(keys, found)
+    schema = "ordinal int, address_key string, record_count int, departments array<string>, name_variants array<string>, first_date date, last_date date"
+    got = merge.upsert_in_order(spark.createDataFrame(base, schema), spark.createDataFrame(more, schema)).collect()
+    want = sorted((i["o"], i["key"] or "", i["n"], sorted(i["d"]), sorted(i["v"]), i["a"], i["b"]) for i in items)
+    assert sorted(((r["origin"], r["ordinal"]), r["address_key"] or "", r["record_count"], r["departments"], r["name_variants"], r["first_date"], r["last_date"]) for r in got) == want
+    assert merge.upsert_in_order(spark.createDataFrame([], schema), spark.createDataFrame([], schema)).count() == 0
+
+
+def test_the_row_before_across_ranges(spark):
+    rows = [(i % 3 if i % 7 else None, i) for i in range(300)]
+    got = {r["v"]: r["p"] for r in ranking.previous(spark.createDataFrame(rows, "g int, v int"), ["g"], [F.col("v")], "v", "p").collect()}
+    last, want = {}, {}
+    for g, v in rows:
+        want[v] = last.get(g)
+        last[g] = v
+    assert got == want
