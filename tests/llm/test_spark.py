@@ -289,7 +289,8 @@ def test_token_counts(docs, corpus, empty):
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    for t in ("documents", "benchmark", "clicks"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = queries.QUERIES[name](spark, DATA)
     cols = sorted(df.columns)
     found = con.sql(queries.SQL[name])
