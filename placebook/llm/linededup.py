@@ -1,14 +1,14 @@
-"""Line dedup by winnowing over words: later copies of repeated runs go, wherever in a line they begin and end."""
+"""Line dedup by winnowing: fingerprints of runs of words are joined, matches extended, and later copies deleted, wherever in a line they begin and end."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,6 +19,8 @@ from .common import discard, free_name, stored
 LEAST_WORDS = 50
 #: A fingerprint is a run of so many words.
 GRAM = 20
+#: The words of an earlier run are fetched by so many.
+SEGMENT = 32
 _UNIT = re.compile(r"\s*\S+\s*")
 #: Characters that are handled at once.
 GROUP_CHARS = 400_000
@@ -114,78 +116,76 @@ def groups(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             at, size = n + 1, 0
 
 
-def listed(parts: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
-    """Lists of 64-bit numbers from their values and lengths."""
-    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])).astype(np.int32)
-    values = np.concatenate([np.zeros(0, np.uint64), *parts])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+def listed(parts: list[np.ndarray], sizes: list[int]) -> pa.ListArray:
+    """Lists of numbers, one after another, of the given lengths."""
+    ends = np.cumsum([0, *sizes]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
 
 
-def indexed(rows: DataFrame, least: int) -> DataFrame:
-    """(id, picks): the fingerprints of each text of ``least`` words or more, one for each place."""
+def blocks_of(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFrame:
+    """(gram, run, id, first, windows): the fingerprints of (id, text), with the words around.
+
+    Neighbouring windows that select one place are a block, the first of which begins at
+    ``first``; ``gram`` is the hash of the fingerprint, ``run`` that of all words of the block.
+    """
     kind = rows.schema["id"].dataType.simpleString()
 
     def make():
-        run_hash = RunHashes()
+        run_hash = hasher()
 
         def apply(batch):
-            at, values, sizes = [], [], []
+            found = {k: [np.zeros(0, np.int64)] for k in ("gram", "run", "first", "windows", "row")}
             for start, texts in groups(batch.column("text").to_pylist()):
                 hashes, bounds = hashed(texts, run_hash)
-                grams, _, picks = chosen(hashes, bounds, least, run_hash)
-                places = np.unique(picks)
-                counts = np.diff(np.searchsorted(places, bounds))
-                own = np.flatnonzero(counts)
-                at.append(own + start)
-                values.append(grams[places])
-                sizes.append(counts[own])
-            return {"id": batch.column("id").take(pa.array(np.concatenate(at))), "picks": listed(values, sizes)}
+                grams, first, picks = chosen(hashes, bounds, least, run_hash)
+                if not len(first):
+                    continue
+                begin = np.flatnonzero(np.concatenate([np.ones(1, bool), picks[1:] != picks[:-1]]))
+                end = np.append(begin[1:], len(picks))
+                row = np.searchsorted(bounds, first[begin], side="right") - 1
+                found["gram"].append(grams[picks[begin]].view(np.int64))
+                found["run"].append(run_hash(hashes, first[begin], first[end - 1] + least).view(np.int64))
+                found["first"].append(first[begin] - bounds[row])
+                found["windows"].append(end - begin)
+                found["row"].append(row + start)
+            own = {k: np.concatenate(v) for k, v in found.items()}
+            ints = {k: own[k].astype(np.int32) for k in ("first", "windows")}
+            return own | ints | {"id": batch.column("id").take(pa.array(own["row"]))}
 
         return apply
 
-    return map_batches(rows, f"id {kind}, picks array<bigint>", make)
+    return map_batches(rows, f"gram bigint, run bigint, id {kind}, first int, windows int", make)
 
 
-def blocks_of(hit: DataFrame, least: int) -> DataFrame:
-    """(run, gram, id, first, windows): neighbouring windows of (id, text, again) that select the same place, if its fingerprint is among ``again``.
+def led(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFrame:
+    """(id, at, runs, segments, words) of (id, text, blocks), where blocks have (first, windows, several).
 
-    ``run`` is the hash of all words of a block, ``windows`` has that of each window, the first of which begins at ``first``.
+    ``runs`` has the hash of each window of the blocks that are ``several``, which begins at
+    ``at``; ``words`` the words of the segments of SEGMENT words that the blocks touch.
     """
-    kind = dict(hit.dtypes)["id"]
+    kind = dict(rows.dtypes)["id"]
 
     def make():
-        run_hash = RunHashes()
+        run_hash = hasher()
 
         def apply(batch):
-            found = {k: [] for k in ("run", "gram", "first", "row", "values", "sizes")}
-            again = batch.column("again")
-            # a fingerprint that one text's list has is in the list of each text that selects it
-            repeated = np.unique(again.flatten().to_numpy(zero_copy_only=False))
-            for start, texts in groups(batch.column("text").to_pylist()):
-                hashes, bounds = hashed(texts, run_hash)
-                grams, first, picks = chosen(hashes, bounds, least, run_hash)
-                if not len(first):
-                    continue
-                begin = np.flatnonzero(np.concatenate([np.ones(1, bool), picks[1:] != picks[:-1]]))
-                end = np.append(begin[1:], len(picks))
-                gram = grams[picks[begin]].view(np.int64)
-                place = np.searchsorted(repeated, gram)
-                good = repeated[np.minimum(place, len(repeated) - 1)] == gram if len(repeated) else np.zeros(len(gram), bool)
-                each = run_hash(hashes, first, first + least)[np.repeat(good, end - begin)]
-                begin, end = begin[good], end[good]
-                row = np.searchsorted(bounds, first[begin], side="right") - 1
-                found["run"].append(run_hash(hashes, first[begin], first[end - 1] + least).view(np.int64))
-                found["gram"].append(gram[good])
-                found["first"].append((first[begin] - bounds[row]).astype(np.int32))
-                found["row"].append(row + start)
-                found["values"].append(each)
-                found["sizes"].append(end - begin)
-            own = {k: np.concatenate([np.zeros(0, np.int64 if k != "first" else np.int32), *found[k]]) for k in ("run", "gram", "first", "row")}
-            return own | {"id": batch.column("id").take(pa.array(own["row"])), "windows": listed(found["values"], found["sizes"])}
+            at, runs, segments, words = [], [], [], []
+            for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
+                own = text.split()
+                touched = sorted({n for b in blocks for n in range(b["first"] // SEGMENT, (b["first"] + b["windows"] + least - 2) // SEGMENT + 1)})
+                segments.append(np.array(touched, np.int32))
+                words.append([" ".join(own[n * SEGMENT : (n + 1) * SEGMENT]) for n in touched])
+                spans = [np.arange(b["first"], b["first"] + b["windows"]) for b in blocks if b["several"]]
+                at.append(np.concatenate([np.zeros(0, np.int64), *spans]))
+                runs.append(np.zeros(0, np.int64))
+                if spans:
+                    runs[-1] = run_hash(hashed([text], run_hash)[0], at[-1], at[-1] + least).view(np.int64)
+            lists = {k: listed([np.zeros(0, v[0].dtype), *v], [len(x) for x in v]) for k, v in (("at", at), ("runs", runs), ("segments", segments))}
+            return lists | {"at": lists["at"].cast(pa.list_(pa.int32())), "id": batch.column("id"), "words": words}
 
         return apply
 
-    return map_batches(hit, f"run bigint, gram bigint, id {kind}, first int, windows array<bigint>", make)
+    return map_batches(rows, f"id {kind}, at array<int>, runs array<bigint>, segments array<int>, words array<string>", make)
 
 
 def document_key(id_col: str, text_col: str) -> Column:
@@ -199,44 +199,84 @@ def one_text_each(df: DataFrame, id_col: str, text_col: str) -> bool:
     return not each.agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").limit(1).count()
 
 
-def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
-    """(id, cuts): for the documents that repeat earlier runs, the words [first, end) to delete.
+def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, hasher: Callable[[], RunHashes] = RunHashes) -> DataFrame:
+    """(id, pieces): for the documents that repeat earlier runs, the matches with the words of the earlier ones.
 
-    ``id`` is ``key``, which tells documents apart and puts them in order.
+    ``id`` is ``key``, which tells documents apart and puts them in order. A piece has the
+    words [first, end) of a match, the place ``lead`` where its earlier run begins, a number
+    ``of`` that tells the matches of a document apart, and a segment of the earlier document
+    with its words.
 
     1. Each text's words are hashed; of the runs of GRAM words in every window of ``least``
        words, the minimum is a fingerprint, so that any run of so many words has one wherever
-       it stands in its lines.
-    2. Fingerprints are joined: those that occur once are dropped.
-    3. The windows that select one place are a block. Equal blocks meet by their hash, never
-       in pairs; the first in the order of (id, place) stays and the others are cut.
-    4. Where different blocks have a fingerprint in common, the windows of the first of each
-       meet by their hashes in the same way. So every window that stands earlier is cut, to
-       the word; overlapping cuts together are the repeated run.
-
-    Steps 3 and 4 are how matches are extended both ways: instead of walking from each joined
-    pair of positions, which makes all pairs of a passage's copies, every window around a
-    fingerprint that occurs again is looked up by its hash. The runs found are the same.
+       it stands in its lines. Those that occur once are dropped.
+    2. Positions are joined: each with the earliest of its fingerprint that has the same words
+       around, so that a passage with many copies makes as many rows, not all pairs. Where one
+       fingerprint stands among different words, each window around is joined with the
+       earliest one like it.
+    3. Matches are extended both ways: joined positions on one diagonal (the same distance
+       from one earlier document) that touch are one match, as far as there are any.
+    4. The words of the earlier run are fetched for each match by segments of SEGMENT words.
+
+    All up to here only proposes; ``confirmed`` compares the words.
     """
     rows = df.filter(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
-    table = stored(indexed(rows, least), "picks")
-    picks = table.select("id", F.explode("picks").alias("hash"))
-    again = stored(picks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "again")
-    marked = stored(picks.join(again, "hash").groupBy("id").agg(F.collect_set("hash").alias("again")), "marked")
+    place, here = F.struct("id", "first"), ["gram", "run"]
+    table = stored(blocks_of(rows, least, hasher), "blocks")
+    again = stored(table.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "again")
+    met = stored(table.join(again, "gram"), "met")
     discard(table, again)
-    blocks = stored(blocks_of(rows.join(marked, "id"), least), "blocks")
-    place = F.struct("id", "first")
-    leads = stored(blocks.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("gram").alias("gram")), "leads")
+    leads = stored(met.groupBy(*here).agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("windows").alias("windows")), "leads")
     several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
-    leading = stored(leads.join(several, "gram", "left").select("run", "lead", F.coalesce("several", F.lit(False)).alias("several"), (F.col("lead") != F.col("last")).alias("repeated")).filter("several or repeated"), "leading")
-    discard(marked, leads, several)
-    met = stored(blocks.drop("gram").join(leading, "run").select("id", "first", "windows", "several", (place != F.col("lead")).alias("later")).filter("several or later"), "met")
-    discard(blocks, leading)
-    whole = met.filter("later").select("id", "first", (F.col("first") + F.size("windows") + F.lit(least - 1)).alias("end"))
-    runs = met.filter("not later").select("id", F.col("first").alias("start"), F.posexplode("windows").alias("n", "run")).select("run", "id", (F.col("start") + F.col("n")).alias("first"))
+    flags = F.coalesce("several", F.lit(False)).alias("several"), (F.col("lead") != F.col("last")).alias("repeated")
+    leading = stored(leads.join(several, "gram", "left").select(*here, "lead", "windows", *flags).filter("several or repeated"), "leading")
+    discard(leads, several)
+    whole = met.join(leading.filter("repeated").select(*here, "lead"), here).filter(place != F.col("lead"))
+    whole = stored(whole.select("id", "first", (F.col("first") + F.col("windows") + F.lit(least - 1)).alias("end"), "lead"), "whole")
+    asked = leading.groupBy(F.col("lead.id").alias("id")).agg(F.collect_list(F.struct("lead.first", "windows", "several")).alias("blocks"))
+    asked = stored(asked, "asked")
+    earlier = stored(led(rows.join(asked, "id"), least, hasher), "earlier")
+    if earlier.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that are one document
+        earlier = stored(earlier.dropDuplicates(["id"]), "earlier")
+    discard(met, leading, asked)
+    runs = stored(earlier.select("id", F.explode(F.arrays_zip("at", "runs")).alias("w")).select("id", F.col("w.at").alias("first"), F.col("w.runs").alias("run")), "windows")
     earliest = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "earliest")
-    later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"))
-    return whole.unionByName(later).groupBy("id").agg(F.collect_set(F.struct("first", "end")).alias("cuts"))
+    later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"), "lead")
+    matches = stored(extended(whole.unionByName(later)), "matches")
+    discard(whole, runs, earliest)
+    segments = earlier.select(F.col("id").alias("lead_id"), F.explode(F.arrays_zip("segments", "words")).alias("s")).select("lead_id", F.col("s.segments").alias("segment"), "s.words")
+    parts = F.sequence(F.expr(f"lead div {SEGMENT}"), F.expr(f"(lead + end - first - 1) div {SEGMENT}"))
+    pieces = matches.withColumn("segment", F.explode(parts.cast("array<int>"))).join(segments, ["lead_id", "segment"])
+    return pieces.groupBy("id").agg(F.collect_list(F.struct("first", "end", "lead", F.xxhash64("lead_id").alias("of"), "segment", "words")).alias("pieces"))
+
+
+def extended(joined: DataFrame) -> DataFrame:
+    """(id, first, end, lead_id, lead): joined stretches (id, first, end, lead) on one diagonal that touch or overlap are one match."""
+    on = Window.partitionBy("id", "lead_id", "diagonal")
+    rows = joined.select("id", "first", "end", F.col("lead.id").alias("lead_id"), (F.col("first") - F.col("lead.first")).alias("diagonal"))
+    before = F.max("end").over(on.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("begins", F.coalesce(F.col("first") > before, F.lit(True)).cast("int"))
+    rows = rows.withColumn("match", F.sum("begins").over(on.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)))
+    each = rows.groupBy("id", "lead_id", "diagonal", "match").agg(F.min("first").alias("first"), F.max("end").alias("end"))
+    return each.select("id", "first", "end", "lead_id", (F.col("first") - F.col("diagonal")).alias("lead"))
+
+
+def confirmed(words: list[str], pieces: list[dict], least: int) -> list[tuple[int, int]]:
+    """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones."""
+    matches: dict[tuple, list] = {}
+    for p in pieces:
+        matches.setdefault((p["first"], p["end"], p["lead"], p["of"]), []).append((p["segment"], p["words"]))
+    cuts = []
+    for (first, end, lead, _), parts in matches.items():
+        skip = lead % SEGMENT
+        there = [w for _, each in sorted(parts) for w in each.split(" ")][skip : skip + end - first]
+        here = words[first:end]
+        if here == there:
+            cuts.append((first, end))
+            continue
+        unlike = [-1, *(n for n in range(len(here)) if n >= len(there) or here[n] != there[n]), len(here)]
+        cuts += [(first + a + 1, first + b) for a, b in zip(unlike, unlike[1:], strict=False) if b - a - 1 >= least]
+    return cuts
 
 
 def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -260,7 +300,7 @@ def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept.tobytes().decode("utf-32-le", "surrogatepass"), len(np.unique(line[gone])), int(gone.sum())
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, hasher: Callable[[], RunHashes] = RunHashes) -> DataFrame:
     """All rows and columns of ``df``, the text without repeated runs, plus removed_lines and removed_words.
 
     A run of ``least`` words or more that stands earlier in the table (smaller id, or the
@@ -270,14 +310,19 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     become empty. Null texts stay null, rows with a null id stay as they are and count for
     nothing. Rows with equal ids and texts are one document and are cut alike; with equal ids
     and other texts they are documents of their own, of which a hash of the text decides the
-    order. Ids may be of any type that has an order. An empty table gives no rows. Existing columns removed_lines and removed_words are replaced. Bounded memory:
-    tasks hold single texts and the words of one document; equal blocks and windows are counted by a
-    partial aggregate and joined with a written table, which a hot one's rows are split over.
+    order. Ids may be of any type that has an order. An empty table gives no rows. Existing
+    columns removed_lines and removed_words are replaced.
+
+    Hashes (``hasher`` makes what computes them) only propose matches: a word goes if it and
+    the words around are the earlier ones, compared one by one. Two unlike runs with one
+    hash can hide a repetition, but no word goes for it. Bounded memory: tasks hold single
+    texts and the matches of one document; equal blocks and windows are counted by a partial
+    aggregate and joined with a written table, which a hot one's rows are split over.
     """
     df = df.drop("removed_lines", "removed_words")
-    key, cut = free_name(df, "_cut_id"), free_name(df, "_cuts")
+    key, cut = free_name(df, "_cut_id"), free_name(df, "_pieces")
     own = F.col(id_col) if one_text_each(df, id_col, text_col) else document_key(id_col, text_col)
-    found = stored(repeated_runs(df, own, id_col, text_col, least), "cuts").select(F.col("id").alias(key), F.col("cuts").alias(cut))
+    found = repeated_runs(df, own, id_col, text_col, least, hasher).select(F.col("id").alias(key), F.col("pieces").alias(cut))
     rows = df.join(found, own == F.col(key), "left").drop(key)
     kinds = T.StructType([*df.schema.fields, T.StructField("removed_lines", T.LongType()), T.StructField("removed_words", T.LongType())])
 
@@ -285,11 +330,11 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         def apply(batch):
             own = {name: batch.column(name) for name in batch.schema.names if name != cut}
             gone = batch.column(cut)
-            at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))  # only documents with cuts
+            at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))  # only documents with matches
             lines_, words = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
             if len(at):
-                texts, cuts = (x.take(pa.array(at)).to_pylist() for x in (own[text_col], gone))
-                done = [without(text, [(c["first"], c["end"]) for c in each]) for text, each in zip(texts, cuts, strict=True)]
+                texts, pieces = (x.take(pa.array(at)).to_pylist() for x in (own[text_col], gone))
+                done = [without(text, confirmed(text.split(), each, least)) for text, each in zip(texts, pieces, strict=True)]
                 mask = np.zeros(batch.num_rows, bool)
                 mask[at] = True
                 own[text_col] = pc.replace_with_mask(own[text_col], pa.array(mask), pa.array([d[0] for d in done], own[text_col].type))

@@ -136,6 +136,21 @@ def test_runs_of_texts_together_are_those_of_each(texts, least):
     assert len(set(runs.values())) == len(runs)
 
 
+def test_confirmed_cuts_only_words_that_are_equal():
+    here = [f"w{n}" for n in range(200)]
+    there = [*["x"] * 40, *here[10:150]]
+    there[40 + 60] = "other"
+
+    def pieces(first, end, lead):
+        size = linededup.SEGMENT
+        return [dict(first=first, end=end, lead=lead, of=1, segment=n, words=" ".join(there[n * size : (n + 1) * size])) for n in range((lead + end - first - 1) // size, lead // size - 1, -1)]
+
+    assert linededup.confirmed(here, pieces(10, 70, 40), 50) == [(10, 70)]
+    assert linededup.confirmed(here, pieces(10, 150, 40), 50) == [(10, 70), (71, 150)]
+    assert linededup.confirmed(here, pieces(10, 110, 40), 50) == [(10, 70)]
+    assert linededup.confirmed(here, pieces(11, 100, 40), 50) == []
+
+
 def plain_without(text, cuts):
     units, gone, line, touched, kept = linededup.lines(text), set(), 0, set(), []
     for first, end in cuts:

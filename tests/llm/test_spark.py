@@ -5,6 +5,7 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,6 +215,37 @@ def test_line_dedup_leaves_the_words_of_the_brute_force(spark):
     assert got == plain_word_dedup([tuple(r) for r in rows.collect()])
 
 
+def test_line_dedup_loses_no_word_to_runs_with_one_hash(spark):
+    """With hashes of six bits most fingerprints, blocks and windows meet unlike ones."""
+
+    class Narrow(linededup.RunHashes):
+        def __call__(self, hashes, first, end):
+            return super().__call__(hashes, first, end) >> np.uint64(58) << np.uint64(10)
+
+    rng = random.Random(5)
+    passage = words(rng, 70)
+    rows = [(n, " ".join([words(rng, 60), passage if n % 3 == 0 else "", words(rng, 90)])) for n in range(40)]
+    got = {r["doc_id"]: r for r in linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hasher=Narrow).collect()}
+    expected = plain_word_dedup(rows)
+    for key, text in rows:
+        left = got[key]["text"].split()
+        assert got[key]["removed_words"] == len(text.split()) - len(left)
+        at = iter(left)
+        assert all(w in at for w in expected[key])  # what is left has all that may stay, in order
+
+
+def test_line_dedup_where_rows_are_one_document(spark):
+    """Rows with one id and text are cut alike, whether they hold the earlier run or the later one."""
+    rng = random.Random(6)
+    passage = words(rng, 64)
+    a, b = f"{words(rng, 9)} {passage} {words(rng, 40)}", f"{words(rng, 30)} {passage} {words(rng, 8)}"
+    rows = [(1, a)] * 7 + [(2, b)] * 5
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = plain_word_dedup([(1, a), (2, b)])
+    assert len(got) == 12 and all(r["text"].split() == expected[r["doc_id"]] for r in got)
+    assert {(r["doc_id"], r["removed_words"]) for r in got} == {(1, 0), (2, 64)}
+
+
 def test_media(docs, corpus):
     rows = media.text_media(docs).collect()
     assert len(rows) == len(corpus)
