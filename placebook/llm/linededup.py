@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ LEAST_WORDS = 50
 #: A fingerprint is a run of so many words.
 GRAM = 20
 #: The words of an earlier run are fetched by so many.
-SEGMENT = 32
+SEGMENT = 128
 _UNIT = re.compile(r"\s*\S+\s*")
 #: Characters that are handled at once.
 GROUP_CHARS = 400_000
@@ -209,7 +209,7 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
 
     1. Each text's words are hashed; of the runs of GRAM words in every window of ``least``
        words, the minimum is a fingerprint, so that any run of so many words has one wherever
-       it stands in its lines. Those that occur once are dropped.
+       it stands in its lines.
     2. Positions are joined: each with the earliest of its fingerprint that has the same words
        around, so that a passage with many copies makes as many rows, not all pairs. Where one
        fingerprint stands among different words, each window around is joined with the
@@ -223,22 +223,20 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     rows = df.filter(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     place, here = F.struct("id", "first"), ["gram", "run"]
     table = stored(blocks_of(rows, least, hasher), "blocks")
-    again = stored(table.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram"), "again")
-    met = stored(table.join(again, "gram"), "met")
-    discard(table, again)
-    leads = stored(met.groupBy(*here).agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("windows").alias("windows")), "leads")
+    leads = table.groupBy(*here).agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("windows").alias("windows"))
+    leads = stored(leads.select(*here, "lead", "windows", (F.col("lead") != F.col("last")).alias("repeated")), "leads")
     several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
-    flags = F.coalesce("several", F.lit(False)).alias("several"), (F.col("lead") != F.col("last")).alias("repeated")
-    leading = stored(leads.join(several, "gram", "left").select(*here, "lead", "windows", *flags).filter("several or repeated"), "leading")
+    leading = leads.join(several, "gram", "left").withColumn("several", F.coalesce("several", F.lit(False)))
+    leading = stored(leading.filter("several or repeated"), "leading")
     discard(leads, several)
-    whole = met.join(leading.filter("repeated").select(*here, "lead"), here).filter(place != F.col("lead"))
+    whole = table.join(leading.filter("repeated").select(*here, "lead"), here).filter(place != F.col("lead"))
     whole = stored(whole.select("id", "first", (F.col("first") + F.col("windows") + F.lit(least - 1)).alias("end"), "lead"), "whole")
     asked = leading.groupBy(F.col("lead.id").alias("id")).agg(F.collect_list(F.struct("lead.first", "windows", "several")).alias("blocks"))
     asked = stored(asked, "asked")
     earlier = stored(led(rows.join(asked, "id"), least, hasher), "earlier")
     if earlier.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that are one document
         earlier = stored(earlier.dropDuplicates(["id"]), "earlier")
-    discard(met, leading, asked)
+    discard(table, leading, asked)
     runs = stored(earlier.select("id", F.explode(F.arrays_zip("at", "runs")).alias("w")).select("id", F.col("w.at").alias("first"), F.col("w.runs").alias("run")), "windows")
     earliest = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "earliest")
     later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"), "lead")
@@ -261,20 +259,28 @@ def extended(joined: DataFrame) -> DataFrame:
     return each.select("id", "first", "end", "lead_id", (F.col("first") - F.col("diagonal")).alias("lead"))
 
 
-def confirmed(words: list[str], pieces: list[dict], least: int) -> list[tuple[int, int]]:
-    """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones."""
+def confirmed(words: list[str], pieces: Iterable[tuple], least: int) -> list[tuple[int, int]]:
+    """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones.
+
+    A piece is (first, end, lead, of, segment, words).
+    """
     matches: dict[tuple, list] = {}
-    for p in pieces:
-        matches.setdefault((p["first"], p["end"], p["lead"], p["of"]), []).append((p["segment"], p["words"]))
+    for *match, segment, each in pieces:
+        matches.setdefault(tuple(match), []).append((segment, each))
     cuts = []
     for (first, end, lead, _), parts in matches.items():
+        parts.sort()
         skip = lead % SEGMENT
-        there = [w for _, each in sorted(parts) for w in each.split(" ")][skip : skip + end - first]
+        over = (len(parts) - 1) * SEGMENT + parts[-1][1].count(" ") + 1 - skip - (end - first)  # all segments but the last are full
+        there = " ".join([each for _, each in parts])
+        there = there.split(" ", skip)[-1] if skip else there
+        there = there.rsplit(" ", over)[0] if over > 0 else there
         here = words[first:end]
-        if here == there:
+        if " ".join(here) == there:
             cuts.append((first, end))
             continue
-        unlike = [-1, *(n for n in range(len(here)) if n >= len(there) or here[n] != there[n]), len(here)]
+        other = there.split(" ")
+        unlike = [-1, *(n for n in range(len(here)) if n >= len(other) or here[n] != other[n]), len(here)]
         cuts += [(first + a + 1, first + b) for a, b in zip(unlike, unlike[1:], strict=False) if b - a - 1 >= least]
     return cuts
 
@@ -333,8 +339,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
             at = np.flatnonzero(gone.is_valid().to_numpy(zero_copy_only=False))  # only documents with matches
             lines_, words = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
             if len(at):
-                texts, pieces = (x.take(pa.array(at)).to_pylist() for x in (own[text_col], gone))
-                done = [without(text, confirmed(text.split(), each, least)) for text, each in zip(texts, pieces, strict=True)]
+                texts, lists = own[text_col].take(pa.array(at)).to_pylist(), gone.take(pa.array(at))
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                pieces = list(zip(*(x.to_pylist() for x in lists.flatten().flatten()), strict=True))
+                done = [without(text, confirmed(text.split(), pieces[a:b], least)) for text, a, b in zip(texts, [0, *ends], ends, strict=False)]
                 mask = np.zeros(batch.num_rows, bool)
                 mask[at] = True
                 own[text_col] = pc.replace_with_mask(own[text_col], pa.array(mask), pa.array([d[0] for d in done], own[text_col].type))

@@ -143,7 +143,7 @@ def test_confirmed_cuts_only_words_that_are_equal():
 
     def pieces(first, end, lead):
         size = linededup.SEGMENT
-        return [dict(first=first, end=end, lead=lead, of=1, segment=n, words=" ".join(there[n * size : (n + 1) * size])) for n in range((lead + end - first - 1) // size, lead // size - 1, -1)]
+        return [(first, end, lead, 1, n, " ".join(there[n * size : (n + 1) * size])) for n in range((lead + end - first - 1) // size, lead // size - 1, -1)]
 
     assert linededup.confirmed(here, pieces(10, 70, 40), 50) == [(10, 70)]
     assert linededup.confirmed(here, pieces(10, 150, 40), 50) == [(10, 70), (71, 150)]
