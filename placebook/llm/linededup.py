@@ -22,8 +22,8 @@ GRAM = 20
 #: The words of an earlier run are fetched by so many.
 SEGMENT = 128
 _UNIT = re.compile(r"\s*\S+\s*")
-#: Characters that are handled at once.
-GROUP_CHARS = 400_000
+#: Characters that are handled at once, so that their arrays stay in a processor's cache.
+GROUP_CHARS = 40_000
 STOPS = [ord(c) for c in ".!?"]
 SPACES = np.array([chr(c).isspace() for c in range(0x3002)])
 #: The base of the hash of a run; odd, so that it can be divided by.
@@ -68,6 +68,29 @@ def word_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
+class Words:
+    """The words of a text, found by their edges; only those that are asked for become strings."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.codes = text, code_points([text])
+        self.start, self.end = word_edges(self.codes)
+
+    def __getitem__(self, span: slice) -> list[str]:
+        first, end, _ = span.indices(len(self.start))
+        return self.text[self.start[first] : self.end[end - 1]].split() if first < end else []
+
+
+def firsts(*keys: np.ndarray) -> np.ndarray:
+    """Whether each row is the first with its keys."""
+    order = np.lexsort(keys)
+    later = np.ones(max(len(order) - 1, 0), bool)
+    for key in keys:
+        later &= key[order[1:]] == key[order[:-1]]
+    out = np.ones(len(order), bool)
+    out[order[1:][later]] = False
+    return out
+
+
 def hashed(texts: list[str], run_hash: RunHashes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, bounds): the hash of each word of the texts one after another, and where each text's words begin, and the end.
 
@@ -123,10 +146,11 @@ def listed(parts: list[np.ndarray], sizes: list[int]) -> pa.ListArray:
 
 
 def blocks_of(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFrame:
-    """(gram, run, id, first, windows): the fingerprints of (id, text), with the words around.
+    """(gram, run, id, first, windows, own): the fingerprints of (id, text), with the words around.
 
     Neighbouring windows that select one place are a block, the first of which begins at
-    ``first``; ``gram`` is the hash of the fingerprint, ``run`` that of all words of the block.
+    ``first``; ``gram`` is the hash of the fingerprint, ``run`` that of all words of the block,
+    ``own`` says that no earlier block of the text has both.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -134,7 +158,7 @@ def blocks_of(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> D
         run_hash = hasher()
 
         def apply(batch):
-            found = {k: [np.zeros(0, np.int64)] for k in ("gram", "run", "first", "windows", "row")}
+            found = {k: [np.zeros(0, np.int64)] for k in ("gram", "run", "first", "windows", "row")} | {"own": [np.zeros(0, bool)]}
             for start, texts in groups(batch.column("text").to_pylist()):
                 hashes, bounds = hashed(texts, run_hash)
                 grams, first, picks = chosen(hashes, bounds, least, run_hash)
@@ -148,20 +172,21 @@ def blocks_of(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> D
                 found["first"].append(first[begin] - bounds[row])
                 found["windows"].append(end - begin)
                 found["row"].append(row + start)
+                found["own"].append(firsts(found["run"][-1], found["gram"][-1], row))
             own = {k: np.concatenate(v) for k, v in found.items()}
             ints = {k: own[k].astype(np.int32) for k in ("first", "windows")}
             return own | ints | {"id": batch.column("id").take(pa.array(own["row"]))}
 
         return apply
 
-    return map_batches(rows, f"gram bigint, run bigint, id {kind}, first int, windows int", make)
+    return map_batches(rows, f"gram bigint, run bigint, id {kind}, first int, windows int, own boolean", make)
 
 
 def led(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFrame:
-    """(id, at, runs, segments, words) of (id, text, blocks), where blocks have (first, windows, several).
+    """(id, at, runs, own, segments, words) of (id, text, blocks), where blocks have (first, windows, several).
 
     ``runs`` has the hash of each window of the blocks that are ``several``, which begins at
-    ``at``; ``words`` the words of the segments of SEGMENT words that the blocks touch.
+    ``at``, ``own`` whether no earlier one of them is alike; ``words`` the words of the segments of SEGMENT words that the blocks touch.
     """
     kind = dict(rows.dtypes)["id"]
 
@@ -169,23 +194,24 @@ def led(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFra
         run_hash = hasher()
 
         def apply(batch):
-            at, runs, segments, words = [], [], [], []
+            at, runs, own, segments, words = [], [], [], [], []
             for text, blocks in zip(batch.column("text").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                own = text.split()
+                of = Words(text)
                 touched = sorted({n for b in blocks for n in range(b["first"] // SEGMENT, (b["first"] + b["windows"] + least - 2) // SEGMENT + 1)})
                 segments.append(np.array(touched, np.int32))
-                words.append([" ".join(own[n * SEGMENT : (n + 1) * SEGMENT]) for n in touched])
+                words.append([" ".join(of[n * SEGMENT : (n + 1) * SEGMENT]) for n in touched])
                 spans = [np.arange(b["first"], b["first"] + b["windows"]) for b in blocks if b["several"]]
-                at.append(np.concatenate([np.zeros(0, np.int64), *spans]))
+                at.append(np.sort(np.concatenate([np.zeros(0, np.int64), *spans])))
                 runs.append(np.zeros(0, np.int64))
                 if spans:
                     runs[-1] = run_hash(hashed([text], run_hash)[0], at[-1], at[-1] + least).view(np.int64)
-            lists = {k: listed([np.zeros(0, v[0].dtype), *v], [len(x) for x in v]) for k, v in (("at", at), ("runs", runs), ("segments", segments))}
+                own.append(firsts(runs[-1]))
+            lists = {k: listed([np.zeros(0, v[0].dtype), *v], [len(x) for x in v]) for k, v in (("at", at), ("runs", runs), ("own", own), ("segments", segments))}
             return lists | {"at": lists["at"].cast(pa.list_(pa.int32())), "id": batch.column("id"), "words": words}
 
         return apply
 
-    return map_batches(rows, f"id {kind}, at array<int>, runs array<bigint>, segments array<int>, words array<string>", make)
+    return map_batches(rows, f"id {kind}, at array<int>, runs array<bigint>, own array<boolean>, segments array<int>, words array<string>", make)
 
 
 def document_key(id_col: str, text_col: str) -> Column:
@@ -199,6 +225,16 @@ def one_text_each(df: DataFrame, id_col: str, text_col: str) -> bool:
     return not each.agg(F.min("text").alias("a"), F.max("text").alias("b")).filter("a <> b").limit(1).count()
 
 
+def earliest_place() -> list[Column]:
+    """(lead, repeated): the earliest place (id, first) of a group's rows, and whether one of them has another.
+
+    ``own`` marks the first row of an id, so that numbers alone are kept: with ids that are
+    numbers the engine hashes the rows and sorts none, as it would for the least struct.
+    """
+    lead = F.struct(F.min("id").alias("id"), F.min_by("first", F.expr("if(own, id, null)")).alias("first"))
+    return [lead.alias("lead"), ((F.min("id") != F.max("id")) | ~F.min("own")).alias("repeated")]
+
+
 def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, hasher: Callable[[], RunHashes] = RunHashes) -> DataFrame:
     """(id, pieces): for the documents that repeat earlier runs, the matches with the words of the earlier ones.
 
@@ -223,8 +259,7 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     rows = df.filter(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     place, here = F.struct("id", "first"), ["gram", "run"]
     table = stored(blocks_of(rows, least, hasher), "blocks")
-    leads = table.groupBy(*here).agg(F.min(place).alias("lead"), F.max(place).alias("last"), F.min("windows").alias("windows"))
-    leads = stored(leads.select(*here, "lead", "windows", (F.col("lead") != F.col("last")).alias("repeated")), "leads")
+    leads = stored(table.groupBy(*here).agg(*earliest_place(), F.min("windows").alias("windows")), "leads")
     several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
     leading = leads.join(several, "gram", "left").withColumn("several", F.coalesce("several", F.lit(False)))
     leading = stored(leading.filter("several or repeated"), "leading")
@@ -237,8 +272,9 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     if earlier.groupBy("id").count().filter("count > 1").limit(1).count():  # rows that are one document
         earlier = stored(earlier.dropDuplicates(["id"]), "earlier")
     discard(table, leading, asked)
-    runs = stored(earlier.select("id", F.explode(F.arrays_zip("at", "runs")).alias("w")).select("id", F.col("w.at").alias("first"), F.col("w.runs").alias("run")), "windows")
-    earliest = stored(runs.groupBy("run").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("run", "lead"), "earliest")
+    runs = earlier.select("id", F.explode(F.arrays_zip("at", "runs", "own")).alias("w"))
+    runs = stored(runs.select("id", F.col("w.at").alias("first"), F.col("w.runs").alias("run"), F.col("w.own").alias("own")), "windows")
+    earliest = stored(runs.groupBy("run").agg(*earliest_place()).filter("repeated").select("run", "lead"), "earliest")
     later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"), "lead")
     matches = stored(extended(whole.unionByName(later)), "matches")
     discard(whole, runs, earliest)
@@ -259,7 +295,7 @@ def extended(joined: DataFrame) -> DataFrame:
     return each.select("id", "first", "end", "lead_id", (F.col("first") - F.col("diagonal")).alias("lead"))
 
 
-def confirmed(words: list[str], pieces: Iterable[tuple], least: int) -> list[tuple[int, int]]:
+def confirmed(words: list[str] | Words, pieces: Iterable[tuple], least: int) -> list[tuple[int, int]]:
     """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones.
 
     A piece is (first, end, lead, of, segment, words).
@@ -285,14 +321,14 @@ def confirmed(words: list[str], pieces: Iterable[tuple], least: int) -> list[tup
     return cuts
 
 
-def without(text: str, cuts: list[tuple[int, int]]) -> tuple[str, int, int]:
+def without(text: str, cuts: list[tuple[int, int]], words: Words | None = None) -> tuple[str, int, int]:
     """The text without the cut words, the number of lines that lost some, and their number.
 
     A word goes with the white space after it, the first one with that before it, too; a
     line ends at a line break or at a full stop, exclamation or question mark before a space.
     """
-    codes = code_points([text])
-    start, _ = word_edges(codes)
+    words = words or Words(text)
+    codes, start = words.codes, words.start
     change = np.zeros(len(start) + 1, np.int64)
     np.add.at(change, [c[0] for c in cuts], 1)
     np.add.at(change, [c[1] for c in cuts], -1)
@@ -342,7 +378,8 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 texts, lists = own[text_col].take(pa.array(at)).to_pylist(), gone.take(pa.array(at))
                 ends = np.cumsum(lists.value_lengths().to_numpy())
                 pieces = list(zip(*(x.to_pylist() for x in lists.flatten().flatten()), strict=True))
-                done = [without(text, confirmed(text.split(), pieces[a:b], least)) for text, a, b in zip(texts, [0, *ends], ends, strict=False)]
+                each = [Words(text) for text in texts]
+                done = [without(w.text, confirmed(w, pieces[a:b], least), w) for w, a, b in zip(each, [0, *ends], ends, strict=False)]
                 mask = np.zeros(batch.num_rows, bool)
                 mask[at] = True
                 own[text_col] = pc.replace_with_mask(own[text_col], pa.array(mask), pa.array([d[0] for d in done], own[text_col].type))
