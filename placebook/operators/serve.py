@@ -16,15 +16,22 @@ FAR = 2**31 - 1
 def catalog_match(restaurants: DataFrame, catalog: DataFrame, today: Column, months: int = 18) -> DataFrame:
     """Restaurants with the one catalog place of the same name and address; none if there are two.
 
-    Names are joined by key; addresses are compared by words, road with road or lot with lot.
+    Addresses are compared by words, road with road or lot with lot. What matches ends with
+    the same two words that stand side by side in the catalog's address, so that these and
+    the name are the key of the join; equal names and addresses are compared once.
     """
     fresh = catalog.filter(F.col("last_date").between(F.add_months(today, -months), today)).withColumn("address", nfkc("address"))
     keys = fresh.select("catalog_id", "region", F.explode(F.array_distinct(F.concat(F.array("name"), F.coalesce("name_variants", F.array().cast("array<string>"))))).alias("_v"), address_tokens("address").alias("_own"))
-    keys = keys.withColumn("_k", client_name("_v")).filter("_k <> ''").drop("_v").distinct()
+    keys = keys.withColumn("_k", client_name("_v")).filter((F.col("_k") != "") & (F.size("_own") >= 2))
+    keys = keys.groupBy("_k", "region", "_own").agg(F.min("catalog_id").alias("_least"), F.max("catalog_id").alias("_most"))
+    beside = F.transform(F.slice("_own", 1, F.size("_own") - 1), lambda x, i: F.struct(x.alias("a"), F.get(F.col("_own"), i + 1).alias("b")))
+    keys = keys.withColumn("_pair", F.explode(F.array_distinct(beside)))
     asked = restaurants.select("id", client_name("name").alias("_k"), nfkc("road_address").alias("_road"), nfkc("address").alias("_lot"))
-    asked = asked.withColumns({"_road": address_tokens("_road"), "_lot": address_tokens("_lot")})
-    hit = asked.join(keys, "_k").filter(same_address(F.col("_own"), F.col("_road"), F.col("region")) | same_address(F.col("_own"), F.col("_lot"), F.col("region")))
-    one = hit.groupBy("id").agg(F.countDistinct("catalog_id").alias("_n"), F.min("catalog_id").alias("catalog_id")).filter("_n = 1").drop("_n")
+    asked = asked.select("id", "_k", F.explode(F.array_distinct(F.array(address_tokens("_road"), address_tokens("_lot")))).alias("_a")).filter(F.size("_a") >= 3)
+    once = asked.select("_k", "_a").distinct().withColumn("_pair", F.struct(F.element_at("_a", -2).alias("a"), F.element_at("_a", -1).alias("b")))
+    hit = once.join(keys, ["_k", "_pair"]).filter(same_address(F.col("_own"), F.col("_a"), F.col("region")))
+    hit = hit.groupBy("_k", "_a").agg(F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+    one = asked.join(hit, ["_k", "_a"]).groupBy("id").agg(F.min("_least").alias("catalog_id"), F.max("_most").alias("_most")).filter(F.col("catalog_id") == F.col("_most")).drop("_most")
     return restaurants.join(one, "id", "left")
 
 

@@ -336,3 +336,14 @@ def test_private_columns_do_not_survive(spark):
     out = sinks.reduced_ledger(df)
     assert out.columns == tables.KEPT_COLUMNS
     assert out.collect()[0]["집행목적"] == "식사"
+
+
+def test_catalog_match_compares_equal_addresses_once(spark):
+    """2,000 restaurants and 300 places of one name on one road would be 600,000 pairs."""
+    place = lambda k, n: [F.lit("본점").alias("name"), F.concat(F.lit("서울 중구 무교로 "), F.col(k) % n).alias("told")]
+    catalog = spark.range(300).select(F.col("id").alias("catalog_id"), F.lit("서울").alias("region"), *place("id", 299), F.lit(None).cast("array<string>").alias("name_variants"), F.lit(dt.date(2026, 1, 1)).alias("last_date"))
+    asked = spark.range(2000).select("id", *place("id", 400), F.lit("").alias("address")).withColumnRenamed("told", "road_address")
+    out = serve.catalog_match(asked, catalog.withColumnRenamed("told", "address"), F.lit("2026-06-01").cast("date"))
+    want = sorted((i, i % 400 if 0 < i % 400 < 299 else None) for i in range(2000))
+    assert sorted((r["id"], r["catalog_id"]) for r in out.collect()) == want
+    assert _most_rows(spark, out) <= 2000
