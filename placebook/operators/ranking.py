@@ -11,15 +11,17 @@ from ..session import written
 
 #: Rows of one range stand below this number; above it is the number of the range.
 RANGE_BITS = 33
+#: Rows of a range where their number is known beforehand.
+RANGE_ROWS = 1_000_000
 
 
-def _ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+def _ranged(df: DataFrame, order: list[Column], parts: int = 0) -> DataFrame:
     """Rows in ranges of the order, written, with the range and the place in it from 0.
 
     Spark samples the bounds; the rows are written once, so that every later reading sees
     the same ranges. Rows that are equal in the order share a range: end it with a key.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = written(rows, "ranges")
     return rows.withColumns({"_range": F.shiftright("_id", RANGE_BITS), "_at": F.col("_id").bitwiseAND((1 << RANGE_BITS) - 1)}).drop("_id")
@@ -32,19 +34,22 @@ def _starts(rows: DataFrame, amount: Column) -> DataFrame:
     return totals.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
 
 
-def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """All rows with their position in the order, from 1, as column ``out``."""
-    rows = _ranged(df, order)
+def numbered(df: DataFrame, order: list[Column], out: str, parts: int = 0) -> DataFrame:
+    """All rows with their position in the order, from 1, as column ``out``; in so many ranges at least."""
+    rows = _ranged(df, order, parts)
     starts = F.broadcast(_starts(rows, F.lit(1)))  # as many rows as there are partitions
     return rows.join(starts, F.col("_range") == F.col("_of")).withColumn(out, F.col("_start") + F.col("_at") + 1).drop("_range", "_at", "_of", "_start")
 
 
-def numbered_within(df: DataFrame, group: list[str], order: list[Column], out: str) -> DataFrame:
-    """All rows with their position within their group, from 1; a group of any size is many tasks. Null keys are a group."""
-    rows = numbered(df, [*[F.col(g).asc_nulls_first() for g in group], *order], out)
+def numbered_within(df: DataFrame, group: list[str], order: list[Column], out: str, parts: int = 0, few: bool = False) -> DataFrame:
+    """All rows with their position within their group, from 1; a group of any size is many tasks. Null keys are a group.
+
+    ``parts``: the least number of ranges. ``few``: groups are few, and their starts are broadcast.
+    """
+    rows = numbered(df, [*[F.col(g).asc_nulls_first() for g in group], *order], out, parts)
     first = rows.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(F.min(out).alias("_first"))
     same = reduce(Column.__and__, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)])
-    return rows.join(first, same).withColumn(out, F.col(out) - F.col("_first") + 1).drop("_first", *[f"_g{i}" for i in range(len(group))])
+    return rows.join(F.broadcast(first) if few else first, same).withColumn(out, F.col(out) - F.col("_first") + 1).drop("_first", *[f"_g{i}" for i in range(len(group))])
 
 
 def shuffled(df: DataFrame, key: list[str], seed: int, out: str = "place") -> DataFrame:

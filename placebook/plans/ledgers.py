@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import address as adr
 from ..functions import classify, photos, scalars, text
-from ..operators import documents, merge, places, resolve, serve
+from ..operators import documents, merge, places, ranking, resolve, serve
+from ..operators.ranking import RANGE_ROWS
 from ..session import scratch_dir
 from ..sources import grids, registries, sinks, tables
 from .surrogates import MONTHS, SQL_AS_OF, P, as_of, cases, expected_sql, payments, table
@@ -404,11 +406,10 @@ AMOUNTS_SQL = """SELECT o_orderkey, CAST(trunc(round(o_totalprice, 2)) AS BIGINT
 
 def sorted_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in the order in which they are written, as the place of each within its region."""
-    from pyspark.sql import Window
-
-    p = payments(spark, sf_dir)
-    keys = ["region", "institution", F.col("payment_date").desc(), "record_id"]
-    return p.select("record_id", F.row_number().over(Window.partitionBy("region").orderBy(*keys[1:])).cast("long").alias("place"))
+    p = payments(spark, sf_dir).select("record_id", "region", "institution", "payment_date")
+    parts = math.ceil(table(spark, sf_dir, "lineitem").count() / RANGE_ROWS)  # told by the file's footers
+    placed = ranking.numbered_within(p, ["region"], [F.col("institution").asc_nulls_first(), F.col("payment_date").desc(), F.col("record_id")], "place", parts, few=True)
+    return placed.select("record_id", F.col("place").cast("long").alias("place"))
 
 
 SORTED_SQL = f"WITH {P} SELECT record_id, row_number() OVER (PARTITION BY region ORDER BY institution, payment_date DESC, record_id) AS place FROM p"

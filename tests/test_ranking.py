@@ -106,3 +106,15 @@ def test_the_row_before_across_ranges(spark):
         want[v] = last.get(g)
         last[g] = v
     assert got == want
+
+
+def test_payments_are_placed_without_a_window_over_a_region(spark, monkeypatch):
+    from placebook.plans import ledgers
+
+    monkeypatch.setattr(ledgers, "RANGE_ROWS", 500)
+    told = []
+    monkeypatch.setattr(ledgers.ranking, "_ranged", lambda df, order, parts=0, real=ranking._ranged: told.append(parts) or real(df, order, parts))
+    out = ledgers.sorted_payments(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert told == [-(-n // 500)]
+    assert "windowspecdefinition(region" not in out._jdf.queryExecution().executedPlan().toString()
