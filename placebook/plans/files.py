@@ -1,8 +1,9 @@
-"""Queries over files made of the tables: damaged workbooks, and lines numbered over the blocks of one file."""
+"""Queries over files made of the tables: damaged workbooks, and lines numbered over the blocks of files."""
 
 from __future__ import annotations
 
 import io
+import math
 import uuid
 import zipfile
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import RANGE_ROWS
 from ..session import scratch_dir, ship
 from ..sources import grids, tables
 from .surrogates import table
@@ -50,12 +52,13 @@ UNION ALL SELECT DISTINCT 'book' || c_custkey // {BOOK} || '.xlsx', 'even', NULL
 
 
 def split_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events written as one file of lines, some of them blank or broken, and read by block with their numbers."""
+    """Events written as files of lines in their order, some of them blank or broken, and read by block with their numbers over all files."""
     e = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("line"))
     line = F.when(F.col("event_id") % 17 == 3, "").when(F.col("event_id") % 19 == 4, "[1]").otherwise(F.col("line"))
     path = f"{scratch_dir(spark).rstrip('/')}/events-{uuid.uuid4().hex}"
-    e.repartition(1).sortWithinPartitions("event_id").select(line).write.text(path)
-    read = tables.read_json_lines(spark, path, "event_id long, event_type string")
+    parts = max(1, math.ceil(e.count() / RANGE_ROWS))  # told by the file's footers
+    e.repartitionByRange(parts, "event_id").sortWithinPartitions("event_id").select(line).write.text(path)
+    read = tables.read_json_lines(spark, path, "event_id long, event_type string", through=True)
     return read.select("line", F.col("row.event_id").alias("event_id"), "is_object")
 
 

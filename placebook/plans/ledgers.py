@@ -80,8 +80,10 @@ def json_line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "lines")
     k = F.col("c_custkey")
     raw = F.when(k % 11 == 0, "  ").when(k % 13 == 0, "[1]").when(k % 17 == 0, '{"region": ').otherwise(F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("region"), F.lit(True).alias("isMeal"))))
-    table(spark, sf_dir, "customer").repartition(1).sortWithinPartitions("c_custkey").select(raw.alias("value")).write.option("compression", "gzip").text(path)
-    told = tables.read_json_lines(spark, path)
+    c = table(spark, sf_dir, "customer")
+    parts = max(1, math.ceil(c.count() / RANGE_ROWS))  # told by the file's footers
+    c.repartitionByRange(parts, "c_custkey").sortWithinPartitions("c_custkey").select(raw.alias("value")).write.option("compression", "gzip").text(path)
+    told = tables.read_json_lines(spark, path, through=True)
     return told.select("line", "is_object", F.when(F.col("is_object"), F.col("row.name")).alias("name"), F.when(F.col("is_object"), F.col("row.region")).alias("region"))
 
 

@@ -33,9 +33,11 @@ def checked_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*needed)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, through: bool = False) -> DataFrame:
     """(source, line, value): all lines of text files with their number in the file, from 1.
 
+    ``through``: numbers go on from file to file in the order of their names, as in one file.
+
     A file that can be split is as many tasks as it has blocks: lines are counted by block,
     and a block's first line follows the lines of the blocks before it. Packed files have one block.
     """
@@ -43,18 +45,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(*meta, F.col("_metadata.file_name").alias("source"), "value", F.monotonically_increasing_id().alias("_n"))
     # a block's lines have ids one after the other
     blocks = lines.groupBy(F.col("_file").alias("_f"), F.col("_block").alias("_b")).agg(F.count(F.lit(1)).alias("_lines"), F.min("_n").alias("_first"))
-    before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # a row a block, few enough for one window and to be broadcast
+    before = (Window.orderBy("_f", "_b") if through else Window.partitionBy("_f").orderBy("_b")).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_lines").over(before), F.lit(0)))
-    own = lines.join(blocks, (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
+    own = lines.join(F.broadcast(blocks), (F.col("_file") == F.col("_f")) & (F.col("_block") == F.col("_b")))
     return own.select("source", (F.col("_before") + F.col("_n") - F.col("_first") + 1).alias("line"), "value")
 
 
-def read_json_lines(spark: SparkSession, path: str, schema: str = PAYMENT) -> DataFrame:
+def read_json_lines(spark: SparkSession, path: str, schema: str = PAYMENT, through: bool = False) -> DataFrame:
     """(source, line, raw, row, is_object) of each line that isn't blank; what is no object stays as a row with nulls.
 
-    ``line`` counts from 1 with the blank ones.
+    ``line`` counts from 1 with the blank ones; ``through``: over all files.
     """
-    numbered = read_lines(spark, path).select("source", "line", F.trim("value").alias("raw")).filter("raw <> ''")
+    numbered = read_lines(spark, path, through).select("source", "line", F.trim("value").alias("raw")).filter("raw <> ''")
     return numbered.withColumns({"row": F.from_json("raw", schema), "is_object": F.json_object_keys("raw").isNotNull()})
 
 

@@ -119,3 +119,15 @@ def test_lines_are_numbered_over_blocks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == list(enumerate(lines, 1))
     assert df.filter("source = 'two.txt'").agg(F.max("line")).first()[0] == 1
+
+
+def test_lines_of_many_files_are_numbered_as_of_one(spark, monkeypatch):
+    """The written files hold so many rows each, and numbers go on from one to the next."""
+    monkeypatch.setattr(files, "RANGE_ROWS", 100)
+    read, sources = tables.read_json_lines, []
+    monkeypatch.setattr(tables, "read_json_lines", lambda s, path, *a, **k: sources.append(s.read.text(path).select(F.input_file_name()).distinct().count()) or read(s, path, *a, **k))
+    out = sorted((r["line"], r["event_id"]) for r in files.split_line_numbers(spark, "/root/testdata/sf0.001").collect())
+    ids = sorted(r[0] for r in spark.read.parquet("/root/testdata/sf0.001/events.parquet").select("event_id").collect())
+    assert sources[0] >= len(ids) // 200 > 1
+    want = [(n, i if i % 19 != 4 else None) for n, i in enumerate(ids, 1) if i % 17 != 3]
+    assert out == want
