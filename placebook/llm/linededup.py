@@ -252,7 +252,7 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
        earliest one like it.
     3. Matches are extended both ways: joined positions on one diagonal (the same distance
        from one earlier document) that touch are one match, as far as there are any.
-    4. The words of the earlier run are fetched for each match by segments of SEGMENT words.
+    4. The words of the earlier run are fetched for each match by segments of SEGMENT words, of which only its own go on.
 
     All up to here only proposes; ``confirmed`` compares the words.
     """
@@ -281,9 +281,18 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     segments = earlier.select(F.col("id").alias("lead_id"), F.explode(F.arrays_zip("segments", "words")).alias("s")).select("lead_id", F.col("s.segments").alias("segment"), "s.words")
     parts = F.sequence(F.expr(f"lead div {SEGMENT}"), F.expr(f"(lead + end - first - 1) div {SEGMENT}"))
     pieces = matches.withColumn("segment", F.explode(parts.cast("array<int>"))).join(segments, ["lead_id", "segment"])
+    pieces = pieces.withColumn("words", matched_words(F.col("words"), F.col("lead") - F.col("segment") * SEGMENT, F.col("end") - F.col("first")))
     return pieces.groupBy("id").agg(F.collect_list(F.struct("first", "end", "lead", F.xxhash64("lead_id").alias("of"), "segment", "words")).alias("pieces"))
 
 
+def matched_words(words: Column, start: Column, size: Column) -> Column:
+    """Of a segment's words, which single spaces part, those of a match of so many words that begins at ``start``, or before it, below 0."""
+    skip = F.greatest(start, F.lit(0))
+    here = F.call_function("substring_index", words, F.lit(" "), (start + size).cast("int"))
+    over = F.length(F.call_function("substring_index", here, F.lit(" "), skip.cast("int")))
+    return F.when(skip > 0, F.call_function("substring", here, over + 2)).otherwise(here)
+
+
 def extended(joined: DataFrame) -> DataFrame:
     """(id, first, end, lead_id, lead): joined stretches (id, first, end, lead) on one diagonal that touch or overlap are one match."""
     on = Window.partitionBy("id", "lead_id", "diagonal")
@@ -295,10 +304,10 @@ def extended(joined: DataFrame) -> DataFrame:
     return each.select("id", "first", "end", "lead_id", (F.col("first") - F.col("diagonal")).alias("lead"))
 
 
-def confirmed(words: list[str] | Words, pieces: Iterable[tuple], least: int) -> list[tuple[int, int]]:
+def confirmed(words: list[str] | Words, pieces: Iterable[tuple], least: int, whole: bool = True) -> list[tuple[int, int]]:
     """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones.
 
-    A piece is (first, end, lead, of, segment, words).
+    A piece is (first, end, lead, of, segment, words), with the words of the segment or, not ``whole``, those of the match in it.
     """
     matches: dict[tuple, list] = {}
     for *match, segment, each in pieces:
@@ -309,8 +318,9 @@ def confirmed(words: list[str] | Words, pieces: Iterable[tuple], least: int) ->
         skip = lead % SEGMENT
         over = (len(parts) - 1) * SEGMENT + parts[-1][1].count(" ") + 1 - skip - (end - first)  # all segments but the last are full
         there = " ".join([each for _, each in parts])
-        there = there.split(" ", skip)[-1] if skip else there
-        there = there.rsplit(" ", over)[0] if over > 0 else there
+        if whole:
+            there = there.split(" ", skip)[-1] if skip else there
+            there = there.rsplit(" ", over)[0] if over > 0 else there
         here = words[first:end]
         if " ".join(here) == there:
             cuts.append((first, end))
@@ -379,7 +389,7 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 ends = np.cumsum(lists.value_lengths().to_numpy())
                 pieces = list(zip(*(x.to_pylist() for x in lists.flatten().flatten()), strict=True))
                 each = [Words(text) for text in texts]
-                done = [without(w.text, confirmed(w, pieces[a:b], least), w) for w, a, b in zip(each, [0, *ends], ends, strict=False)]
+                done = [without(w.text, confirmed(w, pieces[a:b], least, whole=False), w) for w, a, b in zip(each, [0, *ends], ends, strict=False)]
                 mask = np.zeros(batch.num_rows, bool)
                 mask[at] = True
                 own[text_col] = pc.replace_with_mask(own[text_col], pa.array(mask), pa.array([d[0] for d in done], own[text_col].type))
