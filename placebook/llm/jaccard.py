@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ship
 from .arrow import map_batches
 from .common import discard, stored, sweep
-from .minhash import Shingler, components, confirmed, scramble, similar
+from .minhash import Shingler, components, confirmed, scramble
 
 #: A band holds the sets with FIRST * WIDEN^b to FIRST * WIDEN^(b + 1) shingles, and serves pairs whose larger set is in it.
 FIRST, WIDEN = 8, 2
@@ -24,8 +24,14 @@ FIRST, WIDEN = 8, 2
 BANDS = 64
 #: Parts of the shingles' domain, for a band: this share of its largest size, and some more that small sets need.
 PARTS, MORE_PARTS = 0.375, 16
-#: Bits of the parities that sort out pairs, and rows of a bucket that are compared in one group, on average.
+#: Bits of the parities that sort out pairs, where nothing else is said, and rows of a bucket that are compared in one group, on average.
 PARITIES, BLOCK = 2_048, 512
+#: Digests of sets that a task remembers, and rows of one key that it holds at once.
+SEEN, HELD = 200_000, 65_536
+#: Places of hashes of ids, of which those of the asked-for ones are broadcast: a fixed number, of any number of ids.
+PLACES = 1 << 21
+#: Rounds in which each class is compared with its nearest candidate only, before all that are left are.
+ROUNDS = 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,7 +64,11 @@ def needed(n: int, percent: int) -> int:
 
 def part_of(shingles: np.ndarray, parts: int) -> np.ndarray:
     """The part of each shingle, by its upper bits."""
-    return ((scramble(shingles ^ SEED) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (spread(shingles) * np.uint64(parts)) >> np.uint64(32)
+
+
+def spread(shingles: np.ndarray) -> np.ndarray:
+    return scramble(shingles ^ SEED) >> np.uint64(32)
 
 
 def doublings(shingles: np.ndarray, percent: int) -> dict[int, int]:
@@ -83,10 +93,11 @@ def signatures(shingles: np.ndarray, percent: int, doubled: dict[int, int]) -> n
     one that stops first has it among its own, and so has the other.
     """
     found, want = [], needed(len(shingles), percent)
+    place = spread(shingles)
+    order = np.argsort(place)  # parts are ranges of it, in any band
+    place, mixed = place[order], scramble(shingles[order] * SEED)
     for band in bands_of(len(shingles), percent):
-        part = part_of(shingles, part_count(band, doubled.get(band, 0)))
-        order = np.argsort(part, kind="stable")
-        part, mixed = part[order], scramble(shingles[order] * SEED)
+        part = (place * np.uint64(part_count(band, doubled.get(band, 0)))) >> np.uint64(32)
         start = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
         whole = np.add.reduceat(mixed, start)[:want]
         key = scramble(whole ^ scramble(part[start][:want] * np.uint64(2_654_435_769)))
@@ -94,84 +105,181 @@ def signatures(shingles: np.ndarray, percent: int, doubled: dict[int, int]) -> n
     return np.concatenate(found)
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES bits: of how many shingles fall to each, the last bit. Two sets differ in as many shingles as bits, or more."""
-    count = np.bincount((scramble(shingles + SEED) >> np.uint64(40)).astype(np.int64) % PARITIES, minlength=PARITIES)
+def parities(shingles: np.ndarray, bits: int = PARITIES) -> np.ndarray:
+    """``bits`` bits: of how many shingles fall to each, the last bit. Two sets differ in as many shingles as bits, or more.
+
+    The halves of 2^k bits, one xor the other, are the 2^(k-1) bits of the set.
+    """
+    count = np.bincount((scramble(shingles + SEED) >> np.uint64(24)).astype(np.int64) % bits, minlength=bits)
     return np.packbits((count & 1).astype(np.uint8)).view(np.int64)
 
 
+def parity_bits(n: int, percent: int) -> int:
+    """Bits for the largest band of a set: as many as the band's sets have shingles, so that they tell large ones apart, too."""
+    return max(64, FIRST * WIDEN ** (bands_of(n, percent)[-1] + 1))
+
+
 def signed(rows: DataFrame, size: int, percent: int, doubled: dict[int, int]) -> DataFrame:
-    """(id, n, digest, keys, doubled) of (id, text): set size, digest of the set, its signatures, and the doublings of its bands that it needs."""
+    """(id, n, digest, keys, fine, doubled) of (id, text): set size, digest of the set, its signatures and parities, and the doublings of its bands that it needs.
+
+    Of equal sets that a task meets only the first has keys.
+    """
     kind = dict(rows.dtypes)["id"]
 
     def make():
-        shingle = Shingler(size)
+        shingle, seen = Shingler(size), set()
 
         def apply(batch):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            return {
-                "id": batch.column("id"),
-                "n": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets],
-                "keys": [signatures(s, percent, doubled).view(np.int64) if len(s) else None for s in sets],
-                "doubled": [[(b, k) for b, k in doublings(s, percent).items() if k > doubled.get(b, 0)] if len(s) else [] for s in sets],
-            }
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            keys, more = [None] * len(sets), [[] for _ in sets]
+            for at, (s, d, known) in enumerate(zip(sets, digest, batch.column("id").is_valid().to_pylist(), strict=True)):
+                if d is None or not known or d in seen:
+                    continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(d)
+                keys[at] = signatures(s, percent, doubled).view(np.int64)
+                if len(keys[at]) < needed(len(s), percent) * len(bands_of(len(s), percent)):
+                    more[at] = [(b, k) for b, k in doublings(s, percent).items() if k > doubled.get(b, 0)]
+            fine = [parities(s, parity_bits(len(s), percent)) if k is not None else None for s, k in zip(sets, keys, strict=True)]
+            return {"id": batch.column("id"), "n": [len(s) for s in sets], "digest": digest, "keys": keys, "fine": fine, "doubled": more}
 
         return apply
 
-    return map_batches(rows, f"id {kind}, n bigint, digest binary, keys array<bigint>, doubled array<struct<band:int,k:int>>", make)
+    return map_batches(rows, f"id {kind}, n bigint, digest binary, keys array<bigint>, fine array<bigint>, doubled array<struct<band:int,k:int>>", make)
 
 
 def set_rows(texts: DataFrame, size: int) -> DataFrame:
-    """(rep, leader, leads, n, digest, shingles, fine) of (rep, leader, leads, text)."""
+    """(rep, n, digest, shingles) of (rep, text)."""
 
     def make():
         shingle = Shingler(size)
 
         def apply(batch):
             sets = [shingle(t) for t in batch.column("text").to_pylist()]
-            out = {c: batch.column(c) for c in ("rep", "leader", "leads")}
-            out |= {"n": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]}
-            return out | {"shingles": [s.view(np.int64) for s in sets], "fine": [parities(s) for s in sets]}
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            return {"rep": batch.column("rep"), "n": [len(s) for s in sets], "digest": digest, "shingles": [s.view(np.int64) for s in sets]}
 
         return apply
 
-    return map_batches(texts, "rep bigint, leader bigint, leads boolean, n bigint, digest binary, shingles array<bigint>, fine array<bigint>", make)
+    return map_batches(texts, "rep bigint, n bigint, digest binary, shingles array<bigint>", make)
+
 
+def bucket_rows(key: np.ndarray, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, rep, leader) of the buckets in whole groups of rows sorted by key: those with two classes or more, each class once.
 
-def possible_pairs(t: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (x, y) of the pairs to confirm among rows sorted by (key, i, j).
+    Buckets with the same classes get the same key, made of their classes and the band; the leader is the least class.
+    """
+    same = key[1:] == key[:-1]
+    some = np.append(same, False) | np.append(False, same)
+    key, rep = key[some], rep[some]
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1]))[: len(key)]
+    key, rep = key[fresh], rep[fresh]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    size = np.diff(np.append(start, len(key)))
+    whole = np.add.reduceat(scramble(rep.view(np.uint64) ^ SEED), start) if len(start) else np.zeros(0, np.uint64)
+    own = ((scramble(whole) & ~np.uint64(BANDS - 1)) | (key[start].view(np.uint64) & np.uint64(BANDS - 1))).view(np.int64)
+    kept = np.repeat(size > 1, size)
+    return np.repeat(own, size)[kept], rep[kept], np.repeat(rep[start], size)[kept]
+
+
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """(key, rep, leader) of (key, rep): the buckets of two classes or more; see bucket_rows.
+
+    Rows meet once, sorted by key. Of a key with more than HELD rows no more are held: they
+    go on as they come, under their own key and the leader of the first ones.
+    """
+    ship(keys.sparkSession)
+    schema = T._parse_datatype_string("key bigint, rep bigint, leader bigint")
+
+    def run(batches):
+        to, none = to_arrow_schema(schema), np.zeros(0, np.int64)
+        key, rep, long = none, none, None  # long: (key, leader) of a key with too many rows to hold
+        batch = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=to)
+        for b in chain(batches, [None]):
+            if b is not None:
+                key, rep = (np.concatenate([x, b.column(c).to_numpy()]) for x, c in ((key, "key"), (rep, "rep")))
+            if long and len(key):
+                end = int(np.argmax(key != long[0])) if key[-1] != long[0] else len(key)
+                if end:
+                    each = np.unique(rep[:end])
+                    yield batch(np.full(len(each), long[0]), each, np.full(len(each), long[1]))
+                key, rep = key[end:], rep[end:]
+                long = None if len(key) else long
+            if not len(key):
+                continue
+            end = len(key) if b is None else int(np.argmax(key == key[-1]))  # the last key may go on in the next batch
+            if end and len((out := bucket_rows(key[:end], rep[:end]))[0]):
+                yield batch(*out)
+            key, rep = key[end:], rep[end:]
+            if len(key) > HELD:
+                each = np.unique(rep)
+                if len(each) > 1:
+                    yield batch(np.full(len(each), key[0]), each, np.full(len(each), each[0]))
+                    key, rep, long = none, none, (key[0], each[0])
+                else:
+                    key, rep = key[:1], each
+
+    return keys.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+
+def folded(fine: Column, words: Column, percent: int) -> Column:
+    """``words`` words of the parities of a set, of which it has as many or, where a partner may be in a lower band, more."""
+    for _ in range((99 // percent).bit_length()):
+        half = F.floor(F.size(fine) / 2).cast("int")
+        halves = F.zip_with(F.slice(fine, F.lit(1), half), F.slice(fine, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        fine = F.when(F.size(fine) > words, halves).otherwise(fine)
+    return fine
+
+
+def possible_pairs(t: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places (x, y) of the pairs to confirm among rows sorted by (key, i, j); with ``nearest`` of each row the best one alone.
 
     Rows of one (key, i, j) meet: with i = j all pairs, else those over the two blocks. A pair
-    must be of two components, of sizes that allow the similarity and that neither's unshared
-    parts rule out, and of parities that differ in no more bits than the sets may in shingles.
+    must be of two components, of sizes that allow the similarity, and of parities that differ
+    in no more bits than the sets may in shingles; the fewer, the better it is.
     """
-    col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "b", "comp", "n", "least")}
-    fine = t.column("fine").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
+    col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "b", "comp", "n", "rep")}
+    fine = t.column("fine").combine_chunks()
+    width = fine.value_lengths().to_numpy().astype(np.int64)
+    words, place = fine.flatten().to_numpy(), np.cumsum(width) - width
     new = np.ones(len(t), bool)
     new[1:] = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
     start = np.flatnonzero(new)
     end = np.repeat(np.append(start[1:], len(t)), np.diff(np.append(start, len(t))))
     later = end - np.arange(len(t)) - 1
-    found_x, found_y, at = [], [], 0
+    found_x, found_y, found_d, at = [], [], [], 0
     while at < len(t):
         # rows that make about half a million pairs at once
         stop = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), 500_000)) + at)
         x = np.repeat(np.arange(at, stop), later[at:stop])
         y = np.arange(len(x)) - np.repeat(np.cumsum(later[at:stop]) - later[at:stop], later[at:stop]) + x + 1
         at = stop
-        ok = (col["comp"][x] != col["comp"][y]) & (col["n"][x] >= col["least"][y]) & (col["n"][y] >= col["least"][x])
-        ok &= 100 * np.minimum(col["n"][x], col["n"][y]) >= percent * np.maximum(col["n"][x], col["n"][y])
+        ok = (col["comp"][x] != col["comp"][y]) & (100 * np.minimum(col["n"][x], col["n"][y]) >= percent * np.maximum(col["n"][x], col["n"][y]))
         ok &= (col["i"][x] == col["j"][x]) | (col["b"][x] != col["b"][y])
         x, y = x[ok], y[ok]
         most = (100 - percent) * (col["n"][x] + col["n"][y]) // (100 + percent)
-        ok = np.bitwise_count((fine[x] ^ fine[y]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= most
+        unlike = np.zeros(len(x), np.int64)
+        for k in range(width[x].max(initial=0)):
+            on = np.flatnonzero((width[x] > k) & (unlike <= most))
+            unlike[on] += np.bitwise_count((words[place[x[on]] + k] ^ words[place[y[on]] + k]).view(np.uint64))
+        ok = unlike <= most
         found_x.append(x[ok])
         found_y.append(y[ok])
-    return np.concatenate(found_x), np.concatenate(found_y)
+        found_d.append((unlike - most)[ok])
+    x, y, unlike = (np.concatenate(f) for f in (found_x, found_y, found_d))
+    if not nearest:
+        return x, y
+    a, b = np.concatenate([x, y]), np.concatenate([y, x])
+    order = np.lexsort((col["rep"][b], np.concatenate([unlike, unlike]), a))
+    best = order[np.append(True, a[order][1:] != a[order][:-1])[: len(a)]]
+    return a[best], b[best]
 
 
-def met(rest: DataFrame, percent: int) -> DataFrame:
+def met(rest: DataFrame, percent: int, nearest: bool) -> DataFrame:
     """(a, b): the pairs of ``rest`` to confirm; see possible_pairs.
 
     A bucket of more than BLOCK rows is cut into blocks by a hash of the ids, and each two of
@@ -199,7 +307,7 @@ def met(rest: DataFrame, percent: int) -> DataFrame:
             else:
                 now = held
             if now is not None and len(now):
-                x, y = possible_pairs(now, percent)
+                x, y = possible_pairs(now, percent, nearest)
                 rep = now.column("rep").combine_chunks()
                 x, y = rep.take(pa.array(x)), rep.take(pa.array(y))
                 yield pa.RecordBatch.from_arrays([pc.min_element_wise(x, y), pc.max_element_wise(x, y)], schema=to)
@@ -207,6 +315,19 @@ def met(rest: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def mixed_rows(buckets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(key, rep, n, comp, fine, blocks): the buckets that have classes of two or more components."""
+    comp = F.coalesce("comp", "rep")
+    at = stored(buckets.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", comp.alias("comp")), "labelled")
+    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
+    rest = at.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    words = F.expr(f"cast(greatest(1, shiftleft({FIRST * WIDEN}L, cast(key & {BANDS - 1} as int)) div 64) as int)")  # of the bucket's band
+    rest = rest.join(classes.select("rep", "n", "fine"), "rep").select("key", "rep", "n", "comp", folded(F.col("fine"), words, percent).alias("fine"), "blocks")
+    rest = stored(rest, "rest")
+    discard(at)
+    return rest
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): a row for each input row, by a join that finds every pair.
 
@@ -222,13 +343,16 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     2. Each class is signed for the size bands that the larger set of a pair with it may be
        in; see ``signatures``. Every linked pair shares a signature: there is no threshold on
        chance. That the parts of a band suffice is counted over all documents; where they
-       don't for some, the band's parts are doubled.
+       don't for some, the band's parts are doubled. Signatures are exchanged once, and
+       buckets with the same classes are one from there on.
     3. Each class is compared with one leader of its buckets, the smallest id that it shares
        most of them with. Buckets whose classes are then in one component need no more; in the
-       rest pairs over two components are compared, but for those that can't reach the
-       similarity by size, by the parts that one of them shares with no other, or by parities.
-       Nothing is capped, and large buckets are cut into blocks that meet two by two.
-    4. Confirmation joins full sets, made anew from the texts of classes in shared buckets; a
+       rest each class is compared with its nearest one of another component, for some rounds,
+       so that a group of near copies makes as many pairs as it has classes, and then all
+       pairs over two components are. Pairs that can't reach the similarity by size or by
+       parities go before; nothing is capped, and large buckets are cut into blocks that meet
+       two by two.
+    4. Confirmation joins full sets, made anew from the texts of classes in such pairs; a
        shingle is a 64-bit hash.
     """
     rows, doubled = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), {}
@@ -243,69 +367,76 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets, seed = looked.filter(F.col("digest").isNotNull() & F.col("id").isNotNull()), 0
     while True:
         number = F.xxhash64("digest", F.lit(seed))
-        reps = stored(sets.groupBy(number.alias("rep")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high")), "classes")
+        reps = stored(sets.groupBy(number.alias("rep")).agg(F.min("id").alias("id"), F.first("n").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"), F.first("fine", True).alias("fine")), "classes")
         if not reps.filter("low <> high").limit(1).count():
             break
         seed += 1
         discard(reps)
 
-    keys = sets.select(F.explode("keys").alias("key"), number.alias("rep"))
-    shared = stored(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low < high").select("key"), "shared")
-    # copies have the keys of their class
-    met_in = stored(keys.join(shared, "key").distinct().withColumn("band", F.col("key").bitwiseAND(BANDS - 1)), "met")
+    buckets = shared_keys(sets.select(F.explode("keys").alias("key"), number.alias("rep")))
+    buckets = stored(buckets.groupBy("key", "rep").agg(F.min("leader").alias("leader"), F.count(F.lit(1)).alias("votes")), "buckets")
     slim = stored(looked.select("id", "n", F.when(F.col("digest").isNotNull(), number).alias("rep")), "looked")
-    discard(shared, looked)
+    discard(looked)
     sweep(df.sparkSession)
 
-    # a part that a set shares with no other is a shingle at least that any partner differs in, which must be large enough for that
-    share = met_in.groupBy("rep", "band").agg(F.count(F.lit(1)).alias("parts")).join(reps.select("rep", "n"), "rep")
-    own = F.expr(f"{100 - percent} * (n + 100 * n div {percent}) div {100 + percent} + 1 - parts")
-    share = share.withColumn("least", F.ceil(own * (100 + percent) / (100 - percent) - 1e-6) - F.col("n"))
-    sized = stored(met_in.join(share.select("rep", "band", "n", "least"), ["rep", "band"]).drop("band"), "sized")
-    reach = sized.groupBy("key").agg(F.max("n").alias("most_n"), F.min("least").alias("low_least"))
-    able = sized.join(reach, "key").filter("least <= most_n and n >= low_least").select("key", "rep", "n", "least")
-    able = stored(able, "able")
-    leads = able.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).filter("leader < last").select("key", "leader")
-    buckets = stored(able.join(leads, "key"), "buckets")
-    discard(met_in, sized, able)
-
-    votes = buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).count()
-    first = stored(votes.groupBy("a").agg(F.min_by("b", F.struct(-F.col("count"), "b")).alias("b")), "first")
-    # all that are in a bucket have a leader or are one
-    members = first.select(F.col("a").alias("rep"), F.col("b").alias("leader"), F.lit(False).alias("leads")).union(first.select("b", F.lit(None).cast("long"), F.lit(True)).distinct())
-    members = members.groupBy("rep").agg(F.max("leader").alias("leader"), F.max("leads").alias("leads")).join(reps.select("rep", "id"), "rep")
-    members = stored(members.withColumnRenamed("id", "_of"), "members")
-    # of rows with one id and other texts only the class's own text counts
-    full = set_rows(rows.join(members, F.col("id") == F.col("_of")).select("rep", "leader", "leads", "text"), size).filter(number == F.col("rep"))
-    full = stored(full.drop("digest"), "sets")
-    sweep(df.sparkSession)
-    led = full.filter("leader is not null").select("rep", "leader", F.col("n").alias("n_a"), F.col("shingles").alias("s_a"))
-    leaders = full.filter("leads").select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("s_b"))
-    found = led.join(leaders, F.col("leader") == F.col("b")).filter(similar(F.size(F.array_intersect("s_a", "s_b")), F.col("n_a"), F.col("n_b"), percent))
-    links = stored(found.select(F.col("rep").alias("a"), "b"), "links")
-    discard(first, members)
+    def full_sets(of: DataFrame) -> DataFrame:
+        """(rep, n, shingles) of the classes in (rep); of rows with one id and other texts only the class's own text counts."""
+        members = stored(of.distinct().join(reps.select("rep", F.col("id").alias("_of")), "rep"), "members")
+        place = lambda c: F.pmod(F.xxhash64(c), F.lit(PLACES))
+        few = rows.join(F.broadcast(members.select(place("_of").alias("_place")).distinct()), place("id") == F.col("_place"), "left_semi")  # other texts aren't exchanged
+        full = set_rows(few.join(members, F.col("id") == F.col("_of")).select("rep", "text"), size).filter(number == F.col("rep"))
+        full = stored(full.drop("digest"), "sets")
+        discard(members)
+        return full
+
+    ends = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("rep"))
+    votes = buckets.filter("rep <> leader").groupBy(F.col("rep").alias("a"), F.col("leader").alias("b")).agg(F.sum("votes").alias("count"))
+    first = votes.groupBy("a").agg(F.min_by("b", F.struct(-F.col("count"), "b")).alias("b"))
+    for x in ("a", "b"):
+        first = first.join(reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("fine").alias(f"f_{x}")), x)
+    fewer = F.least(F.size("f_a"), F.size("f_b"))
+    unlike = F.aggregate(F.zip_with(folded(F.col("f_a"), fewer, percent), folded(F.col("f_b"), fewer, percent), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    first = first.filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").filter(unlike <= F.expr(f"{100 - percent} * (n_a + n_b) div {100 + percent}"))
+    first = stored(first.select("a", "b"), "first")
+    full = full_sets(ends(first))
+    links = stored(confirmed(first, full, percent), "links")
+    discard(first, full)
     sweep(df.sparkSession)
     comps = components(links, "comps")
 
     # what is left: buckets with classes of two or more components
-    at = buckets.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", "least", F.coalesce("comp", "rep").alias("comp"))
-    at = stored(at, "labelled")
-    mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    rest = at.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-    rest = stored(rest.join(full.select("rep", "fine"), "rep"), "rest")
-    discard(buckets, at)
-    pairs = stored(met(rest, percent).distinct(), "pairs")
-    some = stored(full.join(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi"), "some")
-    more = stored(confirmed(pairs, some, percent), "more")
-    discard(rest, pairs, full, some)
-    if more.limit(1).count():
-        discard(comps)
-        comps = components(links.union(more), "all")
+    full, step, more = None, 0, True
+    while more:
+        rest = mixed_rows(buckets, reps, comps, percent)
+        step, nearest = step + 1, step < ROUNDS
+        while True:
+            pairs = stored(met(rest, percent, nearest).distinct(), "pairs")
+            if full is None:  # all that have a candidate at all
+                inside = stored(ends(pairs).distinct(), "inside")
+                full, slimmer = full_sets(inside), stored(buckets.join(inside, "rep", "left_semi"), "candidates")
+                discard(buckets, inside)
+                buckets = slimmer
+            found = stored(confirmed(pairs, full, percent), "more")
+            more = found.limit(1).count() > 0
+            if more or not nearest or not pairs.limit(1).count():
+                break
+            discard(pairs, found)
+            nearest = False  # the nearest ones are no links: all that are left are compared
+        discard(pairs, rest)
+        if more:
+            known = links
+            links = stored(known.union(found), "links")
+            discard(comps, known)
+            comps = components(links, "all")
+        discard(found)
+        more = more and nearest
+        sweep(df.sparkSession)
+    discard(buckets, full)
 
     # of a component the smallest id of its classes
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("comp", "rep").alias("comp"))
     least = named.groupBy("comp").agg(F.min("id").alias("component_id"))
     ends = stored(named.join(least, "comp").select(F.col("rep").alias("of"), "component_id"), "ends")
-    discard(reps, comps, links, more)
+    discard(reps, comps, links)
     out = slim.join(ends, F.col("rep") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))

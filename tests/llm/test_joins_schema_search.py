@@ -109,6 +109,42 @@ def test_all_pairs_of_a_hot_bucket(spark, monkeypatch):
     assert got == linked(rows, 5, 80)
 
 
+def test_near_copies_make_no_pairs_of_a_group(spark, monkeypatch):
+    """Of 120 near copies, most unlike their leader, there are as many pairs in a step as classes, not thousands, and buckets with the same classes are one."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(80)]
+    rows = []
+    for i in range(120):
+        at = rng.randrange(70)
+        rows.append((i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])))
+    sizes, stored = {}, jaccard.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = max(sizes.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked(rows, 5, 80) and {c for _, c in got.values()} == {0}
+    assert sizes["pairs"] <= 240 and sizes["links"] <= 480
+
+
+@pytest.mark.parametrize("held", [2, 65_536])
+def test_buckets_are_found_over_batches(spark, monkeypatch, held):
+    """Keys that go on over batches, of copies alone, and with more rows than are held."""
+    monkeypatch.setattr(jaccard, "HELD", held)
+    rows = [(64 * (k % 40), k * k % 97) for k in range(900)] + [(64 * 50, 5)] * 30 + [(64 * 51, 6), (64 * 52, 6), (64 * 51, 7), (64 * 52, 7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = [(r["key"], r["rep"], r["leader"]) for r in jaccard.shared_keys(spark.createDataFrame(rows, "key long, rep long").coalesce(1)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    meet = lambda rows: {(a, b) for k in {r[0] for r in rows} for a in {r[1] for r in rows if r[0] == k} for b in {r[1] for r in rows if r[0] == k} if a < b}
+    assert meet(found) == meet(rows)
+    assert held == 2 or len({key for key, rep, _ in found if rep in (6, 7) and {r for k, r, _ in found if k == key} == {6, 7}}) == 1
+
+
 def test_parts_are_doubled_where_they_do_not_suffice(monkeypatch):
     monkeypatch.setattr(jaccard, "PARTS", 0.01)
     monkeypatch.setattr(jaccard, "MORE_PARTS", 1)
