@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship
 from .arrow import map_batches
 from .common import discard, free_name, stored
 
@@ -182,6 +184,30 @@ def blocks_of(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> D
     return map_batches(rows, f"gram bigint, run bigint, id {kind}, first int, windows int, own boolean", make)
 
 
+def in_company(rows: DataFrame, key: str) -> DataFrame:
+    """The rows that are not alone with their ``key``, a number: they meet sorted by it, and a task holds a batch and the row before."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        last, kept = None, False
+        for batch in chain(batches, [None]):
+            if batch is None or not batch.num_rows:
+                continue
+            keys = batch.column(key).to_numpy()
+            same = keys[1:] == keys[:-1]
+            before = np.append(last is not None and keys[0] == last.column(key)[0].as_py(), same)
+            if last is not None and (kept or before[0]):
+                yield last
+            some = (before[:-1] | same).nonzero()[0]
+            if len(some):
+                yield batch.take(pa.array(some))
+            last, kept = batch.take(pa.array([len(keys) - 1])), bool(before[-1])
+        if kept:
+            yield last
+
+    return rows.repartition(key).sortWithinPartitions(key).mapInArrow(run, rows.schema)
+
+
 def led(rows: DataFrame, least: int, hasher: Callable[[], RunHashes]) -> DataFrame:
     """(id, at, runs, own, segments, words) of (id, text, blocks), where blocks have (first, windows, several).
 
@@ -258,7 +284,8 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     """
     rows = df.filter(F.col(id_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("text")).filter("text <> ''")
     place, here = F.struct("id", "first"), ["gram", "run"]
-    table = stored(blocks_of(rows, least, hasher), "blocks")
+    # a fingerprint that stands once repeats nothing
+    table = stored(in_company(blocks_of(rows, least, hasher), "gram"), "blocks")
     leads = stored(table.groupBy(*here).agg(*earliest_place(), F.min("windows").alias("windows")), "leads")
     several = stored(leads.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram", F.lit(True).alias("several")), "several")
     leading = leads.join(several, "gram", "left").withColumn("several", F.coalesce("several", F.lit(False)))

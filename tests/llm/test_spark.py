@@ -348,3 +348,25 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} <= kept
     assert out.agg(F.max(F.col("offset") + F.col("length"))).collect()[0][0] <= 2048
+
+
+def test_fingerprints_that_stand_once_go_first(spark, monkeypatch):
+    """Only fingerprints of two rows or more are grouped and joined, wherever Arrow's batches end."""
+    rows = [(k * k % 23, f"r{n}") for n, k in enumerate(range(60))] + [(100 + k, "alone") for k in range(20)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted(map(tuple, linededup.in_company(spark.createDataFrame(rows, "gram long, id string"), "gram").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(r for r in rows if sum(r[0] == o[0] for o in rows) > 1)
+    sizes, stored = {}, linededup.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "stored", counted)
+    docs = [(n, " ".join(f"d{n}w{k}" for k in range(200))) for n in range(5)]
+    assert linededup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).filter("removed_words > 0").count() == 0
+    assert sizes["blocks"] == sizes["leads"] == 0
