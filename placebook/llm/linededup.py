@@ -23,6 +23,8 @@ LEAST_WORDS = 50
 GRAM = 20
 #: The words of an earlier run are fetched by so many.
 SEGMENT = 128
+#: So often every second match is left out that the ones beside it cover.
+THINNINGS = 3
 _UNIT = re.compile(r"\s*\S+\s*")
 #: Characters that are handled at once, so that their arrays stay in a processor's cache.
 GROUP_CHARS = 40_000
@@ -277,7 +279,8 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
        fingerprint stands among different words, each window around is joined with the
        earliest one like it.
     3. Matches are extended both ways: joined positions on one diagonal (the same distance
-       from one earlier document) that touch are one match, as far as there are any.
+       from one earlier document) that touch are one match, as far as there are any. Of the
+       matches of a document that overlap only what ``needed`` leaves goes on.
     4. The words of the earlier run are fetched for each match by segments of SEGMENT words.
 
     All up to here only proposes; ``confirmed`` compares the words.
@@ -303,7 +306,7 @@ def repeated_runs(df: DataFrame, key: Column, id_col: str = "doc_id", text_col:
     runs = stored(runs.select("id", F.col("w.at").alias("first"), F.col("w.runs").alias("run"), F.col("w.own").alias("own")), "windows")
     earliest = stored(runs.groupBy("run").agg(*earliest_place()).filter("repeated").select("run", "lead"), "earliest")
     later = runs.join(earliest, "run").filter(place != F.col("lead")).select("id", "first", (F.col("first") + F.lit(least)).alias("end"), "lead")
-    matches = stored(extended(whole.unionByName(later)), "matches")
+    matches = stored(needed(extended(whole.unionByName(later)), least), "matches")
     discard(whole, runs, earliest)
     segments = earlier.select(F.col("id").alias("lead_id"), F.explode(F.arrays_zip("segments", "words")).alias("s")).select("lead_id", F.col("s.segments").alias("segment"), "s.words")
     parts = F.sequence(F.expr(f"lead div {SEGMENT}"), F.expr(f"(lead + end - first - 1) div {SEGMENT}"))
@@ -315,6 +318,7 @@ def extended(joined: DataFrame) -> DataFrame:
     """(id, first, end, lead_id, lead): joined stretches (id, first, end, lead) on one diagonal that touch or overlap are one match."""
     on = Window.partitionBy("id", "lead_id", "diagonal")
     rows = joined.select("id", "first", "end", F.col("lead.id").alias("lead_id"), (F.col("first") - F.col("lead.first")).alias("diagonal"))
+    rows = rows.repartition("id")  # one exchange serves all windows, those of needed, too
     before = F.max("end").over(on.orderBy("first").rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("begins", F.coalesce(F.col("first") > before, F.lit(True)).cast("int"))
     rows = rows.withColumn("match", F.sum("begins").over(on.orderBy("first").rowsBetween(Window.unboundedPreceding, 0)))
@@ -322,6 +326,25 @@ def extended(joined: DataFrame) -> DataFrame:
     return each.select("id", "first", "end", "lead_id", (F.col("first") - F.col("diagonal")).alias("lead"))
 
 
+def needed(matches: DataFrame, least: int) -> DataFrame:
+    """Matches that have the words of all of them: none within another one of its document, few that others cover.
+
+    A match between two that touch goes, every second one at a time, THINNINGS times; each
+    that stays begins where the one before it ends, but has ``least`` words or more. So a
+    text whose windows stand in many earlier documents is fetched and compared about once,
+    not once for each of them.
+    """
+    order = Window.partitionBy("id").orderBy("first", F.desc("end"), "lead_id", "lead")
+    rows = matches.withColumn("before", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).filter("before is null or end > before")
+    for _ in range(THINNINGS):  # first and end both rise from here on
+        rows = rows.withColumns({"before": F.lag("end").over(order), "after": F.lead("first").over(order), "at": F.row_number().over(order)})
+        rows = rows.filter("at % 2 = 1 or before is null or after is null or before < after")
+    before = F.coalesce(F.lag("end").over(order), F.lit(0))
+    skip = F.greatest(F.lit(0), F.least(before, F.col("end") - F.lit(least)) - F.col("first"))
+    rows = rows.withColumn("skip", skip)
+    return rows.select("id", (F.col("first") + F.col("skip")).alias("first"), "end", "lead_id", (F.col("lead") + F.col("skip")).alias("lead"))
+
+
 def confirmed(words: list[str] | Words, pieces: Iterable[tuple], least: int) -> list[tuple[int, int]]:
     """The cuts [first, end) of a document: stretches of ``least`` words or more of its matches whose words are the earlier ones.
 
@@ -362,11 +385,11 @@ def without(text: str, cuts: list[tuple[int, int]], words: Words | None = None)
     gone = np.cumsum(change)[:-1] > 0
     bounds = np.concatenate([[0], start[1:], [len(codes)]])
     ends = codes == 10
-    ends[:-1] |= np.isin(codes[:-1], STOPS) & (codes[1:] == 32)
+    ends[:-1] |= np.logical_or.reduce([codes[:-1] == c for c in STOPS]) & (codes[1:] == 32)
     ends = np.add.reduceat(ends, bounds[:-1]) > 0
     line = np.cumsum(ends) - ends
-    kept = codes[np.repeat(~gone, np.diff(bounds))]
-    return kept.tobytes().decode("utf-32-le", "surrogatepass"), len(np.unique(line[gone])), int(gone.sum())
+    kept, line = codes[np.repeat(~gone, np.diff(bounds))], line[gone]
+    return kept.tobytes().decode("utf-32-le", "surrogatepass"), int(np.count_nonzero(np.diff(line))) + bool(len(line)), len(line)
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS, hasher: Callable[[], RunHashes] = RunHashes) -> DataFrame:

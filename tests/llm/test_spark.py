@@ -234,6 +234,20 @@ def test_line_dedup_loses_no_word_to_runs_with_one_hash(spark):
         assert all(w in at for w in expected[key])  # what is left has all that may stay, in order
 
 
+def test_line_dedup_fetches_words_once(spark):
+    """A text whose windows stand in many earlier documents is compared about once, not with each of them."""
+    rng = random.Random(8)
+    whole = words(rng, 400).split()
+    rows = [(n, " ".join([words(rng, 9), *whole[10 * n : 10 * n + 60], words(rng, 9)])) for n in range(35)] + [(99, " ".join(whole))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pieces = linededup.repeated_runs(df, F.col("doc_id")).filter("id = 99").select(F.explode("pieces").alias("p"))
+    matches = pieces.select("p.first", "p.end", "p.lead", "p.of").distinct().collect()
+    assert {n for m in matches for n in range(m["first"], m["end"])} == set(range(400))
+    assert all(m["end"] - m["first"] >= 50 for m in matches) and sum(m["end"] - m["first"] for m in matches) <= 800
+    got = {r["doc_id"]: r["text"].split() for r in linededup.line_dedup(df).collect()}
+    assert got == plain_word_dedup(rows)
+
+
 def test_line_dedup_where_rows_are_one_document(spark):
     """Rows with one id and text are cut alike, whether they hold the earlier run or the later one."""
     rng = random.Random(6)
