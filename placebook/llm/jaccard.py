@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import ship
 from .arrow import map_batches
 from .common import discard, stored, sweep
-from .minhash import Shingler, components, confirmed, scramble
+from .minhash import Shingler, components, confirmed, merged, scramble
 
 #: A band holds the sets with FIRST * WIDEN^b to FIRST * WIDEN^(b + 1) shingles, and serves pairs whose larger set is in it.
 FIRST, WIDEN = 8, 2
@@ -424,10 +424,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             nearest = False  # the nearest ones are no links: all that are left are compared
         discard(pairs, rest)
         if more:
-            known = links
-            links = stored(known.union(found), "links")
-            discard(comps, known)
-            comps = components(links, "all")
+            known, comps = comps, merged(comps, found, "all")
+            discard(known)
         discard(found)
         more = more and nearest
         sweep(df.sparkSession)

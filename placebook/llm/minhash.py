@@ -265,25 +265,47 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, comp): for each node of the links (a, b) the smallest node that it reaches.
 
-    Smallest labels are passed over the links, and then each label is replaced by its own
-    label, until nothing changes: rounds grow as the logarithm of a component's length.
-    Labels and links are written tables, so that a hot node's links are split.
+    Links are contracted: each node takes the first of itself and its neighbours, links go on
+    between what their ends took, equal ones as one, and those within one go, until none is
+    left. First is the smallest node, and from the second round on the one with the smallest
+    hash, which is another one in each round: so any chain or star loses a share of its nodes
+    a round, whatever their order, and all rounds together read a few times the links.
+    Links and what was taken are written tables, so that a hot node's links are split.
     """
-    links = stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), f"{name}-links")
-    labels = stored(links.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("comp")), f"{name}-0")
-    step = 0
-    while True:
-        step += 1
-        heard = links.join(labels.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), "comp")
-        low = stored(heard.union(labels).groupBy("node").agg(F.min("comp").alias("comp")), f"{name}-{step}a")
-        up = low.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
-        new = stored(low.join(up, "comp").select("node", F.col("up").alias("comp")), f"{name}-{step}b")
-        changed = new.join(labels.withColumnRenamed("comp", "old"), "node").filter("comp <> old").limit(1).count()
-        discard(low, labels)
-        labels = new
-        if not changed:
-            discard(links)
-            return labels
+    taken, links = [], stored(links.select("a", "b").union(links.select("b", "a")).filter("a <> b").distinct(), f"{name}-links")
+    while not taken or links.limit(1).count():
+        step, known = len(taken), links
+        ranked = lambda c: F.struct(*[F.xxhash64(c, F.lit(step)).alias("rank")][: bool(step)], F.col(c).alias("node"))  # noqa: B023, E731
+        low = links.groupBy("a").agg(F.min(ranked("b")).alias("low"))
+        to = stored(low.select(F.col("a").alias("node"), F.least("low", ranked("a"))["node"].alias("comp")), f"{name}-{step}")
+        for x in ("a", "b"):
+            links = links.join(to.select(F.col("node").alias(x), F.col("comp").alias(f"to_{x}")), x)
+        links = stored(links.filter("to_a <> to_b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).distinct(), f"{name}-links")
+        discard(known)
+        taken.append(to)
+    discard(links)
+    comps = taken.pop()
+    while taken:
+        before, after = taken.pop(), comps
+        up = after.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
+        comps = stored(before.join(up, "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), f"{name}-up")
+        discard(before, after)
+    least = comps.groupBy("comp").agg(F.min("node").alias("least"))
+    out = stored(comps.join(least, "comp").select("node", F.col("least").alias("comp")), name)
+    discard(comps)
+    return out
+
+
+def merged(comps: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """The components ``comps`` (node, comp) with more links (a, b), of which only those over two components matter."""
+    for x in ("a", "b"):
+        of = comps.select(F.col("node").alias(x), F.col("comp").alias(f"of_{x}"))
+        found = found.join(of, x, "left").withColumn(x, F.coalesce(f"of_{x}", x)).drop(f"of_{x}")
+    up = components(found, f"{name}-over")
+    old = comps.join(up.select(F.col("node").alias("comp"), F.col("comp").alias("up")), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp"))
+    out = stored(old.unionByName(up.join(comps, "node", "left_anti")), name)
+    discard(up)
+    return out
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

@@ -11,8 +11,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
-from placebook.llm import jaccard, search, shredding
+from placebook.llm import jaccard, minhash, search, shredding
 from placebook.llm.minhash import Shingler
 
 CLASHING = "doc_id long, text string, item bigint, rank int, term string, score string, path string, key string, `Comp` string, `SLICE` int"
@@ -327,3 +328,24 @@ def test_odd_tables(spark):
 
 def test_shingles_are_those_of_the_contract():
     assert [len(Shingler(5)(t)) for t in ("a b c d e f", "A b", "a b", "", None)] == [len(shingles(t, 5)) for t in ("a b c d e f", "A b", "a b", "", None)] == [2, 1, 1, 0, 0]
+
+
+def test_components_read_few_times_the_links(spark, monkeypatch):
+    """A chain in any order and stars around large ids: rounds contract the links, and more links only join components."""
+    rng = random.Random(13)
+    order = rng.sample(range(1500), 1500)
+    pairs = [*zip(order, order[1:], strict=False), *((9000 + n % 2, 2000 + n) for n in range(200))]
+    read, join = [], DataFrame.join
+
+    def counted(self, *rest, **more):
+        if {"a", "b"} <= set(self.columns):
+            read.append(self.count())
+        return join(self, *rest, **more)
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    got = {r["node"]: r["comp"] for r in minhash.components(spark.createDataFrame(pairs, "a long, b long"), "t").collect()}
+    assert got == dict.fromkeys(range(1500), 0) | {n: 2000 + n % 2 for n in [*range(2000, 2200), 9000, 9001]}
+    assert sum(read) <= 6 * 2 * len(pairs)
+    first = minhash.components(spark.createDataFrame(pairs[:700] + pairs[710:], "a long, b long"), "t")
+    more = minhash.merged(first, spark.createDataFrame([*pairs[700:710], (2000, 2001), (7000, 2001), (7001, 7002)], "a long, b long"), "u")
+    assert {r["node"]: r["comp"] for r in more.collect()} == {n: min(c, 2000) for n, c in got.items()} | {7000: 2000, 7001: 7001, 7002: 7001}
