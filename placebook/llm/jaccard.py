@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -30,8 +31,10 @@ PARITIES, BLOCK = 2_048, 512
 SEEN, HELD = 200_000, 65_536
 #: Places of hashes of ids, of which those of the asked-for ones are broadcast: a fixed number, of any number of ids.
 PLACES = 1 << 21
-#: Rounds in which each class is compared with its nearest candidate only, before all that are left are.
-ROUNDS = 8
+#: Rounds in which each class is compared with its nearest candidate only, before all that are left are, and of how many such pairs one must be a link for another round.
+ROUNDS, WORTH = 8, 10
+#: Buckets that a class names: of those that two classes both name, only the first makes their pair.
+NAMED = 8
 SEED = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -240,9 +243,11 @@ def possible_pairs(t: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray
 
     Rows of one (key, i, j) meet: with i = j all pairs, else those over the two blocks. A pair
     must be of two components, of sizes that allow the similarity, and of parities that differ
-    in no more bits than the sets may in shingles; the fewer, the better it is.
+    in no more bits than the sets may in shingles; the fewer, the better it is. A pair is made
+    in the first bucket that both of its rows name, and in no other.
     """
     col = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "b", "comp", "n", "rep")}
+    named = t.column("named").combine_chunks().flatten().to_numpy().reshape(len(t), NAMED)
     fine = t.column("fine").combine_chunks()
     width = fine.value_lengths().to_numpy().astype(np.int64)
     words, place = fine.flatten().to_numpy(), np.cumsum(width) - width
@@ -271,24 +276,36 @@ def possible_pairs(t: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray
         found_y.append(y[ok])
         found_d.append((unlike - most)[ok])
     x, y, unlike = (np.concatenate(f) for f in (found_x, found_y, found_d))
-    if not nearest:
-        return x, y
-    a, b = np.concatenate([x, y]), np.concatenate([y, x])
-    order = np.lexsort((col["rep"][b], np.concatenate([unlike, unlike]), a))
-    best = order[np.append(True, a[order][1:] != a[order][:-1])[: len(a)]]
-    return a[best], b[best]
-
-
-def met(rest: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    if nearest:
+        a, b = np.concatenate([x, y]), np.concatenate([y, x])
+        order = np.lexsort((col["rep"][b], np.concatenate([unlike, unlike]), a))
+        best = order[np.append(True, a[order][1:] != a[order][:-1])[: len(a)]]
+        x, y = a[best], b[best]
+    made = []
+    for at in range(0, len(x), 50_000):
+        u, v = x[at : at + 50_000], y[at : at + 50_000]
+        both = np.zeros((len(u), NAMED), bool)
+        for k in range(NAMED):
+            both |= named[u] == named[v][:, k, None]
+        made.append(~both.any(axis=1) | (named[u, both.argmax(axis=1)] == col["key"][u]))
+    made = np.concatenate([np.zeros(0, bool), *made])
+    return x[made], y[made]
+
+
+def met(rest: DataFrame, percent: int, nearest: bool, step: int = 0) -> DataFrame:
     """(a, b): the pairs of ``rest`` to confirm; see possible_pairs.
 
     A bucket of more than BLOCK rows is cut into blocks by a hash of the ids, and each two of
-    its blocks meet in a group of their own, so that no task holds a large bucket.
+    its blocks meet in a group of their own, so that no task holds a large bucket. With
+    ``nearest`` each block meets by itself alone, so that the work and the pairs grow with the
+    rows of a bucket and not with their square; the blocks are others in each step. Blocks are
+    a power of two, so that rows of one block share it in all buckets with as many or fewer:
+    those that come first among the named ones.
     """
     ship(rest.sparkSession)
     kind = dict(rest.dtypes)["rep"]
-    b = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rest.withColumn("b", b).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    b = F.pmod(F.xxhash64("rep", F.lit(step)), F.col("blocks")).cast("int")
+    rows = rest.withColumn("b", b).withColumn("other", F.col("b") if nearest else F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("b", "other"), "j": F.greatest("b", "other")}).drop("other", "blocks")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     schema = T._parse_datatype_string(f"a {kind}, b {kind}")
@@ -316,13 +333,21 @@ def met(rest: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
 
 def mixed_rows(buckets: DataFrame, classes: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(key, rep, n, comp, fine, blocks): the buckets that have classes of two or more components."""
+    """(key, rep, n, comp, fine, named, blocks): the buckets that have classes of two or more components.
+
+    ``named`` are the first NAMED buckets of the class, those of few blocks first; where it has fewer, the last is repeated.
+    """
     comp = F.coalesce("comp", "rep")
     at = stored(buckets.select("key", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", comp.alias("comp")), "labelled")
     mixed = at.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi")
-    rest = at.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
+    blocks = F.expr(f"cast(shiftleft(1, cast(ceil(log2(greatest(1, m / {BLOCK}))) as int)) as int)")
+    rest = at.join(mixed.select("key", blocks.alias("blocks")), "key")
+    rest = rest.groupBy("rep").agg(F.first("comp").alias("comp"), F.array_sort(F.collect_list(F.struct("blocks", "key"))).alias("at"))
+    named = F.transform(F.sequence(F.lit(0), F.lit(NAMED - 1)), lambda k: F.col("at")[F.least(k, F.size("at") - 1)]["key"])
     words = F.expr(f"cast(greatest(1, shiftleft({FIRST * WIDEN}L, cast(key & {BANDS - 1} as int)) div 64) as int)")  # of the bucket's band
-    rest = rest.join(classes.select("rep", "n", "fine"), "rep").select("key", "rep", "n", "comp", folded(F.col("fine"), words, percent).alias("fine"), "blocks")
+    rest = rest.join(classes.select("rep", "n", "fine"), "rep").select("rep", "n", "comp", "fine", named.alias("named"), F.explode("at").alias("bucket"))
+    rest = rest.select("bucket.key", "rep", "n", "comp", "fine", "named", "bucket.blocks")
+    rest = rest.withColumn("fine", folded(F.col("fine"), words, percent))
     rest = stored(rest, "rest")
     discard(at)
     return rest
@@ -350,8 +375,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
        rest each class is compared with its nearest one of another component, for some rounds,
        so that a group of near copies makes as many pairs as it has classes, and then all
        pairs over two components are. Pairs that can't reach the similarity by size or by
-       parities go before; nothing is capped, and large buckets are cut into blocks that meet
-       two by two.
+       parities go before; nothing is capped. Large buckets are cut into blocks, which meet
+       by themselves in the rounds of nearest ones, other blocks in each, and two by two in
+       the last. Two classes that share buckets make their pair in one of them.
     4. Confirmation joins full sets, made anew from the texts of classes in such pairs; a
        shingle is a 64-bit hash.
     """
@@ -405,31 +431,40 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     comps = components(links, "comps")
 
     # what is left: buckets with classes of two or more components
-    full, step, more = None, 0, True
+    full, step, nearest, more = [], 0, True, True
     while more:
         rest = mixed_rows(buckets, reps, comps, percent)
-        step, nearest = step + 1, step < ROUNDS
+        step += 1
         while True:
-            pairs = stored(met(rest, percent, nearest).distinct(), "pairs")
-            if full is None:  # all that have a candidate at all
-                inside = stored(ends(pairs).distinct(), "inside")
-                full, slimmer = full_sets(inside), stored(buckets.join(inside, "rep", "left_semi"), "candidates")
-                discard(buckets, inside)
+            pairs = stored(met(rest, percent, nearest, step).distinct(), "pairs")
+            inside = ends(pairs).distinct()
+            for made in full:
+                inside = inside.join(made.select("rep"), "rep", "left_anti")
+            inside = stored(inside, "inside")
+            if step == 1 and nearest:  # all that have a candidate at all, and buckets of which not all have met
+                large = stored(rest.filter("blocks > 1").select("key").distinct(), "large")
+                slimmer = buckets.join(large.withColumn("large", F.lit(True)), "key", "left").join(inside.withColumn("inside", F.lit(True)), "rep", "left")
+                slimmer, unmet = stored(slimmer.filter("large or inside").select(*buckets.columns), "candidates"), large.limit(1).count() > 0
+                discard(buckets, large)
                 buckets = slimmer
-            found = stored(confirmed(pairs, full, percent), "more")
-            more = found.limit(1).count() > 0
-            if more or not nearest or not pairs.limit(1).count():
+            if not full or inside.limit(1).count():
+                full.append(full_sets(inside))
+            discard(inside)
+            found = stored(confirmed(pairs, reduce(DataFrame.unionByName, full), percent), "more")
+            links_found, pairs_made = found.count(), pairs.count()
+            if links_found or not nearest or not (pairs_made or unmet):
                 break
             discard(pairs, found)
             nearest = False  # the nearest ones are no links: all that are left are compared
         discard(pairs, rest)
-        if more:
+        if links_found:
             known, comps = comps, merged(comps, found, "all")
             discard(known)
         discard(found)
-        more = more and nearest
+        more = links_found > 0 and nearest
+        nearest = step + 1 < ROUNDS and WORTH * links_found >= pairs_made
         sweep(df.sparkSession)
-    discard(buckets, full)
+    discard(buckets, *full)
 
     # of a component the smallest id of its classes
     named = reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "id", F.coalesce("comp", "rep").alias("comp"))

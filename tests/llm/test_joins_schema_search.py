@@ -131,6 +131,53 @@ def test_near_copies_make_no_pairs_of_a_group(spark, monkeypatch):
     assert sizes["pairs"] <= 240 and sizes["links"] <= 480
 
 
+def near_copies(rng, n, length=80):
+    base = [f"w{i}" for i in range(length)]
+    places = [rng.randrange(length - 10) for _ in range(n)]
+    return [(i, " ".join(base[:at] + [f"x{i}"] + base[at + 1 :])) for i, at in enumerate(places)]
+
+
+def test_rows_that_meet_grow_with_a_group_and_not_with_its_square(spark, monkeypatch):
+    """Of four times the near copies, in many blocks and buckets, about four times the pairs are made, before equal ones go."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    made, met = [0], jaccard.met
+
+    def counted(*args):
+        out = jaccard.stored(met(*args), "met")
+        made[0] += out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "met", counted)
+    counts = []
+    for n in (60, 240):
+        made[0], rows = 0, near_copies(random.Random(n), n)
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert got == linked(rows, 5, 80)
+        counts.append(made[0])
+    assert counts[1] <= 6 * max(counts[0], 60) and counts[1] <= 8 * 240
+
+
+@pytest.mark.parametrize("block", [1, 3])
+def test_links_over_blocks_are_found(spark, monkeypatch, block):
+    """Where nearly no rows meet within a block, all links are still found over two."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(block) + [(1000 + i, t) for i, t in near_copies(random.Random(block), 30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == linked(rows, 5, 80)
+
+
+def test_a_pair_is_made_in_one_of_its_buckets(spark):
+    """Two sets that share 30 buckets, more than they name, meet in one group's pair; without a common name in each."""
+    same = [5] * 16
+    for shared, want in ((True, 1), (False, 30)):
+        named = [[-9 - 100 * r * (not shared)] * jaccard.NAMED for r in (0, 1)]
+        rows = [(k, r, 100, r, same, named[r], 1) for k in [-9, *range(29)] for r in (0, 1)]
+        rest = spark.createDataFrame(rows, "key long, rep long, n long, comp long, fine array<long>, named array<long>, blocks int")
+        for nearest in (False, True):
+            pairs = [tuple(p) for p in jaccard.met(rest, 80, nearest).collect()]
+            assert set(pairs) == {(0, 1)} and len(pairs) == want * (1 + nearest)
+
+
 @pytest.mark.parametrize("held", [2, 65_536])
 def test_buckets_are_found_over_batches(spark, monkeypatch, held):
     """Keys that go on over batches, of copies alone, and with more rows than are held."""
